@@ -135,6 +135,17 @@ def normalize_text(c: Column | str) -> Column:
     return collapse_ws(strip_mentions(strip_urls(or_empty(c))))
 
 
+def is_blank_normalized(c: Column | str) -> Column:
+    """True when ``normalize_text`` leaves nothing.
+
+    Only a text that is blank or opens with a link or a mention can end up empty, so
+    the full normalisation runs for those alone. That matters in a filter, which is
+    pushed below the projection that normalises and would run everything twice.
+    """
+    opens = or_empty(c).rlike(rf"(?Ui)\A{SPACE}*+(?:\z|@|https?://|www\.)")
+    return opens & (normalize_text(c) == "")
+
+
 def rule_text(c: Column | str) -> Column:
     """Lower-case text reduced to ASCII letters, digits, apostrophes and hyphens."""
     kept = F.regexp_replace(F.lower(or_empty(c)), r"(?U)[^a-zA-Z0-9\s\x1c-\x1f'-]", " ")

@@ -35,7 +35,7 @@ def _v_parameter(c: Column) -> Column:
 
 
 def _short_link(c: Column) -> Column:
-    first_part = F.element_at(F.split(F.trim(F.lit("/"), _path(c)), "/"), 1)
+    first_part = F.element_at(F.split(F.trim(_path(c), F.lit("/")), "/"), 1)
     return _bare(first_part)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from comity import constants as K
 from comity.functions import text as tx
+from comity.operators.verdicts import settled
 
 SPLITS = ("train", "val", "test")
 _HEX_DIGITS = 4
@@ -22,10 +23,10 @@ def clean_labelled(
     entities: str = "full",
 ) -> DataFrame:
     """Keep key, label and text; drop null texts, clean, drop blanks, cast the label."""
+    present = df.select(key_col, label_col, text_col).dropna(subset=[text_col])
+    cleaned = present.withColumn(text_col, tx.clean_tweet(text_col, entities))
     return (
-        df.select(key_col, label_col, text_col)
-        .dropna(subset=[text_col])
-        .withColumn(text_col, tx.clean_tweet(text_col, entities))
+        settled(cleaned, text_col)
         .filter(F.col(text_col) != "")
         .withColumn(label_col, F.col(label_col).cast("int"))
     )

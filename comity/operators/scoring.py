@@ -145,14 +145,14 @@ def score_table(
     """
     if text_col not in df.columns:
         raise ValueError(f"the table has no column {text_col!r}")
-    scored = scorer.raw_scores(df, text_col)
-    blank = tx.is_blank(text_col)
+    scored = scorer.raw_scores(df.withColumn("_blank", tx.is_blank(text_col)), text_col)
+    blank = F.col("_blank")
     columns = {}
     for label in scorer.labels:
         raw = F.col(RAW)[label]
         columns[f"{label}_score"] = F.when(blank, 0.0).otherwise(round_half_even(raw, 4))
         columns[f"{label}_flagged"] = (~blank & (raw >= threshold)).cast("int")
-    out = scored.withColumns(columns)
+    out = scored.withColumns(columns).drop("_blank")
     return out if keep_raw else out.drop(RAW)
 
 

@@ -248,8 +248,8 @@ def classify_tweets(
     scorer = scorer or LexiconScorer()
     vocabulary = rules.RULE_VOCABULARY | scorer.vocabulary
     base = (
-        df.withColumn("cleaned_text", tx.normalize_text(text_col))
-        .filter(F.col("cleaned_text") != "")
+        df.filter(~tx.is_blank_normalized(text_col))
+        .withColumn("cleaned_text", tx.normalize_text(text_col))
         .withColumn("_words", tx.words_in("cleaned_text", vocabulary))
     )
     if probabilities is None:
@@ -267,39 +267,37 @@ def classify_tweets(
     ).withColumn("_rule", rules.first_rule("cleaned_text", F.col("_words")))
 
     p = tuple(F.col("_p")[name] for name in "hon")
-    model_class = argmax_class(p)
-    rule = F.col("_rule")
-    final_class = (
-        F.when(rule == K.RULE_IDENTITY, 0).when(rule.isNotNull(), 1).otherwise(model_class)
+    rule, model_class, final_class = (F.col(c) for c in ("_rule", "model_class", "final_class"))
+    classed = scored.withColumn("model_class", argmax_class(p)).withColumn(
+        "final_class",
+        F.when(rule == K.RULE_IDENTITY, 0).when(rule.isNotNull(), 1).otherwise(model_class),
     )
     refined = final_class != model_class
-    model_probability = class_value(model_class, p)
-    confidence = F.when(
-        refined,
-        F.greatest(class_value(final_class, p), F.lit(K.REFINED_CONFIDENCE_FLOOR)),
-    ).otherwise(model_probability)
-    confidence = clamp(
-        F.when(F.isnan(confidence), 0.0).otherwise(confidence), 0.0, 1.0
+    floor = F.lit(K.REFINED_CONFIDENCE_FLOOR)
+    judged = classed.withColumn(
+        "_confidence",
+        F.when(refined, F.greatest(class_value(final_class, p), floor))
+        .otherwise(class_value(model_class, p)),
     )
+    confidence = F.when(F.isnan("_confidence"), 0.0).otherwise(F.col("_confidence"))
+    confidence = clamp(confidence, 0.0, 1.0)
     hate, offensive, neither = renormalised(p)
     names = [F.lit(K.CLASS_NAMES[c]) for c in K.CLASSES]
     ids = [F.lit(K.CLASS_IDS[c]) for c in K.CLASSES]
-    return scored.withColumns({
-        "model_class": model_class,
+    return judged.withColumns({
         "model_prediction": class_value(model_class, names),
-        "final_class": final_class,
         "prediction": class_value(final_class, names),
         "classification_id": class_value(final_class, ids),
         "toxicity": F.when(final_class < 2, "Toxic").otherwise("Non-Toxic"),
         "confidence": round_half_even(confidence, 6),
         "confidence_percentage": round_half_even(confidence * 100, 2),
-        "model_confidence": round_half_even(model_probability, 6),
+        "model_confidence": round_half_even(class_value(model_class, p), 6),
         "hate_score": round_half_even(hate, 6),
         "offensive_score": round_half_even(offensive, 6),
         "neither_score": round_half_even(neither, 6),
         "refinement_applied": refined,
         "classification_method": F.coalesce(rule, F.lit(method_name)),
-    }).drop("_words", "_logits", "_p", "_rule")
+    }).drop("_words", "_logits", "_p", "_rule", "_confidence")
 
 
 def tweet_history(classified: DataFrame, text_col: str = "text") -> DataFrame:
@@ -323,6 +321,17 @@ def tweet_history(classified: DataFrame, text_col: str = "text") -> DataFrame:
     })
 
 
+def settled(df: DataFrame, *names: str) -> DataFrame:
+    """Compute these columns at this point of the plan.
+
+    A filter on a computed column is otherwise pushed below it, with the whole
+    computation copied into the filter and run a second time. Use this where freshly
+    scored rows are filtered by their result; a stored table needs no such mark.
+    """
+    here = F.spark_partition_id() >= 0
+    return df.withColumns({name: F.when(here, F.col(name)) for name in names})
+
+
 def with_verdict(df: DataFrame, verdict: Column) -> DataFrame:
     """Unpack a policy's struct into columns, replacing columns of the same name."""
     staged = df.withColumn("_verdict", verdict)
@@ -337,7 +346,7 @@ def score_and_judge(
     from comity.operators.scoring import score_table
 
     scorer = scorer or LexiconScorer()
-    cleaned = df.withColumn(text_col, tx.clean_text(text_col)).filter(F.col(text_col) != "")
+    cleaned = df.filter(~tx.is_blank(text_col)).withColumn(text_col, tx.clean_text(text_col))
     if lang_col:
         cleaned = cleaned.withColumn("language", tx.resolve_language(text_col, lang_col))
     scored = score_table(cleaned, scorer, text_col)

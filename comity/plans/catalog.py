@@ -498,7 +498,7 @@ def tweet_history(spark, sf):
         "created_at": F.lit("2024-01-30 00:00:00").cast("timestamp_ntz"),
     })
     rows = sinks.history_rows(
-        verdicts.tweet_history(verdicts.classify_tweets(tweets)), "twitter"
+        verdicts.tweet_history(verdicts.classify_tweets(tweets)), "twitter", may_fail=False
     )
     labels = values.parse_label_map("labels_json")
     return rows.select(
@@ -653,13 +653,17 @@ def comment_listing(spark, sf):
 
 @query
 def toxic_comments(spark, sf):
-    rows = history.comments_by_verdict(inputs.scored_comments(spark, sf), "Toxic")
+    rows = history.comments_by_verdict(
+        verdicts.settled(inputs.scored_comments(spark, sf), "prediction"), "Toxic"
+    )
     return rows.select("video_id", "comment_id", "text", "confidence")
 
 
 @query
 def non_toxic_comments(spark, sf):
-    rows = history.comments_by_verdict(inputs.scored_comments(spark, sf), "Non-Toxic")
+    rows = history.comments_by_verdict(
+        verdicts.settled(inputs.scored_comments(spark, sf), "prediction"), "Non-Toxic"
+    )
     return rows.select("video_id", "comment_id", "text", "confidence")
 
 
@@ -836,6 +840,7 @@ def error_examples(spark, sf):
         "doc_id", F.col("toxic").alias("label"),
         (F.col("prediction") == "Toxic").cast("int").alias("prediction"), "confidence",
     )
+    judged = verdicts.settled(judged, "prediction", "confidence")
     return evaluate.error_examples(judged, "doc_id").select(
         "error_type", "rank", "doc_id", "confidence"
     )

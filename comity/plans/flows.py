@@ -26,7 +26,7 @@ def upload(
     )
     scored = verdicts.score_and_judge(comments, scorer)
     scores = score_columns((scorer or LexiconScorer()).labels)
-    sinks.append_history(sinks.history_rows(scored, "csv", scores, created_at), history_path)
+    sinks.append_history(sinks.history_rows(scored, "csv", scores, created_at, False), history_path)
     return reports.upload_summary(scored, scores)
 
 
@@ -101,4 +101,4 @@ def tweets_to_history(
 ) -> DataFrame:
     """Classify tweets (user_id, text) and shape them as history rows."""
     rows = verdicts.tweet_history(verdicts.classify_tweets(tweets, scorer))
-    return sinks.history_rows(rows, "twitter", None, created_at)
+    return sinks.history_rows(rows, "twitter", None, created_at, False)

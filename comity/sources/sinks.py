@@ -14,18 +14,21 @@ def history_rows(
     source: str,
     scores: dict[str, Column] | None = None,
     created_at: Column | None = None,
+    may_fail: bool = True,
 ) -> DataFrame:
     """Scored texts as prediction-history rows.
 
-    Rows whose scorer failed are not kept. Needs user_id, text, language, prediction and
-    confidence; labels come from ``scores`` or an existing ``labels_json``.
+    Rows whose scorer failed are not kept; a scorer that cannot fail saves the check.
+    Needs user_id, text, language, prediction and confidence; labels come from
+    ``scores`` or an existing ``labels_json``.
     """
     labels = scores_json(scores) if scores else F.col("labels_json")
     translated = "translated_text" if "translated_text" in scored.columns else "text"
     key = ["id"] if "id" in scored.columns else []
-    return scored.filter(
-        ~F.coalesce(F.col("prediction"), F.lit("Unknown")).isin(list(K.UNSAVED_PREDICTIONS))
-    ).select(
+    if may_fail:
+        verdict = F.coalesce(F.col("prediction"), F.lit("Unknown"))
+        scored = scored.filter(~verdict.isin(list(K.UNSAVED_PREDICTIONS)))
+    return scored.select(
         *key,
         "user_id",
         F.col("text").alias("input_text"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from comity.functions.text import strip
+from comity.functions.text import is_blank, strip
 
 _COMMENT = T.StructType([
     T.StructField("id", T.StringType()),
@@ -96,9 +96,8 @@ def typed_comments(comments: DataFrame, source: str = "youtube") -> DataFrame:
     """The analysis shape: trimmed, non-blank text with a ``comment_type``."""
     kind = F.when(F.col("is_reply"), "reply").otherwise("top_level")
     return (
-        comments.withColumn("text", strip("text"))
-        .filter(F.col("text") != "")
-        .withColumns({"source": F.lit(source), "comment_type": kind})
+        comments.filter(~is_blank("text"))
+        .withColumns({"text": strip("text"), "source": F.lit(source), "comment_type": kind})
         .drop("is_reply")
     )
 
