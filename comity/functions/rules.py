@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from comity import constants as K
-from comity.functions.text import SPACE, WORD, rule_text, words_in
+from comity.functions.text import SPACE, WORD, or_empty, rule_text, words_in
 
 THREAT_MARKERS = ("hurt", "kill", "die")
 INSULT_MARKERS = K.INSULT_ADJECTIVES + K.INSULT_NOUNS
@@ -113,7 +113,29 @@ def first_rule(text: Column | str, words: Column | None = None) -> Column:
     )
 
 
+# One of these occurs in every exclusion phrase.
+EXCLUSION_MARKERS = (
+    "allowed", "banned", "removed", "excluded", "live", "leave", "keep", "exclude",
+)
+
+
 def group_exclusion(text: Column | str) -> Column:
-    """A group reference together with a call to exclude it, on the reduced text."""
-    reduced = rule_text(text)
-    return reduced.rlike(EXCLUSION) & reduced.rlike(GROUP)
+    """A group reference together with a call to exclude it, on the reduced text.
+
+    Reducing a text never joins letters, so one without a marker cannot match and is
+    spared the reduction.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    def marked(lowered: Column) -> Column:
+        found = F.lit(False)
+        for marker in EXCLUSION_MARKERS:
+            found = found | lowered.contains(marker)
+        return found
+
+    def matches(reduced: Column) -> Column:
+        return reduced.rlike(EXCLUSION) & reduced.rlike(GROUP)
+
+    # exists() over one element binds its value, so that is computed once. when() rather
+    # than "&": the common parts of a conjunction are computed ahead of its first test.
+    candidate = F.exists(F.array(F.lower(or_empty(text))), marked)
+    return F.when(candidate, F.exists(F.array(rule_text(text)), matches)).otherwise(False)

@@ -83,12 +83,17 @@ def strip_retweet_words(c: Column | str) -> Column:
     return F.regexp_replace(_col(c), RETWEET_WORD, " ")
 
 
-def strip_escapes(c: Column | str) -> Column:
-    """Replace the two-character sequences ``\\n``, ``\\r``, ``\\t`` and the real characters."""
+def strip_escape_sequences(c: Column | str) -> Column:
+    """Replace the two-character sequences ``\\n``, ``\\r`` and ``\\t`` by blanks."""
     out = _col(c)
     for sequence in ("\\n", "\\r", "\\t"):
         out = F.replace(out, F.lit(sequence), F.lit(" "))
-    return F.translate(out, "\n\r\t", "   ")
+    return out
+
+
+def strip_escapes(c: Column | str) -> Column:
+    """The same for the sequences and for the real characters."""
+    return F.translate(strip_escape_sequences(c), "\n\r\t", "   ")
 
 
 def decode_entities(c: Column | str) -> Column:
@@ -127,7 +132,8 @@ def clean_tweet(
     out = strip_mentions(out)
     if strict_retweets:
         out = strip_retweet_words(out)
-    return collapse_ws(strip_escapes(out))
+    # Collapsing also takes care of the real line breaks and tabs.
+    return collapse_ws(strip_escape_sequences(out))
 
 
 def normalize_text(c: Column | str) -> Column:
@@ -165,10 +171,10 @@ def words_in(c: Column | str, vocabulary) -> Column:
     )
 
 
-def word_count(c: Column | str) -> Column:
-    """Number of white-space separated words."""
-    cleaned = clean_text(c)
-    return F.when(cleaned == "", 0).otherwise(F.size(F.split(cleaned, " ")))
+def has_words(c: Column | str, n: int) -> Column:
+    """At least ``n`` white-space separated words; reads no further than those."""
+    lead = rf"(?:{NOT_SPACE}++{SPACE}++){{{n - 1}}}" if n > 1 else ""
+    return or_empty(c).rlike(rf"(?U)\A{SPACE}*+{lead}{NOT_SPACE}")
 
 
 def preview(c: Column | str, length: int = 60, ellipsis: str = "...") -> Column:
@@ -190,4 +196,4 @@ def display_label(c: Column | str) -> Column:
 def resolve_language(text: Column | str, detected: Column | str) -> Column:
     """The detected language, or ``en`` for short texts and failed detection."""
     known = F.coalesce(_col(detected), F.lit("en"))
-    return F.when(word_count(text) < 4, F.lit("en")).otherwise(known)
+    return F.when(has_words(text, 4), known).otherwise(F.lit("en"))

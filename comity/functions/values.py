@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,37 +81,53 @@ def label_score(labels: Column, label: str) -> Column:
     return F.try_element_at(labels, F.lit(label)).try_cast("double")
 
 
-def canonical_labels(labels: Column) -> Column:
-    """Lower-case, trimmed keys with aliases resolved; the last of equal keys wins."""
-    def key(k: Column) -> Column:
-        out = F.lower(strip(k))
-        for alias, label in K.LABEL_ALIASES.items():
-            out = F.when(out == alias, label).otherwise(out)
-        return out
+def canonical_key(key: Column) -> Column:
+    """Lower-case, trimmed, with known aliases resolved."""
+    plain = F.lower(strip(key))
+    chain = F.when(key.isin(list(K.LABELS)), key)
+    for alias, label in K.LABEL_ALIASES.items():
+        chain = chain.when(plain == alias, label)
+    return chain.otherwise(plain)
 
-    return _rekey(labels, key, lambda v: v)
 
+def underscored_key(key: Column) -> Column:
+    """Lower-case, trimmed, with "-" and blanks turned to "_"."""
+    odd = F.translate(F.lower(strip(key)), "- ", "__")
+    return F.when(key.isin(list(K.LABELS)), key).otherwise(odd)
 
-def underscored_scores(labels: Column) -> Column:
-    """Keys with "-" and blanks turned to "_"; values as doubles, 0 when not numeric."""
-    def key(k: Column) -> Column:
-        return F.translate(F.lower(strip(k)), "- ", "__")
 
-    return _rekey(labels, key, lambda v: F.coalesce(v.try_cast("double"), F.lit(0.0)))
+def with_rekeyed_labels(
+    df: DataFrame, name: str, labels: Column, key: Callable[[Column], Column]
+) -> DataFrame:
+    """Add a map whose keys went through ``key``; of keys that then agree the last wins.
 
+    Built in steps, so that each step is computed once per row.
+    """
+    entries, keys = F.col("_entries"), F.col("_keys")
 
-def _rekey(labels: Column, key, value) -> Column:
-    entries = F.transform(
-        F.map_entries(labels),
-        lambda e: F.struct(key(e["key"]).alias("key"), value(e["value"]).alias("value")),
+    def is_last(_: Column, i: Column) -> Column:
+        later = F.slice(keys, i + 2, F.size(keys))
+        return ~F.array_contains(later, F.get(keys, i))
+
+    clash = F.size(F.array_distinct(keys)) < F.size(keys)
+    return (
+        df.withColumn("_entries", F.map_entries(labels))
+        .withColumn("_keys", F.transform(entries, lambda e: key(e["key"])))
+        .withColumn(
+            "_entries",
+            F.zip_with(keys, entries, lambda k, e: F.struct(k.alias("key"), e["value"].alias("value"))),
+        )
+        .withColumn("_entries", F.when(clash, F.filter(entries, is_last)).otherwise(entries))
+        .withColumn(name, F.map_from_entries(entries))
+        .drop("_entries", "_keys")
     )
-    keys = F.transform(entries, lambda e: e["key"])
 
-    def is_last(e: Column, i: Column) -> Column:
-        later = F.slice(keys, i + 2, F.size(keys))
-        return ~F.array_contains(later, e["key"])
 
-    return F.map_from_entries(F.filter(entries, is_last))
+def numeric_values(labels: Column) -> Column:
+    """All values of a map as doubles, 0 where not numeric."""
+    return F.transform(
+        F.map_values(labels), lambda v: F.coalesce(v.try_cast("double"), F.lit(0.0))
+    )
 
 
 def six_scores(labels: Column) -> dict[str, Column]:

@@ -168,43 +168,51 @@ def token_weights(
     """The strongest tokens of each text: (key, rank, token, weight).
 
     Negative weights count as 0 and the weights of a text add up to 1 before special
-    tokens are dropped. Ties keep text order. Everything happens inside the row.
+    tokens are dropped. Ties keep text order. Everything happens inside the row, and
+    only tokens that carry weight are sorted; the others fill up in text order.
     """
+    special = list(special_tokens)
+    positive = sorted(t for t, w in scorer.weights[label].items() if w > 0)
+    ignored = positive + special + [""]
+    words, heavy, kept = F.col("_words"), F.col("_heavy"), F.col("_kept")
+    # The first unweighted words lie within this many words from the start.
+    reach = F.size("_set_aside") + top
+    share = F.when(F.col("_total") > 0, F.col("_token.weight") / F.col("_total"))
     return (
-        df.select(key_col, tx.words(text_col).alias("_words"))
-        .withColumn(
-            "_tokens",
-            F.transform(
-                "_words",
-                lambda w, i: F.struct(
-                    (-F.greatest(scorer.weight_of(label, w), F.lit(0.0))).alias("order"),
-                    i.alias("at"),
-                    w.alias("token"),
-                ),
-            ),
+        df.select(
+            key_col,
+            F.split(F.lower(tx.or_empty(text_col)), tx.NON_WORD_RUN).alias("_words"),
         )
+        .withColumn("_set_aside", F.filter(words, lambda w: w.isin(ignored)))
+        .withColumns({
+            "_heavy": F.filter("_set_aside", lambda w: w.isin(positive)),
+            "_light": F.slice(
+                F.filter(F.slice(words, F.lit(1), reach), lambda w: ~w.isin(ignored)), 1, top
+            ),
+        })
+        .withColumns({
+            "_total": scorer.weight_sum(label, heavy),
+            "_kept": F.filter(heavy, lambda w: ~w.isin(special)) if special else heavy,
+        })
         .withColumn(
-            "_total", F.aggregate("_tokens", F.lit(0.0), lambda acc, t: acc - t["order"])
+            "_ranked",
+            F.array_sort(F.transform(kept, lambda w, i: F.struct(
+                (-scorer.weight_of(label, w)).alias("order"), i.alias("at"), w.alias("token"),
+            ))),
         )
-        .withColumn("_ranked", _strongest(F.col("_tokens"), special_tokens, top))
-        .select(key_col, "_total", F.posexplode("_ranked").alias("_pos", "_token"))
+        .withColumn("_tokens", F.slice(F.concat(
+            F.transform("_ranked", lambda t: F.struct(
+                t["token"].alias("token"), (-t["order"]).alias("weight"))),
+            F.transform("_light", lambda w: F.struct(
+                w.alias("token"), F.lit(0.0).alias("weight"))),
+        ), 1, top))
+        # The outer form: a plain explode adds a filter that repeats all of the above.
+        .select(key_col, "_total", F.posexplode_outer("_tokens").alias("_pos", "_token"))
+        .filter(F.col("_token").isNotNull())
         .select(
             key_col,
             (F.col("_pos") + 1).alias("rank"),
             F.col("_token.token").alias("token"),
-            round_half_even(
-                F.when(F.col("_total") > 0, -F.col("_token.order") / F.col("_total"))
-                .otherwise(-F.col("_token.order")),
-                6,
-            ).alias("weight"),
+            round_half_even(F.coalesce(share, F.lit(0.0)), 6).alias("weight"),
         )
     )
-
-
-def _strongest(tokens: Column, special_tokens: Sequence[str], top: int) -> Column:
-    """Sort only the weighted tokens; fill up with unweighted ones in text order."""
-    if special_tokens:
-        tokens = F.filter(tokens, lambda t: ~t["token"].isin(list(special_tokens)))
-    weighted = F.array_sort(F.filter(tokens, lambda t: t["order"] < 0))
-    rest = F.slice(F.filter(tokens, lambda t: t["order"] >= 0), 1, top)
-    return F.slice(F.concat(weighted, rest), 1, top)

@@ -180,8 +180,10 @@ def is_positive(spark, sf):
 
 @query
 def label_aliases(spark, sf):
-    labels = values.canonical_labels(values.parse_label_map("labels_json"))
-    rows = inputs.history(spark, sf).withColumn("labels", labels)
+    rows = values.with_rekeyed_labels(
+        inputs.history(spark, sf), "labels", values.parse_label_map("labels_json"),
+        values.canonical_key,
+    )
     scores = values.six_scores(F.col("labels"))
     return rows.select("id", *[c.alias(label) for label, c in scores.items()])
 
@@ -435,11 +437,16 @@ def exclusion_rule(spark, sf):
 @query
 def three_class_v1(spark, sf):
     """Over stored label maps, so that odd keys and string values take part."""
-    labels = values.underscored_scores(values.parse_label_map("labels_json"))
-    rows = inputs.history(spark, sf).withColumn("labels", labels)
-    scores = values.six_scores(F.col("labels"))
-    top = F.coalesce(F.array_max(F.map_values("labels")), F.lit(0.0))
-    policy = verdicts.three_class(scores, top)
+    rows = values.with_rekeyed_labels(
+        inputs.history(spark, sf), "labels", values.parse_label_map("labels_json"),
+        values.underscored_key,
+    ).select(
+        "id",
+        *[c.alias(f"{n}_score") for n, c in values.six_scores(F.col("labels")).items()],
+        F.array_max(values.numeric_values(F.col("labels"))).alias("top"),
+    )
+    top = F.coalesce("top", F.lit(0.0))
+    policy = verdicts.three_class(values.score_columns(), top)
     return verdicts.with_verdict(rows, policy).select(
         "id", "category", "classification_id", "confidence", "hate_speech",
         "offensive_language", "neither", "hate_score", "offensive_score", "neither_score",

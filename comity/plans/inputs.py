@@ -167,8 +167,13 @@ def video_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _events(events: DataFrame) -> DataFrame:
+    """Parse the properties once, ahead of everything that uses their number."""
+    return events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+
+
 def _k() -> Column:
-    return F.get_json_object("props", "$.k").cast("int")
+    return F.col("k")
 
 
 def _score_text(factor: int) -> Column:
@@ -215,7 +220,7 @@ def history_from_events(events: DataFrame) -> DataFrame:
         F.when(kind == "view", "text").when(kind == "click", "csv")
         .when(kind == "purchase", "api").when(kind == "signup", " Twitter ").otherwise("")
     )
-    return events.select(
+    return _events(events).select(
         F.col("event_id").alias("id"),
         "user_id",
         F.concat_ws(
@@ -242,7 +247,7 @@ def titled_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
         (_k() % 7).cast("string"), F.lit(', "other": 5}'),
     )
     kind = F.col("event_type")
-    return table(spark, sf_dir, "events").select(
+    return _events(table(spark, sf_dir, "events")).select(
         F.col("event_id").alias("id"),
         "user_id",
         F.when(kind == "view", "YouTube").otherwise("Text").alias("analysis_type"),

@@ -75,8 +75,11 @@ def flatten_threads(
     A single pass over the pages: every item unfolds into its own rows. ``fetched_only``
     takes replies only where the thread reports a positive reply count.
     """
-    items = pages.select(*keep, F.explode("items").alias("item"))
+    # Outer explodes: the plain form adds a filter that parses the page a second time.
     item = F.col("item")
+    items = pages.select(*keep, F.explode_outer("items").alias("item")).filter(
+        item.isNotNull()
+    )
     top = item["snippet"]["topLevelComment"]
     rows = F.array(_row(top, F.lit(None).cast("string"), False))
     if include_replies:
@@ -89,7 +92,7 @@ def flatten_threads(
         rows = F.concat(
             rows, F.transform(replies, lambda r: _row(r, r["snippet"]["parentId"], True))
         )
-    return items.select(*keep, F.inline(rows))
+    return items.select(*keep, F.inline_outer(rows))
 
 
 def typed_comments(comments: DataFrame, source: str = "youtube") -> DataFrame:
@@ -118,8 +121,8 @@ def video_info(df: DataFrame, json_col: str, id_col: str = "video_id") -> DataFr
 
     item = F.col("_item")
     return (
-        df.select(id_col, F.from_json(json_col, VIDEO_SCHEMA).alias("_video"))
-        .select(id_col, F.get("_video.items", 0).alias("_item"))
+        df.select(id_col, F.from_json(json_col, VIDEO_SCHEMA)["items"].alias("_items"))
+        .select(id_col, F.explode_outer(F.slice("_items", 1, 1)).alias("_item"))
         .filter(item.isNotNull())
         .select(
             F.col(id_col).alias("video_id"),
