@@ -881,6 +881,6 @@ def stream_history(spark, sf):
 
 @query
 def stream_daily(spark, sf):
-    events = _event_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    counts = streams.daily_counts(inputs.history_from_events(events), "user_id")
+    events = inputs.history_from_events(_event_stream(spark, sf))
+    counts = streams.daily_counts(events, "user_id")
     return _drain(spark, counts).withColumn("activity_date", _day("activity_date"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -53,12 +53,24 @@ def score_and_append(
     return append_stream(to_history(comments), path, checkpoint)
 
 
+def _as_instant(c: str) -> Column:
+    """Wall-clock time as the instant with that UTC time, whatever the session's zone.
+
+    Watermarks need instants, and day windows are aligned to UTC.
+    """
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col(c)))
+
+
 def daily_counts(
     history: DataFrame, *by: str, late: str = "1 day", time_col: str = "created_at"
 ) -> DataFrame:
     """Rows and verdicts per day. A day is final once the watermark has passed its end;
     rows that come later than ``late`` are dropped."""
+    if isinstance(history.schema[time_col].dataType, T.TimestampNTZType):
+        history = history.withColumn(time_col, _as_instant(time_col))
     verdict = F.lower("prediction")
+    day = F.date_from_unix_date(F.floor(F.unix_seconds("window.start") / 86400).cast("int"))
     return (
         history.withWatermark(time_col, late)
         .groupBy(F.window(time_col, "1 day"), *by)
@@ -68,7 +80,7 @@ def daily_counts(
             F.count_if(verdict.isin(list(NON_TOXIC))).alias("non_toxic"),
         )
         .select(
-            F.to_date("window.start").alias("activity_date"), *by,
+            day.alias("activity_date"), *by,
             "total", "toxic", "non_toxic",
         )
     )
