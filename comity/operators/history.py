@@ -70,11 +70,13 @@ def number_rows(
     df: DataFrame,
     group: Sequence[str],
     position: str,
-    block_size: int = 1_000_000,
+    block_size: int = 200_000,
     name: str = "row_number",
 ) -> DataFrame:
     """Number the rows of each group from 1, in order of a unique integer position.
 
+    Positions should be dense, such as a comment's place in its thread.
+
     A plain row_number would sort a whole group in one task. Here positions are cut
     into blocks; blocks are counted, a running sum over the block counts gives each
     block its offset, and rows are ranked inside their block only. Rows and block
@@ -98,7 +100,7 @@ def number_rows(
     )
 
 
-def numbered_comments(scored: DataFrame, block_size: int = 1_000_000) -> DataFrame:
+def numbered_comments(scored: DataFrame, block_size: int = 200_000) -> DataFrame:
     """The comment listing: a number per video, null-free fields."""
     filled = scored.fillna("").fillna(0.0)
     return number_rows(filled, ["video_id"], "position", block_size)

@@ -35,6 +35,8 @@ class LexiconScorer:
     over what is left. No join and no shuffle: the lexicon is part of the plan.
     """
 
+    ignores_spacing = True
+
     def __init__(
         self,
         weights: Mapping[str, Mapping[str, float]] = K.LEXICON,

@@ -11,7 +11,7 @@ from comity import constants as K
 from comity.functions import rules
 from comity.functions import text as tx
 from comity.functions.values import clamp, round_half_even, score_columns
-from comity.operators.scoring import LexiconScorer
+from comity.operators.scoring import LexiconScorer, score_table
 
 Scores = Mapping[str, Column]
 
@@ -340,14 +340,27 @@ def with_verdict(df: DataFrame, verdict: Column) -> DataFrame:
 
 
 def score_and_judge(
-    df: DataFrame, scorer=None, text_col: str = "text", lang_col: str | None = None
+    df: DataFrame,
+    scorer=None,
+    text_col: str = "text",
+    lang_col: str | None = None,
+    translated_col: str | None = None,
 ) -> DataFrame:
-    """The bulk path: clean, drop blanks, score six labels, apply the any-label policy."""
-    from comity.operators.scoring import score_table
+    """The bulk path: drop blanks, clean, score the labels, apply the any-label policy.
 
+    With ``translated_col`` the translation is scored where there is one. A scorer that
+    does not care about spacing reads the text as it came, so a plan that drops the
+    text never cleans it.
+    """
     scorer = scorer or LexiconScorer()
-    cleaned = df.filter(~tx.is_blank(text_col)).withColumn(text_col, tx.clean_text(text_col))
+    rows = df.filter(~tx.is_blank(text_col))
     if lang_col:
-        cleaned = cleaned.withColumn("language", tx.resolve_language(text_col, lang_col))
-    scored = score_table(cleaned, scorer, text_col)
-    return with_verdict(scored, any_label(score_columns(scorer.labels)))
+        rows = rows.withColumn("language", tx.resolve_language(text_col, lang_col))
+    cleaned = tx.clean_text(text_col)
+    source = F.col(text_col) if getattr(scorer, "ignores_spacing", False) else cleaned
+    if translated_col:
+        translated = F.nullif(tx.clean_text(translated_col), F.lit(""))
+        source = F.coalesce(translated, source)
+    scored = score_table(rows.withColumn("_scored_text", source), scorer, "_scored_text")
+    judged = with_verdict(scored, any_label(score_columns(scorer.labels)))
+    return judged.withColumn(text_col, cleaned).drop("_scored_text")

@@ -884,3 +884,27 @@ def stream_daily(spark, sf):
     events = inputs.history_from_events(_event_stream(spark, sf))
     counts = streams.daily_counts(events, "user_id")
     return _drain(spark, counts).withColumn("activity_date", _day("activity_date"))
+
+
+@query
+def stream_scores(spark, sf):
+    """Landed comments, scored and judged on the way into the history table."""
+    schema = inputs.table(spark, sf, "documents").schema
+    comments = streams.landed_stream(spark, sf, schema, "documents.parquet")
+
+    def to_history(rows: DataFrame) -> DataFrame:
+        judged = verdicts.score_and_judge(rows, lang_col="lang").withColumn(
+            "user_id", F.col("doc_id")
+        )
+        stamp = F.lit("2024-01-30 00:00:00").cast("timestamp_ntz")
+        return sinks.history_rows(judged, "text", values.score_columns(), stamp, False)
+
+    path = new_path(spark, "stream")
+    streams.score_and_append(
+        comments, to_history, f"{path}/rows", f"{path}/checkpoint"
+    ).awaitTermination()
+    toxic = values.label_score(values.parse_label_map("labels_json"), "toxic")
+    return spark.read.parquet(f"{path}/rows").select(
+        "user_id", "input_text", "language", "prediction", "confidence",
+        toxic.alias("toxic"),
+    )

@@ -537,7 +537,7 @@ O["class_distribution"] = (
     f"FROM c LEFT JOIN labels l ON {TRUTH} = class GROUP BY class"
 )
 O["class_weights"] = (
-    f"WITH d AS ({O['class_distribution'].replace('WITH c', 'WITH c', 1)}) SELECT class, rows, "
+    f"WITH d AS ({O['class_distribution']}) SELECT class, rows, "
     "round_even((SELECT count(*) FROM labels)::DOUBLE / (4 * greatest(rows, 1)), 6) AS weight "
     "FROM d"
 )
@@ -583,11 +583,10 @@ O["verdict_priority"] = (
     f"WITH {scores()}, {priority()} SELECT doc_id, prediction, confidence, hate_category, "
     "hate_speech_score, offensive_score FROM prioritised"
 )
-_RED = "reduced"
 O["exclusion_rule"] = (
     f"WITH {PHRASED}, r AS (SELECT *, {reduce_text('text')} AS reduced FROM phrased), f AS "
-    f"(SELECT *, {found(_RED, alternation(K.GROUP_PHRASES))} AND "
-    f"{found(_RED, alternation(K.EXCLUSION_PHRASES))} AS fired FROM r), {scores('f')}, "
+    f"(SELECT *, {found('reduced', alternation(K.GROUP_PHRASES))} AND "
+    f"{found('reduced', alternation(K.EXCLUSION_PHRASES))} AS fired FROM r), {scores('f')}, "
     f"{priority('(CASE WHEN fired THEN greatest(identity_hate_score, 0.95) ELSE identity_hate_score END)')} "
     "SELECT doc_id, fired, prediction, confidence, hate_category, identity_score AS "
     "identity_hate_score FROM prioritised"
@@ -651,7 +650,7 @@ O["tweet_history"] = (
     "'twitter' AS source, length(text)::INTEGER AS chars, round_even(ph, 6) AS hate, "
     "round_even(po, 6) AS offensive, round_even(pn, 6) AS neither FROM classified"
 )
-_TW = cases("tok", {}, "").replace("ELSE ''", "") if False else (
+_TW = (
     "CASE tok " + " ".join(f"WHEN {q(t)} THEN {w}" for t, w in K.LEXICON["toxic"].items())
     + " ELSE 0.0 END"
 )
@@ -880,3 +879,8 @@ O["stream_daily"] = (
     "WHERE created_at::DATE + INTERVAL 1 DAY <= (SELECT max(created_at) FROM history) - "
     "INTERVAL 1 DAY GROUP BY created_at::DATE, user_id"
 )
+O["stream_scores"] = (
+    f"WITH {USABLE}, {scores('usable')}, {JUDGED} SELECT doc_id AS user_id, text AS input_text, "
+    "CASE WHEN len(string_split(text, ' ')) < 4 THEN 'en' ELSE coalesce(lang, 'en') END AS "
+    "language, prediction, confidence, toxic_score AS toxic FROM judged"
+)

@@ -137,3 +137,14 @@ def test_token_weights_against_brute_force(spark):
     kept = [(w, table.get(w, 0.0) / total) for w in words if w not in ("you", "trash")]
     want = sorted(kept, key=lambda x: -x[1])[:25]
     assert rows == [(i + 1, w, round(x, 6)) for i, (w, x) in enumerate(want)]
+
+
+def test_bulk_path_scores_translations(spark):
+    rows = [(1, " du  idiot ", "de", None), (2, "tu es bête toi", "fr", "you moron"),
+            (3, "  ", "en", "moron"), (4, "all is well here", None, "")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, lang string, en string")
+    got = verdicts.score_and_judge(df, lang_col="lang", translated_col="en").orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["text"], r["language"], r["prediction"]) for r in got] == [
+        (1, "du idiot", "en", "Toxic"), (2, "tu es bête toi", "fr", "Toxic"),
+        (4, "all is well here", "en", "Non-Toxic")]
+    assert "_scored_text" not in got[0].asDict()
