@@ -14,6 +14,7 @@ from comity.functions import text as tx
 from comity.functions.values import score_columns
 from comity.operators import verdicts
 from comity.operators.scoring import LexiconScorer, score_table
+from comity.sources.readers import spread
 
 PHRASES = {
     "src0": "You are stupid.",
@@ -45,7 +46,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return spread(
+        table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    )
 
 
 def phrased_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,6 +72,16 @@ def read_comments_csv_any_encoding(
     return read_comments_csv(spark, path, schema, encoding="ISO-8859-1")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give an input with fewer splits than cores one task per core.
+
+    Scoring and cleaning cost far more than moving a few splits. An input that already
+    fills the cluster is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def pick_text_column(columns: Sequence[str]) -> str:
     """First known text column, case-sensitive; otherwise the first column."""
     return next((c for c in K.TEXT_COLUMNS if c in columns), columns[0])
