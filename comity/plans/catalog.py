@@ -294,7 +294,7 @@ def validate_text(spark, sf):
 
 @query
 def dedupe_keep_first(spark, sf):
-    docs = inputs.table(spark, sf, "documents").select(
+    docs = readers.spread(inputs.table(spark, sf, "documents")).select(
         "doc_id", "n_chars", tx.clean_text("text").alias("text")
     )
     return dataset.keep_first(docs.filter(F.col("text") != ""), "text", "doc_id")

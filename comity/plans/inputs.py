@@ -98,7 +98,7 @@ def video_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as comment rows: the first turn is the top comment."""
     first = F.concat_ws("-", F.col("conv_id"), F.lit(0))
     phrase = F.get(F.array(*[F.lit(p) for p in PHRASES.values()]), F.col("turn").cast("int"))
-    return table(spark, sf_dir, "conversations").select(
+    return spread(table(spark, sf_dir, "conversations")).select(
         F.col("conv_id").alias("user_id"),
         F.col("conv_id").cast("string").alias("video_id"),
         F.col("turn").alias("position"),
@@ -240,7 +240,7 @@ def history_from_events(events: DataFrame) -> DataFrame:
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history_from_events(table(spark, sf_dir, "events"))
+    return history_from_events(spread(table(spark, sf_dir, "events")))
 
 
 def titled_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
