@@ -82,25 +82,29 @@ class LexiconScorer:
 
 
 class ModelScorer:
-    """Fitted Spark ML pipelines, one per label, each with a ``probability`` vector."""
+    """Fitted binary Spark ML models, one per label, over one shared feature pipeline.
 
-    def __init__(self, models: Mapping[str, object]):
-        self.models = models
+    The text is tokenized and hashed once, whatever the number of labels.
+    """
+
+    def __init__(self, features, models: Mapping[str, object], text_col: str = "text"):
+        self.features, self.models, self.text_col = features, models, text_col
         self.labels = tuple(models)
 
     def raw_scores(self, df: DataFrame, text_col: str = "text") -> DataFrame:
         from pyspark.ml.functions import vector_to_array
 
-        out, added = df.withColumn("_model_text", tx.or_empty(text_col)), ["_model_text"]
+        kept = df.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+        out = self.features.transform(
+            kept.select("_row", tx.or_empty(text_col).alias(self.text_col))
+        ).select("_row", "features")
+        fields = []
         for label, model in self.models.items():
-            before = set(out.columns)
+            model = model.copy()
+            model.setPredictionCol("").setRawPredictionCol("").setProbabilityCol(f"_p_{label}")
             out = model.transform(out)
-            out = out.withColumn(f"_p_{label}", vector_to_array("probability")[1])
-            scratch = set(out.columns) - before - {f"_p_{label}"}
-            out = out.drop(*scratch)
-            added.append(f"_p_{label}")
-        fields = [F.col(f"_p_{label}").alias(label) for label in self.labels]
-        return out.withColumn(RAW, F.struct(*fields)).drop(*added)
+            fields.append(vector_to_array(f"_p_{label}")[1].alias(label))
+        return out.select("_row.*", F.struct(*fields).alias(RAW))
 
 
 class PandasScorer:

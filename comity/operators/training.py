@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from comity import constants as K
 from comity.functions.text import NON_WORD_RUN
 from comity.operators import dataset, evaluate
+from comity.operators.scoring import ModelScorer
 
 
 def features(text_col: str, buckets: int = 1 << 18) -> list:
@@ -80,15 +81,23 @@ def train_label_models(
     labels: Sequence[str],
     max_iter: int = 30,
     buckets: int = 1 << 18,
-) -> dict[str, PipelineModel]:
-    """One weighted binary model per 0/1 label column, for ``ModelScorer``."""
+) -> ModelScorer:
+    """A scorer with one weighted binary model per 0/1 label column.
+
+    Features are built once and kept for all labels.
+    """
     prepare = Pipeline(stages=features(text_col, buckets)).fit(train)
-    models = {}
-    for label in labels:
-        weighted = dataset.with_class_weight(train, label, (0, 1))
-        ready = prepare.transform(weighted).select(
-            F.col(label).cast("double").alias("label"), "weight", "features"
-        )
-        model = LogisticRegression(weightCol="weight", maxIter=max_iter).fit(ready)
-        models[label] = PipelineModel(stages=prepare.stages + [model])
-    return models
+    prepared = prepare.transform(train).select("features", *labels).persist()
+    try:
+        models = {}
+        for label in labels:
+            weighted = dataset.with_class_weight(prepared, label, (0, 1))
+            ready = weighted.select(
+                F.col(label).cast("double").alias("label"), "weight", "features"
+            )
+            models[label] = LogisticRegression(
+                weightCol="weight", maxIter=max_iter
+            ).fit(ready)
+    finally:
+        prepared.unpersist()
+    return ModelScorer(prepare, models, text_col)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from comity import constants as K
 from comity.functions.values import scores_json
+from comity.workspace import new_path
 
 
 def history_rows(
@@ -134,8 +135,47 @@ def erase(history: DataFrame, requests: DataFrame, keys: list[str]) -> DataFrame
 def erase_to(
     spark: SparkSession, path: str, out_path: str, requests: DataFrame, keys: list[str]
 ) -> None:
-    """Write the surviving history as a new table; the caller then switches to it."""
+    """Write the surviving history as a new table; the caller then switches to it.
+
+    For requests that touch most days. ``erase_days`` rewrites only the days it must.
+    """
     survivors = erase(spark.read.parquet(path), requests, keys)
     survivors.hint("rebalance", "created_date").write.mode("overwrite").partitionBy(
         "created_date"
     ).parquet(out_path)
+
+
+def erase_days(
+    spark: SparkSession, path: str, requests: DataFrame, keys: list[str]
+) -> None:
+    """Erase in place, rewriting only the day partitions that hold a requested row.
+
+    The survivors of those days are written to the shared folder first, so the rewrite
+    never reads what it replaces, and a run that was cut short can simply be repeated.
+    Only the names of touched days come to the driver.
+    """
+    history = spark.read.parquet(path)
+    asked = requests.select(*keys).distinct()
+    touched = _days(history.join(asked, keys, "left_semi"))
+    if not touched:
+        return
+    staged = new_path(spark, "erase")
+    erase(history.filter(F.col("created_date").isin(touched)), asked, keys).write.parquet(staged)
+
+    survivors = spark.read.schema(history.schema).parquet(staged)
+    (
+        survivors.hint("rebalance", "created_date")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("created_date")
+        .parquet(path)
+    )
+    # A day without survivors is not part of the rewrite; its partition is removed.
+    for day in set(touched) - set(_days(survivors)):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/created_date={day}")
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        folder.getFileSystem(conf).delete(folder, True)
+
+
+def _days(rows: DataFrame) -> list:
+    return [r[0] for r in rows.select("created_date").distinct().collect()]

@@ -151,6 +151,25 @@ def test_erasure_is_limited_to_the_owner(spark, tmp_path):
     assert [(r["id"], r["user_id"]) for r in gone.collect()] == [(1, 2)]
 
 
+def test_erasure_in_place_rewrites_only_touched_days(spark, tmp_path):
+    rows = [(1, 1, "a", "Toxic", "2024-01-01"), (2, 2, "b", "Toxic", "2024-01-01"),
+            (3, 1, "c", "Toxic", "2024-01-02"), (4, 2, "d", "Toxic", "2024-01-03")]
+    path = str(tmp_path / "h")
+    sinks.append_history(sinks.history_rows(history_frame(spark, rows), "text"), path)
+
+    def files(day):
+        return {f.name for f in (tmp_path / "h" / f"created_date={day}").glob("*.parquet")}
+
+    untouched = files("2024-01-03")
+    user = spark.createDataFrame([(1,)], "user_id long")
+    for _ in range(2):
+        sinks.erase_days(spark, path, user, ["user_id"])
+        left = spark.read.parquet(path).collect()
+        assert {(r["id"], r["user_id"], str(r["created_date"])) for r in left} == {
+            (2, 2, "2024-01-01"), (4, 2, "2024-01-03")}
+    assert files("2024-01-03") == untouched and not files("2024-01-02")
+
+
 def test_validators(spark):
     good = spark.createDataFrame([("a", 0, 1, 0, 1)], "text string, " + ", ".join(
         f"{c} int" for c in K.TRAINING_LABELS))

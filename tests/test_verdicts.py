@@ -119,12 +119,14 @@ def test_pandas_scorer_skips_blanks(spark):
 def test_model_scorer(spark):
     from comity.operators.training import train_label_models
 
-    rows = [(i, t, y) for i, (t, y) in enumerate([("bad awful word", 1), ("nice kind word", 0)] * 10)]
-    df = spark.createDataFrame(rows, "doc_id int, text string, toxic int")
-    models = train_label_models(df, "text", ["toxic"], max_iter=5, buckets=256)
-    scored = score_table(df, ModelScorer(models)).orderBy("doc_id").collect()
-    assert scored[0]["toxic_flagged"] == 1 and scored[1]["toxic_flagged"] == 0
-    assert "words" not in scored[0].asDict()
+    rows = [(i, t, y, 1 - y) for i, (t, y) in enumerate([("bad awful word", 1), ("nice kind word", 0)] * 10)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, toxic int, calm int")
+    scorer = train_label_models(df, "text", ["toxic", "calm"], max_iter=5, buckets=256)
+    assert isinstance(scorer, ModelScorer)
+    scored = score_table(df.drop("toxic", "calm"), scorer).orderBy("doc_id").collect()
+    assert [(r["toxic_flagged"], r["calm_flagged"]) for r in scored[:2]] == [(1, 0), (0, 1)]
+    assert set(scored[0].asDict()) == {
+        "doc_id", "text", "toxic_score", "toxic_flagged", "calm_score", "calm_flagged"}
 
 
 def test_token_weights_against_brute_force(spark):
