@@ -76,7 +76,8 @@ def stratified_split(
     table, and only the one or two prefixes that hold a cut are ranked row by row. The
     full table is then labelled by comparing its hash with two cut values per class,
     without any shuffle. The cut table has one row per listed class, which bounds the
-    broadcast.
+    broadcast. The input is read three times, so it should be a stored table rather
+    than an expensive plan.
     """
     order = split_order(key_col, seed)
     keys = df.filter(F.col(label_col).isin(list(classes))).select(

@@ -16,7 +16,7 @@ from comity.operators import (
     dataset, evaluate, history, reports, training, validate, verdicts,
 )
 from comity.operators.scoring import LexiconScorer, PandasScorer, score_table, token_weights
-from comity.plans import inputs
+from comity.plans import flows, inputs
 from comity.sources import readers, sinks, threads
 from comity.streaming import flows as streams
 from comity.workspace import new_path
@@ -528,11 +528,7 @@ QUERIES["token_weights"] = QUERIES.pop("token_weights_query")
 
 @query
 def train_classifier(spark, sf):
-    split = dataset.stratified_split(
-        dataset.keep_first(
-            dataset.clean_labelled(inputs.training_rows(spark, sf)), "tweet", "row_key"
-        )
-    )
+    split = flows.prepare_dataset(inputs.training_rows(spark, sf))
     path = new_path(spark, "split")
     split.write.parquet(path)
     stored = spark.read.parquet(path)
