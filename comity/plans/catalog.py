@@ -355,23 +355,29 @@ def lexicon_scores(spark, sf):
     )
 
 
-def load_pattern_counter():
-    """A user scorer for the demonstration: occurrences of a pattern, squashed."""
+def pattern_counter() -> Callable:
+    """A user scorer for the demonstration: occurrences of a pattern, squashed.
+
+    The loader is an inner function, so it travels to the workers by value.
+    """
     patterns = {
         "toxic": "idiot|moron|stupid", "severe_toxic": "scum", "obscene": "trash",
         "threat": "threat", "insult": "loser|clown", "identity_hate": "race",
     }
 
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        counts = {label: texts.str.count(p) for label, p in patterns.items()}
-        return pd.DataFrame({c: 1 / (1 + np.exp(1.0 - n)) for c, n in counts.items()})
+    def load():
+        def predict(texts: pd.Series) -> pd.DataFrame:
+            counts = {label: texts.str.count(p) for label, p in patterns.items()}
+            return pd.DataFrame({c: 1 / (1 + np.exp(1.0 - n)) for c, n in counts.items()})
+
+        return predict
 
-    return predict
+    return load
 
 
 @query
 def bulk_score(spark, sf):
-    scored = score_table(inputs.documents(spark, sf), PandasScorer(load_pattern_counter))
+    scored = score_table(inputs.documents(spark, sf), PandasScorer(pattern_counter()))
     return scored.select("doc_id", *SCORE_COLUMNS, *FLAG_COLUMNS)
 
 
