@@ -39,3 +39,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """The rows dealt evenly over the session's shuffle partitions."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 4 MB, for long texts; a limit the user has set stays."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(setting) == "67108864b":  # Spark's own default
+        spark.conf.set(setting, "4m")

@@ -15,14 +15,15 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-BLOCK_BYTES = 16 << 20
+from comity.llm.common import bounded_batches
+
+BLOCK_BYTES = 8 << 20
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.Table]:
@@ -94,26 +95,38 @@ class Split:
 
 
 def _dealt(words: pa.Array, parts: int) -> np.ndarray:
-    """The part of each word, by a hash that is the same everywhere."""
-    values = words.to_numpy(zero_copy_only=False)
-    return (pd.util.hash_array(values, categorize=False) % np.uint64(parts)).astype(np.int32)
+    """The part of each word, by a hash of its bytes that is the same everywhere."""
+    _, offsets, data = words.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[words.offset:words.offset + len(words) + 1]
+    data = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]].astype(np.uint64)
+    offsets = offsets - offsets[0]
+    lengths = np.diff(offsets)
+    place = (np.arange(len(data)) - np.repeat(offsets[:-1], lengths)).astype(np.uint64)
+    data = (data + np.uint64(1) + (place << np.uint64(8))) * np.uint64(0x9E3779B97F4A7C15)
+    data ^= data >> np.uint64(29)
+    data *= np.uint64(0xBF58476D1CE4E5B9)
+    total = np.add.reduceat(data, offsets[:-1])
+    total ^= total >> np.uint64(32)
+    return (total % np.uint64(parts)).astype(np.int32)
 
 
 def _coded_block(block: pa.Table, column: str, parts: int):
-    """Name, split, codes, and the distinct words sorted by part, with those parts.
+    """Name, split, codes, the distinct words, and their parts.
 
-    Codes follow the sorted words. The name is a digest of the block's texts.
+    Words and codes go by falling count, so that codes press well; the name is a digest of
+    the block's texts.
     """
     split = Split(block.column(column))
     codes, words = split.coded()
-    part = _dealt(words, parts)
-    order = np.argsort(part, kind="stable")
+    order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
     rank = np.empty(len(order), np.int32)
     rank[order] = np.arange(len(order), dtype=np.int32)
+    words = words.take(pa.array(order))
     name = hashlib.blake2b(digest_size=16)
     name.update(split.data)
     name.update(split.offsets)
-    return name.digest(), split, rank[codes], words.take(pa.array(order)), part[order]
+    part = _dealt(words, parts) if len(words) else np.empty(0, np.int32)
+    return name.digest(), split, rank[codes], words, part
 
 
 def map_words(
@@ -140,42 +153,42 @@ def map_words(
     """
     spark = docs.sparkSession
     parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounded_batches(spark)
     source = docs.select(*keep, text)
 
     def dictionaries(batches):
         for block in blocks(batches, text):
             name, _, _, words, part = _coded_block(block, text, parts)
+            order = np.argsort(part, kind="stable")
+            part, words = part[order], words.take(pa.array(order))
             cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
-            offsets = pa.array(np.append(cuts[:-1], len(words)) if len(words) else [0], pa.int32())
-            lists = pa.ListArray.from_arrays(offsets, words)
-            where = part[cuts[:-1]] if len(words) else np.empty(0, np.int32)
+            lists = [_pressed_words(words[a:b]) for a, b in zip(cuts, cuts[1:])]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * len(where), pa.binary()), pa.array(where, pa.int32()), lists],
+                [pa.array([name] * len(lists), pa.binary()),
+                 pa.array(part[cuts[:-1]], pa.int32()), pa.array(lists, pa.binary())],
                 ["block", "part", "words"],
             )
 
     def valued(group: pa.Table) -> pa.Table:
-        lists = group.column("words").combine_chunks()
-        coded = lists.flatten().dictionary_encode()
-        if isinstance(coded, pa.ChunkedArray):
-            coded = coded.combine_chunks()
+        lists = [_opened_words(words) for words in group.column("words")]
+        coded = pa.concat_arrays(lists).dictionary_encode()
         values = pa.array(per_word(coded.dictionary.to_pylist()), pa.list_(pa.int32()))
         values = values.take(coded.indices)
         sizes = pc.list_value_length(values)
-        bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
-        ends = np.concatenate([[0], np.cumsum(sizes.to_numpy())])
-        flat, sizes = values.flatten(), sizes.cast(pa.int32())
+        bounds = np.concatenate([[0], np.cumsum([len(words) for words in lists])])
+        ends = np.concatenate([[0], np.cumsum(sizes.to_numpy())])[bounds]
+        flat = values.flatten().to_numpy()
         return pa.Table.from_arrays(
             [group.column("block"), group.column("part"),
-             pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), sizes),
-             pa.ListArray.from_arrays(pa.array(ends[bounds], pa.int32()), flat)],
+             pa.array([_pressed(sizes.to_numpy()[a:b]) for a, b in zip(bounds, bounds[1:])]),
+             pa.array([_pressed(flat[a:b]) for a, b in zip(ends, ends[1:])])],
             ["block", "part", "sizes", "flat"],
         )
 
     def orders(batches):
         for block in blocks(batches, text):
-            name, split, codes, _, _ = _coded_block(block, text, parts)
-            arrays = {"block": name, "codes": _pressed(codes), "counts": _pressed(split.counts),
+            name, split, codes, _, part = _coded_block(block, text, parts)
+            arrays = {"block": name, "codes": _pressed(codes), "parts": _pressed(part), "counts": _pressed(split.counts.astype(np.int32)),
                       "gaps": b"", "spans": b"", "lengths": b""}
             if with_gaps:
                 # Continuation bytes are not characters: count the others.
@@ -201,12 +214,12 @@ def map_words(
         right = right.sort_by("part")
         part = right.column("part").to_numpy()
         right = right.take(pa.array(np.flatnonzero(np.diff(part, prepend=-1))))
-        sizes = pa.concat_arrays([c.flatten() for c in right.column("sizes").chunks] or
-                                 [pa.array([], pa.int32())])
-        flat = pa.concat_arrays([c.flatten() for c in right.column("flat").chunks] or
-                                [pa.array([], pa.int32())])
-        ends = np.concatenate([[0], np.cumsum(sizes.to_numpy())])
-        table = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+        sizes = [_opened(x) for x in right.column("sizes")]
+        flat = [_opened(x) for x in right.column("flat")]
+        none = np.empty(0, np.int32)
+        ends = np.concatenate([[0], np.cumsum(np.concatenate([none, *sizes]))])
+        table = pa.ListArray.from_arrays(
+            pa.array(ends, pa.int32()), pa.array(np.concatenate([none, *flat])))
         made = []
         for row in left.to_batches():
             for i in range(row.num_rows):
@@ -214,44 +227,61 @@ def map_words(
         return pa.concat_tables(made).cast(arrow_schema)
 
     def _applied(row: pa.RecordBatch, table: pa.ListArray) -> pa.Table:
-        codes = _opened(row.column("codes")[0], np.int32)
-        if len(codes) and codes.max() >= len(table):
+        part = _opened(row.column("parts")[0])
+        if len(part) != len(table):
             raise ValueError("the documents changed between two readings of them")
-        given = {"values": table.take(pa.array(codes)),
-                 "counts": _opened(row.column("counts")[0], np.int64)}
+        place = np.empty(len(part), np.int32)
+        place[np.argsort(part, kind="stable")] = np.arange(len(part), dtype=np.int32)
+        given = {"values": table.take(pa.array(place[_opened(row.column("codes")[0])])),
+                 "counts": _opened(row.column("counts")[0]).astype(np.int64)}
         if with_gaps:
-            gaps = _opened(row.column("gaps")[0], np.int32).astype(np.int64)
-            spans = _opened(row.column("spans")[0], np.int32)
+            gaps = _opened(row.column("gaps")[0]).astype(np.int64)
+            spans = _opened(row.column("spans")[0])
             total = np.cumsum(gaps + spans)
             bounds = np.concatenate([[0], np.cumsum(given["counts"])])
             base = np.concatenate([[0], total])[bounds[:-1]]
             given["ends"] = total - np.repeat(base, given["counts"])
             given["starts"] = given["ends"] - spans
-            given["lengths"] = _opened(row.column("lengths")[0], np.int32)
+            given["lengths"] = _opened(row.column("lengths")[0])
         given |= {name: row.column(f"k_{name}").flatten() for name in keep}
         return per_block(given)
 
     arrow_schema = to_arrow_schema(schema)
     by_word = source.mapInArrow(
-        dictionaries, "block binary, part int, words array<string>"
+        dictionaries, "block binary, part int, words binary"
     ).groupBy("part").applyInArrow(
-        valued, "block binary, part int, sizes array<int>, flat array<int>"
+        valued, "block binary, part int, sizes binary, flat binary"
     )
     kept = [T.StructField(f"k_{f.name}", T.ArrayType(f.dataType)) for f in source.schema
             if f.name in keep]
     order_schema = T.StructType([
         *[T.StructField(c, T.BinaryType())
-          for c in ("block", "codes", "counts", "gaps", "spans", "lengths")], *kept])
+          for c in ("block", "codes", "parts", "counts", "gaps", "spans", "lengths")], *kept])
     in_order = source.mapInArrow(orders, order_schema)
     return in_order.groupBy("block").cogroup(by_word.groupBy("block")).applyInArrow(joined, schema)
 
 
 def _pressed(values: np.ndarray) -> bytes:
-    raw = np.ascontiguousarray(values).tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+    """int32 values, the four bytes of all of them apart, compressed."""
+    planes = np.ascontiguousarray(values, "<i4").view(np.uint8).reshape(-1, 4).T
+    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
-def _opened(data: pa.Scalar, kind) -> np.ndarray:
+def _opened(data: pa.Scalar) -> np.ndarray:
     data = data.as_py()
     size = int.from_bytes(data[:8], "little")
-    return np.frombuffer(pa.decompress(data[8:], size, "zstd", asbytes=True), kind)
+    planes = pa.decompress(data[8:], 4 * size, "zstd", asbytes=True)
+    return np.ascontiguousarray(
+        np.frombuffer(planes, np.uint8).reshape(4, size).T).view("<i4").reshape(size)
+
+
+def _pressed_words(words: pa.Array) -> bytes:
+    """Words, which hold no white space, joined by it and compressed."""
+    raw = "\n".join(words.to_pylist()).encode()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _opened_words(data: pa.Scalar) -> pa.Array:
+    data = data.as_py()
+    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+    return pa.array(raw.decode().split("\n"), pa.string())
