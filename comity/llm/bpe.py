@@ -32,14 +32,35 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+_OPEN: dict[str, tuple] = {}
+
+
 def open_tokenizer(path: str):
-    """The library's tokenizer, without truncation and padding."""
+    """The library's tokenizer, without truncation and padding; one per worker."""
+    return _opened(path)[0]
+
+
+def opened_pieces(path: str) -> pa.Array:
+    """Piece by id; ids without a piece are null. One table per worker."""
+    return _opened(path)[1]
+
+
+def _opened(path: str) -> tuple:
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    return tokenizer
+    if path not in _OPEN:
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+        size = max(vocabulary.values()) + 1
+        if size > MAX_VOCABULARY:
+            raise ValueError(f"a vocabulary of {size} ids is too large to send to every task")
+        table = [None] * size
+        for piece, i in vocabulary.items():
+            table[i] = piece
+        _OPEN[path] = tokenizer, pa.array(table, pa.string())
+    return _OPEN[path]
 
 
 def word_encoder(path: str) -> Callable[[list[str]], list]:
@@ -54,16 +75,12 @@ def word_encoder(path: str) -> Callable[[list[str]], list]:
     return encode_words
 
 
-def ids_of_block(keep: list[str]):
-    def per_block(given: dict) -> pa.Table:
-        lists = given["values"]
-        per_word = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-        ends = np.concatenate([[0], np.cumsum(per_word)])
-        words = np.concatenate([[0], np.cumsum(given["counts"])])
-        ids = pa.ListArray.from_arrays(pa.array(ends[words], pa.int32()), lists.flatten())
-        return pa.table({**{name: given[name] for name in keep}, "ids": ids})
-
-    return per_block
+def ids_of(given: dict) -> pa.ListArray:
+    """The ids of each text of a block: those of its words, one after the other."""
+    lists = given["values"]
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+    words = np.concatenate([[0], np.cumsum(given["counts"])])
+    return pa.ListArray.from_arrays(pa.array(ends[words], pa.int32()), lists.flatten())
 
 
 def encode(
@@ -74,20 +91,21 @@ def encode(
     keep = list(keep)
     schema = T.StructType([*[docs.schema[k] for k in keep],
                            T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return map_words(
-        docs, keep, word_encoder(path or tokenizer_file()), ids_of_block(keep), schema, text)
+
+    def per_block(given: dict) -> pa.Table:
+        return pa.table({**{k: given[k] for k in keep}, "ids": ids_of(given)})
+
+    return map_words(docs, keep, word_encoder(path or tokenizer_file()), per_block, schema, text)
 
 
-def pieces(path: str) -> pa.Array:
-    """Piece by id; ids without a piece are null."""
-    vocabulary = open_tokenizer(path).get_vocab(with_added_tokens=True)
-    size = max(vocabulary.values()) + 1
-    if size > MAX_VOCABULARY:
-        raise ValueError(f"a vocabulary of {size} ids is too large to send to every task")
-    table = [None] * size
-    for piece, i in vocabulary.items():
-        table[i] = piece
-    return pa.array(table, pa.string())
+def joined_pieces(lists: pa.ListArray, table: pa.Array) -> pa.Array:
+    """The pieces of each list of ids, joined by a space."""
+    found = table.take(lists.flatten())
+    if found.null_count:
+        raise ValueError("an id without a piece")
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), found), " ")
 
 
 def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids") -> DataFrame:
@@ -100,31 +118,42 @@ def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids") -> Dat
                           [T.StructField("decoded", T.StringType())])
     names = schema.names[:-1]
 
-    def join_pieces(batches):
-        table = pieces(path)
+    def decoded(batches):
+        table = opened_pieces(path)
         for batch in batches:
-            step = 64
-            for start in range(0, batch.num_rows, step):
-                part = batch.slice(start, step)
-                lists = part.column(ids)
-                found = table.take(lists.flatten())
-                if found.null_count:
-                    raise ValueError("an id without a piece")
-                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-                bounds = np.concatenate([[0], np.cumsum(sizes)])
-                texts = pc.binary_join(
-                    pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), found), " ")
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
                 yield pa.RecordBatch.from_arrays(
-                    [*[part.column(n) for n in names], texts], schema.names)
+                    [*[part.column(n) for n in names], joined_pieces(part.column(ids), table)],
+                    schema.names)
 
-    return encoded.select(*names).mapInArrow(join_pieces, schema)
+    return encoded.select(*names).mapInArrow(decoded, schema)
 
 
-def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, and digests of the ids and of the decoded text."""
-    both = decode(encode(docs, path), path)
-    return both.select(
-        "doc_id",
+def encode_decode(
+    docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("doc_id",),
+    text: str = "text",
+) -> DataFrame:
+    """``encode`` followed by ``decode``, block by block: ``ids`` and ``decoded``."""
+    path, keep = path or tokenizer_file(), list(keep)
+    schema = T.StructType([*[docs.schema[k] for k in keep],
+                           T.StructField("ids", T.ArrayType(T.IntegerType())),
+                           T.StructField("decoded", T.StringType())])
+
+    def per_block(given: dict) -> pa.Table:
+        ids = ids_of(given)
+        return pa.table({**{k: given[k] for k in keep}, "ids": ids,
+                         "decoded": joined_pieces(ids, opened_pieces(path))})
+
+    return map_words(docs, keep, word_encoder(path), per_block, schema, text)
+
+
+def round_trip(
+    docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("doc_id",)
+) -> DataFrame:
+    """The ``keep`` columns, n_tokens, and digests of the ids and of the decoded text."""
+    return encode_decode(docs, path, keep).select(
+        *keep,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -23,7 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from comity.llm.common import bounded_batches
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.Table]:
