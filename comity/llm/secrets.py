@@ -1,0 +1,56 @@
+"""Operator 8: secret scans whose false positives a random forest removes.
+
+Candidates are the runs of key-like characters of every whole text, LEAST to MOST long
+(longer runs are candidates too; their length is a feature). Each has features of
+
+- its length, digits, upper-case letters and other signs,
+- its character transitions: changes between letter, digit and sign, between cases, vowel
+  and consonant steps, repeated characters, and distinct character pairs,
+- dictionary coverage: the share of it that common word pieces cover,
+- its path: where it stands (a URL, a file path, a mail address, the document's source), and
+- the neighbouring words: whether the words before it speak of keys, passwords or tokens,
+  and whether quotes or an equals sign introduce it.
+
+Labelled findings train the forest. They are found in the corpus itself by rule: formats
+that issuers fix (a known prefix and a body of random characters, or an assignment to a
+named credential) are true findings; words, addresses, paths and numbers are false ones. A
+bounded sample of FINDINGS of each kind, by hash, is used, and the features the rules read
+directly (the prefix) are not features. All candidates of all texts are then scored.
+
+Defined results: null and empty texts have no candidates and so no rows; null ids and
+repeated rows give rows of their own; without both kinds of labelled findings nothing can be
+learnt and the rules decide (score 1 or 0); other columns but source are ignored, and a
+missing source is an empty one.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from comity.llm.common import stored, text_of
+
+LEAST = 16
+FINDINGS = 4_000
+TREES = 20
+DEPTH = 6
+THRESHOLD = 0.5
+BEFORE = 48  # characters of context read before a candidate
+
+#: A run of key characters with at least one digit.
+CANDIDATE = r"(?=[A-Za-z0-9+/_\-\.]{0,200}[0-9])[A-Za-z0-9+/_\-\.=@:~]{16,}"
+RUN = r"[^\s\"'`<>(){}\[\],;|]{16,}"
+
+#: Words that introduce credentials, and pieces of common words.
+HINTS = "key|secret|token|password|passwd|pwd|auth|credential|bearer|aws|api"
+PIECES = (
+    "tion|ment|ing|the|and|for|ers|able|ness|ally|est|com|net|org|www|http|mail|example|"
+    "page|index|html|image|user|name|file|data|this|that|with|from|have|ente|ung|lich|"
+    "keit|sch|que|les|des|par|los|las|ado|aci"
+)
+ISSUED = r"^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|^sk_(live|test)_[A-Za-z0-9]{16,}$|^AIza[A-Za-z0-9_\-]{35}$"
+ASSIGNED = r"(?i)(password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s*[=:]\s*[\"']?$"
+ADDRESS = r"(?i)^[^@\s]+@[^@\s]+\.[a-z]{2,}|^https?:|^www\.|^/|^[\d\.\-+:/]+$"
