@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,13 +41,64 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """The rows dealt evenly over the session's shuffle partitions."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of at most 4 MB, for long texts; a limit the user has set stays."""
     setting = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(setting) == "67108864b":  # Spark's own default
         spark.conf.set(setting, "4m")
+
+
+def in_runs(df: DataFrame, keys: list[str], work, schema) -> DataFrame:
+    """``work`` on every run of rows with equal ``keys``, many runs to a task.
+
+    ``work(columns, cuts)`` gets whole runs as Arrow columns by name, run i from cuts[i] to
+    cuts[i + 1], and returns an Arrow table. The shuffle sorts, so a task holds one run and
+    the batch it reads; runs must be bounded.
+    """
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            table = pa.Table.from_batches([*held, batch]).combine_chunks()
+            change = np.zeros(table.num_rows, bool)
+            for key in keys:
+                column = table.column(key)
+                change[1:] |= pc.fill_null(
+                    pc.not_equal(column.slice(1), column.slice(0, table.num_rows - 1)), True
+                ).to_numpy()
+            cuts = np.flatnonzero(change)
+            if not len(cuts):
+                held = table.to_batches()
+                continue
+            whole = table.slice(0, cuts[-1])
+            held = table.slice(cuts[-1]).to_batches()
+            yield from work(_columns(whole), np.concatenate([[0], cuts])).to_batches()
+        if held:
+            table = pa.Table.from_batches(held)
+            yield from work(_columns(table), np.array([0, table.num_rows])).to_batches()
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(tasks, schema)
+
+
+def _columns(table: pa.Table) -> dict[str, pa.Array]:
+    table = table.combine_chunks()
+    return {name: table.column(name).chunk(0) if table.num_rows else pa.array([])
+            for name in table.column_names}
+
+
+def slice_pairs(df: DataFrame, key: str, size: str, most: int) -> DataFrame:
+    """Rows with ``slice``, once for each pair of slices (left, right) of their group.
+
+    A group of ``size`` rows has size / most slices, dealt by ``key``; every two of them,
+    and each alone, are a pair, so every two rows of a group meet exactly once.
+    """
+    of = F.ceil(F.col(size) / most).cast("int")
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.col("_of") - 1),
+        lambda s: F.struct(F.least("slice", s).alias("left"), F.greatest("slice", s).alias("right")))
+    return (
+        df.withColumn("_of", of)
+        .withColumn("slice", F.pmod(F.xxhash64(key), F.col("_of")).cast("int"))
+        .withColumn("_p", F.explode(pairs))
+        .select("*", "_p.left", "_p.right").drop("_p", "_of")
+    )

@@ -8,12 +8,32 @@ of the longest chain. Each round is written to the shared folder.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from comity.llm.common import stored
 
 
+def forest(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (x[i], y[i]) that join all that the whole list joins, without circles."""
+    roots: dict[int, int] = {}
+
+    def root(i: int) -> int:
+        while (up := roots.get(i, i)) != i:
+            roots[i] = roots.get(up, up)
+            i = up
+        return i
+
+    edges = []
+    for i, j in zip(x.tolist(), y.tolist()):
+        a, b = root(i), root(j)
+        if a != b:
+            roots[a] = b
+            edges.append((i, j))
+    return edges
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) for all ends of ``edges`` (a, b).
 

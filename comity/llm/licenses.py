@@ -169,5 +169,5 @@ def scan(docs: DataFrame) -> DataFrame:
         "first_word", "last_word",
         F.coalesce("base_labels", F.lit("")).alias("base_labels"),
         F.coalesce("labels", F.lit("")).alias("labels"),
-        F.coalesce(F.least("score", F.lit(1.0)), F.lit(0.0)).alias("score"),
+        F.least(F.coalesce("score", F.lit(0.0)), F.lit(1.0)).alias("score"),
     )

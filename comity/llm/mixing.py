@@ -255,7 +255,7 @@ SELECT doc_id, source, size, source_size, target,
         CASE WHEN size > 0
              THEN range(start // {BLOCK_WORDS}, (start + size - 1) // {BLOCK_WORDS} + 1)
              ELSE [] END,
-        b -> CASE WHEN (b * (factor % blocks) + turn) % blocks < rest
+        lambda b: CASE WHEN (b * (factor % blocks) + turn) % blocks < rest
                   THEN least(start + size, (b + 1) * {BLOCK_WORDS})
                        - greatest(start, b * {BLOCK_WORDS})
                   ELSE 0 END)), 0))::BIGINT AS taken

@@ -31,11 +31,11 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from comity.llm.common import bounded_batches, stored, text_of
-from comity.llm.components import components
+from comity.llm.common import bounded_batches, in_runs, slice_pairs, stored, text_of
+from comity.llm.components import components, forest
 from comity.llm.words import Split, blocks
 
 SHINGLE = 5
@@ -82,11 +82,11 @@ def shingle_sets(texts) -> list[np.ndarray]:
         if n >= SHINGLE:
             out.append(np.unique(rolled[ends[d]:ends[d + 1] - SHINGLE + 1]))
         elif n:
-            short = np.uint64(n)
+            short = np.full(1, n, np.uint64)
             for h in hashes[ends[d]:ends[d + 1]]:
-                short = np.bitwise_xor(short, h) * np.uint64(0xD6E8FEB86659FD93)
+                short = (short ^ h) * np.uint64(0xD6E8FEB86659FD93)
                 short ^= short >> np.uint64(31)
-            out.append(np.array([short], np.uint64))
+            out.append(short)
         else:
             out.append(np.empty(0, np.uint64))
     return out
@@ -124,110 +124,81 @@ def printed(batches):
             ["doc_id", "_key", "digest", "signature"])
 
 
-def forest(pairs_of) -> tuple[list, np.ndarray]:
-    """Spanning edges over (i, array of linked j) items, by merging labels."""
-    edges, roots = [], {}
-
-    def root(i):
-        while roots.get(i, i) != i:
-            roots[i] = roots.get(roots[i], roots[i])
-            i = roots[i]
-        return i
-
-    for i, linked in pairs_of:
-        for j in linked:
-            a, b = root(i), root(j)
-            if a != b:
-                roots[a] = b
-                edges.append((i, j))
-    return edges
-
-
-def node_edges(group: pa.Table) -> pa.Table:
-    """Spanning edges among the classes of a trie node, or between two slices of it.
-
-    Classes are walked in the order of their labels, so those with the longest common
-    prefix meet first.
-    """
-    group = group.sort_by("label")
-    side, left = group.column("slice").to_numpy(), group.column("left")[0].as_py()
-    right = group.column("right")[0].as_py()
-    marks = np.stack([np.frombuffer(s, np.uint16) for s in group.column("signature").to_pylist()])
-    digests = group.column("digest").to_pylist()
-    a, b = np.flatnonzero(side == left), np.flatnonzero(side == right)
+def node_edges(columns: dict, cuts: np.ndarray) -> pa.Table:
+    """Spanning edges among the classes of trie nodes, or between two slices of a node."""
+    side, left, right = (columns[c].to_numpy() for c in ("slice", "left", "right"))
+    marks = np.frombuffer(columns["signature"].buffers()[2], np.uint16)
+    marks = marks.reshape(-1, TREES * DEPTH)[columns["signature"].offset:][:len(side)]
     needed = math.ceil(AGREEMENT * TREES * DEPTH)
-
-    def near():
+    edges = []
+    for lo, hi in zip(cuts, cuts[1:]):
+        a = lo + np.flatnonzero(side[lo:hi] == left[lo])
+        b = lo + np.flatnonzero(side[lo:hi] == right[lo])
+        found = []
         for i in a:
-            rest = b[b > i] if left == right else b
-            yield i, rest[(marks[rest] == marks[i]).sum(1) >= needed]
-
-    edges = forest(near())
-    return pa.table({"a": pa.array([digests[i] for i, _ in edges], pa.binary()),
-                     "b": pa.array([digests[j] for _, j in edges], pa.binary())})
+            rest = b[b > i] if left[lo] == right[lo] else b
+            near = rest[(marks[rest] == marks[i]).sum(1) >= needed]
+            found.append((np.full(len(near), i), near))
+        if found:
+            edges += forest(*(np.concatenate(f) for f in zip(*found)))
+    ends = np.array(edges, np.int64).reshape(-1, 2)
+    digests = columns["digest"]
+    return pa.table({"a": digests.take(pa.array(ends[:, 0])),
+                     "b": digests.take(pa.array(ends[:, 1]))})
 
 
 def verified(threshold: float):
-    def links(group: pa.Table) -> pa.Table:
-        """Exact similarities within a cluster slice, or between two slices.
+    def links(columns: dict, cuts: np.ndarray) -> pa.Table:
+        """Exact similarities within cluster slices, or between two slices of a cluster.
 
         Gives each class the number of rows it is linked to here, and spanning edges.
         """
-        side, left = group.column("slice").to_numpy(), group.column("left")[0].as_py()
-        right = group.column("right")[0].as_py()
-        digests = group.column("digest").to_pylist()
-        sizes = group.column("size").to_numpy()
-        sets = shingle_sets(group.column("text").combine_chunks())
-        lengths = np.array([len(s) for s in sets])
-        universe, places = np.unique(np.concatenate(sets), return_inverse=True)
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        a, b = np.flatnonzero(side == left), np.flatnonzero(side == right)
-        # Which sets of b hold each shingle, by shingle.
-        member = np.concatenate([np.arange(ends[j], ends[j + 1]) for j in b] or [ends[:0]])
-        owner = np.repeat(np.arange(len(b)), lengths[b])
-        order = np.argsort(places[member], kind="stable")
-        owner, held = owner[order], np.bincount(places[member], minlength=len(universe))
-        first = np.concatenate([[0], np.cumsum(held)])
-        counts = np.zeros(len(sets), np.int64)
-
-        def near():
+        side, left, right = (columns[c].to_numpy() for c in ("slice", "left", "right"))
+        sizes = columns["size"].to_numpy()
+        counts, edges = np.zeros(len(side), np.int64), []
+        for lo, hi in zip(cuts, cuts[1:]):
+            if hi - lo < 2:
+                continue
+            sets = shingle_sets(columns["text"].slice(lo, hi - lo))
+            lengths = np.array([len(s) for s in sets])
+            _, places = np.unique(np.concatenate(sets), return_inverse=True)
+            ends = np.concatenate([[0], np.cumsum(lengths)])
+            a = np.flatnonzero(side[lo:hi] == left[lo])
+            b = np.flatnonzero(side[lo:hi] == right[lo])
+            # The sets of b that hold each shingle.
+            member = np.concatenate([np.arange(ends[j], ends[j + 1]) for j in b] or [ends[:0]])
+            order = np.argsort(places[member], kind="stable")
+            owner = np.repeat(np.arange(len(b)), lengths[b])[order]
+            held = np.bincount(places[member], minlength=places.max(initial=0) + 1)
+            first = np.concatenate([[0], np.cumsum(held)])
+            found = []
             for i in a:
                 mine = places[ends[i]:ends[i + 1]]
                 n = held[mine]
-                at = np.repeat(first[mine] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-                common = np.bincount(owner[at + np.arange(n.sum())], minlength=len(b))
-                union = lengths[i] + lengths[b] - common
-                good = (common >= threshold * union) & ((b > i) if left == right else True)
-                rest = b[good]
-                counts[i] += sizes[rest].sum()
-                counts[rest] += sizes[i]
-                yield i, rest
-
-        edges = forest(near())
+                at = np.repeat(first[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                common = np.bincount(owner[at], minlength=len(b))
+                good = common >= threshold * (lengths[i] + lengths[b] - common)
+                if left[lo] == right[lo]:
+                    good &= b > i
+                rest = lo + b[good]
+                counts[lo + i] += sizes[rest].sum()
+                counts[rest] += sizes[lo + i]
+                found.append((np.full(len(rest), lo + i), rest))
+            if found:
+                edges += forest(*(np.concatenate(f) for f in zip(*found)))
         some = np.flatnonzero(counts)
+        ends = np.array(edges, np.int64).reshape(-1, 2)
+        digests = columns["digest"]
         return pa.table({
-            "digest": pa.array([digests[i] for i in some] + [digests[i] for i, _ in edges],
-                               pa.binary()),
-            "n": pa.array([*counts[some], *[0] * len(edges)], pa.int64()),
-            "b": pa.array([None] * len(some) + [digests[j] for _, j in edges], pa.binary()),
+            "digest": digests.take(pa.array(np.concatenate([some, ends[:, 0]]))),
+            "n": pa.array(np.concatenate([counts[some], np.zeros(len(ends), np.int64)])),
+            "b": digests.take(pa.array(np.concatenate([some, ends[:, 1]]),
+                                       mask=np.arange(len(some) + len(ends)) < len(some))),
         })
 
     return links
 
 
-def in_slices(rows: DataFrame, key: str, size: Column, most: int) -> DataFrame:
-    """Rows with ``slice``, once for each pair of slices (left, right) they take part in."""
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.col("_of") - 1),
-        lambda s: F.struct(F.least("slice", s).alias("left"), F.greatest("slice", s).alias("right")))
-    return (
-        rows.withColumn("_of", F.ceil(size / most).cast("int"))
-        .withColumn("slice", F.pmod(F.xxhash64(key), F.col("_of")).cast("int"))
-        .withColumn("_p", F.explode(pairs))
-        .select("*", "_p.left", "_p.right").drop("_p", "_of")
-    )
-
-
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id and n_links (other rows linked directly) of each row.
 
@@ -257,22 +228,20 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     nodes = entries.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("_size")).filter(
         F.col("_size") > 1)
     marks = classes.select("digest", "signature")
-    in_nodes = in_slices(entries.join(nodes, ["tree", "prefix"]), "digest", F.col("_size"), NODE)
-    labelled = in_nodes.join(marks, "digest").withColumn(
-        "label", F.substring(F.col("signature"), F.col("tree") * width + 1, F.lit(width)))
-    edges = labelled.groupBy("tree", "prefix", "left", "right").applyInArrow(
-        node_edges, "a binary, b binary")
+    in_nodes = slice_pairs(entries.join(nodes, ["tree", "prefix"]), "digest", "_size", NODE)
+    edges = in_runs(in_nodes.drop("_size").join(marks, "digest"),
+                    ["tree", "prefix", "left", "right"], node_edges, "a binary, b binary")
     clusters = components(edges)
     members = clusters.join(classes, clusters["node"] == classes["digest"]).select(
         "component", "digest", "_key", "size")
     sized = members.groupBy("component").agg(F.count(F.lit(1)).alias("_size"))
-    sliced = in_slices(
-        members.join(sized, "component"), "digest", F.col("_size"), SLICE).drop("_size")
+    sliced = slice_pairs(
+        members.join(sized, "component"), "digest", "_size", SLICE).drop("_size")
     # One text for each key; copies fold in their own task before they meet.
     texts = rows.select("_key", "text").dropDuplicates(["_key"])
     found = stored(
-        sliced.join(texts, "_key").groupBy("component", "left", "right").applyInArrow(
-            verified(threshold), "digest binary, n long, b binary"),
+        in_runs(sliced.join(texts, "_key"), ["component", "left", "right"],
+                verified(threshold), "digest binary, n long, b binary"),
         "links")
     counts = found.groupBy("digest").agg(F.sum("n").alias("n"))
     groups = components(found.filter(F.col("b").isNotNull()).select(F.col("digest").alias("a"), "b"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from comity.llm import bpe, token_counts
+from comity.llm import (
+    bpe, exact_dedup, licenses, mixing, ngram_join, sharding, token_counts, toxicity, vectors,
+)
 from comity.llm.common import table
 
 
@@ -12,13 +14,51 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), toxicity.labels_of(spark, sf_dir))
+
+
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_mixing": op2_mixing,
+    "op3_toxicity": op3_toxicity,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_token_counts": op5_token_counts,
+    "op6_license_scan": op6_license_scan,
+    "op7_ngram_join": op7_ngram_join,
+    "op9_sharding": op9_sharding,
+    "op10_exact_dedup": op10_exact_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op2_mixing": mixing.ORACLE_SQL,
+    "op10_exact_dedup": exact_dedup.ORACLE_SQL,
+}

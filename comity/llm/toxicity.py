@@ -1,7 +1,8 @@
 """Operator 3: toxicity by non-negative positive-unlabelled (nnPU) learning.
 
-Confirmed toxic examples are the positives; all other texts are unlabelled, whatever their
-label says. A linear numpy classifier over hashed words and word beginnings is fitted to the
+Confirmed toxic examples are the positives; a sample of all texts is the unlabelled set,
+whatever their labels say. Hashed words and word beginnings get the strength of their association with the
+positives; a numpy classifier over a text's strongest ones is fitted to the
 class-prior-corrected risk
 
     prior * R+(positives, toxic) + max(0, R-(unlabelled) - prior * R-(positives, clean))
@@ -15,7 +16,7 @@ and as unlabelled text. Training uses a bounded sample, POSITIVES and UNLABELLED
 most, those with the smallest hash of their id; their features, not their texts, reach
 the driver. Scoring covers every whole text, task by task.
 
-Defined results: null and empty texts have no features and score the prior-corrected bias;
+Defined results: null and empty texts have no features and score as such a text does;
 documents without a label or with a null one are unlabelled; null ids count as held out;
 without any positive example or any text all scores are 0; repeated rows are scored alike;
 other columns are ignored.
@@ -35,9 +36,11 @@ from comity.llm.words import Split, blocks
 
 POSITIVES = 6_000
 UNLABELLED = 24_000
-SLOTS = 1 << 18
+SLOTS = 1 << 22
 BEGINNING = 5  # characters of a word's beginning
 THRESHOLD = 0.3
+PSEUDO = 3.0
+LEVELS = (0.5, 0.75, 1.0, 1.25)
 EDGES = ".,;:!?\"'()[]{}<>|$%&*#"
 
 
@@ -96,7 +99,6 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
         "doc_id", F.lit(True).alias("_positive")).orderBy(order, "doc_id").limit(POSITIVES)
     unlabelled = (
         docs.select("doc_id").filter(~held_out()).distinct()
-        .join(known.filter(F.col("_toxic") == 1).select("doc_id"), "doc_id", "left_anti")
         .select("doc_id", F.lit(False).alias("_positive")).orderBy(order, "doc_id")
         .limit(UNLABELLED)
     )
@@ -132,56 +134,86 @@ def sample_features(texts: DataFrame) -> list:
     for key, is_positive, slots in rows:
         group = positives if is_positive else unlabelled
         if len(group) < (POSITIVES if is_positive else UNLABELLED) and (
-                (key, tuple(slots)) not in seen):
-            seen.add((key, tuple(slots)))
+                (is_positive, key, tuple(slots)) not in seen):
+            seen.add((is_positive, key, tuple(slots)))
             group.append(np.array(slots, np.int64))
     return [positives, unlabelled]
 
 
-def fit(
-    positives: list, unlabelled: list, prior: float, passes: int = 30, rate: float = 0.05,
-    decay: float = 1e-5, seed: int = 7,
-) -> tuple[np.ndarray, float]:
-    """Weights and bias that keep the nnPU risk small, by Adam over mini-batches."""
-    rng = np.random.default_rng(seed)
-    weights, bias = np.zeros(SLOTS), float(np.log(prior / (1 - prior)))
-    first, second, bias_first, bias_second, step = np.zeros(SLOTS), np.zeros(SLOTS), 0.0, 0.0, 0
-    batches = max(1, len(unlabelled) // 512)
-    for _ in range(passes):
-        plus = np.array_split(rng.permutation(len(positives)), batches)
-        rest = np.array_split(rng.permutation(len(unlabelled)), batches)
-        for p, u in zip(plus, rest):
-            if not len(p) or not len(u):
-                continue
-            group = [positives[i] for i in p] + [unlabelled[i] for i in u]
-            counts = np.array([len(g) for g in group])
-            slots = np.concatenate(group)
-            rows = np.repeat(np.arange(len(group)), counts)
-            scale = 1 / np.sqrt(np.maximum(counts, 1))
-            value = bias + np.bincount(rows, weights[slots], len(group)) * scale
-            chance = 1 / (1 + np.exp(-np.clip(value, -30, 30)))
-            is_plus = np.arange(len(group)) < len(p)
-            clean_loss = np.logaddexp(0, value)
-            excess = clean_loss[~is_plus].mean() - prior * clean_loss[is_plus].mean()
-            # Slopes of R+ (toxic), of R-(positives) and of R-(unlabelled).
-            toxic = np.where(is_plus, prior * (chance - 1) / len(p), 0)
-            other = np.where(is_plus, -prior * chance / len(p), chance / len(u))
-            slope = toxic + other if excess >= 0 else -other
-            grad = np.bincount(slots, (slope * scale)[rows], SLOTS) + decay * weights
-            bias_grad = slope.sum()
-            step += 1
-            first = 0.9 * first + 0.1 * grad
-            second = 0.999 * second + 0.001 * grad * grad
-            bias_first = 0.9 * bias_first + 0.1 * bias_grad
-            bias_second = 0.999 * bias_second + 0.001 * bias_grad ** 2
-            on = rate / (1 - 0.9 ** step)
-            off = 1 - 0.999 ** step
-            weights -= on * first / (np.sqrt(second / off) + 1e-8)
-            bias -= on * bias_first / (np.sqrt(bias_second / off) + 1e-8)
-    return weights, bias
-
-
-def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None:
+def associations(positives: list, unlabelled: list) -> np.ndarray:
+    """How much more often each feature is met in positives than in all, as a logarithm.
+
+    PSEUDO expected and met cases keep rare features near 0.
+    """
+    plus, rest = (
+        np.bincount(np.concatenate(g), minlength=SLOTS) if g else np.zeros(SLOTS)
+        for g in (positives, unlabelled))
+    share = len(positives) / max(1, len(positives) + len(unlabelled))
+    return np.log((plus + PSEUDO) / ((plus + rest) * share + PSEUDO)).astype(np.float32)
+
+
+def inputs(strength: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A text's inputs: its strongest feature, how many are strong, their sum, its length."""
+    out = np.zeros((len(counts), len(LEVELS) + 3))
+    out[:, -1] = np.log1p(counts)
+    full = np.flatnonzero(counts)
+    if len(full):
+        starts = (np.cumsum(counts) - counts)[full]
+        out[full, 0] = np.maximum.reduceat(strength, starts)
+        for i, level in enumerate(LEVELS):
+            out[full, 1 + i] = np.log1p(
+                np.add.reduceat((strength > level).astype(np.float64), starts))
+        out[full, -2] = np.log1p(np.add.reduceat(np.maximum(strength - LEVELS[0], 0), starts))
+    return out
+
+
+def of_texts(ratios: np.ndarray, texts: list) -> np.ndarray:
+    counts = np.array([len(t) for t in texts], np.int64)
+    flat = np.concatenate(texts) if len(texts) else np.empty(0, np.int64)
+    return inputs(ratios[flat], counts)
+
+
+def fit(positives: list, unlabelled: list, prior: float, steps: int = 1500,
+        rate: float = 0.02, decay: float = 1e-4) -> dict:
+    """Associations, and the weights over a text's inputs that keep the nnPU risk small.
+
+    The inputs of each half of the sample use the associations of the other half, so that
+    they are not stronger in training than on new texts.
+    """
+    halves = []
+    for h in (0, 1):
+        ratios = associations(positives[1 - h::2], unlabelled[1 - h::2])
+        halves.append((of_texts(ratios, positives[h::2]), of_texts(ratios, unlabelled[h::2])))
+    plus, rest = (np.concatenate([x[i] for x in halves]) for i in (0, 1))
+    mean, scale = rest.mean(0), rest.std(0) + 1e-6
+    plus, rest = (plus - mean) / scale, (rest - mean) / scale
+    weights = np.zeros(plus.shape[1] + 1)
+    weights[-1] = np.log(prior / (1 - prior))
+    plus, rest = (np.hstack([x, np.ones((len(x), 1))]) for x in (plus, rest))
+    first, second = np.zeros_like(weights), np.zeros_like(weights)
+    for step in range(1, steps + 1):
+        of_plus, of_rest = plus @ weights, rest @ weights
+        excess = np.logaddexp(0, of_rest).mean() - prior * np.logaddexp(0, of_plus).mean()
+        chance, base = _chance(of_plus), _chance(of_rest)
+        toxic = prior * (plus.T @ (chance - 1)) / len(plus)
+        other = rest.T @ base / len(rest) - prior * (plus.T @ chance) / len(plus)
+        grad = (toxic + other if excess >= 0 else -other) + decay * weights
+        first = 0.9 * first + 0.1 * grad
+        second = 0.999 * second + 0.001 * grad * grad
+        weights -= rate * first / (1 - 0.9 ** step) / (
+            np.sqrt(second / (1 - 0.999 ** step)) + 1e-8)
+    ratios = associations(positives, unlabelled)
+    value = ((of_texts(ratios, unlabelled) - mean) / scale) @ weights[:-1]
+    # The prior says how many unlabelled texts are toxic: as many reach the threshold.
+    bias = np.log(THRESHOLD / (1 - THRESHOLD)) - np.quantile(value, 1 - prior)
+    return {"ratios": ratios, "mean": mean, "scale": scale, "weights": weights[:-1], "bias": bias}
+
+
+def _chance(value: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(value, -30, 30)))
+
+
+def train(docs: DataFrame, labels: DataFrame) -> dict | None:
     """Fit on the bounded sample; None where there is nothing to learn from."""
     bounded_batches(docs.sparkSession)
     known = labels.filter(~held_out() & F.col("toxic").isNotNull())
@@ -192,26 +224,23 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None
     return fit(positives, unlabelled, min(prior, 0.99))
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, keep: list[str]) -> DataFrame:
+def score(docs: DataFrame, model: dict | None, keep: list[str]) -> DataFrame:
     """The ``keep`` columns with ``score`` and ``predicted``."""
     bounded_batches(docs.sparkSession)
     # One model for all tasks; its size is set by SLOTS.
-    weights = docs.sparkSession.sparkContext.broadcast(
-        None if model is None else (model[0].astype(np.float32), model[1]))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*[docs.schema[k] for k in keep],
                            T.StructField("score", T.DoubleType())])
 
     def scored(batches):
         for block in blocks(batches):
-            if weights.value is None:
+            model = shared.value
+            if model is None:
                 chance = np.zeros(block.num_rows)
             else:
-                w, bias = weights.value
                 slots, counts = features(block.column("text"))
-                total = np.concatenate([[0], np.cumsum(w[slots], dtype=np.float64)])
-                ends = np.concatenate([[0], np.cumsum(counts)])
-                value = (total[ends[1:]] - total[ends[:-1]]) / np.sqrt(np.maximum(counts, 1))
-                chance = 1 / (1 + np.exp(-np.clip(value + bias, -30, 30)))
+                given = (inputs(model["ratios"][slots], counts) - model["mean"]) / model["scale"]
+                chance = _chance(given @ model["weights"] + model["bias"])
             yield pa.RecordBatch.from_arrays(
                 [*[block.column(k).combine_chunks() for k in keep], pa.array(chance)],
                 schema.names)

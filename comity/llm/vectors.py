@@ -33,9 +33,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from comity.llm.common import bounded_batches, stored
-from comity.llm.components import components
+from comity.llm.common import bounded_batches, in_runs, slice_pairs, stored
+from comity.llm.components import components, forest
 
 THRESHOLD = 0.9
 TABLES = 32
@@ -101,56 +102,73 @@ def cells_of(unit: np.ndarray, tables: int) -> np.ndarray:
 
 
 def celled(batches):
+    """Usable vectors as they came, with the low half of their cells in all tables."""
     for batch in batches:
         for rows, unit in units(batch.column("embedding")):
-            cells = cells_of(unit, TABLES)
+            cells = cells_of(unit, TABLES).astype(np.int32)
+            rows = pa.array(rows)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id").take(pa.array(rows)),
-                 pa.FixedSizeListArray.from_arrays(pa.array(unit.ravel()), unit.shape[1])
-                 .cast(pa.list_(pa.float64())),
+                [batch.column("vec_id").take(rows), batch.column("embedding").take(rows),
                  pa.FixedSizeListArray.from_arrays(pa.array(cells.ravel()), TABLES)
-                 .cast(pa.list_(pa.int64()))],
-                ["vec_id", "unit", "cells"])
+                 .cast(pa.list_(pa.int32()))],
+                ["vec_id", "embedding", "cells"])
 
 
 def linked(threshold: float, needed: int):
-    """Links within a run slice, or between two slices of a run."""
-    def links(group: pa.Table) -> pa.Table:
-        table = group.column("table")[0].as_py()
-        mine, other = group.column("left")[0].as_py(), group.column("right")[0].as_py()
-        ids = group.column("vec_id").to_numpy()
-        side = group.column("slice").to_numpy()
-        flat = group.column("unit").combine_chunks()
-        unit = flat.flatten().to_numpy().reshape(len(ids), -1)
-        cells = group.column("cells").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        window = unit @ directions(unit.shape[1], COUNTED, 2)
-        reach = math.sqrt(2 - 2 * threshold)
-        a = np.flatnonzero(side == mine)
-        b = np.flatnonzero(side == other)
+    """Links within the slices of runs, or between two slices of a run."""
+    reach = math.sqrt(2 - 2 * threshold)
+
+    def links(columns: dict, cuts: np.ndarray) -> pa.Table:
+        ids = columns["vec_id"].to_numpy()
+        tables, side, left, right = (
+            columns[c].to_numpy() for c in ("table", "slice", "left", "right"))
+        cells = columns["cells"].flatten().to_numpy().reshape(len(ids), -1)
         counts = np.zeros(len(ids), np.int64)
-        roots = np.arange(len(ids))
         edges = []
-        for q in a:
-            rest = b[b > q] if mine == other else b
-            if table:
-                rest = rest[(cells[rest, :table] != cells[q, :table]).all(1)]
-            if not len(rest):
-                continue
-            hits = (np.abs(window[rest] - window[q]) <= reach).sum(1)
-            rest = rest[hits >= needed]
-            rest = rest[unit[rest] @ unit[q] >= threshold]
-            counts[q] += len(rest)
-            counts[rest] += 1
-            for r in rest[roots[rest] != roots[q]]:
-                if roots[r] != roots[q]:
-                    edges.append((ids[q], ids[r]))
-                    roots[roots == roots[r]] = roots[q]
+        for rows, unit in units(columns["embedding"]):
+            window = unit @ directions(unit.shape[1], COUNTED, 2)
+            at = np.searchsorted(rows, cuts)
+            for lo, hi in zip(at, at[1:]):
+                if hi - lo < 2:
+                    continue
+                r = rows[lo:hi]
+                table, mine, other = tables[r[0]], left[r[0]], right[r[0]]
+                a = lo + np.flatnonzero(side[r] == mine)
+                b = lo + np.flatnonzero(side[r] == other)
+                found = []
+                step = max(1, (1 << 16) // max(1, len(b)))
+                for i in range(0, len(a), step):
+                    # Query by query: further lines that hold both within the window.
+                    q = a[i:i + step]
+                    hits = np.zeros((len(q), len(b)), np.uint8)
+                    for line in range(COUNTED):
+                        hits += np.abs(window[q, line][:, None] - window[b, line]) <= reach
+                    good = hits >= needed
+                    if mine == other:
+                        good &= q[:, None] < b
+                    if not good.any():
+                        continue
+                    x, y = np.nonzero(good)
+                    x, y = q[x], b[y]
+                    if table:  # pairs that met in a table before are done
+                        new = np.ones(len(x), bool)
+                        for t in range(table):
+                            new &= cells[rows[x], t] != cells[rows[y], t]
+                        x, y = x[new], y[new]
+                    close = np.einsum("ij,ij->i", unit[x], unit[y]) >= threshold
+                    found.append((rows[x[close]], rows[y[close]]))
+                if found:
+                    x, y = (np.concatenate(f) for f in zip(*found))
+                    np.add.at(counts, x, 1)
+                    np.add.at(counts, y, 1)
+                    edges += forest(x, y)
         some = np.flatnonzero(counts)
         ends = np.array(edges, np.int64).reshape(-1, 2)
         return pa.table({
-            "vec_id": pa.array(np.concatenate([ids[some], ends[:, 0]]), pa.int64()),
+            "vec_id": pa.array(np.concatenate([ids[some], ids[ends[:, 0]]]), pa.int64()),
             "n": pa.array(np.concatenate([counts[some], np.zeros(len(ends), np.int64)])),
-            "b": pa.array([None] * len(some) + ends[:, 1].tolist(), pa.int64()),
+            "b": pa.array(np.concatenate([ids[some], ids[ends[:, 1]]]), pa.int64(),
+                          mask=np.arange(len(some) + len(ends)) < len(some)),
         })
 
     return links
@@ -161,27 +179,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     bounded_batches(vectors.sparkSession)
     rows = vectors.select("vec_id", "embedding")
     placed = stored(
-        rows.mapInArrow(celled, "vec_id long, unit array<double>, cells array<long>"),
+        rows.mapInArrow(celled, T.StructType([
+            T.StructField("vec_id", T.LongType()), rows.schema["embedding"],
+            T.StructField("cells", T.ArrayType(T.IntegerType()))])),
         "vectors")
     entries = placed.select("vec_id", F.posexplode("cells").alias("table", "cell"))
     runs = entries.groupBy("table", "cell").agg(F.count(F.lit(1)).alias("size")).filter(
         F.col("size") > 1)
-    slices = F.ceil(F.col("size") / RUN).cast("int")
-    # Each vector goes to the pairs of slices its own slice is part of.
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.col("_of") - 1),
-        lambda s: F.struct(F.least("slice", s).alias("left"),
-                           F.greatest("slice", s).alias("right")))
-    met = (
-        entries.join(runs.withColumn("_of", slices), ["table", "cell"])
-        .withColumn("slice", F.pmod(F.xxhash64("vec_id"), F.col("_of")).cast("int"))
-        .select("table", "cell", "slice", "vec_id", F.explode(pairs).alias("_p"))
-        .select("table", "cell", "slice", "vec_id", "_p.left", "_p.right")
-        .join(placed, "vec_id")
-    )
+    met = slice_pairs(entries.join(runs, ["table", "cell"]), "vec_id", "size", RUN).drop("size")
+    keys = ["table", "cell", "left", "right"]
     found = stored(
-        met.groupBy("table", "cell", "left", "right").applyInArrow(
-            linked(threshold, least_count()), "vec_id long, n long, b long"),
+        in_runs(met.join(placed, "vec_id"), keys, linked(threshold, least_count()),
+                "vec_id long, n long, b long"),
         "links")
     counts = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
     groups = components(
