@@ -5,8 +5,9 @@ mix has as many blocks as the corpus has. They go to sources one by one by the h
 quotient target / (2k - 1), k the source's next block, and each shard of the mix takes the
 next run of them; so shard quotas are whole numbers, and every run of shards from the first
 keeps the targets' proportions. Seeded selection then picks each source's blocks: all of
-them as often as its quota holds them all, and the rest in the order of a seeded
-permutation of block numbers.
+them as often as its quota holds them all, and the rest from a seeded block on, round the
+end to the start. As the documents stand in seeded order, that is a random part of them,
+and but for the two at its ends they are taken whole.
 
 Nothing is sorted as a whole. Quotas come from the table of sources, one row each, where a
 divisor bounds the blocks of every source to within a few: two rows a source and shard at
@@ -31,14 +32,12 @@ MOST = 3  # times a document may be taken
 SEED = "mix"
 BUCKET_ROWS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
-#: Factors of the block permutation; no block count is a multiple of all three.
-FACTORS = (1000003, 1000033, 1000037)
 
 
-def sizes(docs: DataFrame) -> DataFrame:
+def sizes(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size in words, and the seeded order as hex digits."""
     return docs.select(
-        "doc_id", "source",
+        "doc_id", "source", *keep,
         F.regexp_count(text_of(docs), F.lit(WORD)).cast("long").alias("size"),
         F.md5(F.concat_ws("/", F.lit(SEED), F.col("doc_id").cast("string"))).alias("_order"),
     )
@@ -133,20 +132,13 @@ def shard_quotas(wanted: DataFrame, shards: int = SHARDS) -> DataFrame:
                        (F.col("held") - earlier).alias("quota"))
 
 
-def permuted(block: Column, blocks: Column, turn: Column) -> Column:
-    """Place of a block number in the seeded order of its source's blocks."""
-    a, b, c = map(F.lit, FACTORS)
-    factor = F.when(blocks % a != 0, a).when(blocks % b != 0, b).otherwise(c)
-    return (block * (factor % blocks) + turn) % blocks
-
-
-def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+def mix(docs: DataFrame, shards: int = SHARDS, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target and ``taken`` words of each row.
 
     A block counts for a document by the words they share. Of a block taken q times the
     document gives those words q times.
     """
-    sized = stored(sizes(docs), "mix-sizes")
+    sized = stored(sizes(docs, keep), "mix-sizes")
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"),
                                             F.count(F.lit(1)).alias("_rows"))
     rows = sized.count()
@@ -177,7 +169,7 @@ def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         .join(bases, F.col("source").eqNullSafe(F.col("_s"))
               & (F.col("_bucket") == F.col("_b")))
         .withColumn("_start", F.col("_base") + F.col("_upto") - F.col("size"))
-        .select("doc_id", "source", "size", "_start")
+        .select("doc_id", "source", *keep, "size", "_start")
     )
     plan = plan.withColumnRenamed("source", "_s")
     joined = placed.join(plan, F.col("source").eqNullSafe(F.col("_s")))
@@ -188,18 +180,36 @@ def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     def words(total: Column, block: Column) -> Column:
         shared = F.least(end, (block + 1) * BLOCK_WORDS) - F.greatest(
             F.col("_start"), block * BLOCK_WORDS)
-        turn = permuted(block, F.greatest("_blocks", F.lit(1)), F.col("_turn"))
-        return total + shared * F.when(turn < rest, 1).otherwise(0)
+        place = (block + F.col("_turn")) % F.greatest("_blocks", F.lit(1))
+        return total + shared * F.when(place < rest, 1).otherwise(0)
 
     spanned = F.sequence(F.floor(F.col("_start") / BLOCK_WORDS),
                          F.floor((end - 1) / BLOCK_WORDS))
     extra = F.when(F.col("size") > 0, F.aggregate(spanned, F.lit(0).cast("long"), words))
     return joined.select(
-        "doc_id", "source", "size", "source_size", "target",
+        "doc_id", "source", *keep, "size", "source_size", "target",
         (whole * F.col("size") + F.coalesce(extra, F.lit(0))).cast("long").alias("taken"),
     )
 
 
+def mixed(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with their columns.
+
+    A document taken in part counts as taken if that is half of it or more. Rows that repeat
+    id, source and text are copies of one of them.
+    """
+    keyed = docs.withColumn("_mix_key", F.md5(F.concat_ws(
+        "/", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")),
+        F.coalesce("source", F.lit("-")), text_of(docs))))
+    copies = mix(keyed, shards, ("_mix_key",)).groupBy("_mix_key").agg(
+        F.sum(F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5))
+              .otherwise(0)).cast("int").alias("_mix_copies"))
+    once = keyed.join(copies.filter(F.col("_mix_copies") > 0), "_mix_key").dropDuplicates(
+        ["_mix_key"])
+    return once.withColumn(
+        "_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)
+
+
 ORACLE_SQL = f"""
 WITH sized AS (
     SELECT doc_id, source, md5(concat_ws('/', '{SEED}', doc_id::VARCHAR)) AS o,
@@ -245,17 +255,14 @@ placed AS (
     FROM sized),
 spans AS (
     SELECT doc_id, p.source, size, start, source_size, target, blocks, turn,
-        quota // greatest(blocks, 1) AS whole, quota % greatest(blocks, 1) AS rest,
-        CASE WHEN blocks % {FACTORS[0]} <> 0 THEN {FACTORS[0]}
-             WHEN blocks % {FACTORS[1]} <> 0 THEN {FACTORS[1]}
-             ELSE {FACTORS[2]} END AS factor
+        quota // greatest(blocks, 1) AS whole, quota % greatest(blocks, 1) AS rest
     FROM placed p JOIN plan q ON p.source IS NOT DISTINCT FROM q.source)
 SELECT doc_id, source, size, source_size, target,
     (whole * size + coalesce(list_sum(list_transform(
         CASE WHEN size > 0
              THEN range(start // {BLOCK_WORDS}, (start + size - 1) // {BLOCK_WORDS} + 1)
              ELSE [] END,
-        lambda b: CASE WHEN (b * (factor % blocks) + turn) % blocks < rest
+        lambda b: CASE WHEN (b + turn) % blocks < rest
                   THEN least(start + size, (b + 1) * {BLOCK_WORDS})
                        - greatest(start, b * {BLOCK_WORDS})
                   ELSE 0 END)), 0))::BIGINT AS taken
