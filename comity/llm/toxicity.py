@@ -34,8 +34,8 @@ from pyspark.sql import types as T
 from comity.llm.common import bounded_batches, table
 from comity.llm.words import Split, blocks
 
-POSITIVES = 6_000
-UNLABELLED = 24_000
+POSITIVES = 4_000
+UNLABELLED = 12_000
 SLOTS = 1 << 22
 BEGINNING = 5  # characters of a word's beginning
 THRESHOLD = 0.3
@@ -104,12 +104,16 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
     # At most POSITIVES + UNLABELLED ids, so every task can hold them.
     chosen = F.broadcast(positive.unionByName(unlabelled))
-    return docs.select("doc_id", "text").join(chosen, "doc_id").select(
-        "doc_id", "text", "_positive")
+    # An id that repeats gives one text.
+    return docs.select("doc_id", "text").join(chosen, "doc_id").groupBy(
+        "doc_id", "_positive").agg(F.min("text").alias("text"))
 
 
-def sample_features(texts: DataFrame) -> list:
-    """Feature slots of each sample text, on the driver: a bounded number of rows."""
+def sample_features(texts: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Slots and their number per text, of positives and of unlabelled texts.
+
+    They come to the driver: a bounded number of rows.
+    """
     def slots_of(batches):
         for block in blocks(batches):
             slots, counts = features(block.column("text"))
@@ -126,29 +130,33 @@ def sample_features(texts: DataFrame) -> list:
         T.StructField("_positive", T.BooleanType()),
         T.StructField("slots", T.ArrayType(T.IntegerType()))]))
     found = made.toArrow()
-    seen, positives, unlabelled = set(), [], []
-    order = pc.sort_indices(found, [("doc_id", "ascending")])
-    found = found.take(order)
-    rows = zip(found.column("doc_id").to_pylist(), found.column("_positive").to_pylist(),
-               found.column("slots").to_pylist())
-    for key, is_positive, slots in rows:
-        group = positives if is_positive else unlabelled
-        if len(group) < (POSITIVES if is_positive else UNLABELLED) and (
-                (is_positive, key, tuple(slots)) not in seen):
-            seen.add((is_positive, key, tuple(slots)))
-            group.append(np.array(slots, np.int64))
-    return [positives, unlabelled]
-
-
-def associations(positives: list, unlabelled: list) -> np.ndarray:
+    found = found.take(pc.sort_indices(found, [("doc_id", "ascending")]))
+    groups = []
+    for kind in (True, False):
+        lists = found.filter(pc.equal(found.column("_positive"), kind)).column("slots")
+        lists = lists.combine_chunks()
+        groups.append((lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy()))
+    return groups
+
+
+Texts = tuple[np.ndarray, np.ndarray]
+
+
+def half(texts: Texts, which: int) -> Texts:
+    """Every other text."""
+    slots, counts = texts
+    chosen = np.arange(len(counts)) % 2 == which
+    return slots[np.repeat(chosen, counts)], counts[chosen]
+
+
+def associations(positives: Texts, unlabelled: Texts) -> np.ndarray:
     """How much more often each feature is met in positives than in all, as a logarithm.
 
     PSEUDO expected and met cases keep rare features near 0.
     """
-    plus, rest = (
-        np.bincount(np.concatenate(g), minlength=SLOTS) if g else np.zeros(SLOTS)
-        for g in (positives, unlabelled))
-    share = len(positives) / max(1, len(positives) + len(unlabelled))
+    plus, rest = (np.bincount(t[0], minlength=SLOTS).astype(np.float32)
+                  for t in (positives, unlabelled))
+    share = len(positives[1]) / max(1, len(positives[1]) + len(unlabelled[1]))
     return np.log((plus + PSEUDO) / ((plus + rest) * share + PSEUDO)).astype(np.float32)
 
 
@@ -167,13 +175,11 @@ def inputs(strength: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def of_texts(ratios: np.ndarray, texts: list) -> np.ndarray:
-    counts = np.array([len(t) for t in texts], np.int64)
-    flat = np.concatenate(texts) if len(texts) else np.empty(0, np.int64)
-    return inputs(ratios[flat], counts)
+def of_texts(ratios: np.ndarray, texts: Texts) -> np.ndarray:
+    return inputs(ratios[texts[0]], texts[1])
 
 
-def fit(positives: list, unlabelled: list, prior: float, steps: int = 1500,
+def fit(positives: Texts, unlabelled: Texts, prior: float, steps: int = 1500,
         rate: float = 0.02, decay: float = 1e-4) -> dict:
     """Associations, and the weights over a text's inputs that keep the nnPU risk small.
 
@@ -182,8 +188,8 @@ def fit(positives: list, unlabelled: list, prior: float, steps: int = 1500,
     """
     halves = []
     for h in (0, 1):
-        ratios = associations(positives[1 - h::2], unlabelled[1 - h::2])
-        halves.append((of_texts(ratios, positives[h::2]), of_texts(ratios, unlabelled[h::2])))
+        ratios = associations(half(positives, 1 - h), half(unlabelled, 1 - h))
+        halves.append((of_texts(ratios, half(positives, h)), of_texts(ratios, half(unlabelled, h))))
     plus, rest = (np.concatenate([x[i] for x in halves]) for i in (0, 1))
     mean, scale = rest.mean(0), rest.std(0) + 1e-6
     plus, rest = (plus - mean) / scale, (rest - mean) / scale
@@ -219,7 +225,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict | None:
     known = labels.filter(~held_out() & F.col("toxic").isNotNull())
     prior = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
     positives, unlabelled = sample_features(sample(docs, labels))
-    if not prior or not positives or not unlabelled:
+    if not prior or not len(positives[1]) or not len(unlabelled[1]):
         return None
     return fit(positives, unlabelled, min(prior, 0.99))
 
