@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from comity.llm import (
-    bpe, exact_dedup, licenses, mixing, ngram_join, sharding, token_counts, toxicity, vectors,
+    bpe, exact_dedup, licenses, mixing, ngram_join, secret_scan, sharding, token_counts, toxicity,
+    vectors,
 )
 from comity.llm.common import table
 
@@ -38,6 +39,10 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_license_scan": op6_license_scan,
     "op7_ngram_join": op7_ngram_join,
+    "op8_secret_scan": op8_secret_scan,
     "op9_sharding": op9_sharding,
     "op10_exact_dedup": op10_exact_dedup,
 }

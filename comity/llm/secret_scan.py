@@ -1,26 +1,25 @@
 """Operator 8: secret scans whose false positives a random forest removes.
 
-Candidates are the runs of key-like characters of every whole text, LEAST to MOST long
-(longer runs are candidates too; their length is a feature). Each has features of
-
-- its length, digits, upper-case letters and other signs,
-- its character transitions: changes between letter, digit and sign, between cases, vowel
-  and consonant steps, repeated characters, and distinct character pairs,
-- dictionary coverage: the share of it that common word pieces cover,
-- its path: where it stands (a URL, a file path, a mail address, the document's source), and
-- the neighbouring words: whether the words before it speak of keys, passwords or tokens,
-  and whether quotes or an equals sign introduce it.
-
-Labelled findings train the forest. They are found in the corpus itself by rule: formats
-that issuers fix (a known prefix and a body of random characters, or an assignment to a
-named credential) are true findings; words, addresses, paths and numbers are false ones. A
-bounded sample of FINDINGS of each kind, by hash, is used, and the features the rules read
-directly (the prefix) are not features. All candidates of all texts are then scored.
+Candidates are the words of every whole text with a digit and LEAST characters or more, without
+the quotes and the name they may be assigned to. Each has features of
+
+- its length, and shares of digits, upper-case letters and other signs,
+- its character transitions: between letter and digit, between cases, from vowel to
+  consonant, repeated characters, distinct characters,
+- dictionary coverage: the share of it that pieces of common words cover,
+- its path: signs of an address, a file path or a URL in the word it stands in, and
+- the neighbouring words: whether a word before or after, or the name it is assigned to,
+  speaks of keys, passwords or tokens, and whether quotes or a sign introduce it.
+
+The forest learns from labelled findings. The corpus labels itself by rule (``labelled``):
+formats that issuers fix and values assigned to a named credential are true findings;
+addresses, paths, plain numbers and words with a number at the end are false ones; the rest
+has no label. A sample of FINDINGS of each kind, bounded, is learnt from. All candidates
+of all texts are then scored.
 
 Defined results: null and empty texts have no candidates and so no rows; null ids and
-repeated rows give rows of their own; without both kinds of labelled findings nothing can be
-learnt and the rules decide (score 1 or 0); other columns but source are ignored, and a
-missing source is an empty one.
+repeated rows give rows of their own; where one kind of labelled finding is missing nothing
+can be learnt and the rules decide (score 1 or 0); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,24 +32,138 @@ from pyspark.sql import functions as F
 
 from comity.llm.common import stored, text_of
 
-LEAST = 16
+LEAST = 12
 FINDINGS = 4_000
 TREES = 20
 DEPTH = 6
 THRESHOLD = 0.5
-BEFORE = 48  # characters of context read before a candidate
-
-#: A run of key characters with at least one digit.
-CANDIDATE = r"(?=[A-Za-z0-9+/_\-\.]{0,200}[0-9])[A-Za-z0-9+/_\-\.=@:~]{16,}"
-RUN = r"[^\s\"'`<>(){}\[\],;|]{16,}"
+LONGEST = 512  # a longer body is a secret by no rule; it is scored by its whole length
 
-#: Words that introduce credentials, and pieces of common words.
-HINTS = "key|secret|token|password|passwd|pwd|auth|credential|bearer|aws|api"
+#: Formats of issued keys, names of credentials, pieces of common words.
+ISSUED = (
+    r"^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|"
+    r"^sk_(live|test)_[A-Za-z0-9]{16,}$|^AIza[A-Za-z0-9_-]{35}$"
+)
+CREDENTIAL = r"(?i)(password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|credential)"
+HINT = r"(?i)key|secret|token|passw|pwd|auth|credential|bearer|aws"
 PIECES = (
-    "tion|ment|ing|the|and|for|ers|able|ness|ally|est|com|net|org|www|http|mail|example|"
-    "page|index|html|image|user|name|file|data|this|that|with|from|have|ente|ung|lich|"
-    "keit|sch|que|les|des|par|los|las|ado|aci"
+    r"tion|ment|ing|the|and|for|ers|able|ness|ally|est|com|net|org|www|http|mail|example|page|"
+    r"index|html|image|user|file|data|this|that|with|from|ente|ung|lich|keit|sch|que|les|des|"
+    r"par|los|las|ado|aci"
 )
-ISSUED = r"^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|^sk_(live|test)_[A-Za-z0-9]{16,}$|^AIza[A-Za-z0-9_\-]{35}$"
-ASSIGNED = r"(?i)(password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s*[=:]\s*[\"']?$"
-ADDRESS = r"(?i)^[^@\s]+@[^@\s]+\.[a-z]{2,}|^https?:|^www\.|^/|^[\d\.\-+:/]+$"
+ADDRESS = r"(?i)@[a-z0-9-]+\.|^https?:|^www\.|^[/~.]|\.(com|org|net|html?)\b"
+NUMBER = r"^[\d.,:/+()-]+$|^\p{L}+[\d.,:]+$"
+BODY = r"([A-Za-z0-9+/_-]{12,}={0,2})[^A-Za-z0-9]*$"
+
+FEATURES = (
+    "f_length f_digits f_upper f_signs f_letter_digit f_case f_vowels f_repeats f_distinct "
+    "f_words f_address f_slashes f_dots f_before f_after f_name f_quoted"
+).split()
+
+
+def candidates(docs: DataFrame) -> DataFrame:
+    """doc_id, word_no, word, before, after, body and lead of every candidate."""
+    words = docs.select("doc_id", F.split(text_of(docs), r"\s+").alias("_w"))
+    picked = F.filter(
+        F.sequence(F.lit(0), F.size("_w") - 1),
+        lambda i: (F.length(F.get("_w", i)) >= LEAST) & F.get("_w", i).rlike("[0-9]"))
+
+    def found(i: Column) -> Column:
+        def word(at: Column) -> Column:
+            return F.coalesce(F.when(at >= 0, F.get("_w", at)), F.lit(""))
+
+        return F.struct(
+            i.cast("long").alias("word_no"), word(i).alias("word"),
+            F.concat_ws(" ", word(i - 2), word(i - 1)).alias("before"),
+            word(i + 1).alias("after"))
+
+    rows = words.select("doc_id", F.explode(F.transform(picked, found)).alias("_f"))
+    rows = rows.select("doc_id", "_f.*")
+    body = F.regexp_extract("word", BODY, 1)
+    return rows.withColumn(
+        "body", F.when((body != "") & body.rlike("[0-9]"), body).otherwise(F.col("word"))
+    ).withColumn("lead", F.expr("substring_index(word, body, 1)"))
+
+
+def with_features(rows: DataFrame) -> DataFrame:
+    """The features of FEATURES; each is a share, a count or a flag."""
+    body = F.col("body")
+    length = F.greatest(F.length(body), F.lit(1))
+
+    def count(pattern: str) -> Column:
+        return F.regexp_count(body, F.lit(pattern)) / length
+
+    return rows.withColumns({
+        "f_length": F.log1p(F.length(body)),
+        "f_digits": count("[0-9]"),
+        "f_upper": count(r"\p{Lu}"),
+        "f_signs": count(r"[^\p{L}0-9]"),
+        "f_letter_digit": count(r"(?<=[0-9])(?=\p{L})|(?<=\p{L})(?=[0-9])"),
+        "f_case": count(r"(?<=\p{Ll})(?=\p{Lu})|(?<=\p{Lu})(?=\p{Ll})"),
+        "f_vowels": count(r"(?i)(?<=[aeiou])(?=[b-df-hj-np-tv-z])"),
+        "f_repeats": count(r"(?=(.)\1)"),
+        "f_distinct": F.size(F.array_distinct(F.split(body, ""))) / length,
+        "f_words": 1 - F.length(F.regexp_replace(F.lower(body), PIECES, "")) / length,
+        "f_address": F.col("word").rlike(ADDRESS).cast("double"),
+        "f_slashes": F.regexp_count("word", F.lit("/")).cast("double"),
+        "f_dots": F.regexp_count("word", F.lit(r"\.")).cast("double"),
+        "f_before": F.col("before").rlike(HINT).cast("double"),
+        "f_after": F.col("after").rlike(HINT).cast("double"),
+        "f_name": F.col("lead").rlike(HINT).cast("double"),
+        "f_quoted": F.col("lead").rlike("[\"'=:]").cast("double"),
+    })
+
+
+def labelled(rows: DataFrame) -> DataFrame:
+    """``rule`` of each candidate, and ``label``: 1 true, 0 false, null unknown."""
+    named = F.concat_ws(" ", "before", "lead")
+    assigned = named.rlike(CREDENTIAL + r"[\"']?\s*(=|:|:=|is)\s*[\"']?$")
+    rule = (
+        F.when(F.col("body").rlike(ISSUED), "issued")
+        .when(F.col("word").rlike(ADDRESS), "address")
+        .when(F.col("word").rlike(NUMBER), "number")
+        .when(assigned & (F.length("body") <= LONGEST), "assigned")
+    )
+    label = F.when(rule.isin("issued", "assigned"), 1.0).when(rule.isNotNull(), 0.0)
+    return rows.withColumns({"rule": F.coalesce(rule, F.lit("unknown")), "label": label})
+
+
+def train(rows: DataFrame):
+    """A forest fitted on a bounded sample of labelled findings; None with one kind only."""
+    order = F.xxhash64(F.lit("secret"), "body", "word_no")
+    kinds = [
+        rows.filter(F.col("label") == label).orderBy(order, "doc_id").limit(FINDINGS)
+        .select("label", *FEATURES) for label in (0.0, 1.0)
+    ]
+    sample = stored(kinds[0].unionByName(kinds[1]), "secret-findings")
+    if sample.select("label").distinct().count() < 2:
+        return None
+    forest = RandomForestClassifier(
+        featuresCol="_features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=3)
+    return forest.fit(assembled(sample))
+
+
+def assembled(rows: DataFrame) -> DataFrame:
+    return VectorAssembler(inputCols=FEATURES, outputCol="_features").transform(rows)
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """doc_id, word_no, length, rule, score, is_secret and secret_sha256 of each candidate.
+
+    ``word_no`` counts the text's words between white space from 0. The secret itself is not
+    given out.
+    """
+    rows = stored(
+        labelled(with_features(candidates(docs))).select(
+            "doc_id", "word_no", "body", "rule", "label", *FEATURES),
+        "secret-candidates")
+    model = train(rows)
+    if model is None:
+        scored = rows.withColumn("score", F.coalesce("label", F.lit(0.0)))
+    else:
+        scored = model.transform(assembled(rows)).withColumn(
+            "score", vector_to_array("probability")[1])
+    return scored.select(
+        "doc_id", "word_no", F.length("body").cast("long").alias("length"), "rule", "score",
+        (F.col("score") >= THRESHOLD).alias("is_secret"),
+        F.sha2("body", 256).alias("secret_sha256"))

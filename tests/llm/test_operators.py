@@ -1,0 +1,437 @@
+"""Each operator on small awkward tables against a brute-force version of it."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from comity.llm import (
+    bpe, components, exact_dedup, licenses, mixing, ngram_join, secret_scan, sharding,
+    token_counts, toxicity, vectors,
+)
+
+SF_DIR = "/root/testdata/sf0.001"
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, size long, ids int"
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    """Nulls anywhere, empty and long texts, ties, repeated rows, clashing column names."""
+    rng = random.Random(4)
+    words = ["alpha", "beta", "Gamma", "delta,", "don't", "l'été", "x1", "<|endoftext|>", "日本", "!!"]
+    long = " ".join(rng.choice(words) + str(rng.randrange(50)) for _ in range(40_000))
+    rows = [
+        (1, "", "en", "a"), (2, None, "en", "a"), (3, "   \n\t", None, None),
+        (4, "one two three four five six seven", "en", "b"),
+        (5, "One two three FOUR five six seven", "en", "b"),
+        (5, "One two three FOUR five six seven", "en", "b"),
+        (None, "no id here at all, none", "en", None), (None, "no id here at all, none", "en", None),
+        (6, long, "en", "c"), (7, long + " end", "en", "c"), (8, "x" * 5000, "en", "c"),
+        (9, "The MIT License and the Apache License, Version 2.0", "en", "a"),
+        (10, "É é 'll don't     á", "fr", "é"),
+        (11, "É é 'll don't     á", "fr", "\U0001f600"),
+        (-12, "token = \"69760a67bd64a3a7e9ecd68ae8373485c8942606\" mail a.12@mail1.example.com", "en", "a"),
+    ]
+    return spark.createDataFrame(
+        [(*r, len(r[1] or ""), 3, 4) for r in rows], DOCUMENTS).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def nothing(awkward):
+    return awkward.limit(0)
+
+
+def plain(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def same(got, want):
+    assert Counter(map(repr, got)) == Counter(map(repr, want))
+
+
+# Operators 1 and 5
+
+
+def encoded(text):
+    return bpe.open_tokenizer(bpe.tokenizer_file()).encode(text or "", add_special_tokens=False).ids
+
+
+def digest(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_round_trip_is_the_librarys(awkward, nothing):
+    tokenizer = bpe.open_tokenizer(bpe.tokenizer_file())
+    want = []
+    for r in awkward.collect():
+        ids = encoded(r.text)
+        decoded = tokenizer.decode(ids, skip_special_tokens=False)
+        want.append((r.doc_id, len(ids), digest(" ".join(map(str, ids))), digest(decoded)))
+    same(plain(bpe.round_trip(awkward)), want)
+    assert bpe.round_trip(nothing).count() == 0
+
+
+def test_decode_joins_pieces(spark, awkward):
+    got = bpe.decode(bpe.encode(awkward.filter("doc_id = 10"))).first()
+    tokenizer = bpe.open_tokenizer(bpe.tokenizer_file())
+    assert got.decoded == tokenizer.decode(got.ids, skip_special_tokens=False)
+    lists = spark.createDataFrame([(1, None), (2, []), (3, [320, 49407])], "k int, ids array<int>")
+    assert plain(bpe.decode(lists).select("k", "decoded").orderBy("k")) == [
+        (1, ""), (2, ""), (3, "a</w> <|endoftext|>")]
+    with pytest.raises(Exception, match="without a piece"):
+        bpe.decode(spark.createDataFrame([(1, [999_999])], "k int, ids array<int>")).collect()
+
+
+def test_token_counts(awkward, nothing):
+    want = [(r.doc_id, len((r.text or "").encode()), len(encoded(r.text)),
+             len(encoded(r.text)) > 2048) for r in awkward.collect()]
+    same([r[:4] for r in plain(token_counts.count_documents(awkward))], want)
+    assert token_counts.count_documents(nothing).count() == 0
+
+
+def test_every_prefix_count(awkward):
+    docs = awkward.withColumn("copy", F.col("text")).filter("n_chars < 200")
+    for r in token_counts.prefix_counts(docs, keep=("doc_id", "copy"), limit=5).collect():
+        text = r["copy"] or ""
+        counts = [len(encoded(text[:i])) for i in range(len(text) + 1)]
+        assert r.prefix_tokens == counts
+        assert r.fits_chars == max(
+            i for i in range(len(text) + 1) if max(counts[:i + 1]) <= 5)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from("abcXYZ'd123!?éßǆ")),
+               min_size=1, max_size=12))
+def test_prefixes_of_any_word(text):
+    word = re.sub(r"[\x09-\x0d\x20]", "", text)
+    counter = token_counts._counter(bpe.tokenizer_file())
+    assert counter.word(word) == [len(encoded(word[:i + 1])) for i in range(len(word))]
+
+
+# Operator 2
+
+
+def duck(docs):
+    con = duckdb.connect()
+    frame = docs.select("doc_id", "text", "lang", "source", "n_chars").toArrow()
+    con.register("documents", frame)
+    return con
+
+
+def test_mixing_equals_its_sql(spark, awkward, nothing):
+    for docs in (awkward, nothing):
+        got = mixing.mix(docs)
+        rel = duck(docs).sql(mixing.ORACLE_SQL)
+        order = [rel.columns.index(c) for c in got.columns]
+        same(plain(got), [tuple(r[i] for i in order) for r in rel.fetchall()])
+
+
+def test_mix_comes_near_its_targets(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    taken, target = Counter(), {}
+    for r in mixing.mix(docs).collect():
+        assert 0 <= r.taken <= 3 * r.size and r.size <= r.source_size
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert all(abs(taken[s] - t) <= 3 * mixing.BLOCK_WORDS for s, t in target.items())
+    assert sum(target.values()) == pytest.approx(
+        sum(r.size for r in mixing.mix(docs).collect()))
+
+
+def test_quotas_are_sainte_lague(spark):
+    rng = random.Random(1)
+    sizes = [rng.randrange(1, 20_000) for _ in range(9)]
+    rows = spark.createDataFrame([(f"s{i}", s) for i, s in enumerate(sizes)],
+                                 "source string, source_size long")
+    wanted = mixing.targets(rows)
+    goal = {r["rank"]: r.target for r in wanted.collect()}
+    blocks = -(-sum(sizes) // mixing.BLOCK_WORDS)
+    quotients = sorted(((-t / (2 * k - 1), i) for i, t in goal.items()
+                        for k in range(1, blocks + 1)))
+    order = [i for _, i in quotients[:blocks]]
+    quotas = mixing.shard_quotas(wanted, 7).collect()
+    for shard in range(7):
+        begin, end = blocks * shard // 7, blocks * (shard + 1) // 7
+        want = Counter(order[begin:end])
+        assert {q["rank"]: q.quota for q in quotas if q.shard == shard and q.quota} == want
+
+
+def test_mixed_rows(awkward, nothing):
+    rows = mixing.mixed(awkward)
+    assert rows.columns == awkward.columns and mixing.mixed(nothing).count() == 0
+    assert rows.filter("trim(text) = '' or text is null").count() == 0
+
+
+# Operator 3
+
+
+def test_toxicity_learns_from_positives(spark):
+    rng = random.Random(2)
+    common = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    rows, labels = [], []
+    for i in range(1500):
+        toxic = i % 8 == 0
+        text = rng.choices(common, k=40) + ["Vile!", "nasty"] * toxic
+        rng.shuffle(text)
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows + [(None, None), (9000, "")], "doc_id long, text string")
+    truth = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.toxicity(docs, truth).collect()
+    known = dict(labels)
+    assert len(got) == len(rows) + 2
+    for r in got:
+        assert 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3)
+        if r.doc_id is not None:
+            assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+    hits = [r.predicted == known[r.doc_id] for r in got if r.doc_id in known and r.held_out]
+    assert np.mean(hits) > 0.95
+    assert toxicity.clean_documents(docs, truth).columns == docs.columns
+
+
+def test_toxicity_without_examples(spark, awkward, nothing):
+    none = spark.createDataFrame([(4, 0)], "doc_id long, toxic int")
+    assert {r.score for r in toxicity.toxicity(awkward, none).collect()} == {0.0}
+    assert toxicity.toxicity(nothing, none).count() == 0
+    assert toxicity.clean_documents(awkward, none).count() == awkward.count()
+
+
+# Operators 4 and 7
+
+
+def union(nodes, edges):
+    root = {n: n for n in nodes}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+def test_vectors_against_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(150, 64))
+    near = base[:40] + rng.normal(size=(40, 64)) * 0.25
+    copies = np.repeat(base[:1], 700, axis=0) + rng.normal(size=(700, 64)) * 0.01
+    every = np.concatenate([base, near, copies]).astype(np.float32)
+    odd = [None, [], [0.0] * 64, [float("nan")] + [1.0] * 63, [None] + [1.0] * 63,
+           [float("inf")] * 64, [1.0, 2.0], [2.0, 4.0]]
+    rows = [(i, v.tolist(), "l") for i, v in enumerate(every)]
+    rows += [(2000 + i, v, "l") for i, v in enumerate(odd)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")
+    got = {r.vec_id: r for r in vectors.near_duplicates(frame).collect()}
+    unit = every.astype(float) / np.linalg.norm(every.astype(float), axis=1)[:, None]
+    close = np.argwhere(np.triu(unit @ unit.T >= 0.9, 1))
+    links = Counter(close.ravel().tolist())
+    found = sum(r.n_links for i, r in got.items() if i < 2000)
+    assert 0.97 * sum(links.values()) <= found <= sum(links.values())
+    assert all(got[i].n_links <= links[i] for i in range(len(every)))
+    groups = union(range(len(every)), close)
+    assert np.mean([got[i].component_id == groups[i] for i in range(len(every))]) > 0.97
+    assert all(got[2000 + i].n_links == 0 and got[2000 + i].kept for i in range(6))
+    assert got[2006].n_links == got[2007].n_links == 1 and got[2007].component_id == 2006
+    assert vectors.near_duplicates(frame.limit(0)).count() == 0
+    assert vectors.expected_recall(0.9) > 0.95
+
+
+def shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_ngram_join_against_all_pairs(spark, awkward, nothing):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdefghijk") for _ in range(6)) for _ in range(500)]
+    texts = [" ".join(rng.choices(vocabulary, k=120)) for _ in range(60)]
+    family = texts[0].split()
+    for _ in range(300):  # a large family of near copies, and copies of them
+        copy = list(family)
+        copy[rng.randrange(120)] = rng.choice(vocabulary)
+        texts += [" ".join(copy)] * rng.choice([1, 1, 2])
+    for text in texts[1:40]:
+        cut = text.split()
+        cut[60:63] = ["other"] * rng.randrange(4)
+        texts.append(" ".join(cut))
+    rows = [(i, t) for i, t in enumerate(texts)]
+    sets = [shingles(t) for t in texts]
+    links, edges = Counter(), []
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                links.update((i, j))
+                edges.append((i, j))
+    groups = union(range(len(sets)), edges)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.jaccard_join(frame).collect()
+    assert sum(r.n_links for r in got) >= 0.998 * sum(links.values())
+    assert all(r.n_links <= links[r.doc_id] for r in got)
+    assert sum(r.class_id != groups[r.doc_id] for r in got) <= 1
+    assert ngram_join.jaccard_join(nothing).count() == 0
+
+
+def test_ngram_join_of_awkward_rows(awkward):
+    got = defaultdict(list)
+    for r in ngram_join.jaccard_join(awkward).collect():
+        got[r.doc_id].append((r.class_id, r.n_links))
+    assert got[1] == got[2] == got[3] == [(1, 2)]
+    assert got[4] == [(4, 2)] and got[5] == [(4, 2)] * 2
+    assert got[None] == [(None, 1)] * 2
+    assert got[6] == [(6, 1)] and got[7] == [(6, 1)] and got[10] == [(10, 1)]
+    kept = ngram_join.one_of_each(awkward)
+    assert kept.columns == awkward.columns
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [-12, 1, 4, 6, 8, 9, 10]
+
+
+def test_components(spark):
+    rng = random.Random(6)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(140)]
+    edges += [(i, i + 1) for i in range(1000, 1100)] + [(2000, 2000)]
+    want = union({n for e in edges for n in e if e[0] != e[1]}, [e for e in edges if e[0] != e[1]])
+    frame = spark.createDataFrame(edges, "a long, b long")
+    assert dict(plain(components.components(frame))) == want
+    assert components.components(frame.limit(0)).count() == 0
+
+
+# Operator 6
+
+
+def places(text):
+    words = re.findall(licenses.WORD, re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    found = []
+    for phrase, label in licenses.PHRASES.items():
+        body = phrase.split()
+        found += [(i, label) for i in range(len(words)) if words[i:i + len(body)] == body]
+    return len(words), found
+
+
+def test_license_places(spark, awkward, nothing):
+    more = spark.createDataFrame(
+        [(90, "the mit license " * 40), (91, "cc by nc by nc cc cc-by-nc"), (92, "the mit licenses"),
+         (93, "Licensed under the Apache LICENSE version 2"), (94, "apache license version 3")],
+        "doc_id long, text string")
+    docs = awkward.select("doc_id", "text").unionByName(more)
+    want = []
+    for r in docs.collect():
+        n, found = places(r.text)
+        at = [i for i, _ in found]
+        want.append((r.doc_id, n, len(found), min(at, default=None), max(at, default=None),
+                     ",".join(sorted({label for _, label in found}))))
+    rows = licenses.scan(docs).collect()
+    same([tuple(r[:6]) for r in rows], want)
+    for r in rows:
+        assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(",")))
+        assert 0 <= r.score <= 1 and (r.score > 0) == (r.labels != "")
+    assert licenses.scan(nothing).count() == 0
+
+
+def test_license_with_a_word_put_in(spark):
+    text = ("This work is hereby licensed under the GNU General Public License, version 3",
+            "this work is under the gnu tree")
+    docs = spark.createDataFrame(list(enumerate(text)), "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in licenses.scan(docs).collect()} == {0: "gpl-3", 1: ""}
+
+
+# Operator 8
+
+
+def test_secret_scan(spark, awkward, nothing):
+    rng = random.Random(8)
+    rows = []
+    for i in range(400):
+        key = "".join(rng.choice("0123456789abcdef") for _ in range(32))
+        word = "".join(rng.choice(["tion", "ment", "the", "ing"]) for _ in range(4))
+        rows.append((i, [f'token = "{key}" and', f"mail {word}.{i}@mail1.example.com now",
+                         f"password={key[:18]} is", f"call {word}{i} or", "nothing here"][i % 5]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = secret_scan.scan(docs).collect()
+    assert {r.doc_id for r in got} == {i for i, _ in rows if i % 5 != 4}
+    for r in got:
+        assert r.is_secret == (r.doc_id % 5 in (0, 2)), rows[r.doc_id]
+    only = secret_scan.scan(awkward.filter("doc_id = -12")).collect()
+    assert sorted((r.word_no, r.is_secret) for r in only) == [(2, True), (4, False)]
+    assert secret_scan.scan(nothing).count() == 0
+    assert {r.doc_id for r in secret_scan.scan(awkward).collect()} <= {8, 6, 7, -12}
+
+
+# Operator 9
+
+
+def test_sharding(spark, awkward, nothing):
+    docs = spark.range(3000).select(
+        F.when(F.col("id") < 1000, F.lit(None)).otherwise(F.col("id")).alias("doc_id"),
+        F.when(F.col("id") % 7 > 0, F.concat(F.lit("é"), (F.col("id") % 50).cast("string")))
+        .alias("text"))
+    for frame, n in ((docs, 3000), (awkward, awkward.count()), (nothing, 0)):
+        rows = sharding.assign(frame).collect()
+        assert len(rows) == n
+        slots = defaultdict(list)
+        for r in rows:
+            slots[r.shard].append(r.slot)
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+        counts = [len(slots[s]) for s in range(24)]
+        assert max(counts) - min(counts) <= 1 and sum(counts) == n
+        texts = Counter(((r.doc_id, len((r.text or "").encode()) + 8,
+                          zlib.crc32((r.text or "").encode()))) for r in frame.collect())
+        assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == texts
+
+
+def test_ring_walk_is_the_row_by_row_one():
+    rng = random.Random(9)
+    owners = [rng.randrange(5) for _ in range(40)]
+    counts = [rng.choice([0, 1, 3, 60]) for _ in owners]
+    total = sum(counts)
+    room = [total // 5 + (s < total % 5) for s in range(5)]
+    taken = sharding.walk(counts, owners, room)
+    assert sum(e - b for _, b, e, _, _ in taken) == total
+    # A row stands where the walk from its own arc first finds room that is left to it.
+    free = list(room)
+    for home, begin, end, shard, slot in taken:
+        assert room[shard] - free[shard] == slot
+        free[shard] -= end - begin
+    assert free == [0] * 5
+    covered = defaultdict(list)
+    for home, begin, end, _, _ in taken:
+        covered[home].append((begin, end))
+    for home, n in enumerate(counts):
+        parts = sorted(covered[home])
+        assert [b for b, _ in parts] == [0, *[e for _, e in parts][:-1]][:len(parts)]
+        assert not n or parts[-1][1] == n
+
+
+# Operator 10
+
+
+def test_exact_dedup_equals_its_sql(awkward, nothing):
+    for docs in (awkward, nothing):
+        got = exact_dedup.exact_dedup(docs)
+        rel = duck(docs).sql(exact_dedup.ORACLE_SQL)
+        order = [rel.columns.index(c) for c in got.columns]
+        same(plain(got), [tuple(r[i] for i in order) for r in rel.fetchall()])
+
+
+def test_texts_that_share_a_digest_stay_apart(awkward):
+    weak = exact_dedup.results(awkward, digest=lambda t: (F.crc32(t) % 3).cast("string"))
+    strong = exact_dedup.results(awkward)
+    same(plain(weak.drop("_digest")), plain(strong.drop("_digest")))
+
+
+def test_one_row_of_each_group_stays(awkward):
+    kept = exact_dedup.deduplicated(awkward)
+    assert kept.columns == awkward.columns
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(
+        [2, 3, 5, None, 6, 7, 8, 9, 11, -12])
