@@ -52,7 +52,7 @@ PIECES = (
     r"par|los|las|ado|aci"
 )
 ADDRESS = r"(?i)@[a-z0-9-]+\.|^https?:|^www\.|^[/~.]|\.(com|org|net|html?)\b"
-NUMBER = r"^[\d.,:/+()-]+$|^\p{L}+[\d.,:]+$"
+NUMBER = r"^[^\p{L}]+$|^\p{L}+[\d.,:]+[^\p{L}\d]*$"
 BODY = r"([A-Za-z0-9+/_-]{12,}={0,2})[^A-Za-z0-9]*$"
 
 FEATURES = (
