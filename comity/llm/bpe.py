@@ -100,8 +100,10 @@ def encode(
 
 def joined_pieces(lists: pa.ListArray, table: pa.Array) -> pa.Array:
     """The pieces of each list of ids, joined by a space."""
-    found = table.take(lists.flatten())
-    if found.null_count:
+    flat = lists.flatten()
+    known = not len(flat) or (pc.min(flat).as_py() >= 0 and pc.max(flat).as_py() < len(table))
+    found = table.take(flat) if known and not flat.null_count else None
+    if found is None or found.null_count:
         raise ValueError("an id without a piece")
     sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
     bounds = np.concatenate([[0], np.cumsum(sizes)])

@@ -85,7 +85,8 @@ class PrefixCounter:
     def run(self, text: str) -> list[int]:
         """Counts after each character of a run of letters in lower case, composed form."""
         data = text.encode()
-        word = "".join([self.symbols[b] for b in data]) if not text.isascii() else text
+        plain_text = text.isascii() and text.isprintable()
+        word = text if plain_text else "".join([self.symbols[b] for b in data])
         plain, ended, pairs, stands = self.vocabulary, self.ended, self.pairs, self.stands
         # What the run before shares with this one is worked out already.
         last, count, out, same = self.state
