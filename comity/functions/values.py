@@ -73,7 +73,14 @@ def parse_label_map(labels_json: Column | str) -> Column:
     """
     c = F.col(labels_json) if isinstance(labels_json, str) else labels_json
     empty = F.create_map().cast("map<string,string>")
-    return F.coalesce(F.from_json(c, "map<string,string>"), empty)
+    parsed = F.coalesce(F.from_json(c, "map<string,string>"), empty)
+    # Of entries with the same key the last one counts, as in other JSON readers.
+    entries = F.map_entries(parsed)
+    last = F.filter(entries, lambda e, i: ~F.exists(
+        F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]))
+    return F.when(
+        F.size(F.array_distinct(F.map_keys(parsed))) == F.size(entries), parsed
+    ).otherwise(F.map_from_entries(last))
 
 
 def label_score(labels: Column, label: str) -> Column:

@@ -65,22 +65,40 @@ def _total(condition: Column) -> Column:
     return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
 
 
-def overall(
-    counts: DataFrame, *by: str, classes: Sequence[int] = K.CLASSES
-) -> DataFrame:
-    """Accuracy and macro averages over the classes seen in truth or prediction."""
-    seen = (F.col("support") + F.col("predicted")) > 0
-    return (
-        per_class(counts, *by, classes=classes)
-        .groupBy(*by)
+def overall(counts: DataFrame, *by: str) -> DataFrame:
+    """Accuracy over all rows, and macro averages over all labels seen in truth or
+    prediction, listed classes or not. A row without a label is never a hit."""
+    sides = F.array(
+        F.struct(F.col("actual").alias("class"), F.col("n").alias("support"),
+                 F.lit(0).cast("bigint").alias("predicted")),
+        F.struct(F.col("predicted").alias("class"), F.lit(0).cast("bigint").alias("support"),
+                 F.col("n").alias("predicted")),
+    )
+    hit = F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)
+    labels = (
+        counts.select(*by, F.inline(sides))
+        .groupBy(*by, "class")
         .agg(
-            F.sum("support").alias("rows"),
-            _ratio(F.sum("hits"), F.sum("support")).alias("accuracy"),
-            F.avg(F.when(seen, F.col("precision"))).alias("precision_macro"),
-            F.avg(F.when(seen, F.col("recall"))).alias("recall_macro"),
-            F.avg(F.when(seen, F.col("f1"))).alias("f1_macro"),
+            F.sum("support").alias("support"),
+            F.sum("predicted").alias("predicted"),
         )
     )
+    hits = counts.groupBy(*by, F.col("actual").alias("class")).agg(F.sum(hit).alias("hits"))
+    keys = [F.col(f"l.{k}").eqNullSafe(F.col(f"h.{k}")) for k in (*by, "class")]
+    joined = labels.alias("l").join(hits.alias("h"), keys, "left").select(
+        *[F.col(f"l.{k}").alias(k) for k in (*by, "class")], "support", "predicted",
+        F.coalesce("hits", F.lit(0)).cast("bigint").alias("hits"))
+    precision = _ratio(F.col("hits"), F.col("predicted"))
+    recall = _ratio(F.col("hits"), F.col("support"))
+    scored = joined.withColumns({"precision": precision, "recall": recall}).withColumn(
+        "f1", _f1(F.col("precision"), F.col("recall")))
+    named = F.col("class").isNotNull()
+    return scored.groupBy(*by).agg(
+        F.sum("support").alias("rows"),
+        _ratio(F.sum("hits"), F.sum("support")).alias("accuracy"),
+        *[F.avg(F.when(named, F.col(m))).alias(f"{m}_macro")
+          for m in ("precision", "recall", "f1")],
+    )
 
 
 def report(
@@ -192,27 +210,34 @@ def multilabel_averages(per_label: DataFrame) -> DataFrame:
 
 
 def roc_auc(
-    df: DataFrame,
-    *by: str,
-    label: str = "label",
-    score: str = "score",
-    digits: int = 4,
+    df: DataFrame, *by: str, label: str = "label", score: str = "score", bins: int = 4096
 ) -> DataFrame:
     """Area under the ROC curve by the rank-sum formula, ties at half weight.
 
-    Scores carry at most ``digits`` decimals, so after counting positives and negatives
-    per distinct score at most 10**digits + 1 rows per key are left, and the running
-    count over them is bounded. Null when a class is absent.
+    Exact: scores are ranked as they are. Positives and negatives are counted per
+    distinct score; scores fall into ``bins`` equal parts of [0, 1], whose counts are
+    summed up first, so that a window holds the scores of one bin only. Null and NaN
+    scores are left out. Null when a class is absent.
     """
-    counted = df.groupBy(*by, F.bround(score, digits).alias("_score")).agg(
+    value = F.col(score).cast("double")
+    counted = df.filter(value.isNotNull() & ~F.isnan(value)).groupBy(
+        *by, value.alias("_score")
+    ).agg(
         F.count_if(F.col(label) == 1).cast("double").alias("_pos"),
         F.count_if(F.col(label) == 0).cast("double").alias("_neg"),
-    )
-    below = Window.partitionBy(*by).orderBy("_score").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    ranked = counted.withColumn("_below", F.coalesce(F.sum("_neg").over(below), F.lit(0.0)))
-    won = F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2))
+    ).withColumn("_bin", F.floor(F.greatest(F.least("_score", F.lit(1.0)), F.lit(0.0)) * bins))
+    below = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counted.groupBy(*by, "_bin").agg(F.sum("_neg").alias("_n")).select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], F.col("_bin").alias("_b"),
+        F.coalesce(F.sum("_n").over(below), F.lit(0.0)).alias("_offset"))
+    same = F.col("_bin") == F.col("_b")
+    for i, k in enumerate(by):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    inside = Window.partitionBy(*by, "_bin").orderBy("_score").rowsBetween(
+        Window.unboundedPreceding, -1)
+    ranked = counted.withColumn("_inside", F.coalesce(F.sum("_neg").over(inside), F.lit(0.0)))
+    ranked = ranked.join(offsets, same)
+    won = F.sum(F.col("_pos") * (F.col("_offset") + F.col("_inside") + F.col("_neg") / 2))
     return ranked.groupBy(*by).agg(
         F.sum("_pos").cast("bigint").alias("positives"),
         F.sum("_neg").cast("bigint").alias("negatives"),
@@ -223,15 +248,14 @@ def roc_auc(
 def slices(
     df: DataFrame,
     slice_col: str,
-    classes: Sequence[int] = K.CLASSES,
     actual: str = "label",
     predicted: str = "prediction",
 ) -> DataFrame:
     """Metrics per value of a non-sensitive field, and the accuracy gap to the whole."""
     counts = confusion_counts(df, slice_col, actual=actual, predicted=predicted)
     whole = counts.groupBy("actual", "predicted").agg(F.sum("n").alias("n"))
-    accuracy = overall(whole, classes=classes).select("accuracy").scalar()
-    return overall(counts, slice_col, classes=classes).withColumn(
+    accuracy = overall(whole).select("accuracy").scalar()
+    return overall(counts, slice_col).withColumn(
         "accuracy_gap", F.col("accuracy") - accuracy
     )
 

@@ -75,7 +75,8 @@ def number_rows(
 ) -> DataFrame:
     """Number the rows of each group from 1, in order of a unique integer position.
 
-    Positions should be dense, such as a comment's place in its thread.
+    Positions should be dense, such as a comment's place in its thread. Null groups are
+    a group; rows without a position come last.
 
     A plain row_number would sort a whole group in one task. Here positions are cut
     into blocks; blocks are counted, a running sum over the block counts gives each
@@ -84,17 +85,20 @@ def number_rows(
     """
     group = list(group)
     blocked = df.withColumn("_block", F.floor(F.col(position) / block_size))
-    before = Window.partitionBy(*group).orderBy("_block").rowsBetween(
+    before = Window.partitionBy(*group).orderBy(F.col("_block").asc_nulls_last()).rowsBetween(
         Window.unboundedPreceding, -1
     )
     offsets = (
         blocked.groupBy(*group, "_block").agg(F.count("*").alias("_rows"))
         .withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-        .drop("_rows")
+        .select(*[F.col(k).alias(f"_k_{k}") for k in (*group, "_block")], "_offset")
     )
+    same = F.lit(True)
+    for k in (*group, "_block"):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     inside = Window.partitionBy(*group, "_block").orderBy(position)
     return (
-        blocked.join(offsets, [*group, "_block"])
+        blocked.join(offsets, same)
         .withColumn(name, F.col("_offset") + F.row_number().over(inside))
         .select(name, *df.columns)
     )

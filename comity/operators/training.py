@@ -57,7 +57,7 @@ def train_classifier(
                 "prediction", F.col("prediction").cast("int")
             )
             row = evaluate.overall(
-                evaluate.confusion_counts(predicted), classes=classes
+                evaluate.confusion_counts(predicted)
             ).first()
             fitted.append((reg, model, row))
     finally:

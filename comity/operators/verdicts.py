@@ -17,8 +17,9 @@ Scores = Mapping[str, Column]
 
 
 def highest(scores: Scores, labels=None) -> Column:
-    """Largest score; missing scores do not count and no score at all gives 0."""
-    picked = [scores[label] for label in (labels or scores)]
+    """Largest score; missing and NaN scores do not count, and none at all gives 0."""
+    picked = [F.nullif(scores[label].cast("double"), F.lit(float("nan")))
+              for label in (labels or scores)]
     top = picked[0] if len(picked) == 1 else F.greatest(*picked)
     return F.coalesce(top, F.lit(0.0))
 

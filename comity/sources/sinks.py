@@ -160,7 +160,11 @@ def erase_days(
     if not touched:
         return
     staged = new_path(spark, "erase")
-    erase(history.filter(F.col("created_date").isin(touched)), asked, keys).write.parquet(staged)
+    day = F.col("created_date")
+    among = day.isin([d for d in touched if d is not None])
+    if None in touched:
+        among = day.isNull() | among
+    erase(history.filter(among), asked, keys).write.parquet(staged)
 
     survivors = spark.read.schema(history.schema).parquet(staged)
     (
@@ -172,7 +176,8 @@ def erase_days(
     )
     # A day without survivors is not part of the rewrite; its partition is removed.
     for day in set(touched) - set(_days(survivors)):
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/created_date={day}")
+        name = "__HIVE_DEFAULT_PARTITION__" if day is None else day
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/created_date={name}")
         conf = spark.sparkContext._jsc.hadoopConfiguration()
         folder.getFileSystem(conf).delete(folder, True)
 

@@ -30,6 +30,7 @@ PAGE_SCHEMA = T.StructType([
 ])
 VIDEO_SCHEMA = T.StructType([
     T.StructField("items", T.ArrayType(T.StructType([
+        T.StructField("id", T.StringType()),
         T.StructField("snippet", T.StructType([
             T.StructField("title", T.StringType()),
             T.StructField("channelTitle", T.StringType()),
@@ -112,7 +113,10 @@ def collected_comments(comments: DataFrame, source: str = "youtube") -> DataFram
 
 
 def video_info(df: DataFrame, json_col: str, id_col: str = "video_id") -> DataFrame:
-    """Flat video rows from landed responses; a response without items gives no row."""
+    """Flat video rows from landed responses, one for each item.
+
+    A video's id is its item's, or else the request's; no items give no row.
+    """
     def count(c: Column) -> Column:
         return F.coalesce(c.cast("bigint"), F.lit(0).cast("bigint"))
 
@@ -122,10 +126,10 @@ def video_info(df: DataFrame, json_col: str, id_col: str = "video_id") -> DataFr
     item = F.col("_item")
     return (
         df.select(id_col, F.from_json(json_col, VIDEO_SCHEMA)["items"].alias("_items"))
-        .select(id_col, F.explode_outer(F.slice("_items", 1, 1)).alias("_item"))
+        .select(id_col, F.explode_outer("_items").alias("_item"))
         .filter(item.isNotNull())
         .select(
-            F.col(id_col).alias("video_id"),
+            F.coalesce(item["id"], F.col(id_col)).alias("video_id"),
             text(item["snippet"]["title"]).alias("title"),
             text(item["snippet"]["channelTitle"]).alias("channel"),
             text(item["snippet"]["publishedAt"]).alias("published_at"),

@@ -1,6 +1,7 @@
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry, oracle_sql
+from comity.plans.catalog import QUERIES
 from tests.compare import connect, difference
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -11,7 +12,7 @@ def con():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_its_sql(spark, con, name):
     assert difference(spark, con, SF_DIR, name) is None
 
@@ -22,11 +23,11 @@ def test_entry(spark):
 
 
 def test_only_training_has_no_sql():
-    assert set(queries()) - set(oracle_sql()) == {"train_classifier"}
+    assert set(QUERIES) - set(oracle_sql()) == {"train_classifier"}
 
 
 def test_no_plan_holds_a_cross_join(spark):
-    for name, run in queries().items():
+    for name, run in QUERIES.items():
         if name in ("train_classifier", "stream_history", "stream_daily"):
             continue
         plan = run(spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()

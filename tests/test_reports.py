@@ -152,7 +152,7 @@ def test_slices_and_examples(spark):
     data = [("a", 1, 1, 0.9), ("a", 0, 1, 0.8), ("b", 0, 0, 0.7), ("b", 1, 0, 0.6), ("b", 1, 0, 0.9)]
     df = spark.createDataFrame(
         [(i, *d) for i, d in enumerate(data)], "doc_id int, lang string, label int, prediction int, confidence double")
-    got = {r["lang"]: r for r in evaluate.slices(df, "lang", classes=(0, 1)).collect()}
+    got = {r["lang"]: r for r in evaluate.slices(df, "lang").collect()}
     assert got["a"]["accuracy"] == 0.5 and got["a"]["accuracy_gap"] == pytest.approx(0.1)
     errors = evaluate.error_examples(df, "doc_id", 1).collect()
     assert sorted((r["error_type"], r["doc_id"]) for r in errors) == [
