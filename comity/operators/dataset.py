@@ -13,6 +13,7 @@ from comity.operators.verdicts import settled
 
 SPLITS = ("train", "val", "test")
 _HEX_DIGITS = 4
+MAX_CLASSES = 1_000
 
 
 def clean_labelled(
@@ -45,9 +46,14 @@ def keep_first(df: DataFrame, by: str, key_col: str) -> DataFrame:
     ).select(*df.columns)
 
 
+def _digest(text_col: str) -> Column:
+    """Stands for a text where only equality counts, so that texts stay out of shuffles."""
+    return F.sha2(F.col(text_col).cast("string"), 256)
+
+
 def dedupe_report(df: DataFrame, by: str) -> DataFrame:
     """Rows before, rows kept and rows removed by ``keep_first``."""
-    per_text = df.groupBy(by).agg(F.count("*").alias("_n"))
+    per_text = df.groupBy(_digest(by)).agg(F.count("*").alias("_n"))
     return per_text.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("rows_before"),
         F.count("*").alias("rows_kept"),
@@ -57,14 +63,14 @@ def dedupe_report(df: DataFrame, by: str) -> DataFrame:
 
 def split_order(key_col: str, seed: int = 42) -> Column:
     """Hash that orders the rows of a class; unique as long as the key is."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key_col).cast("string")))
+    key = F.coalesce(F.col(key_col).cast("string"), F.lit(""))
+    return F.md5(F.concat(F.lit(f"{seed}:"), key))
 
 
 def stratified_split(
     df: DataFrame,
     label_col: str = "class",
     key_col: str = "row_key",
-    classes: Sequence[int] = K.CLASSES,
     val_share: float = 0.10,
     test_share: float = 0.10,
     seed: int = 42,
@@ -75,12 +81,17 @@ def stratified_split(
     each class is counted per hash prefix, the cut positions are located in that small
     table, and only the one or two prefixes that hold a cut are ranked row by row. The
     full table is then labelled by comparing its hash with two cut values per class,
-    without any shuffle. The cut table has one row per listed class, which bounds the
-    broadcast. The input is read three times, so it should be a stored table rather
-    than an expensive plan.
+    without any shuffle.
+
+    Every class found is split, null being one of them. The cut table has one row per
+    class; more than MAX_CLASSES of them are an error, which bounds the broadcasts. The
+    input is read several times, so it should be a stored table rather than an
+    expensive plan.
     """
+    if df.select(label_col).distinct().limit(MAX_CLASSES + 1).count() > MAX_CLASSES:
+        raise ValueError(f"{label_col!r} has more than {MAX_CLASSES} classes")
     order = split_order(key_col, seed)
-    keys = df.filter(F.col(label_col).isin(list(classes))).select(
+    keys = df.select(
         F.col(label_col).alias("_class"), order.alias("_order")
     ).withColumn("_prefix", F.substring("_order", 1, _HEX_DIGITS))
 
@@ -101,9 +112,13 @@ def stratified_split(
         return (F.col(cut) > F.col("_start")) & (F.col(cut) <= F.col("_end"))
 
     wanted = prefixes.filter(holds("_train") | holds("_val")).select(
-        "_class", "_prefix", "_start", "_train", "_val"
+        F.col("_class").alias("_in_class"), F.col("_prefix").alias("_in_prefix"),
+        "_start", "_train", "_val",
+    )
+    inside = F.col("_class").eqNullSafe(F.col("_in_class")) & (
+        F.col("_prefix") == F.col("_in_prefix")
     )
-    ranked = keys.join(F.broadcast(wanted), ["_class", "_prefix"]).withColumn(
+    ranked = keys.join(F.broadcast(wanted), inside).withColumn(
         "_rank",
         F.col("_start")
         + F.row_number().over(Window.partitionBy("_class", "_prefix").orderBy("_order")),
@@ -117,16 +132,14 @@ def stratified_split(
         )
     )
     labelled = df.withColumn("_order", order).join(
-        F.broadcast(cuts), F.col(label_col) == F.col("_class"), "left"
+        F.broadcast(cuts), F.col(label_col).eqNullSafe(F.col("_class")), "left"
     )
     split = (
         F.when(F.col("_order") <= F.col("_train_cut"), "train")
         .when(F.col("_order") <= F.col("_val_cut"), "val")
         .otherwise("test")
     )
-    return labelled.filter(F.col(label_col).isin(list(classes))).withColumn(
-        "split", split
-    ).select(*df.columns, "split")
+    return labelled.withColumn("split", split).select(*df.columns, "split")
 
 
 def _val_part(val_share: float, test_share: float) -> float:
@@ -146,13 +159,13 @@ def cleaning_report(df: DataFrame, text_col: str = "tweet") -> DataFrame:
         F.count_if(text.rlike(tx.MENTION)).alias("mentions"),
         F.count_if(text.rlike(mark)).alias("retweets"),
         F.count_if(tx.is_blank(text_col)).alias("empty"),
-        (F.count(text) - F.count_distinct(text)).alias("duplicates"),
+        (F.count(text) - F.count_distinct(_digest(text_col))).alias("duplicates"),
     )
 
 
 def split_overlap(df: DataFrame, text_col: str = "tweet") -> DataFrame:
     """Distinct texts shared by each pair of splits, from one pass with one shuffle."""
-    seen = df.groupBy(text_col).agg(
+    seen = df.groupBy(_digest(text_col)).agg(
         *[F.max((F.col("split") == s).cast("int")).alias(s) for s in SPLITS]
     )
 

@@ -105,8 +105,11 @@ def number_rows(
 
 
 def numbered_comments(scored: DataFrame, block_size: int = 200_000) -> DataFrame:
-    """The comment listing: a number per video, null-free fields."""
-    filled = scored.fillna("").fillna(0.0)
+    """The comment listing: a number per video, null-free fields.
+
+    A null position stays null, so its row comes last rather than tie with the first.
+    """
+    filled = scored.fillna("").fillna(0.0, [c for c in scored.columns if c != "position"])
     return number_rows(filled, ["video_id"], "position", block_size)
 
 

@@ -308,8 +308,7 @@ def dedupe_report(spark, sf):
 
 @query
 def stratified_split(spark, sf):
-    rows = dataset.clean_labelled(inputs.training_rows(spark, sf), entities="core")
-    split = dataset.stratified_split(dataset.keep_first(rows, "tweet", "row_key"))
+    split = flows.prepare_dataset(inputs.training_rows(spark, sf))
     return split.select("row_key", "class", "split")
 
 
@@ -884,8 +883,12 @@ def stream_history(spark, sf):
 @query
 def stream_daily(spark, sf):
     events = inputs.history_from_events(_event_stream(spark, sf))
-    counts = streams.daily_counts(events, "user_id")
-    return _drain(spark, counts).withColumn("activity_date", _day("activity_date"))
+    path = new_path(spark, "daily")
+    streams.daily_partials(
+        events, f"{path}/rows", f"{path}/checkpoint", "user_id"
+    ).awaitTermination()
+    totals = streams.daily_totals(spark, f"{path}/rows", "user_id")
+    return totals.withColumn("activity_date", _day("activity_date"))
 
 
 @query

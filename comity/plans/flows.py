@@ -20,11 +20,20 @@ def upload(
     created_at: Column,
     scorer=None,
 ) -> DataFrame:
-    """Score an uploaded CSV, append it to the history, and summarise it."""
-    comments = readers.with_text(readers.read_comments_csv(spark, csv_path)).withColumns(
-        {"user_id": F.lit(user_id).cast("bigint"), "language": F.lit("en")}
-    )
-    scored = verdicts.score_and_judge(comments, scorer)
+    """Score an uploaded CSV once, append it to the history, and summarise it.
+
+    A column ``lang`` or ``language`` gives the language, English without one.
+    """
+    sheet = readers.read_comments_csv(spark, csv_path)
+    named = readers.find_column(sheet.columns, ("lang", "language"))
+    lang = F.col(f"`{named}`").cast("string") if named else F.lit("en")
+    comments = readers.with_text(
+        sheet.withColumn("_lang", lang), "_lang"
+    ).withColumn("user_id", F.lit(user_id).cast("bigint"))
+    judged = verdicts.score_and_judge(comments, scorer, lang_col="_lang")
+    path = new_path(spark, "upload")
+    judged.write.parquet(path)
+    scored = spark.read.schema(judged.schema).parquet(path)
     scores = score_columns((scorer or LexiconScorer()).labels)
     sinks.append_history(sinks.history_rows(scored, "csv", scores, created_at, False), history_path)
     return reports.upload_summary(scored, scores)

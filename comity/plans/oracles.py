@@ -876,8 +876,7 @@ O["stream_history"] = (
 O["stream_daily"] = (
     f"WITH {HISTORY} SELECT strftime(created_at::DATE, '%Y-%m-%d') AS activity_date, user_id, "
     f"count(*) AS total, {n_if(TOXIC)} AS toxic, {n_if(NON_TOXIC)} AS non_toxic FROM history "
-    "WHERE created_at::DATE + INTERVAL 1 DAY <= (SELECT max(created_at) FROM history) - "
-    "INTERVAL 1 DAY GROUP BY created_at::DATE, user_id"
+    "GROUP BY created_at::DATE, user_id"
 )
 O["stream_scores"] = (
     f"WITH {USABLE}, {scores('usable')}, {JUDGED} SELECT doc_id AS user_id, text AS input_text, "

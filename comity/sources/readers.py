@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from comity import constants as K
 
-REPLACEMENT = "�"
-
 TWEET_SCHEMA = T.StructType([
     T.StructField("class", T.IntegerType()),
     T.StructField("tweet", T.StringType()),
@@ -40,15 +38,17 @@ def read_comments_csv(
     path: str,
     schema: T.StructType | None = None,
     encoding: str = "utf-8",
+    multi_line: bool = True,
 ) -> DataFrame:
     """CSV with a header and quoted, possibly multi-line text. Empty files give no rows.
 
     Without a schema the types are inferred, which reads the data twice. Multi-line
-    files cannot be split, so large inputs should come as many files.
+    files cannot be split: large inputs should come as many files, or be read with
+    ``multi_line=False`` where no field holds a line break.
     """
     reader = (
         spark.read.option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .option("encoding", encoding)
@@ -58,18 +58,44 @@ def read_comments_csv(
 
 
 def read_comments_csv_any_encoding(
-    spark: SparkSession, path: str, schema: T.StructType | None = None
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
-    """Read as UTF-8; if any field holds a replacement character, read all as Latin-1."""
-    df = read_comments_csv(spark, path, schema)
-    damaged = F.lit(False)
-    for field in df.schema.fields:
-        if isinstance(field.dataType, T.StringType):
-            found = F.col(f"`{field.name}`").contains(REPLACEMENT)
-            damaged = damaged | F.coalesce(found, F.lit(False))
-    if df.filter(damaged).isEmpty():
+    """Each file as UTF-8 if all its text is valid UTF-8, and as Latin-1 otherwise.
+
+    Latin-1 keeps every byte, so the text is read that way and turned back into bytes.
+    """
+    df = read_comments_csv(spark, path, schema, "ISO-8859-1", multi_line)
+    if schema is None:
+        df = df.toDF(*[_header(c) for c in df.columns])
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if not texts:
         return df
-    return read_comments_csv(spark, path, schema, encoding="ISO-8859-1")
+    rows = df.withColumn("_file", F.col("_metadata.file_path"))
+    valid = F.lit(True)
+    for name in texts:
+        of = F.is_valid_utf8(F.encode(F.col(f"`{name}`"), "ISO-8859-1").cast("string"))
+        valid = valid & F.coalesce(of, F.lit(True))
+    files = rows.groupBy("_file").agg(F.bool_and(valid).alias("_utf8"))
+
+    def decoded(name: str) -> Column:
+        c = F.col(f"`{name}`")
+        utf8 = F.encode(c, "ISO-8859-1").cast("string")
+        return F.when(F.col("_utf8"), utf8).otherwise(c).alias(name)
+
+    return rows.join(files, "_file").select(
+        *[decoded(c) if c in texts else F.col(f"`{c}`") for c in df.columns]
+    )
+
+
+def _header(name: str) -> str:
+    """A column name that was read as Latin-1, without a byte-order mark."""
+    try:
+        return name.encode("latin-1").decode("utf-8-sig")
+    except UnicodeError:
+        return name
 
 
 def spread(df: DataFrame) -> DataFrame:

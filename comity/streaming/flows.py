@@ -62,23 +62,57 @@ def _as_instant(c: str) -> Column:
     return F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col(c)))
 
 
+def daily_partials(
+    history: DataFrame, path: str, checkpoint: str, *by: str, time_col: str = "created_at"
+) -> StreamingQuery:
+    """Write the rows and verdicts per day of every micro-batch; stop when drained.
+
+    ``daily_totals`` adds them up. Days show while they are open, late rows count whenever
+    they come, and no state is held. A repeated batch replaces its own counts.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        counts = batch.groupBy(F.to_date(time_col).alias("activity_date"), *by).agg(*_tally())
+        counts.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return (
+        history.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def daily_totals(spark: SparkSession, path: str, *by: str) -> DataFrame:
+    """Rows and verdicts per day over all batches that ``daily_partials`` has written."""
+    return spark.read.parquet(path).groupBy("activity_date", *by).agg(
+        *[F.sum(c).alias(c) for c in ("total", "toxic", "non_toxic")]
+    )
+
+
+def _tally() -> list[Column]:
+    verdict = F.lower("prediction")
+    return [
+        F.count("*").alias("total"),
+        F.count_if(verdict.isin(list(TOXIC))).alias("toxic"),
+        F.count_if(verdict.isin(list(NON_TOXIC))).alias("non_toxic"),
+    ]
+
+
 def daily_counts(
     history: DataFrame, *by: str, late: str = "1 day", time_col: str = "created_at"
 ) -> DataFrame:
-    """Rows and verdicts per day. A day is final once the watermark has passed its end;
-    rows that come later than ``late`` are dropped."""
+    """Rows and verdicts per day, each day once, when the watermark has passed its end.
+
+    Open days are not shown and rows later than ``late`` are dropped; ``daily_partials``
+    does neither.
+    """
     if isinstance(history.schema[time_col].dataType, T.TimestampNTZType):
         history = history.withColumn(time_col, _as_instant(time_col))
-    verdict = F.lower("prediction")
     day = F.date_from_unix_date(F.floor(F.unix_seconds("window.start") / 86400).cast("int"))
     return (
         history.withWatermark(time_col, late)
         .groupBy(F.window(time_col, "1 day"), *by)
-        .agg(
-            F.count("*").alias("total"),
-            F.count_if(verdict.isin(list(TOXIC))).alias("toxic"),
-            F.count_if(verdict.isin(list(NON_TOXIC))).alias("non_toxic"),
-        )
+        .agg(*_tally())
         .select(
             day.alias("activity_date"), *by,
             "total", "toxic", "non_toxic",

@@ -105,3 +105,15 @@ def test_preparation_and_training_flow(spark, tmp_path):
         split, reg_params=(0.01, 0.1), max_iter=5, buckets=1 << 10)
     assert metrics.filter("selected").count() == 1
     assert counts.filter("actual = predicted").agg(F.sum("n")).first()[0] == 15
+
+
+def test_split_keeps_rows_of_every_class_and_null(spark):
+    rows = [(i, [0, 1, 2, 3, None][i % 5], f"t{i}") for i in range(200)] + [(None, 1, "x")]
+    df = spark.createDataFrame(rows, "row_key long, class int, tweet string")
+    got = dataset.stratified_split(df).collect()
+    assert sorted(str(tuple(r)[:3]) for r in got) == sorted(map(str, rows))
+    for c in (0, 2, 3, None):
+        parts = [r["split"] for r in got if r["class"] == c]
+        assert [parts.count(s) for s in dataset.SPLITS] == [32, 4, 4]
+    with pytest.raises(ValueError):
+        dataset.stratified_split(spark.range(1001).selectExpr("id AS class", "id AS row_key"))

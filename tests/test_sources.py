@@ -222,3 +222,20 @@ def test_tweet_flow(spark):
         (1, "Offensive Language", "twitter"), (2, "Neither", "twitter")]
     assert set(json.loads(rows[0]["labels_json"])) == {
         "twitter_hate_speech", "twitter_offensive_language", "twitter_neither"}
+
+
+def test_encoding_is_chosen_for_each_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("text,n\n\"café\n�\",1\n".encode("utf-8"))
+    (tmp_path / "b.csv").write_bytes("text,n\nnaïf,2\n".encode("latin-1"))
+    for schema in (None, "text string, n int"):
+        got = readers.read_comments_csv_any_encoding(spark, str(tmp_path), schema).collect()
+        assert sorted(map(tuple, got)) == [("café\n�", 1), ("naïf", 2)]
+
+
+def test_upload_keeps_the_language_column(spark, tmp_path):
+    csv = tmp_path / "c.csv"
+    csv.write_text("text,lang\nvous êtes tous des idiots,fr\nidiot,fr\n", encoding="utf-8")
+    stamp = F.lit("2024-01-30 00:00:00").cast("timestamp_ntz")
+    flows.upload(spark, str(csv), str(tmp_path / "h"), 7, stamp)
+    got = {r["input_text"]: r["language"] for r in spark.read.parquet(str(tmp_path / "h")).collect()}
+    assert got == {"vous êtes tous des idiots": "fr", "idiot": "en"}

@@ -52,3 +52,22 @@ def test_daily_counts_close_days_and_drop_late_rows(spark, tmp_path):
     assert run() == [("2024-01-01", 2, 1, 1)]
     land(spark, landed, [(6, "Neither", "2024-01-06 00:00:00")])
     assert run() == [("2024-01-01", 2, 1, 1), ("2024-01-02", 1, 1, 0), ("2024-01-03", 1, 1, 0)]
+
+
+def test_daily_partials_show_open_days_and_late_rows(spark, tmp_path):
+    landed, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+
+    def run():
+        rows = stream(spark, landed, files_per_batch=1)
+        streams.daily_partials(rows, out, checkpoint, "user_id").awaitTermination()
+        return sorted(map(str, map(tuple, streams.daily_totals(spark, out, "user_id").collect())))
+
+    land(spark, landed, [(1, "Toxic", "2024-01-05 01:00:00"), (3, "non toxic", "2024-01-05 23:00:00")])
+    run()
+    land(spark, landed, [(5, "Toxic", "2024-01-01 05:00:00"), (7, None, None)])
+    got = run()
+    assert got == run()
+    batch = spark.read.parquet(landed).groupBy(F.to_date("created_at"), "user_id").agg(
+        F.count("*"), F.count_if(F.lower("prediction") == "toxic"),
+        F.count_if(F.lower("prediction") == "non toxic"))
+    assert got == sorted(map(str, map(tuple, batch.collect()))) and len(got) == 3
