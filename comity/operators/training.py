@@ -14,6 +14,14 @@ from comity import constants as K
 from comity.functions.text import NON_WORD_RUN
 from comity.operators import dataset, evaluate
 from comity.operators.scoring import ModelScorer
+from comity.workspace import new_path
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """Features written once and read by every fit; a lost executor costs a read."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def features(text_col: str, buckets: int = 1 << 18) -> list:
@@ -41,28 +49,22 @@ def train_classifier(
     """
     prepare = Pipeline(stages=features(text_col, buckets)).fit(train)
     weighted = dataset.with_class_weight(train, label_col, classes)
-    ready = prepare.transform(weighted).select(
+    ready = _stored(prepare.transform(weighted).select(
         F.col(label_col).cast("double").alias("label"), "weight", "features"
-    ).persist()
-    held = prepare.transform(val).select(
+    ), "train-features")
+    held = _stored(prepare.transform(val).select(
         F.col(label_col).alias("label"), "features"
-    ).persist()
-    try:
-        fitted = []
-        for reg in reg_params:
-            model = LogisticRegression(
-                weightCol="weight", family="multinomial", regParam=reg, maxIter=max_iter
-            ).fit(ready)
-            predicted = model.transform(held).withColumn(
-                "prediction", F.col("prediction").cast("int")
-            )
-            row = evaluate.overall(
-                evaluate.confusion_counts(predicted)
-            ).first()
-            fitted.append((reg, model, row))
-    finally:
-        ready.unpersist()
-        held.unpersist()
+    ), "val-features")
+    fitted = []
+    for reg in reg_params:
+        model = LogisticRegression(
+            weightCol="weight", family="multinomial", regParam=reg, maxIter=max_iter
+        ).fit(ready)
+        predicted = model.transform(held).withColumn(
+            "prediction", F.col("prediction").cast("int")
+        )
+        row = evaluate.overall(evaluate.confusion_counts(predicted)).first()
+        fitted.append((reg, model, row))
     best = max(range(len(fitted)), key=lambda i: fitted[i][2]["f1_macro"] or 0.0)
     spark = train.sparkSession
     metrics = spark.createDataFrame(
@@ -87,17 +89,12 @@ def train_label_models(
     Features are built once and kept for all labels.
     """
     prepare = Pipeline(stages=features(text_col, buckets)).fit(train)
-    prepared = prepare.transform(train).select("features", *labels).persist()
-    try:
-        models = {}
-        for label in labels:
-            weighted = dataset.with_class_weight(prepared, label, (0, 1))
-            ready = weighted.select(
-                F.col(label).cast("double").alias("label"), "weight", "features"
-            )
-            models[label] = LogisticRegression(
-                weightCol="weight", maxIter=max_iter
-            ).fit(ready)
-    finally:
-        prepared.unpersist()
+    prepared = _stored(prepare.transform(train).select("features", *labels), "label-features")
+    models = {}
+    for label in labels:
+        weighted = dataset.with_class_weight(prepared, label, (0, 1))
+        ready = weighted.select(
+            F.col(label).cast("double").alias("label"), "weight", "features"
+        )
+        models[label] = LogisticRegression(weightCol="weight", maxIter=max_iter).fit(ready)
     return ModelScorer(prepare, models, text_col)

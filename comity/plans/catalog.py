@@ -231,9 +231,7 @@ def merge_sources(spark, sf):
     comments = readers.normalize_export(
         scored, "text", {"toxicity": "toxic_flagged"}, "youtube"
     )
-    return readers.merge_sources(tweets, comments).groupBy("source").agg(
-        F.count("*").alias("rows"), F.sum("toxicity").alias("toxic_rows")
-    )
+    return readers.merge_sources(tweets, comments)
 
 
 @query
@@ -247,9 +245,7 @@ def flatten_threads(spark, sf):
 def collected_comments(spark, sf):
     pages = threads.parse_pages(inputs.thread_pages(spark, sf), "page", "video_id")
     rows = threads.flatten_threads(pages, "video_id", fetched_only=True)
-    return threads.collected_comments(rows).groupBy("video_id", "source").agg(
-        F.count("*").alias("rows"), F.sum(F.length("text")).alias("chars")
-    )
+    return threads.collected_comments(rows)
 
 
 @query
@@ -539,7 +535,6 @@ def train_classifier(spark, sf):
     stored = spark.read.parquet(path)
     _, metrics = training.train_classifier(
         stored.filter(F.col("split") == "train"), stored.filter(F.col("split") == "val"),
-        reg_params=(0.01, 0.1), max_iter=10, buckets=1 << 14,
     )
     return metrics
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from comity.functions.values import score_columns
-from comity.operators import dataset, reports, training, verdicts
+from comity.operators import dataset, history, reports, training, verdicts
 from comity.operators.scoring import LexiconScorer
 from comity.sources import readers, sinks, threads
 from comity.workspace import new_path
@@ -22,7 +22,9 @@ def upload(
 ) -> DataFrame:
     """Score an uploaded CSV once, append it to the history, and summarise it.
 
-    A column ``lang`` or ``language`` gives the language, English without one.
+    A column ``lang`` or ``language`` gives the language, English without one. Ids are the
+    second of ``created_at`` and, in the lower 31 bits, the row's number in the upload: later
+    uploads have larger ids, and two of one user in the same second would share them.
     """
     sheet = readers.read_comments_csv(spark, csv_path)
     named = readers.find_column(sheet.columns, ("lang", "language"))
@@ -32,10 +34,16 @@ def upload(
     ).withColumn("user_id", F.lit(user_id).cast("bigint"))
     judged = verdicts.score_and_judge(comments, scorer, lang_col="_lang")
     path = new_path(spark, "upload")
+    judged = judged.withColumn("_row", F.monotonically_increasing_id())
     judged.write.parquet(path)
     scored = spark.read.schema(judged.schema).parquet(path)
     scores = score_columns((scorer or LexiconScorer()).labels)
-    sinks.append_history(sinks.history_rows(scored, "csv", scores, created_at, False), history_path)
+    second = F.unix_seconds(created_at.cast("timestamp"))
+    numbered = history.number_rows(
+        scored, [], "_row", name="_number"
+    ).withColumn("id", F.shiftleft(second, 31) + F.col("_number"))
+    sinks.append_history(
+        sinks.history_rows(numbered, "csv", scores, created_at, False), history_path)
     return reports.upload_summary(scored, scores)
 
 

@@ -153,7 +153,7 @@ def video_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.struct(
         F.array(F.struct(
             F.struct(
-                F.substring("text", 1, 20).alias("title"),
+                F.col("text").alias("title"),
                 F.when(F.col("lang") != "de", F.col("source")).alias("channelTitle"),
                 F.lit("2024-01-02T03:04:05Z").alias("publishedAt"),
             ).alias("snippet"),

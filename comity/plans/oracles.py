@@ -462,9 +462,8 @@ O["normalize_export"] = (
     "identity_attack, 'twitter' AS source FROM documents JOIN labels USING (doc_id)"
 )
 O["merge_sources"] = (
-    f"WITH {SCORED_COMMENTS}, u AS (SELECT 'twitter' AS source, toxic FROM documents JOIN "
-    "labels USING (doc_id) UNION ALL SELECT 'youtube', toxic_flagged FROM judged) "
-    "SELECT source, count(*) AS rows, sum(toxic)::BIGINT AS toxic_rows FROM u GROUP BY source"
+    f"WITH {SCORED_COMMENTS} SELECT text, toxic AS toxicity, 'twitter' AS source FROM documents "
+    "JOIN labels USING (doc_id) UNION ALL SELECT text, toxic_flagged, 'youtube' FROM judged"
 )
 _LINES = (
     "lines AS (SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS line, "
@@ -479,11 +478,10 @@ O["flatten_threads"] = (
 )
 O["collected_comments"] = (
     f"WITH {_LINES} SELECT doc_id::VARCHAR AS video_id, CASE WHEN i = 0 THEN 'youtube' ELSE "
-    "'youtube_reply' END AS source, count(*) AS rows, sum(length(line))::BIGINT AS chars "
-    "FROM lines GROUP BY ALL"
+    "'youtube_reply' END AS source, line AS text FROM lines"
 )
 O["video_info"] = (
-    "SELECT doc_id::VARCHAR AS video_id, substr(text, 1, 20) AS title, CASE WHEN lang <> 'de' "
+    "SELECT doc_id::VARCHAR AS video_id, text AS title, CASE WHEN lang <> 'de' "
     "THEN source ELSE '' END AS channel, '2024-01-02T03:04:05Z' AS published_at, n_chars AS "
     "view_count, CASE WHEN lang = 'en' THEN doc_id ELSE 0 END AS like_count, 0::BIGINT AS "
     "comment_count FROM documents WHERE source <> 'src0'"

@@ -17,9 +17,12 @@ def landed_stream(
     path: str,
     schema: T.StructType,
     file_pattern: str | None = None,
-    files_per_batch: int | None = None,
+    files_per_batch: int | None = 1000,
 ) -> DataFrame:
-    """A stream of the Parquet files in a folder."""
+    """A stream of the Parquet files in a folder, ``files_per_batch`` of them at a time.
+
+    The bound keeps a large backlog from becoming one batch; later batches take the rest.
+    """
     reader = spark.readStream.schema(schema)
     if file_pattern:
         reader = reader.option("pathGlobFilter", file_pattern)

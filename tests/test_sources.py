@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from comity import constants as K
-from comity.operators import validate
+from comity.operators import history, validate
 from comity.plans import flows
 from comity.sources import readers, sinks, threads
 
@@ -197,7 +197,18 @@ def test_upload_flow(spark, tmp_path):
     summary = flows.upload(spark, str(csv), str(tmp_path / "h"), 7, stamp).first()
     assert (summary["total"], summary["toxic"], summary["safe"]) == (2, 1, 1)
     assert summary["toxic_rate"] == 50.0
-    rows = spark.read.parquet(str(tmp_path / "h")).collect()
+    stored = spark.read.parquet(str(tmp_path / "h"))
+    rows = stored.collect()
+    assert len({r["id"] for r in rows}) == 2
+    # The history's own reports read it, newest upload first.
+    later = F.lit("2024-01-30 10:00:01").cast("timestamp_ntz")
+    flows.upload(spark, str(csv), str(tmp_path / "h"), 7, later)
+    newest = history.latest_per_owner(spark.read.parquet(str(tmp_path / "h")), 2).collect()
+    assert {r["created_at"].second for r in newest} == {1}
+    first = min(r["id"] for r in rows)
+    sinks.erase_days(spark, str(tmp_path / "h"), spark.createDataFrame(
+        [(7, first)], "user_id long, id long"), ["user_id", "id"])
+    assert spark.read.parquet(str(tmp_path / "h")).count() == 3
     assert {(r["user_id"], r["input_text"], r["source"]) for r in rows} == {
         (7, "you idiot", "csv"), (7, "lovely day", "csv")}
 
