@@ -1,7 +1,15 @@
 """Operator 8: secret scans whose false positives a random forest removes.
 
-Candidates are the words of every whole text with a digit and LEAST characters or more, without
-the quotes and the name they may be assigned to. Each has features of
+A word between white space gives one candidate for each of these, over every whole text:
+
+- a value assigned to a credential name, of any length and with digits or not: in the word, or
+  in the words after the name; in quotes all to the closing quote (QUOTED words at most),
+- the password of an address (``scheme://user:password@host``),
+- every run of LEAST characters or more that keys are made of and no such value holds; issued
+  keys within a value count for themselves,
+- the word itself, of LEAST characters or more, if it gives nothing else.
+
+Each has features of
 
 - its length, and shares of digits, upper-case letters and other signs,
 - its character transitions: between letter and digit, between cases, from vowel to
@@ -13,9 +21,10 @@ the quotes and the name they may be assigned to. Each has features of
 
 The forest learns from labelled findings. The corpus labels itself by rule (``labelled``):
 formats that issuers fix and values assigned to a named credential are true findings;
-addresses, paths, plain numbers and words with a number at the end are false ones; the rest
-has no label. A sample of FINDINGS of each kind, bounded, is learnt from. All candidates
-of all texts are then scored.
+addresses, paths, plain numbers, words with a number at the end and words without digits and
+odd capitals are false ones; the rest has no label, and so have links, placeholders and, after ``is``, values without a digit that are
+assigned. A sample of FINDINGS of each rule, bounded, is learnt from. All candidates of all
+texts are then scored.
 
 Defined results: null and empty texts have no candidates and so no rows; null ids and
 repeated rows give rows of their own; where one kind of labelled finding is missing nothing
@@ -24,6 +33,8 @@ can be learnt and the rules decide (score 1 or 0); other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -53,7 +64,31 @@ PIECES = (
 )
 ADDRESS = r"(?i)@[a-z0-9-]+\.|^https?:|^www\.|^[/~.]|\.(com|org|net|html?)\b"
 NUMBER = r"^[^\p{L}]+$|^\p{L}+[\d.,:]+[^\p{L}\d]*$"
-BODY = r"([A-Za-z0-9+/_-]{12,}={0,2})[^A-Za-z0-9]*$"
+#: Not an ordinary word or a compound of them.
+MIXED = r"[0-9]|\p{Ll}\p{Lu}|\p{Lu}{2}\p{Ll}"
+NOT_GIVEN = (
+    r"(?i)^(https?|ftp)://|^www\.|^[$%<{]|^(null|none|nil|true|false|undefined)$|^[^\p{L}\p{N}]+$"
+)
+
+#: Parts of a word. MARK is put before a sign that another name follows.
+MARK = "\u0001"
+NEXT_NAME = r"(?=[,;&|][\\\"'\w.-]{1,64}[=:])"
+NAMED = (
+    r"(?i)(?:pass(?:word|wd|phrase)|pwd|secret|token|api[ _-]?key|access[ _-]?key|"
+    r"private[ _-]?key|credential)(?:[_-]?[0-9]{1,3})?[\\\"'\]]{0,3}"
+)
+SIGN = r"(?:\s*(?::=|=>|={1,3}|:(?!//))\s*|\s+is\s+)"
+NAME_BEFORE = NAMED + r"(?:\s+|" + SIGN + ")$"
+IN_QUOTES = NAMED + SIGN + r"\\?[\"']((?<=\\[\"'])[^\"'\\]+|(?<=\")[^\"]+|(?<=')[^']+)"
+OPEN_QUOTE = NAMED + SIGN + r"\\?[\"'][^\"']*$"
+BARE = NAMED + SIGN + "([^\\s\"'<>\\\\=:,;&" + MARK + "][^\\s\"'<>" + MARK + "]*)"
+CLOSING = r"[.,;:?)\]}>]+$"
+USERINFO = r"://([^\s/?#:@]*):([^\s/?#\"'<>]+)@"
+RUN = r"([A-Za-z0-9+/_-]{12,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?)"
+QUOTED = 16  # words of a value in quotes
+
+TRUE_RULES = ("issued", "assigned")
+FALSE_RULES = ("address", "number", "word")
 
 FEATURES = (
     "f_length f_digits f_upper f_signs f_letter_digit f_case f_vowels f_repeats f_distinct "
@@ -62,27 +97,73 @@ FEATURES = (
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, word_no, word, before, after, body and lead of every candidate."""
-    words = docs.select("doc_id", F.split(text_of(docs), r"\s+").alias("_w"))
+    """doc_id, word_no, word, before, after, body, how and lead of every candidate.
+
+    ``how`` is assigned, said (after ``is``), userinfo, run or word.
+    """
+    words = docs.select("doc_id", F.split(text_of(docs), r"\s+").alias("_w"),
+                        text_of(docs).rlike(NAMED).alias("_named"))
+
+    def word(at: Column) -> Column:
+        return F.coalesce(F.when(at >= 0, F.get("_w", at)), F.lit(""))
+
     picked = F.filter(
         F.sequence(F.lit(0), F.size("_w") - 1),
-        lambda i: (F.length(F.get("_w", i)) >= LEAST) & F.get("_w", i).rlike("[0-9]"))
+        lambda i: (F.length(word(i)) >= LEAST) | word(i).contains("://")
+        | (F.col("_named") & F.concat_ws(" ", word(i - 2), word(i - 1), word(i)).rlike(NAMED)))
 
     def found(i: Column) -> Column:
-        def word(at: Column) -> Column:
-            return F.coalesce(F.when(at >= 0, F.get("_w", at)), F.lit(""))
-
         return F.struct(
             i.cast("long").alias("word_no"), word(i).alias("word"),
             F.concat_ws(" ", word(i - 2), word(i - 1)).alias("before"),
-            word(i + 1).alias("after"))
+            word(i + 1).alias("after"),
+            F.when(F.col("_named") & word(i).rlike("[\"']"),
+                   F.array_join(F.slice("_w", i + 2, QUOTED - 1), " ")).alias("_rest"))
 
     rows = words.select("doc_id", F.explode(F.transform(picked, found)).alias("_f"))
     rows = rows.select("doc_id", "_f.*")
-    body = F.regexp_extract("word", BODY, 1)
-    return rows.withColumn(
-        "body", F.when((body != "") & body.rlike("[0-9]"), body).otherwise(F.col("word"))
-    ).withColumn("lead", F.expr("substring_index(word, body, 1)"))
+    # The name that the words before end with, and the word without passwords of addresses.
+    rows = rows.withColumns({
+        "_name": F.regexp_extract(F.concat("before", F.lit(" ")), NAME_BEFORE, 0),
+        "_users": F.regexp_extract_all("word", F.lit(USERINFO), F.lit(2)),
+        "_word": F.regexp_replace(
+            F.regexp_replace("word", USERINFO, "://$1@"), NEXT_NAME, MARK),
+    })
+    rows = rows.withColumn("_all", F.concat("_name", "_word"))
+    rows = rows.withColumn("_all", F.concat("_all", F.when(
+        F.col("_rest").isNotNull() & F.col("_all").rlike(OPEN_QUOTE),
+        F.concat(F.lit(" "), F.regexp_extract("_rest", "^[^\"']*[\"']", 0))).otherwise("")))
+    link = F.col("word").contains("://")
+
+    def bare(value: Column) -> Column:
+        return F.regexp_replace(
+            F.when(link, F.regexp_extract(value, "^[^#&]+", 0)).otherwise(value), CLOSING, "")
+
+    quoted = F.transform(
+        F.regexp_extract_all("_all", F.lit(IN_QUOTES)), lambda v: F.replace(v, F.lit(MARK)))
+    plain = F.transform(F.regexp_extract_all("_all", F.lit(BARE)), bare)
+    rows = rows.withColumns({
+        "_values": F.filter(F.concat(quoted, plain), lambda v: v != ""),
+        "_runs": F.regexp_extract_all(F.regexp_replace(
+            "_word", r"[\w.-]{0,64}" + NAMED.replace("(?i)", "(?i:", 1) + ")" + SIGN, " "),
+            F.lit(RUN)),
+    })
+    taken = F.concat("_values", "_users")
+    runs = F.filter("_runs", lambda r: ~F.exists(
+        taken, lambda v: (v == r) | (v.contains(r) & ~r.rlike(ISSUED))))
+
+    def parts(bodies: Column, how: Column) -> Column:
+        return F.transform(bodies, lambda v: F.struct(v.alias("body"), how.alias("how")))
+
+    said = F.when(F.col("_name").rlike(r"(?i)\sis\s*$"), "said").otherwise("assigned")
+    rows = rows.withColumn("_parts", F.concat(
+        parts(F.col("_values"), said), parts(F.col("_users"), F.lit("userinfo")),
+        parts(runs, F.lit("run"))))
+    whole = F.when(F.length("word") >= LEAST, parts(F.array("word"), F.lit("word")))
+    rows = rows.select(
+        "doc_id", "word_no", "word", "before", "after",
+        F.inline(F.when(F.size("_parts") > 0, F.col("_parts")).otherwise(whole)))
+    return rows.withColumn("lead", F.expr("substring_index(word, substring_index(body, ' ', 1), 1)"))
 
 
 def with_features(rows: DataFrame) -> DataFrame:
@@ -109,33 +190,41 @@ def with_features(rows: DataFrame) -> DataFrame:
         "f_dots": F.regexp_count("word", F.lit(r"\.")).cast("double"),
         "f_before": F.col("before").rlike(HINT).cast("double"),
         "f_after": F.col("after").rlike(HINT).cast("double"),
-        "f_name": F.col("lead").rlike(HINT).cast("double"),
+        "f_name": (F.col("lead").rlike(HINT) | (F.col("how") == "userinfo")).cast("double"),
         "f_quoted": F.col("lead").rlike("[\"'=:]").cast("double"),
     })
 
 
 def labelled(rows: DataFrame) -> DataFrame:
     """``rule`` of each candidate, and ``label``: 1 true, 0 false, null unknown."""
+    body, how = F.col("body"), F.col("how")
     named = F.concat_ws(" ", "before", "lead")
-    assigned = named.rlike(CREDENTIAL + r"[\"']?\s*(=|:|:=|is)\s*[\"']?$")
+    assigned = how.isin("assigned", "said") | named.rlike(
+        CREDENTIAL + r"[\"']?\s*(=|:|:=|is)\s*[\"']?$")
+    unsure = body.rlike(NOT_GIVEN) | (F.length("body") > LONGEST) | (
+        (how == "said") & ~body.rlike("[0-9]"))
     rule = (
-        F.when(F.col("body").rlike(ISSUED), "issued")
+        F.when(body.rlike(ISSUED), "issued")
         .when(F.col("word").rlike(ADDRESS), "address")
-        .when(F.col("word").rlike(NUMBER), "number")
-        .when(assigned & (F.length("body") <= LONGEST), "assigned")
+        .when(F.col("word").rlike(NUMBER) | body.rlike("^[0-9]+$"), "number")
+        .when(assigned & ~unsure, "assigned")
+        .when(assigned, "unknown")
+        .when(~body.rlike(MIXED), "word")
+        .otherwise("unknown")
     )
-    label = F.when(rule.isin("issued", "assigned"), 1.0).when(rule.isNotNull(), 0.0)
-    return rows.withColumns({"rule": F.coalesce(rule, F.lit("unknown")), "label": label})
+    label = F.when(F.col("rule").isin(*TRUE_RULES), 1.0).when(
+        F.col("rule").isin(*FALSE_RULES), 0.0)
+    return rows.withColumn("rule", rule).withColumn("label", label)
 
 
 def train(rows: DataFrame):
     """A forest fitted on a bounded sample of labelled findings; None with one kind only."""
     order = F.xxhash64(F.lit("secret"), "body", "word_no")
     kinds = [
-        rows.filter(F.col("label") == label).orderBy(order, "doc_id").limit(FINDINGS)
-        .select("label", *FEATURES) for label in (0.0, 1.0)
+        rows.filter(F.col("rule") == rule).orderBy(order, "doc_id").limit(FINDINGS)
+        .select("label", *FEATURES) for rule in TRUE_RULES + FALSE_RULES
     ]
-    sample = stored(kinds[0].unionByName(kinds[1]), "secret-findings")
+    sample = stored(reduce(DataFrame.unionByName, kinds), "secret-findings")
     if sample.select("label").distinct().count() < 2:
         return None
     forest = RandomForestClassifier(
