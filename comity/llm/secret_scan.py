@@ -20,9 +20,10 @@ Each has features of
   speaks of keys, passwords or tokens, and whether quotes or a sign introduce it.
 
 The forest learns from labelled findings. The corpus labels itself by rule (``labelled``):
-formats that issuers fix and values assigned to a named credential are true findings;
-addresses, paths, plain numbers, words with a number at the end and words without digits and
-odd capitals are false ones; the rest has no label, and so have links, placeholders and, after ``is``, values without a digit that are
+formats that issuers fix, values assigned to a named credential and passwords of addresses are
+true findings, whatever they look like; other addresses, paths, plain numbers, words with a
+number at the end and words without digits and odd capitals are false ones; the rest has no
+label, and so have links, placeholders and, after ``is``, values without a digit that are
 assigned. A sample of FINDINGS of each rule, bounded, is learnt from. All candidates of all
 texts are then scored.
 
@@ -87,7 +88,7 @@ USERINFO = r"://([^\s/?#:@]*):([^\s/?#\"'<>]+)@"
 RUN = r"([A-Za-z0-9+/_-]{12,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?)"
 QUOTED = 16  # words of a value in quotes
 
-TRUE_RULES = ("issued", "assigned")
+TRUE_RULES = ("issued", "userinfo", "assigned")
 FALSE_RULES = ("address", "number", "word")
 
 FEATURES = (
@@ -205,10 +206,11 @@ def labelled(rows: DataFrame) -> DataFrame:
         (how == "said") & ~body.rlike("[0-9]"))
     rule = (
         F.when(body.rlike(ISSUED), "issued")
-        .when(F.col("word").rlike(ADDRESS), "address")
-        .when(F.col("word").rlike(NUMBER) | body.rlike("^[0-9]+$"), "number")
+        .when(how == "userinfo", "userinfo")
         .when(assigned & ~unsure, "assigned")
         .when(assigned, "unknown")
+        .when(F.col("word").rlike(ADDRESS), "address")
+        .when(F.col("word").rlike(NUMBER) | body.rlike("^[0-9]+$"), "number")
         .when(~body.rlike(MIXED), "word")
         .otherwise("unknown")
     )

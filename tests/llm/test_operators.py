@@ -379,6 +379,14 @@ GIVEN = [
     ("see wJalrXUtnFEMIKMDENGbPxRfiCY there", ["wJalrXUtnFEMIKMDENGbPxRfiCY"]),
     ("{password:hunter2,user:bob}", ["hunter2"]), ("pwd='a,b:c'", ["a,b:c"]),
 ]
+#: Secrets that look like addresses, paths and numbers.
+DISGUISED = [
+    ("postgres://app:S3cr3tPassw0rd99@db.corp.io/main", "S3cr3tPassw0rd99"),
+    ("https://host/?a=1&token=q7w8e9r0t1y2#top", "q7w8e9r0t1y2"),
+    ("secret = /wJalrXUtnFEMI9K7MDENGbPxRfiCY", "/wJalrXUtnFEMI9K7MDENGbPxRfiCY"),
+    ("secret = ~wJalrXUtnFEMI9K7MDENGb", "~wJalrXUtnFEMI9K7MDENGb"),
+    ("password = Sunshine20241", "Sunshine20241"), ("password = 918273645546", "918273645546"),
+]
 
 
 def test_every_value_and_run_is_a_candidate(spark):
@@ -391,6 +399,23 @@ def test_every_value_and_run_is_a_candidate(spark):
         assert len(got[i]) == len(set(got[i])), (text, got[i])
 
 
+def test_disguised_secrets_are_true_findings(spark):
+    docs = [(i, t) for i, (t, _) in enumerate(DISGUISED)]
+    # With one kind of labelled findings only, the rules decide.
+    alone = spark.createDataFrame(docs[2:], "doc_id long, text string")
+    assert [r.is_secret for r in secret_scan.scan(alone).collect()] == [True] * 4
+    rng = random.Random(9)
+    for i in range(100, 500):
+        key = "".join(rng.choice("0123456789abcdef") for _ in range(32))
+        docs.append((i, [f'token = "{key}"', f"https://www.site{i}.com/page/{i}", f"call 0{i}{i}{i}{i} or",
+                         "internationalisation of"][i % 4]))
+    got = secret_scan.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    true = {(r.doc_id, r.secret_sha256) for r in got if r.is_secret}
+    want = {(i, hashlib.sha256(s.encode()).hexdigest()) for i, (_, s) in enumerate(DISGUISED)}
+    assert want <= true
+    assert {i for i, _ in true if i >= 100} == set(range(100, 500, 4))
+
+
 # Operator 9
 
 
