@@ -204,6 +204,11 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     class_id is the smallest doc_id reachable by links.
     """
+    return linked(docs, threshold).select("doc_id", "class_id", "n_links")
+
+
+def linked(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """jaccard_join's rows with the text's ``_key`` and the ``component`` they are linked in."""
     bounded_batches(docs.sparkSession)
     rows = docs.select("doc_id", text_of(docs).alias("text"))
     rows = rows.withColumn("_key", F.md5("text"))
@@ -253,19 +258,24 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
     least = named.groupBy("component").agg(F.min("least_id").alias("class_id"))
     result = named.join(least, "component").select(
-        "digest", "class_id",
+        "digest", "class_id", "component",
         (F.coalesce("n", F.lit(0)) + F.col("size") - 1).cast("long").alias("n_links"))
-    return prints.select("doc_id", "digest").join(result, "digest").select(
-        "doc_id", "class_id", "n_links")
+    return prints.select("doc_id", "digest", "_key").join(result, "digest").select(
+        "doc_id", "class_id", "n_links", "_key", "component")
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The row with the smallest doc_id of each group of near copies, with all its columns.
 
-    Rows with null ids stay; of rows that repeat an id and are linked, one stays.
+    Rows with null ids stay; of rows that repeat an id and are linked, one stays. Rows that
+    repeat an id without being linked are of groups of their own.
     """
-    kept = jaccard_join(docs, threshold).filter(
-        F.col("doc_id").isNull() | (F.col("doc_id") == F.col("class_id")))
-    ids = kept.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_kept")).distinct()
-    known = docs.join(ids, docs["doc_id"] == ids["_kept"], "left_semi")
-    return known.dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("doc_id").isNull()))
+    kept = linked(docs, threshold).filter(F.col("doc_id") == F.col("class_id"))
+    # One text for each group: a row is found by its id and its text.
+    kept = kept.groupBy("component").agg(
+        F.min("doc_id").alias("_kept"), F.min("_key").alias("_text"))
+    known = docs.withColumn("_key", F.md5(text_of(docs)))
+    known = known.join(
+        kept, (F.col("doc_id") == F.col("_kept")) & (F.col("_key") == F.col("_text")), "left_semi")
+    return known.dropDuplicates(["doc_id", "_key"]).drop("_key").unionByName(
+        docs.filter(F.col("doc_id").isNull()))

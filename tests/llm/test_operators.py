@@ -297,6 +297,20 @@ def test_ngram_join_of_awkward_rows(awkward):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [-12, 1, 4, 6, 8, 9, 10]
 
 
+def test_repeated_ids_of_unlinked_texts_stay(spark):
+    words = [f"word{i}" for i in range(100)]
+    near = " ".join([*words[:99], "other"])
+    rows = [(1, " ".join(words), "a"), (1, "quite another text under the same id", "b"),
+            (1, " and a third one of its own under that id ", "c"), (2, near, "d"),
+            (3, "Another text of seven words in all", "e"), (3, "another text of seven words in all", "f"),
+            (3, near, "g"), (None, near, "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = ngram_join.one_of_each(docs)
+    assert got.columns == docs.columns
+    kept = sorted(r.source for r in got.collect())
+    assert kept in (["a", "b", "c", "e", "h"], ["a", "b", "c", "f", "h"])
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(140)]
