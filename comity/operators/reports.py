@@ -46,9 +46,9 @@ def owner_stats(history: DataFrame, as_of: str) -> DataFrame:
 
 
 def daily_activity(
-    history: DataFrame, days: int | None = 30, latest: bool = False
+    history: DataFrame, days: int | None = None, latest: bool = False
 ) -> DataFrame:
-    """Rows per owner and day; by default the oldest 30 days, ``latest`` the newest."""
+    """Rows per owner and day, all days; ``days`` keeps each owner's oldest, or ``latest``."""
     daily = history.groupBy(
         "user_id", F.to_date("created_at").alias("activity_date")
     ).agg(F.count("*").alias("total"))

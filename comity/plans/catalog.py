@@ -685,6 +685,12 @@ def user_stats(spark, sf):
 
 @query
 def daily_activity(spark, sf):
+    rows = reports.daily_activity(inputs.history(spark, sf), days=30)
+    return rows.withColumn("activity_date", _day("activity_date"))
+
+
+@query
+def daily_activity_all(spark, sf):
     rows = reports.daily_activity(inputs.history(spark, sf))
     return rows.withColumn("activity_date", _day("activity_date"))
 

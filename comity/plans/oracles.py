@@ -738,6 +738,10 @@ O["daily_activity"] = (
     "history GROUP BY ALL) SELECT user_id, strftime(d, '%Y-%m-%d') AS activity_date, total "
     "FROM d QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY d) <= 30"
 )
+O["daily_activity_all"] = (
+    f"WITH {HISTORY}, d AS (SELECT user_id, created_at::DATE AS d, count(*) AS total FROM "
+    "history GROUP BY ALL) SELECT user_id, strftime(d, '%Y-%m-%d') AS activity_date, total FROM d"
+)
 O["source_distribution"] = (
     f"WITH {HISTORY} SELECT user_id, upper(coalesce(nullif(source, ''), 'text')) AS source, "
     "count(*) AS rows FROM history GROUP BY ALL"

@@ -1,8 +1,11 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from comity import constants as K
 from comity.operators import evaluate, history, reports
+from comity.plans.catalog import QUERIES
+from tests.compare import difference
 
 
 @pytest.fixture(scope="module")
@@ -43,6 +46,20 @@ def test_daily_activity_oldest_and_latest(rows):
     assert days(days=None) == days()
 
 
+def test_daily_activity_keeps_every_day(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    late = F.col("ts") + F.make_dt_interval((F.col("event_id") % 70).cast("int"))
+    events = events.withColumns({"user_id": F.col("user_id") % 3, "ts": late})
+    # One file of that name, for both engines.
+    events.toPandas().to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    for name in ("daily_activity", "daily_activity_all"):
+        assert difference(spark, con, str(tmp_path), name) is None
+    most = QUERIES["daily_activity_all"](spark, str(tmp_path)).groupBy("user_id").count()
+    assert most.agg(F.min("count")).first()[0] > 30
+
+
 def test_sources_and_channels(rows):
     got = [(r["source"], r["rows"]) for r in reports.source_distribution(rows.filter("user_id = 1")).collect()]
     assert got == [("TEXT", 3), (" CSV", 1)]
