@@ -151,11 +151,15 @@ def encode_decode(
 
 
 def round_trip(
-    docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("doc_id",)
+    docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("doc_id",),
+    with_ids: bool = False,
 ) -> DataFrame:
-    """The ``keep`` columns, n_tokens, and digests of the ids and of the decoded text."""
+    """The ``keep`` columns, n_tokens, and digests of the ids and of the decoded text.
+
+    ``with_ids`` gives the ``ids`` themselves too.
+    """
     return encode_decode(docs, path, keep).select(
-        *keep,
+        *keep, *(["ids"] if with_ids else []),
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages over ``documents``, each on all that the one before kept.
 
 Toxic documents go; of equal texts and of near copies one document stays; the sources are
-mixed to their target weights, so a document may come more than once; what is left is encoded.
+mixed to their target weights, so a document may come more than once; what is left is encoded, and its ids are the result,
+with digests of them and of the text they decode to.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(docs, keep=("doc_id", "lang", "source"))
+    return bpe.round_trip(docs, keep=("doc_id", "lang", "source"), with_ids=True)
 
 
 STAGES = [

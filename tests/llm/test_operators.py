@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import duckdb
 import numpy as np
 import pytest
@@ -497,3 +498,36 @@ def test_one_row_of_each_group_stays(awkward):
     assert kept.columns == awkward.columns
     assert Counter(r.doc_id for r in kept.collect()) == Counter(
         [2, 3, 5, None, 6, 7, 8, 9, 11, -12])
+
+
+# The pipeline
+
+
+def test_pipeline_stage_by_stage(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    scored = toxicity.toxicity(docs, toxicity.labels_of(spark, SF_DIR))
+    clean = {r.doc_id for r in scored.filter("predicted = 0").collect()}
+    rows = {r.doc_id: r for r in docs.collect() if r.doc_id in clean}
+    groups = defaultdict(list)
+    for i, r in rows.items():
+        groups[re.sub("[A-Z]", lambda m: m[0].lower(), r.text or "")].append(i)
+    rows = {max(ids): rows[max(ids)] for ids in groups.values()}
+    sets = {i: shingles(r.text) for i, r in rows.items()}
+    edges = [(i, j) for i in sets for j in sets
+             if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    smallest = union(sets, edges)
+    rows = {i: r for i, r in rows.items() if smallest[i] == i}
+    frame = spark.createDataFrame(list(rows.values()), docs.schema)
+    tokenizer = bpe.open_tokenizer(bpe.tokenizer_file())
+    want = []
+    rel = duck(frame).sql(mixing.ORACLE_SQL)
+    for found in rel.fetchall():
+        mix = dict(zip(rel.columns, found))
+        r = rows[mix["doc_id"]]
+        ids = encoded(r.text)
+        decoded = tokenizer.decode(ids, skip_special_tokens=False)
+        copies = int(mix["taken"] / mix["size"] + 0.5) if mix["size"] else 0
+        want += copies * [(r.doc_id, r.lang, r.source, ids, len(ids),
+                           digest(" ".join(map(str, ids))), digest(decoded))]
+    assert len(want) > 50
+    same(plain(corpus_pipeline.run(spark, SF_DIR)), want)
