@@ -7,8 +7,9 @@ text is one shingle). Texts whose sets have Jaccard similarity THRESHOLD or more
    one class from here on.
 2. A tree is the sorted trie of its labels. A pair at similarity s shares a prefix of d
    hashes in some tree with chance 1 - (1 - s^d)^TREES. From the full depth, prefixes are
-   shortened until that reaches RECALL at the threshold (``matched_depth``). Classes with
-   the same prefix are a trie node. In each node the pairs whose whole signatures agree on
+   shortened until that reaches RECALL at the threshold (``matched_depth``): a formula of the
+   constants, so all trees are read at one depth, as banded LSH is. Classes with the same
+   prefix are a trie node. In each node the pairs whose whole signatures agree on
    AGREEMENT or more of their places are joined into a spanning forest, and the forests of
    all nodes into clusters.
 3. Within a cluster all pairs of classes are verified on their real shingle sets, taken
