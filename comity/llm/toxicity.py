@@ -8,8 +8,11 @@ class-prior-corrected risk
     prior * R+(positives, toxic) + max(0, R-(unlabelled) - prior * R-(positives, clean))
 
 with the logistic loss. Where the second part falls below zero the step goes the other way
-(the classifier has begun to fit unlabelled toxic texts as clean). The prior is the share
-of toxic rows among the labelled ones that may be learnt from.
+(the classifier has begun to fit unlabelled toxic texts as clean). The prior, the toxic share of
+the corpus, can be given as ``prior``; otherwise it is the share of toxic rows among the
+labelled ones that may be learnt from, which is right where labels look like the corpus. The
+cut-off is a quantile: as large a share of the sample's unlabelled texts as the prior reaches
+THRESHOLD.
 
 Only rows whose crc32(doc_id as text) mod 4 is not 2 take part in learning, as positives
 and as unlabelled text. Training uses a bounded sample, POSITIVES and UNLABELLED texts at
@@ -219,11 +222,14 @@ def _chance(value: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(value, -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> dict | None:
+def train(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> dict | None:
     """Fit on the bounded sample; None where there is nothing to learn from."""
+    if prior is not None and not 0 < prior < 1:
+        raise ValueError("the prior is a share between 0 and 1")
     bounded_batches(docs.sparkSession)
-    known = labels.filter(~held_out() & F.col("toxic").isNotNull())
-    prior = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
+    if prior is None:
+        known = labels.filter(~held_out() & F.col("toxic").isNotNull())
+        prior = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
     positives, unlabelled = sample_features(sample(docs, labels))
     if not prior or not len(positives[1]) or not len(unlabelled[1]):
         return None
@@ -256,15 +262,17 @@ def score(docs: DataFrame, model: dict | None, keep: list[str]) -> DataFrame:
         "predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
-    scored = score(docs, train(docs, labels), ["doc_id"])
+    scored = score(docs, train(docs, labels, prior), ["doc_id"])
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
-def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def clean_documents(
+    docs: DataFrame, labels: DataFrame, prior: float | None = None
+) -> DataFrame:
     """The documents that are not predicted toxic, with all their columns."""
-    scored = score(docs, train(docs, labels), docs.columns)
+    scored = score(docs, train(docs, labels, prior), docs.columns)
     return scored.filter(F.col("predicted") == 0).select(*docs.columns)
 
 

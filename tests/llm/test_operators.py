@@ -200,6 +200,21 @@ def test_toxicity_learns_from_positives(spark):
     assert toxicity.clean_documents(docs, truth).columns == docs.columns
 
 
+def test_toxicity_takes_a_prior(spark):
+    rng = random.Random(3)
+    common = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    rows = [(i, " ".join(rng.choices(common, k=40) + ["Vile!", "nasty"] * (i % 10 == 0)))
+            for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # Half of the labels are toxic, a tenth of the corpus is.
+    truth = spark.createDataFrame(
+        [(i, int(i % 10 == 0)) for i, _ in rows if i % 10 in (0, 1)], "doc_id long, toxic int")
+    toxic = {r.doc_id for r in toxicity.toxicity(docs, truth, 0.1).collect() if r.predicted}
+    assert len(toxic ^ {i for i, _ in rows if i % 10 == 0}) < 0.03 * len(rows)
+    with pytest.raises(ValueError, match="prior"):
+        toxicity.train(docs, truth, 1.5)
+
+
 def test_toxicity_without_examples(spark, awkward, nothing):
     none = spark.createDataFrame([(4, 0)], "doc_id long, toxic int")
     assert {r.score for r in toxicity.toxicity(awkward, none).collect()} == {0.0}
