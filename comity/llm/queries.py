@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from comity.llm import (
-    bpe, exact_dedup, licenses, mixing, ngram_join, secret_scan, sharding, token_counts, toxicity,
-    vectors,
+    bpe, exact_dedup, licenses, line_dedup, mixing, ngram_join, runs, secret_scan, sharding,
+    token_counts, toxicity, vectors, whitening,
 )
 from comity.llm.common import table
 
@@ -51,6 +51,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_mixing": op2_mixing,
@@ -62,9 +74,13 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_sharding": op9_sharding,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_runs": op11_runs,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES = {
     "op2_mixing": mixing.ORACLE_SQL,
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op12_line_dedup": line_dedup.ORACLE_SQL,
 }

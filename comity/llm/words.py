@@ -1,7 +1,7 @@
 """Texts as dictionary-coded words, and a Spark-wide table of distinct words.
 
 A block is a run of documents of one input task, at most BLOCK_BYTES of text (a longer
-document is a block of its own). A block codes its words by a dictionary of its own.
+document is a block of its own) and BLOCK_ROWS rows. A block codes its words by a dictionary of its own.
 ``map_words`` sends the dictionaries, never the words in order, through the shuffle:
 
     block dictionaries -> by word -> one call per distinct word -> back by block
@@ -24,20 +24,22 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from comity.llm.common import bounded_batches
 
 BLOCK_BYTES = 4 << 20
+BLOCK_ROWS = 1 << 16
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.Table]:
-    """Batches cut and joined into tables of about BLOCK_BYTES of text."""
-    held, size = [], 0
+    """Batches cut and joined into tables of about BLOCK_BYTES of text, BLOCK_ROWS at most."""
+    held, size, rows = [], 0, 0
     for batch in batches:
         lengths = text_lengths(batch.column(column))
         start = 0
         for end in range(batch.num_rows):
-            if size and size + lengths[end] > BLOCK_BYTES:
+            if size and size + lengths[end] > BLOCK_BYTES or rows == BLOCK_ROWS:
                 held.append(batch.slice(start, end - start))
                 yield pa.Table.from_batches(held)
-                held, size, start = [], 0, end
+                held, size, rows, start = [], 0, 0, end
             size += int(lengths[end])
+            rows += 1
         held.append(batch.slice(start))
     if sum(b.num_rows for b in held):
         yield pa.Table.from_batches(held)
