@@ -1,4 +1,4 @@
-"""Operators for preparing training data: ten jobs over documents and embeddings.
+"""Operators for preparing training data: jobs over documents and embeddings.
 
 Python workers import this package by name where PYTHONPATH holds it. Elsewhere its
 functions travel to them by value.

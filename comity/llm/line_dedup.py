@@ -224,7 +224,7 @@ def _answers(requests: pa.Table, index: pa.Table, least: int, schema: pa.Schema)
                             for c, t in (("sizes", np.int64), ("words", "<u8"))))
     fingerprints = np.frombuffer(index.column("fingerprints")[0].as_py(), "<u4")
     counts = np.frombuffer(index.column("counts")[0].as_py(), np.int64)
-    largest = index.column("largest").combine_chunks().chunk(0).flatten()
+    largest = index.column("largest").combine_chunks().flatten()
     keys = [np.frombuffer(k.as_py(), "<u8").reshape(2, -1) for k in requests.column("keys")]
     code = np.concatenate(
         [np.frombuffer(c.as_py(), "<i4") for c in requests.column("codes")])

@@ -114,6 +114,8 @@ class Whitening:
 
 def ranges(rows: DataFrame, scale: int, offset: int) -> tuple[int, list, list]:
     """Number of vectors of the commonest length, and the range of x in each dimension."""
+    longs = pa.list_(pa.int64())
+
     def work(batches):
         for batch in batches:
             column = batch.column(0)
@@ -123,8 +125,8 @@ def ranges(rows: DataFrame, scale: int, offset: int) -> tuple[int, list, list]:
                 yield pa.RecordBatch.from_pydict({
                     "size": pa.array([size], pa.int32()),
                     "n": pa.array([int((sizes == size).sum())], pa.int64()),
-                    "least": [x.min(0).tolist() if size else []],
-                    "greatest": [x.max(0).tolist() if size else []]})
+                    "least": pa.array([x.min(0).tolist() if size else []], longs),
+                    "greatest": pa.array([x.max(0).tolist() if size else []], longs)})
 
     parts = stored(
         rows.mapInArrow(work, "size int, n long, least array<long>, greatest array<long>"),
@@ -169,19 +171,20 @@ def fit(
                 seen += len(x)
         if seen:
             values = [*total[upper].tolist(), *sums.tolist()]
-            # Low and high half apart: their sums over the tasks stay within a decimal.
+            # Parts of 48 bits: a product has 113 bits at most, their sums fit a decimal.
             yield pa.RecordBatch.from_pydict({
                 "at": pa.array(np.arange(len(values)), pa.int32()),
-                "high": pa.array([v >> 48 for v in values], pa.int64()),
+                "high": pa.array([v >> 96 for v in values], pa.int64()),
+                "middle": pa.array([v >> 48 & (1 << 48) - 1 for v in values], pa.int64()),
                 "low": pa.array([v & (1 << 48) - 1 for v in values], pa.int64())})
 
     wide = T.DecimalType(38, 0)
     added = (
         rows.filter(F.size(vector) == size)
-        .mapInArrow(work, "at int, high long, low long").groupBy("at")
-        .agg(F.sum(F.col("high").cast(wide)).alias("high"), F.sum(F.col("low").cast(wide)).alias("low"))
+        .mapInArrow(work, "at int, high long, middle long, low long").groupBy("at")
+        .agg(*[F.sum(F.col(c).cast(wide)).alias(c) for c in ("high", "middle", "low")])
         .orderBy("at").collect())
-    values = [(int(r["high"]) << 48) + int(r["low"]) for r in added]
+    values = [(int(r["high"]) << 96) + (int(r["middle"]) << 48) + int(r["low"]) for r in added]
     shifted = values[len(upper[0]):]
     # Centred as integers: n^2 times the covariance.
     centred = np.zeros((size, size), object)
