@@ -31,6 +31,7 @@ LABEL_ALIASES = {
     "severe toxic": "severe_toxic",
 }
 
+FAILED = "Error"
 UNSAVED_PREDICTIONS = ("Error", "Model Unavailable")
 
 # ---------------------------------------------------------------------------

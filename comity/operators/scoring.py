@@ -7,9 +7,11 @@ A scorer is anything with ``labels`` and ``raw_scores(df, text_col) -> df`` that
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +30,11 @@ class Scorer(Protocol):
     def raw_scores(self, df: DataFrame, text_col: str) -> DataFrame: ...
 
 
+def may_fail(scorer: Scorer) -> bool:
+    """Whether rows can come back without a score; a scorer that cannot fail saves checks."""
+    return getattr(scorer, "may_fail", True)
+
+
 class LexiconScorer:
     """Sum of token weights plus a bias, through a sigmoid, for every label.
 
@@ -36,6 +43,7 @@ class LexiconScorer:
     """
 
     ignores_spacing = True
+    may_fail = False
 
     def __init__(
         self,
@@ -87,6 +95,8 @@ class ModelScorer:
     The text is tokenized and hashed once, whatever the number of labels.
     """
 
+    may_fail = False
+
     def __init__(self, features, models: Mapping[str, object], text_col: str = "text"):
         self.features, self.models, self.text_col = features, models, text_col
         self.labels = tuple(models)
@@ -111,9 +121,13 @@ class PandasScorer:
     """A user function ``Series of texts -> DataFrame of probabilities``.
 
     ``load`` runs once per Python worker and returns that function, so a model is read
-    once and then used for every Arrow batch of the worker's partitions.
+    once and then used for every Arrow batch of the worker's partitions. A batch that it
+    fails on is halved until the texts that it cannot score stand alone; those, and texts
+    it gives no usable number for, have no scores, and the other rows keep theirs.
     """
 
+    may_fail = True
+
     def __init__(
         self, load: Callable[[], Callable[[pd.Series], pd.DataFrame]], labels=K.LABELS
     ):
@@ -130,7 +144,7 @@ class PandasScorer:
                 out = pd.DataFrame(0.0, index=texts.index, columns=labels)
                 filled = texts.notna()
                 if filled.any():
-                    out.loc[filled, labels] = predict(texts[filled])[labels].to_numpy()
+                    out.loc[filled, labels] = scored_in_halves(predict, texts[filled], labels)
                 yield out
 
         # A blank text is sent as null and never reaches the model.
@@ -138,6 +152,32 @@ class PandasScorer:
         return df.withColumn(RAW, score(text))
 
 
+def scored_in_halves(
+    predict: Callable[[pd.Series], pd.DataFrame], texts: pd.Series, labels: list[str]
+) -> np.ndarray:
+    """Probabilities of all texts, NaN for those that ``predict`` fails on."""
+    out = np.full((len(texts), len(labels)), np.nan)
+    parts = [(0, len(texts))]
+    while parts:
+        start, end = parts.pop()
+        try:
+            found = predict(texts.iloc[start:end])[labels].to_numpy(float)
+            if len(found) != end - start:
+                raise ValueError("the scorer returned another number of rows")
+            out[start:end] = found
+        except Exception:  # whatever a user's model raises
+            if end - start > 1:
+                middle = (start + end) // 2
+                parts += [(start, middle), (middle, end)]
+    return out
+
+
+def failed(scores: Sequence[Column]) -> Column:
+    """Whether a row has no usable score: all are null or NaN."""
+    usable = [~F.isnan(c) & c.isNotNull() for c in scores]
+    return ~functools.reduce(lambda a, b: a | b, usable)
+
+
 def score_table(
     df: DataFrame,
     scorer: Scorer,
@@ -147,7 +187,9 @@ def score_table(
 ) -> DataFrame:
     """Append ``<label>_score`` (4 digits) and ``<label>_flagged`` for every label.
 
-    The flag compares the unrounded probability. Blank texts score 0.
+    The flag compares the unrounded probability. Blank texts score 0. A scorer that
+    ``may_fail`` leaves a null score, unflagged, where it gave no number; ``failed`` tells
+    the rows without any.
     """
     if text_col not in df.columns:
         raise ValueError(f"the table has no column {text_col!r}")
@@ -156,8 +198,13 @@ def score_table(
     columns = {}
     for label in scorer.labels:
         raw = F.col(RAW)[label]
+        if may_fail(scorer):
+            raw = F.nullif(raw, F.lit(float("nan")))
         columns[f"{label}_score"] = F.when(blank, 0.0).otherwise(round_half_even(raw, 4))
-        columns[f"{label}_flagged"] = (~blank & (raw >= threshold)).cast("int")
+        flag = raw >= threshold
+        if may_fail(scorer):
+            flag = F.coalesce(flag, F.lit(False))
+        columns[f"{label}_flagged"] = (~blank & flag).cast("int")
     out = scored.withColumns(columns).drop("_blank")
     return out if keep_raw else out.drop(RAW)
 

@@ -11,7 +11,7 @@ from comity import constants as K
 from comity.functions import rules
 from comity.functions import text as tx
 from comity.functions.values import clamp, round_half_even, score_columns
-from comity.operators.scoring import LexiconScorer, score_table
+from comity.operators.scoring import LexiconScorer, failed, may_fail, score_table
 
 Scores = Mapping[str, Column]
 
@@ -34,18 +34,27 @@ def strongest_label(scores: Scores, labels) -> Column:
 
 
 def any_label(
-    scores: Scores, threshold: float = K.LABEL_THRESHOLD, blank: Column | None = None
+    scores: Scores,
+    threshold: float = K.LABEL_THRESHOLD,
+    blank: Column | None = None,
+    failed: Column | None = None,
 ) -> Column:
-    """Toxic when any label reaches the threshold. A blank text is Non-Toxic with 0."""
+    """Toxic when any label reaches the threshold. A blank text is Non-Toxic with 0.
+
+    Rows that ``failed`` to be scored are "Error" with confidence 0.
+    """
     top = highest(scores)
     toxic = top >= threshold
+    prediction = F.when(toxic, "Toxic").otherwise("Non-Toxic")
     confidence = round_half_even(F.when(toxic, top).otherwise(1.0 - top), 4)
+    if failed is not None:
+        prediction = F.when(failed, K.FAILED).otherwise(prediction)
+        confidence = F.when(failed, 0.0).otherwise(confidence)
     if blank is not None:
+        if failed is not None:
+            prediction = F.when(blank, "Non-Toxic").otherwise(prediction)
         confidence = F.when(blank, 0.0).otherwise(confidence)
-    return F.struct(
-        F.when(toxic, "Toxic").otherwise("Non-Toxic").alias("prediction"),
-        confidence.alias("confidence"),
-    )
+    return F.struct(prediction.alias("prediction"), confidence.alias("confidence"))
 
 
 def any_label_percent(raw: Scores, threshold: float = K.LABEL_THRESHOLD) -> Column:
@@ -351,7 +360,7 @@ def score_and_judge(
 
     With ``translated_col`` the translation is scored where there is one. A scorer that
     does not care about spacing reads the text as it came, so a plan that drops the
-    text never cleans it.
+    text never cleans it. Rows that the scorer failed on are judged "Error".
     """
     scorer = scorer or LexiconScorer()
     rows = df.filter(~tx.is_blank(text_col))
@@ -363,5 +372,8 @@ def score_and_judge(
         translated = F.nullif(tx.clean_text(translated_col), F.lit(""))
         source = F.coalesce(translated, source)
     scored = score_table(rows.withColumn("_scored_text", source), scorer, "_scored_text")
-    judged = with_verdict(scored, any_label(score_columns(scorer.labels)))
+    unscored = None
+    if may_fail(scorer):
+        unscored = failed([F.col(f"{label}_score") for label in scorer.labels])
+    judged = with_verdict(scored, any_label(score_columns(scorer.labels), failed=unscored))
     return judged.withColumn(text_col, cleaned).drop("_scored_text")

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from comity.functions.values import score_columns
-from comity.operators import dataset, history, reports, training, verdicts
-from comity.operators.scoring import LexiconScorer
+from comity.operators import dataset, reports, training, verdicts
+from comity.operators.scoring import LexiconScorer, may_fail
 from comity.sources import readers, sinks, threads
+from comity.sources.history_table import HistoryTable
 from comity.workspace import new_path
 
 
@@ -19,31 +20,36 @@ def upload(
     user_id: int,
     created_at: Column,
     scorer=None,
+    run_id: str | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
-    """Score an uploaded CSV once, append it to the history, and summarise it.
+    """Score an uploaded CSV once, add it to the history table, and summarise it.
 
-    A column ``lang`` or ``language`` gives the language, English without one. Ids are the
-    second of ``created_at`` and, in the lower 31 bits, the row's number in the upload: later
-    uploads have larger ids, and two of one user in the same second would share them.
+    Each file is read in its own encoding. A column ``lang`` or ``language`` gives the
+    language, English without one. An upload is a run of ``HistoryTable``: repeating it adds
+    nothing. By default the run is named by user, time and path. Rows that the scorer fails
+    on are counted in the summary and kept out of the history.
     """
-    sheet = readers.read_comments_csv(spark, csv_path)
-    named = readers.find_column(sheet.columns, ("lang", "language"))
+    scorer = scorer or LexiconScorer()
+    sheet = readers.read_comments_csv_any_encoding(
+        spark, csv_path, multi_line=multi_line, positions=True)
+    columns = [c for c in sheet.columns if c not in readers.POSITION]
+    named = readers.find_column(columns, ("lang", "language"))
     lang = F.col(f"`{named}`").cast("string") if named else F.lit("en")
-    comments = readers.with_text(
-        sheet.withColumn("_lang", lang), "_lang"
-    ).withColumn("user_id", F.lit(user_id).cast("bigint"))
+    comments = sheet.select(
+        *readers.POSITION, lang.alias("_lang"), F.lit(user_id).cast("bigint").alias("user_id"),
+        F.col(f"`{readers.pick_text_column(columns)}`").cast("string").alias("text"))
     judged = verdicts.score_and_judge(comments, scorer, lang_col="_lang")
     path = new_path(spark, "upload")
-    judged = judged.withColumn("_row", F.monotonically_increasing_id())
     judged.write.parquet(path)
     scored = spark.read.schema(judged.schema).parquet(path)
-    scores = score_columns((scorer or LexiconScorer()).labels)
-    second = F.unix_seconds(created_at.cast("timestamp"))
-    numbered = history.number_rows(
-        scored, [], "_row", name="_number"
-    ).withColumn("id", F.shiftleft(second, 31) + F.col("_number"))
-    sinks.append_history(
-        sinks.history_rows(numbered, "csv", scores, created_at, False), history_path)
+    scores = score_columns(scorer.labels)
+    if run_id is None:
+        time = spark.range(1).select(created_at.cast("string")).first()[0]
+        run_id = f"upload:{user_id}:{time}:{csv_path}"
+    rows = sinks.history_rows(
+        scored, "csv", scores, created_at, may_fail(scorer), keep=readers.POSITION)
+    HistoryTable(spark, history_path).add(rows, run_id, position=readers.POSITION)
     return reports.upload_summary(scored, scores)
 
 
@@ -116,6 +122,6 @@ def train_and_evaluate(split: DataFrame, **options):
 def tweets_to_history(
     tweets: DataFrame, created_at: Column, scorer: LexiconScorer | None = None
 ) -> DataFrame:
-    """Classify tweets (user_id, text) and shape them as history rows."""
+    """Classify tweets (user_id, text) and shape them as rows for ``HistoryTable.add``."""
     rows = verdicts.tweet_history(verdicts.classify_tweets(tweets, scorer))
     return sinks.history_rows(rows, "twitter", None, created_at, False)

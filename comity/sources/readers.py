@@ -33,6 +33,10 @@ HISTORY_SCHEMA = T.StructType([
 ])
 
 
+#: File, split of the file, and row: the order of a sheet's rows.
+POSITION = ("_file", "_start", "_row")
+
+
 def read_comments_csv(
     spark: SparkSession,
     path: str,
@@ -62,18 +66,25 @@ def read_comments_csv_any_encoding(
     path: str,
     schema: T.StructType | None = None,
     multi_line: bool = True,
+    positions: bool = False,
 ) -> DataFrame:
     """Each file as UTF-8 if all its text is valid UTF-8, and as Latin-1 otherwise.
 
     Latin-1 keeps every byte, so the text is read that way and turned back into bytes.
+    ``positions`` adds the columns POSITION, which order rows by file and place in it.
     """
     df = read_comments_csv(spark, path, schema, "ISO-8859-1", multi_line)
     if schema is None:
         df = df.toDF(*[_header(c) for c in df.columns])
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    if not texts:
-        return df
+    places = list(POSITION) if positions else []
     rows = df.withColumn("_file", F.col("_metadata.file_path"))
+    if positions:
+        rows = rows.withColumns({
+            "_start": F.col("_metadata.file_block_start"),
+            "_row": F.monotonically_increasing_id()})
+    if not texts:
+        return rows.select(*[F.col(f"`{c}`") for c in df.columns], *places)
     valid = F.lit(True)
     for name in texts:
         of = F.is_valid_utf8(F.encode(F.col(f"`{name}`"), "ISO-8859-1").cast("string"))
@@ -86,7 +97,7 @@ def read_comments_csv_any_encoding(
         return F.when(F.col("_utf8"), utf8).otherwise(c).alias(name)
 
     return rows.join(files, "_file").select(
-        *[decoded(c) if c in texts else F.col(f"`{c}`") for c in df.columns]
+        *[decoded(c) if c in texts else F.col(f"`{c}`") for c in df.columns], *places
     )
 
 

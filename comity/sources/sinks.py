@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +18,9 @@ def history_rows(
     scores: dict[str, Column] | None = None,
     created_at: Column | None = None,
     may_fail: bool = True,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Scored texts as prediction-history rows.
+    """Scored texts as prediction-history rows, with the ``keep`` columns.
 
     Rows whose scorer failed are not kept; a scorer that cannot fail saves the check.
     Needs user_id, text, language, prediction and confidence; labels come from
@@ -31,6 +34,7 @@ def history_rows(
         scored = scored.filter(~verdict.isin(list(K.UNSAVED_PREDICTIONS)))
     return scored.select(
         *key,
+        *keep,
         "user_id",
         F.col("text").alias("input_text"),
         F.coalesce(F.col("language"), F.lit("en")).alias("language"),

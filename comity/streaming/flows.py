@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from comity.operators.reports import NON_TOXIC, TOXIC
+from comity.sources.history_table import HistoryTable, read_or_empty
 
 
 def landed_stream(
@@ -56,6 +57,29 @@ def score_and_append(
     return append_stream(to_history(comments), path, checkpoint)
 
 
+def stream_into(
+    rows: DataFrame,
+    to_history: Callable[[DataFrame], DataFrame],
+    path: str,
+    run_id: str,
+    checkpoint: str,
+) -> StreamingQuery:
+    """Add the stream's rows to a ``HistoryTable``, each micro-batch as a batch of the run.
+
+    A batch that is replayed after a failure finds itself in the table and adds nothing.
+    Batches are numbered by the checkpoint, so a new checkpoint needs a new ``run_id``.
+    """
+    def add(batch: DataFrame, number: int) -> None:
+        HistoryTable(batch.sparkSession, path).add(to_history(batch), run_id, number)
+
+    return (
+        rows.writeStream.foreachBatch(add)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def _as_instant(c: str) -> Column:
     """Wall-clock time as the instant with that UTC time, whatever the session's zone.
 
@@ -85,9 +109,20 @@ def daily_partials(
     )
 
 
-def daily_totals(spark: SparkSession, path: str, *by: str) -> DataFrame:
-    """Rows and verdicts per day over all batches that ``daily_partials`` has written."""
-    return spark.read.parquet(path).groupBy("activity_date", *by).agg(
+def daily_totals(
+    spark: SparkSession, path: str, *by: str, types: Mapping[str, T.DataType] | None = None
+) -> DataFrame:
+    """Rows and verdicts per day over all batches that ``daily_partials`` has written.
+
+    No rows before the first batch. ``types`` gives the type of each ``by`` that is no long.
+    """
+    of = types or {}
+    schema = T.StructType([
+        T.StructField("activity_date", T.DateType()),
+        *[T.StructField(c, of.get(c, T.LongType())) for c in by],
+        *[T.StructField(c, T.LongType()) for c in ("total", "toxic", "non_toxic")],
+    ])
+    return read_or_empty(spark, path, schema).groupBy("activity_date", *by).agg(
         *[F.sum(c).alias(c) for c in ("total", "toxic", "non_toxic")]
     )
 

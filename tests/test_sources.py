@@ -7,6 +7,7 @@ from comity import constants as K
 from comity.operators import history, validate
 from comity.plans import flows
 from comity.sources import readers, sinks, threads
+from comity.sources.history_table import HistoryTable
 
 
 def test_csv_round_trip_keeps_quotes_and_lines(spark, tmp_path):
@@ -197,18 +198,20 @@ def test_upload_flow(spark, tmp_path):
     summary = flows.upload(spark, str(csv), str(tmp_path / "h"), 7, stamp).first()
     assert (summary["total"], summary["toxic"], summary["safe"]) == (2, 1, 1)
     assert summary["toxic_rate"] == 50.0
-    stored = spark.read.parquet(str(tmp_path / "h"))
-    rows = stored.collect()
+    table = HistoryTable(spark, str(tmp_path / "h"))
+    rows = table.read().collect()
     assert len({r["id"] for r in rows}) == 2
     # The history's own reports read it, newest upload first.
     later = F.lit("2024-01-30 10:00:01").cast("timestamp_ntz")
-    flows.upload(spark, str(csv), str(tmp_path / "h"), 7, later)
-    newest = history.latest_per_owner(spark.read.parquet(str(tmp_path / "h")), 2).collect()
+    for _ in range(2):
+        flows.upload(spark, str(csv), str(tmp_path / "h"), 7, later)
+    assert table.read().count() == 4
+    newest = history.latest_per_owner(table.read(), 2).collect()
     assert {r["created_at"].second for r in newest} == {1}
     first = min(r["id"] for r in rows)
-    sinks.erase_days(spark, str(tmp_path / "h"), spark.createDataFrame(
-        [(7, first)], "user_id long, id long"), ["user_id", "id"])
-    assert spark.read.parquet(str(tmp_path / "h")).count() == 3
+    table.erase(spark.createDataFrame([(7, first)], "user_id long, id long"), ["user_id", "id"])
+    flows.upload(spark, str(csv), str(tmp_path / "h"), 7, stamp)
+    assert table.read().count() == 3
     assert {(r["user_id"], r["input_text"], r["source"]) for r in rows} == {
         (7, "you idiot", "csv"), (7, "lovely day", "csv")}
 
@@ -248,5 +251,59 @@ def test_upload_keeps_the_language_column(spark, tmp_path):
     csv.write_text("text,lang\nvous êtes tous des idiots,fr\nidiot,fr\n", encoding="utf-8")
     stamp = F.lit("2024-01-30 00:00:00").cast("timestamp_ntz")
     flows.upload(spark, str(csv), str(tmp_path / "h"), 7, stamp)
-    got = {r["input_text"]: r["language"] for r in spark.read.parquet(str(tmp_path / "h")).collect()}
+    table = HistoryTable(spark, str(tmp_path / "h"))
+    got = {r["input_text"]: r["language"] for r in table.read().collect()}
     assert got == {"vous êtes tous des idiots": "fr", "idiot": "en"}
+
+
+def test_uploads_keep_the_order_and_encoding_of_their_files(spark, tmp_path):
+    (tmp_path / "up").mkdir()
+    lines = [f"comment number {i} of many" for i in range(40)]
+    (tmp_path / "up" / "a.csv").write_text("text\n" + "\n".join(lines[:25]), encoding="utf-8")
+    (tmp_path / "up" / "b.csv").write_bytes(("text\n" + "\n".join(["caf\xe9", *lines[25:]])).encode("latin-1"))
+    stamp = F.lit("2024-01-30 10:00:00").cast("timestamp_ntz")
+    flows.upload(spark, str(tmp_path / "up"), str(tmp_path / "h"), 7, stamp)
+    rows = HistoryTable(spark, str(tmp_path / "h")).read().orderBy("id").collect()
+    assert [r["input_text"] for r in rows] == [*lines[:25], "caf\xe9", *lines[25:]]
+
+
+def test_failing_scorers_mark_only_their_rows(spark, tmp_path):
+    from comity.operators.scoring import PandasScorer, scored_in_halves
+
+    def load():
+        import pandas as pd
+
+        def predict(texts):
+            if texts.str.contains("poison").any():
+                raise RuntimeError("cannot score this batch")
+            out = pd.DataFrame(0.25, index=texts.index, columns=list(K.LABELS))
+            out.loc[texts.str.contains("nan"), :] = float("nan")
+            out.loc[texts.str.contains("half"), "toxic"] = float("nan")
+            out.loc[texts.str.contains("bad"), "insult"] = 0.75
+            return out
+        return predict
+
+    texts = ["fine"] * 300 + ["poison a"] + ["bad one"] * 50 + ["nan b", "half c", "poison d"]
+    csv = tmp_path / "up.csv"
+    csv.write_text("text\n" + "\n".join(texts) + "\n")
+    stamp = F.lit("2024-01-30 10:00:00").cast("timestamp_ntz")
+    scorer = PandasScorer(load)
+    summary = flows.upload(spark, str(csv), str(tmp_path / "h"), 7, stamp, scorer).first()
+    assert (summary["total"], summary["toxic"], summary["safe"], summary["errors"]) == (354, 50, 301, 3)
+    assert summary["insult_count"] == 50 and summary["toxic_rate"] == 14.1
+    kept = HistoryTable(spark, str(tmp_path / "h")).read().collect()
+    assert len(kept) == 351 and not [r for r in kept if "poison" in r["input_text"] or "nan" in r["input_text"]]
+    half = next(r for r in kept if r["input_text"] == "half c")
+    assert (half["prediction"], half["confidence"]) == ("Non-Toxic", 0.75)
+
+    import pandas as pd
+    calls = []
+
+    def fails_on(texts):
+        calls.append(len(texts))
+        if (texts == "x").any():
+            raise ValueError
+        return pd.DataFrame({"toxic": 0.5}, index=texts.index)
+
+    found = scored_in_halves(fails_on, pd.Series(["a"] * 500 + ["x"] + ["a"] * 523), ["toxic"])
+    assert pd.isna(found[500, 0]) and pd.isna(found).sum() == 1 and len(calls) < 30

@@ -71,3 +71,7 @@ def test_daily_partials_show_open_days_and_late_rows(spark, tmp_path):
         F.count("*"), F.count_if(F.lower("prediction") == "toxic"),
         F.count_if(F.lower("prediction") == "non toxic"))
     assert got == sorted(map(str, map(tuple, batch.collect()))) and len(got) == 3
+
+
+def test_daily_totals_before_a_first_batch(spark, tmp_path):
+    assert streams.daily_totals(spark, str(tmp_path / "none"), "user_id").count() == 0
