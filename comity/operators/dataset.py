@@ -34,16 +34,32 @@ def clean_labelled(
 
 
 def keep_first(df: DataFrame, by: str, key_col: str) -> DataFrame:
-    """One row per value of ``by``: the one with the smallest key.
+    """One whole row per value of ``by``: the one with the smallest key.
 
-    An aggregate rather than a window, so copies of a hot text fold together before the
-    shuffle and no task ever sorts them.
+    A null key comes last; among equal keys a hash of the other columns decides, so that
+    the columns of a row stay together. Null values of ``by`` are one value.
+
+    Two steps: the least key of each value is found by digest, without any text. Then each
+    row looks its own (digest, key, hash) up among the winners. Copies that agree in all
+    three fold together before the shuffle, and a value that a third of the rows share is
+    spread by its keys.
     """
     rest = [c for c in df.columns if c not in (by, key_col)]
-    return df.groupBy(by).agg(
-        F.min(key_col).alias(key_col),
-        *[F.min_by(c, key_col).alias(c) for c in rest],
-    ).select(*df.columns)
+    hashed = [c for c in rest if "map<" not in df.schema[c].dataType.simpleString()]
+    rows = df.withColumns({
+        "_digest": F.coalesce(_digest(by), F.lit("")),
+        "_none": F.col(key_col).isNull(),
+        "_tie": F.xxhash64(*hashed) if hashed else F.lit(0).cast("long"),
+    })
+    least = F.min(F.struct("_none", F.col(key_col).alias("_key"), "_tie"))
+    winners = rows.groupBy("_digest").agg(least.alias("_least")).select(
+        F.col("_digest").alias("_d"), "_least._key", F.col("_least._tie").alias("_t"))
+    found = (
+        (F.col("_digest") == F.col("_d")) & (F.col("_tie") == F.col("_t"))
+        & F.col(key_col).eqNullSafe(F.col("_key"))
+    )
+    return rows.dropDuplicates(["_digest", key_col, "_tie"]).join(winners, found).select(
+        *df.columns)
 
 
 def _digest(text_col: str) -> Column:

@@ -6,12 +6,14 @@ most one row per pair of classes, whatever the size of the input.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from comity import constants as K
+from comity.workspace import new_path
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -108,8 +110,8 @@ def report(
 ) -> DataFrame:
     """Per class, accuracy, macro average and weighted average, as one table.
 
-    The macro row averages over all listed classes here. On accuracy's row precision
-    and recall are empty.
+    The macro row averages over all listed classes here. Accuracy is that of all rows, of
+    whatever class; precision and recall are empty on its row.
     """
     table = per_class(counts, classes=classes)
     named = F.lit(None).cast("string")
@@ -123,20 +125,20 @@ def report(
         return _ratio(F.sum(F.col(m) * F.col("support")), F.sum("support")).alias(m)
 
     summary = table.agg(
-        F.struct(
-            F.lit("accuracy").alias("name"),
-            F.lit(None).cast("double").alias("precision"),
-            F.lit(None).cast("double").alias("recall"),
-            _ratio(F.sum("hits"), F.sum("support")).alias("f1"),
-            whole,
-        ).alias("a"),
         F.struct(F.lit("macro avg").alias("name"), *[F.avg(m).alias(m) for m in metrics],
                  whole).alias("m"),
         F.struct(F.lit("weighted avg").alias("name"), *[weighted(m) for m in metrics],
                  whole).alias("w"),
-    ).select(F.inline(F.array("a", "m", "w")))
+    ).select(F.inline(F.array("m", "w")))
+    none = F.lit(None).cast("double")
+    hits = F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0))
+    accuracy = counts.agg(
+        F.lit("accuracy").alias("name"), none.alias("precision"), none.alias("recall"),
+        _ratio(hits, F.sum("n")).alias("f1"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("support"),
+    )
     rows = table.select(named.alias("name"), *metrics, "support")
-    return rows.unionByName(summary).select(
+    return rows.unionByName(accuracy).unionByName(summary).select(
         "name", *[F.bround(m, 4).alias(m) for m in metrics], "support"
     )
 
@@ -209,39 +211,54 @@ def multilabel_averages(per_label: DataFrame) -> DataFrame:
     )
 
 
-def roc_auc(
-    df: DataFrame, *by: str, label: str = "label", score: str = "score", bins: int = 4096
+def ranged_scores(
+    df: DataFrame, by: Sequence[str], label: str = "label", score: str = "score"
 ) -> DataFrame:
-    """Area under the ROC curve by the rank-sum formula, ties at half weight.
+    """Positives and negatives per distinct score, stored in ranges of about equal size.
 
-    Exact: scores are ranked as they are. Positives and negatives are counted per
-    distinct score; scores fall into ``bins`` equal parts of [0, 1], whose counts are
-    summed up first, so that a window holds the scores of one bin only. Null and NaN
-    scores are left out. Null when a class is absent.
+    ``part`` numbers the ranges in order of (by, score). They are cut where the scores are,
+    so scores that crowd in one place are spread like any others.
     """
     value = F.col(score).cast("double")
     counted = df.filter(value.isNotNull() & ~F.isnan(value)).groupBy(
-        *by, value.alias("_score")
+        *by, value.alias("score")
     ).agg(
-        F.count_if(F.col(label) == 1).cast("double").alias("_pos"),
-        F.count_if(F.col(label) == 0).cast("double").alias("_neg"),
-    ).withColumn("_bin", F.floor(F.greatest(F.least("_score", F.lit(1.0)), F.lit(0.0)) * bins))
-    below = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counted.groupBy(*by, "_bin").agg(F.sum("_neg").alias("_n")).select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], F.col("_bin").alias("_b"),
-        F.coalesce(F.sum("_n").over(below), F.lit(0.0)).alias("_offset"))
-    same = F.col("_bin") == F.col("_b")
+        F.count_if(F.col(label) == 1).cast("double").alias("pos"),
+        F.count_if(F.col(label) == 0).cast("double").alias("neg"),
+    )
+    spark = df.sparkSession
+    path = new_path(spark, "ranged-scores")
+    # Written, since a range would be cut elsewhere if it were worked out again.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = counted.repartitionByRange(parts, *by, "score").withColumn(
+        "part", F.spark_partition_id())
+    ranged.write.parquet(path)
+    return spark.read.schema(ranged.schema).parquet(path)
+
+
+def roc_auc(df: DataFrame, *by: str, label: str = "label", score: str = "score") -> DataFrame:
+    """Area under the ROC curve by the rank-sum formula, ties at half weight.
+
+    Exact: scores are ranked as they are. A window holds one range of ``ranged_scores``;
+    the negatives of earlier ranges come from one row a range. Null and NaN scores are left
+    out. Null when a class is absent.
+    """
+    ranged = ranged_scores(df, by, label, score)
+    earlier = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy(*by, "part").agg(F.sum("neg").alias("_n")).select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], F.col("part").alias("_part"),
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0.0)).alias("_offset"))
+    same = F.col("part") == F.col("_part")
     for i, k in enumerate(by):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    inside = Window.partitionBy(*by, "_bin").orderBy("_score").rowsBetween(
+    inside = Window.partitionBy(*by, "part").orderBy("score").rowsBetween(
         Window.unboundedPreceding, -1)
-    ranked = counted.withColumn("_inside", F.coalesce(F.sum("_neg").over(inside), F.lit(0.0)))
-    ranked = ranked.join(offsets, same)
-    won = F.sum(F.col("_pos") * (F.col("_offset") + F.col("_inside") + F.col("_neg") / 2))
-    return ranked.groupBy(*by).agg(
-        F.sum("_pos").cast("bigint").alias("positives"),
-        F.sum("_neg").cast("bigint").alias("negatives"),
-        F.try_divide(won, F.sum("_pos") * F.sum("_neg")).alias("auc"),
+    ranked = ranged.withColumn("_inside", F.coalesce(F.sum("neg").over(inside), F.lit(0.0)))
+    won = F.sum(F.col("pos") * (F.col("_offset") + F.col("_inside") + F.col("neg") / 2))
+    return ranked.join(offsets, same).groupBy(*by).agg(
+        F.sum("pos").cast("bigint").alias("positives"),
+        F.sum("neg").cast("bigint").alias("negatives"),
+        F.try_divide(won, F.sum("pos") * F.sum("neg")).alias("auc"),
     )
 
 
@@ -260,6 +277,32 @@ def slices(
     )
 
 
+def crossed_slices(
+    df: DataFrame,
+    fields: Sequence[str],
+    actual: str = "label",
+    predicted: str = "prediction",
+) -> DataFrame:
+    """``slices`` by every field and every combination of fields, from one pass.
+
+    Rows are counted once by all fields, truth and prediction; the other groupings add up
+    those counts. ``slice`` names the fields that a row is about, joined by " x "; the
+    others are null. Null values of a field are a slice of their own.
+    """
+    counts = confusion_counts(df, *fields, actual=actual, predicted=predicted)
+    sets = [list(c) for n in range(len(fields) + 1) for c in itertools.combinations(fields, n)]
+    named = [
+        F.when(F.grouping(f) == 0, F.lit(f)) for f in fields
+    ]
+    added = counts.groupingSets(
+        [[*s, "actual", "predicted"] for s in sets], *fields, "actual", "predicted"
+    ).agg(F.sum("n").alias("n"), F.concat_ws(" x ", *named).alias("slice"))
+    found = overall(added, "slice", *fields)
+    whole = F.max(F.when(F.col("slice") == "", F.col("accuracy"))).over(Window.partitionBy())
+    return found.withColumn("accuracy_gap", F.col("accuracy") - whole).filter(
+        F.col("slice") != "")
+
+
 def error_examples(
     df: DataFrame,
     key: str,

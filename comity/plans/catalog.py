@@ -18,6 +18,7 @@ from comity.operators import (
 from comity.operators.scoring import LexiconScorer, PandasScorer, score_table, token_weights
 from comity.plans import flows, inputs
 from comity.sources import readers, sinks, threads
+from comity.sources.history_table import HistoryTable
 from comity.streaming import flows as streams
 from comity.workspace import new_path
 
@@ -539,6 +540,27 @@ def train_classifier(spark, sf):
     return metrics
 
 
+@query
+def training_epochs(spark, sf):
+    """What training by epochs must give whatever the texts: sizes, weights, first loss."""
+    split = flows.prepare_dataset(inputs.training_rows(spark, sf))
+    path = new_path(spark, "split")
+    split.write.parquet(path)
+    stored = spark.read.parquet(path)
+    train, val = (stored.filter(F.col("split") == s) for s in ("train", "val"))
+    _, epochs = training.train_epochs(train, val, epochs=4, buckets=1 << 12)
+    facts = epochs.agg(
+        F.count("*").alias("epochs"), F.count_if("selected").alias("selected"),
+        F.bround(F.min_by("train_loss", "epoch"), 6).alias("first_loss"),
+        F.min("val_rows").alias("val_rows"),
+        (F.max_by("train_loss", "epoch") < F.min_by("train_loss", "epoch")).alias("falling"),
+        (F.max("f1_macro") == F.max(F.when(F.col("selected"), F.col("f1_macro")))).alias("best"),
+    )
+    row = facts.first()
+    return _rounded(dataset.class_weights(train), "weight").withColumns({
+        field.name: F.lit(row[field.name]).cast(field.dataType) for field in facts.schema})
+
+
 # --- history: sinks, erasure, listings --------------------------------------
 
 
@@ -654,6 +676,18 @@ def comment_listing(spark, sf):
     )
 
 
+@query
+def thread_listing(spark, sf):
+    """Landed pages to the numbered listing of each video's comments."""
+    pages = threads.parse_pages(inputs.paged_threads(spark, sf), "page", "video_id", "page_number")
+    comments = threads.typed_comments(threads.flatten_pages(pages))
+    rows = history.numbered_comments(verdicts.score_and_judge(comments))
+    return rows.select(
+        "video_id", "row_number", "comment_id", "comment_type", "text", "prediction",
+        "confidence", "toxic_score",
+    )
+
+
 @query
 def toxic_comments(spark, sf):
     rows = history.comments_by_verdict(
@@ -799,12 +833,7 @@ def confusion_matrix(spark, sf):
 
 def _multilabel(spark, sf):
     scored = score_table(inputs.labelled(spark, sf), LexiconScorer())
-    rare = F.col("toxic") * (1 - F.col("quality"))
-    truths = {
-        "toxic": F.col("toxic"), "insult": F.col("toxic"), "obscene": rare,
-        "severe_toxic": rare, "threat": F.lit(0), "identity_hate": F.lit(0),
-    }
-    pairs = evaluate.label_pairs(scored, truths, _flags())
+    pairs = evaluate.label_pairs(scored, inputs.label_truths(), _flags())
     return evaluate.multilabel(evaluate.confusion_counts(pairs, "label_name"))
 
 
@@ -826,10 +855,10 @@ def roc_auc(spark, sf):
     scored = score_table(inputs.labelled(spark, sf), LexiconScorer())
     pairs = scored.select(F.inline(F.array(*[
         F.struct(
-            F.lit(label).alias("label_name"), F.col("toxic").alias("label"),
+            F.lit(label).alias("label_name"), truth.alias("label"),
             F.col(f"{label}_score").alias("score"),
         )
-        for label in K.LABELS
+        for label, truth in inputs.label_truths().items()
     ])))
     return _rounded(evaluate.roc_auc(pairs, "label_name"), "auc")
 
@@ -843,6 +872,17 @@ def slice_metrics(spark, sf):
     )
 
 
+@query
+def crossed_slices(spark, sf):
+    """Metrics by language, by kind of source, and by both."""
+    rows = _predicted(spark, sf, "lang", "source").withColumn(
+        "kind", F.when(F.col("source") != "src0", F.substring("source", 4, 1)))
+    return _rounded(
+        evaluate.crossed_slices(rows, ["lang", "kind"]),
+        "accuracy", "precision_macro", "recall_macro", "f1_macro", "accuracy_gap",
+    )
+
+
 @query
 def error_examples(spark, sf):
     judged = verdicts.score_and_judge(inputs.labelled(spark, sf)).select(
@@ -881,6 +921,78 @@ def stream_history(spark, sf):
     )
 
 
+@query
+def stream_then_erase(spark, sf):
+    """Events streamed into the history table, a batch replayed, users and items erased."""
+    def to_history(events: DataFrame) -> DataFrame:
+        rows = inputs.history_from_events(events).withColumn("text", F.col("input_text"))
+        return sinks.history_rows(rows, "text")
+
+    path = new_path(spark, "erased-stream")
+    streams.stream_into(
+        _event_stream(spark, sf), to_history, f"{path}/history", "events", f"{path}/checkpoint"
+    ).awaitTermination()
+    table = HistoryTable(spark, f"{path}/history")
+    events = inputs.table(spark, sf, "events")
+    table.add(to_history(events), "events", 0)
+    table.erase(events.filter(F.col("value") > 150), ["user_id"])
+    table.erase(table.read().filter(F.col("confidence") >= 0.95), ["user_id", "id"])
+    return table.read().select(
+        "user_id", "input_text", "prediction", "confidence", "source", "run_id",
+        _stamp("created_at").alias("created_at"), _day("created_date").alias("created_date"),
+    )
+
+
+@query
+def upload_then_recent(spark, sf):
+    """Two uploads of one user, each sent twice; the newest rows of the history."""
+    path = new_path(spark, "uploads")
+    docs = inputs.table(spark, sf, "documents").repartitionByRange("doc_id").sortWithinPartitions(
+        "doc_id")
+    for turn in (0, 1):
+        part = docs.filter(F.col("doc_id") % 2 == turn).select("text", "lang")
+        sinks.write_csv(part, f"{path}/sheet{turn}")
+        stamp = F.lit(f"2024-01-30 1{turn}:00:00").cast("timestamp_ntz")
+        for _ in range(2):
+            flows.upload(spark, f"{path}/sheet{turn}", f"{path}/history", 7, stamp)
+    rows = HistoryTable(spark, f"{path}/history").read()
+    return history.latest_per_owner(rows, 1000).select(
+        "user_id", "rank", "preview", "language", "prediction", "confidence", "source",
+        _stamp("created_at").alias("created_at"),
+    )
+
+
+def failing_scorer():
+    """Scores by length; fails on some texts, and gives others no number."""
+    def load():
+        def predict(texts: pd.Series) -> pd.DataFrame:
+            length = texts.str.len()
+            if (length % 50 == 7).any():
+                raise ValueError("a text that cannot be scored")
+            score = (length % 10) / 10
+            return pd.DataFrame({"toxic": score.where(length % 50 != 9)}, index=texts.index)
+        return predict
+    return load
+
+
+@query
+def failed_scores(spark, sf):
+    """Verdicts of a scorer that fails on some rows: counted, but kept out of the history."""
+    docs = inputs.documents(spark, sf).withColumn("user_id", F.col("doc_id"))
+    judged = verdicts.score_and_judge(docs, PandasScorer(failing_scorer(), ("toxic",)))
+    scores = {"toxic": F.coalesce("toxic_score", F.lit(0.0))}
+    summary = reports.upload_summary(verdicts.settled(judged, "prediction"), scores, "source")
+    stamp = F.lit("2024-01-30 00:00:00").cast("timestamp_ntz")
+    kept = sinks.history_rows(
+        verdicts.settled(judged, "prediction", "confidence").withColumn("language", F.col("lang")),
+        "csv", scores, stamp, keep=["lang"])
+    # The sink names its own source, so rows are counted by what tells them apart here.
+    by_source = docs.select("user_id", F.col("source").alias("of")).join(
+        kept.select("user_id"), "user_id").groupBy("of").agg(F.count("*").alias("saved"))
+    return summary.join(by_source, F.col("source") == F.col("of"), "left").select(
+        *summary.columns, F.coalesce("saved", F.lit(0)).alias("saved"))
+
+
 @query
 def stream_daily(spark, sf):
     events = inputs.history_from_events(_event_stream(spark, sf))

@@ -32,7 +32,7 @@ def upload(
     """
     scorer = scorer or LexiconScorer()
     sheet = readers.read_comments_csv_any_encoding(
-        spark, csv_path, multi_line=multi_line, positions=True)
+        spark, csv_path, multi_line=multi_line, positions=True, infer=False)
     columns = [c for c in sheet.columns if c not in readers.POSITION]
     named = readers.find_column(columns, ("lang", "language"))
     lang = F.col(f"`{named}`").cast("string") if named else F.lit("en")
@@ -63,11 +63,15 @@ def analyse_videos(
 ) -> DataFrame:
     """Flatten thread pages, score the comments, store them, and summarise per video.
 
-    ``pages`` carries user_id and video_id. The scored rows are written once; the
-    summary reads them back instead of scoring again. Repeating a run replaces it.
+    ``pages`` carries user_id and video_id, and may carry page_number, which gives each
+    comment its position. The scored rows are written once; the summary reads them back
+    instead of scoring again. Repeating a run replaces it.
     """
     spark = pages.sparkSession
-    comments = threads.flatten_threads(pages, "user_id", "video_id")
+    if "page_number" in pages.columns:
+        comments = threads.flatten_pages(pages, "video_id", "page_number", "user_id")
+    else:
+        comments = threads.flatten_threads(pages, "user_id", "video_id")
     scored = verdicts.score_and_judge(comments, scorer)
     scores = score_columns((scorer or LexiconScorer()).labels)
     sinks.write_run(sinks.comment_rows(scored, scores, created_at), comments_path, run_id)

@@ -68,7 +68,26 @@ def three_class_truth() -> Column:
     )
 
 
-def labelled(spark: SparkSession, sf_dir: str, phrased: bool = False) -> DataFrame:
+#: Sources whose phrases make these labels true.
+INSULTING = ("src0", "src1", "src6", "src9")
+THREATENING = ("src2", "src17", "src19")
+EXCLUDING = ("src3", "src18")
+
+
+def label_truths() -> dict[str, Column]:
+    """A truth of its own for every label, from the labels table and the phrases."""
+    def among(sources: tuple[str, ...]) -> Column:
+        return F.coalesce(F.col("source").isin(list(sources)), F.lit(False)).cast("int")
+
+    rare = F.col("toxic") * (1 - F.col("quality"))
+    return {
+        "toxic": F.col("toxic"), "insult": among(INSULTING), "obscene": rare,
+        "severe_toxic": F.greatest(rare, among(("src17",))), "threat": among(THREATENING),
+        "identity_hate": among(EXCLUDING),
+    }
+
+
+def labelled(spark: SparkSession, sf_dir: str, phrased: bool = True) -> DataFrame:
     """Documents with truth; an equi-join whose strategy is left to the optimizer."""
     docs = (phrased_documents if phrased else documents)(spark, sf_dir)
     return docs.join(table(spark, sf_dir, "labels"), "doc_id")
@@ -76,7 +95,7 @@ def labelled(spark: SparkSession, sf_dir: str, phrased: bool = False) -> DataFra
 
 def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled texts as (row_key, class, tweet)."""
-    return labelled(spark, sf_dir).select(
+    return labelled(spark, sf_dir, phrased=False).select(
         F.col("doc_id").alias("row_key"),
         three_class_truth().alias("class"),
         F.col("text").alias("tweet"),
@@ -147,6 +166,52 @@ def thread_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def paged_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a video whose lines come in landed pages.
+
+    A thread is a line and the two after it as replies; a page holds four threads.
+    """
+    key = F.col("doc_id").cast("string")
+    lines = F.col("lines")
+
+    def comment(line: Column, number: Column, parent: Column) -> Column:
+        return F.struct(
+            F.concat_ws(".", key, number.cast("string")).alias("id"),
+            F.struct(
+                parent.alias("parentId"), F.col("source").alias("authorDisplayName"),
+                line.alias("textDisplay"),
+            ).alias("snippet"),
+        )
+
+    def item(number: Column) -> Column:
+        first = number * 3
+        parent = F.concat_ws(".", key, first.cast("string"))
+        replies = F.transform(
+            F.slice(lines, first + 2, F.lit(2)),
+            lambda line, i: comment(line, first + i + 1, parent))
+        top = comment(F.get(lines, first), first, F.lit(None).cast("string"))
+        return F.struct(
+            F.struct(
+                top.alias("topLevelComment"), F.size(replies).alias("totalReplyCount")
+            ).alias("snippet"),
+            F.struct(replies.alias("comments")).alias("replies"),
+        )
+
+    threads = F.floor((F.size(lines) + 2) / 3).cast("int")
+    pages = F.sequence(F.lit(0), F.floor((threads - 1) / 4).cast("int"))
+    return (
+        documents(spark, sf_dir)
+        .select("doc_id", "source", F.split("text", "\n").alias("lines"))
+        .select("*", F.explode(pages).alias("page_number"))
+        .select(
+            key.alias("video_id"), "page_number",
+            F.to_json(F.struct(F.transform(
+                F.sequence(F.col("page_number") * 4,
+                           F.least(F.col("page_number") * 4 + 3, threads - 1)),
+                item).alias("items"))).alias("page"))
+    )
+
+
 def video_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as a landed video response; some fields are missing."""
     docs = table(spark, sf_dir, "documents")

@@ -331,7 +331,18 @@ def both_pct(total: str, digits: int) -> str:
 
 # --- evaluation -------------------------------------------------------------
 
-LABELLED = "labelled AS (SELECT documents.*, quality, toxic FROM documents JOIN labels USING (doc_id))"
+LABELLED = (
+    f"{PHRASED}, labelled AS (SELECT phrased.*, quality, toxic FROM phrased JOIN labels "
+    "USING (doc_id))"
+)
+LABEL_TRUTHS = {
+    "toxic": "toxic",
+    "insult": "(source IN ('src0', 'src1', 'src6', 'src9'))::INTEGER",
+    "obscene": "toxic * (1 - quality)",
+    "severe_toxic": "greatest(toxic * (1 - quality), (source = 'src17')::INTEGER)",
+    "threat": "(source IN ('src2', 'src17', 'src19'))::INTEGER",
+    "identity_hate": "(source IN ('src3', 'src18'))::INTEGER",
+}
 PAIRS = f"{LABELLED}, {tweets('labelled')}, pairs AS (SELECT lang, {TRUTH} AS label, final_class AS prediction FROM classified)"
 
 
@@ -362,10 +373,7 @@ MULTI = (
     f"{LABELLED}, {scores('labelled')}, long AS (" + " UNION ALL ".join(
         f"SELECT {q(label)} AS label_name, {truth} AS label, {label}_flagged AS prediction "
         "FROM scored"
-        for label, truth in {
-            "toxic": "toxic", "insult": "toxic", "obscene": "toxic * (1 - quality)",
-            "severe_toxic": "toxic * (1 - quality)", "threat": "0", "identity_hate": "0",
-        }.items()
+        for label, truth in LABEL_TRUTHS.items()
     ) + "), cells AS (SELECT label_name, " + ", ".join(
         f"{n_if(f'label = {a} AND prediction = {p}')} AS {n}"
         for a, p, n in ((1, 1, "tp"), (0, 1, "fp"), (1, 0, "fn"), (0, 0, "tn"))
@@ -716,6 +724,14 @@ O["comment_listing"] = (
     f"WITH {SCORED_COMMENTS} SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER "
     "BY position) AS row_number, text, prediction, confidence, toxic_score FROM judged"
 )
+O["thread_listing"] = (
+    f"WITH {_LINES}, kept AS (SELECT doc_id, i, doc_id || '.' || i AS comment_id, "
+    f"{collapse('line')} AS text FROM lines WHERE {strip('line')} <> ''), "
+    f"{scores('kept', 'comment_id')}, {JUDGED} SELECT doc_id::VARCHAR AS video_id, row_number() "
+    "OVER (PARTITION BY doc_id ORDER BY i) AS row_number, comment_id, CASE WHEN i % 3 = 0 THEN "
+    "'top_level' ELSE 'reply' END AS comment_type, text, prediction, confidence, toxic_score "
+    "FROM judged"
+)
 for _name, _verdict in (("toxic_comments", "Toxic"), ("non_toxic_comments", "Non-Toxic")):
     O[_name] = (
         f"WITH {SCORED_COMMENTS} SELECT video_id, comment_id, text, confidence FROM judged "
@@ -846,8 +862,8 @@ O["multilabel_averages"] = (
 )
 O["roc_auc"] = (
     f"WITH {LABELLED}, {scores('labelled')}, long AS (" + " UNION ALL ".join(
-        f"SELECT {q(label)} AS label_name, toxic AS label, {label}_score AS score FROM scored"
-        for label in K.LABELS
+        f"SELECT {q(label)} AS label_name, {truth} AS label, {label}_score AS score FROM scored"
+        for label, truth in LABEL_TRUTHS.items()
     ) + "), ranks AS (SELECT *, rank() OVER (PARTITION BY label_name ORDER BY score) + "
     "(count(*) OVER (PARTITION BY label_name, score) - 1) / 2.0 AS r FROM long), agg AS (SELECT "
     "label_name, " + n_if("label = 1") + " AS positives, " + n_if("label = 0")
@@ -855,6 +871,21 @@ O["roc_auc"] = (
     "SELECT label_name, positives, negatives, round_even((rs - positives * (positives + 1) / "
     "2.0) / (positives::DOUBLE * negatives), 6) AS auc FROM agg"
 )
+_BY_BOTH = (
+    "CASE WHEN source <> 'src0' THEN substr(source, 4, 1) END"
+)
+O["crossed_slices"] = (
+    f"WITH {LABELLED}, {tweets('labelled')}, rows_of AS (SELECT lang, {_BY_BOTH} AS kind, "
+    f"{TRUTH} AS label, final_class AS prediction FROM classified), crossed AS ("
+    "SELECT 'lang' AS slice, lang, NULL AS kind, label, prediction FROM rows_of UNION ALL "
+    "SELECT 'kind', NULL, kind, label, prediction FROM rows_of UNION ALL "
+    "SELECT 'lang x kind', lang, kind, label, prediction FROM rows_of), "
+    f"{per_class_sql('slice, lang, kind', 'crossed')}, o AS (SELECT slice, lang, kind, {OVERALL}, "
+    "sum(hits)::DOUBLE / sum(support) AS acc FROM per_class GROUP BY slice, lang, kind), g AS "
+    "(SELECT avg((label = prediction)::INTEGER) AS whole FROM rows_of) SELECT slice, lang, kind, "
+    "rows, accuracy, precision_macro, recall_macro, f1_macro, round_even(acc - whole, 6) AS "
+    "accuracy_gap FROM o CROSS JOIN g"
+)
 O["slice_metrics"] = (
     f"WITH {PAIRS}, {per_class_sql('lang')}, o AS (SELECT lang, {OVERALL}, "
     "sum(hits)::DOUBLE / sum(support) AS acc FROM per_class GROUP BY lang), g AS (SELECT "
@@ -875,6 +906,39 @@ O["stream_history"] = (
     f"WITH {HISTORY} SELECT id, user_id, input_text, prediction, confidence, 'text' AS source, "
     f"{STAMP} FROM history WHERE prediction NOT IN ('Error', 'Model Unavailable')"
 )
+O["stream_then_erase"] = (
+    f"WITH {HISTORY} SELECT user_id, input_text, prediction, confidence, 'text' AS source, "
+    f"'events' AS run_id, {STAMP}, strftime(created_at::DATE, '%Y-%m-%d') AS created_date FROM "
+    "history WHERE prediction NOT IN ('Error', 'Model Unavailable') AND confidence < 0.95 AND "
+    "user_id NOT IN (SELECT user_id FROM events WHERE value > 150)"
+)
+O["training_epochs"] = (
+    f"WITH {TRAINING}, cleaned AS (SELECT row_key, class, {clean_tweet('tweet')} AS tweet "
+    "FROM training), deduped AS (SELECT * FROM cleaned WHERE tweet <> '' QUALIFY row_number() "
+    f"OVER (PARTITION BY tweet ORDER BY row_key) = 1), {split_sql('deduped')}, "
+    "c(class) AS (VALUES (0), (1), (2)), t AS (SELECT c.class, count(split.class) AS rows FROM c "
+    "LEFT JOIN split ON c.class = split.class AND split = 'train' GROUP BY c.class) "
+    "SELECT class, rows, round_even(sum(rows) OVER () / (3.0 * greatest(rows, 1)), 6) AS weight, "
+    "4::BIGINT AS epochs, 1::BIGINT AS selected, round_even(ln(3.0::DOUBLE), 6) AS first_loss, "
+    "(SELECT count(*) FROM split WHERE split = 'val') AS val_rows, true AS falling, true AS best "
+    "FROM t"
+)
+O["upload_then_recent"] = (
+    f"WITH {USABLE}, {scores('usable')}, {JUDGED}, r AS (SELECT *, row_number() OVER (ORDER BY "
+    "doc_id % 2 DESC, doc_id DESC) AS rank FROM judged) SELECT 7::BIGINT AS user_id, "
+    "rank::INTEGER AS rank, CASE WHEN length(text) > 60 THEN substr(text, 1, 60) || '...' ELSE "
+    "text END AS preview, CASE WHEN len(string_split(text, ' ')) < 4 THEN 'en' ELSE "
+    "coalesce(lang, 'en') END AS language, prediction, confidence, 'csv' AS source, "
+    "'2024-01-30 1' || (doc_id % 2) || ':00:00' AS created_at FROM r WHERE rank <= 1000"
+)
+O["failed_scores"] = (
+    f"WITH {USABLE}, s AS (SELECT source, length(text) % 50 IN (7, 9) AS bad, length(text) % 10 "
+    ">= 5 AS hit FROM usable), c AS (SELECT source, count(*) AS total, "
+    + n_if("hit AND NOT bad") + " AS toxic, " + n_if("NOT hit AND NOT bad") + " AS safe, "
+    + n_if("bad") + " AS errors, " + n_if("hit AND NOT bad") + " AS toxic_count, "
+    + n_if("NOT bad") + " AS saved FROM s GROUP BY source) SELECT *, "
+    f"{pct('toxic', 'total', 1)} AS toxic_rate, {pct('safe', 'total', 1)} AS safe_rate FROM c"
+)
 O["stream_daily"] = (
     f"WITH {HISTORY} SELECT strftime(created_at::DATE, '%Y-%m-%d') AS activity_date, user_id, "
     f"count(*) AS total, {n_if(TOXIC)} AS toxic, {n_if(NON_TOXIC)} AS non_toxic FROM history "

@@ -18,7 +18,7 @@ Only names of files and runs come to the driver. One job at a time may add or er
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -86,12 +86,15 @@ class HistoryTable:
         frame = self.spark.createDataFrame(entries, LOG_SCHEMA).coalesce(1)
         frame.write.mode("append").parquet(f"{self.path}/log")
 
+    def _known(self) -> dict[str, bool]:
+        """Every file that was added, relative to ``data/``, and whether it counts."""
+        of_files = self.log().filter(F.col("kind").isin("add", "remove")).groupBy("file").agg(
+            F.bool_and(F.col("kind") == "add").alias("live"))
+        return {r["file"]: r["live"] for r in of_files.collect()}
+
     def _files(self) -> list[str]:
-        """The files that count, relative to ``data/``."""
-        log = self.log()
-        gone = log.filter(F.col("kind") == "remove").select("file")
-        live = log.filter(F.col("kind") == "add").join(gone, "file", "left_anti")
-        return sorted(r["file"] for r in live.select("file").distinct().collect())
+        """The files that count."""
+        return sorted(name for name, live in self._known().items() if live)
 
     def runs(self) -> DataFrame:
         """Run, batch and number of everything that was added."""
@@ -111,12 +114,21 @@ class HistoryTable:
 
     # --- rows ---
 
-    def _scan(self, files: Sequence[str]) -> DataFrame:
+    def _scan(self, files: Collection[str]) -> DataFrame:
+        """The rows of some files and their file: whole segments are listed, and the files
+        that are not wanted are left out by name, before any of them is opened."""
         if not files:
             return self.spark.createDataFrame([], _STORED).withColumn("_file", F.lit(""))
+        files = set(files)
+        segments = sorted({name.split("/")[0] for name in files})
         rows = self.spark.read.schema(_STORED).option("basePath", f"{self.path}/data").parquet(
-            *[f"{self.path}/data/{name}" for name in files])
-        return rows.withColumn("_file", _relative(F.col("_metadata.file_path")))
+            *[f"{self.path}/data/{name}" for name in segments])
+        rows = rows.withColumn("_file", _relative(F.col("_metadata.file_path")))
+        others = [name for name in self._known()
+                  if name not in files and name.split("/")[0] in set(segments)]
+        if len(others) > len(files):
+            return rows.filter(F.col("_file").isin(sorted(files)))
+        return rows.filter(~F.col("_file").isin(sorted(others))) if others else rows
 
     def read(self) -> DataFrame:
         """All rows that count, with ``run_id`` and ``created_date``."""
@@ -182,7 +194,7 @@ class HistoryTable:
             self._replace(touched, self._scan(touched).join(asked, keys, "left_anti"))
         return len(touched)
 
-    def _replace(self, files: Sequence[str], rows: DataFrame) -> None:
+    def _replace(self, files: Collection[str], rows: DataFrame) -> None:
         made = self._write(rows, f"e{uuid.uuid4().hex}")
         self._commit([*[("remove", None, None, None, name) for name in files],
                       *[("add", None, None, None, name) for name in made]])

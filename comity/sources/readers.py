@@ -43,10 +43,12 @@ def read_comments_csv(
     schema: T.StructType | None = None,
     encoding: str = "utf-8",
     multi_line: bool = True,
+    infer: bool = True,
 ) -> DataFrame:
     """CSV with a header and quoted, possibly multi-line text. Empty files give no rows.
 
-    Without a schema the types are inferred, which reads the data twice. Multi-line
+    Without a schema the types are inferred, which reads the data twice, or all columns are
+    strings (``infer=False``). Multi-line
     files cannot be split: large inputs should come as many files, or be read with
     ``multi_line=False`` where no field holds a line break.
     """
@@ -57,7 +59,7 @@ def read_comments_csv(
         .option("escape", '"')
         .option("encoding", encoding)
     )
-    reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
+    reader = reader.schema(schema) if schema else reader.option("inferSchema", infer)
     return reader.csv(path)
 
 
@@ -67,13 +69,14 @@ def read_comments_csv_any_encoding(
     schema: T.StructType | None = None,
     multi_line: bool = True,
     positions: bool = False,
+    infer: bool = True,
 ) -> DataFrame:
     """Each file as UTF-8 if all its text is valid UTF-8, and as Latin-1 otherwise.
 
     Latin-1 keeps every byte, so the text is read that way and turned back into bytes.
     ``positions`` adds the columns POSITION, which order rows by file and place in it.
     """
-    df = read_comments_csv(spark, path, schema, "ISO-8859-1", multi_line)
+    df = read_comments_csv(spark, path, schema, "ISO-8859-1", multi_line, infer)
     if schema is None:
         df = df.toDF(*[_header(c) for c in df.columns])
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]

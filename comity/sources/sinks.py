@@ -48,8 +48,14 @@ def history_rows(
 
 
 def comment_rows(scored: DataFrame, scores: dict[str, Column], created_at: Column) -> DataFrame:
-    """Scored video comments as table rows. Failed rows are kept here."""
+    """Scored video comments as table rows. Failed rows are kept here.
+
+    Place, parent and kind of a comment are kept where they are known.
+    """
+    known = [c for c in ("position", "parent_id", "is_reply", "comment_type")
+             if c in scored.columns]
     return scored.select(
+        *known,
         "user_id",
         "video_id",
         "comment_id",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,6 +68,64 @@ def _row(comment: Column, parent: Column, is_reply: bool) -> Column:
     )
 
 
+def _replies(item: Column, fetched_only: bool) -> Column:
+    none = F.array().cast(T.ArrayType(_COMMENT))
+    replies = F.coalesce(item["replies"]["comments"], none)
+    if fetched_only:
+        count = F.coalesce(item["snippet"]["totalReplyCount"], F.lit(0))
+        replies = F.when(count > 0, replies).otherwise(none)
+    return replies
+
+
+def flatten_pages(
+    pages: DataFrame,
+    video: str = "video_id",
+    page: str = "page_number",
+    *keep: str,
+    include_replies: bool = True,
+    fetched_only: bool = False,
+    block: int = 1000,
+) -> DataFrame:
+    """``flatten_threads`` with ``position``, a comment's place in its video from 0.
+
+    Comments stand in order of page, item, and reply. A comment's place in its page is known
+    where the page is unfolded; where the page starts follows from the sizes of the pages
+    before it. Sizes are added up in blocks of ``block`` pages, so no window holds a video.
+    ``page`` must be a number of its own for each page of a video.
+    """
+    def rows_of(item: Column) -> Column:
+        top = F.array(_row(item["snippet"]["topLevelComment"], F.lit(None).cast("string"), False))
+        if not include_replies:
+            return top
+        return F.concat(top, F.transform(
+            _replies(item, fetched_only), lambda r: _row(r, r["snippet"]["parentId"], True)))
+
+    def size_of(item: Column) -> Column:
+        return 1 + (F.size(_replies(item, fetched_only)) if include_replies else 0)
+
+    present = F.filter("items", lambda item: item.isNotNull())
+    sizes = pages.select(
+        video, page, F.floor(F.col(page) / block).alias("_block"),
+        F.aggregate(present, F.lit(0).cast("long"), lambda n, item: n + size_of(item)).alias("_n"))
+    before = Window.partitionBy(video).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = sizes.groupBy(video, "_block").agg(F.sum("_n").alias("_n")).select(
+        F.col(video).alias("_v"), F.col("_block").alias("_b"),
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(video, "_block").orderBy(page).rowsBetween(
+        Window.unboundedPreceding, -1)
+    starts = (
+        sizes.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+        .join(blocks, F.col(video).eqNullSafe(F.col("_v")) & F.col("_block").eqNullSafe(F.col("_b")))
+        .select("_v", F.col(page).alias("_p"), (F.col("_base") + F.col("_in")).alias("_from"))
+    )
+    of = F.col(video).eqNullSafe(F.col("_v")) & F.col(page).eqNullSafe(F.col("_p"))
+    names = dict.fromkeys([video, page, *keep])
+    unfolded = pages.select(*names, F.posexplode(F.flatten(F.transform(present, rows_of))).alias(
+        "_at", "_comment"))
+    return unfolded.join(starts, of).select(
+        *names, (F.col("_from") + F.col("_at")).alias("position"), "_comment.*")
+
+
 def flatten_threads(
     pages: DataFrame, *keep: str, include_replies: bool = True, fetched_only: bool = False
 ) -> DataFrame:
@@ -84,15 +142,8 @@ def flatten_threads(
     top = item["snippet"]["topLevelComment"]
     rows = F.array(_row(top, F.lit(None).cast("string"), False))
     if include_replies:
-        replies = F.coalesce(item["replies"]["comments"], F.array().cast(T.ArrayType(_COMMENT)))
-        if fetched_only:
-            count = F.coalesce(item["snippet"]["totalReplyCount"], F.lit(0))
-            replies = F.when(count > 0, replies).otherwise(
-                F.array().cast(T.ArrayType(_COMMENT))
-            )
-        rows = F.concat(
-            rows, F.transform(replies, lambda r: _row(r, r["snippet"]["parentId"], True))
-        )
+        rows = F.concat(rows, F.transform(
+            _replies(item, fetched_only), lambda r: _row(r, r["snippet"]["parentId"], True)))
     return items.select(*keep, F.inline_outer(rows))
 
 

@@ -117,3 +117,21 @@ def test_split_keeps_rows_of_every_class_and_null(spark):
         assert [parts.count(s) for s in dataset.SPLITS] == [32, 4, 4]
     with pytest.raises(ValueError):
         dataset.stratified_split(spark.range(1001).selectExpr("id AS class", "id AS row_key"))
+
+
+def test_keep_first_keeps_whole_rows(spark):
+    rows = [(None, "t", "A", 1), (None, "u", "B", 2), (5, "u", "C", 3), (5, "u", "D", None),
+            (7, "u", "E", 5), (1, None, "F", 6), (0, None, "G", 7), (9, "", "H", 8),
+            *[(3, "copy", "I", 9)] * 5]
+    df = spark.createDataFrame(rows, "row_key long, tweet string, x string, y int")
+    kept = {r["tweet"]: tuple(r) for r in dataset.keep_first(df.repartition(4), "tweet", "row_key").collect()}
+    assert len(kept) == 5 and all(r in rows for r in kept.values())
+    assert kept["t"] == (None, "t", "A", 1) and kept[None] == (0, None, "G", 7)
+    assert kept["u"][0] == 5 and kept["copy"] == (3, "copy", "I", 9)
+    # No text takes part in the search for the least key.
+    plan = dataset.keep_first(df, "tweet", "row_key")._jdf.queryExecution().executedPlan().toString()
+    least = [line for line in plan.splitlines() if "min(" in line]
+    assert least and not any("tweet" in line for line in least)
+    only = dataset.keep_first(df.select("tweet", "row_key"), "tweet", "row_key")
+    assert only.count() == 5 and only.columns == ["tweet", "row_key"]
+    assert dataset.keep_first(df.limit(0), "tweet", "row_key").count() == 0

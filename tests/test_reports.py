@@ -187,3 +187,44 @@ def test_multilabel(spark):
     averages = evaluate.multilabel_averages(per_label).first()
     assert averages["f1_micro"] == pytest.approx(2 / 6) and averages["f1_macro"] == 0.25
     assert averages["f1_weighted"] == 0.5
+
+
+def test_auc_of_crowded_scores(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(1)
+    score = rng.random(20_000) / 5000
+    label = (rng.random(20_000) < 0.3 + 500 * score).astype(int)
+    score[:50] = score[50:100]
+    rows = [("a" if i % 3 else None, int(b), float(s)) for i, (b, s) in enumerate(zip(label, score))]
+    rows += [("a", 1, None), ("a", 0, float("nan")), ("b", 1, 0.5)]
+    df = spark.createDataFrame(rows, "who string, label int, score double")
+    sizes = [r["n"] for r in evaluate.ranged_scores(df, ["who"]).groupBy("who", "part").agg(
+        F.count("*").alias("n")).collect()]
+    assert max(sizes) < 2 * 20_000 / 8
+    got = {r["who"]: r["auc"] for r in evaluate.roc_auc(df, "who").collect()}
+    assert got["b"] is None
+    for who in ("a", None):
+        mine = [(b, s) for w, b, s in rows if w == who and s is not None and s == s]
+        neg = np.sort([s for b, s in mine if not b])
+        pos = np.array([s for b, s in mine if b])
+        won = (np.searchsorted(neg, pos) + np.searchsorted(neg, pos, "right")).sum() / 2
+        assert abs(got[who] - won / len(neg) / len(pos)) < 1e-12
+
+
+def test_report_counts_every_row_in_its_accuracy(spark):
+    df = spark.createDataFrame([(0, 0), (3, 2), (3, 2), (3, 2)], "label int, prediction int")
+    rows = {r["name"]: r for r in evaluate.report(evaluate.confusion_counts(df)).collect()}
+    assert (rows["accuracy"]["f1"], rows["accuracy"]["support"]) == (0.25, 4)
+
+
+def test_crossed_slices_are_slices(spark):
+    rows = [(i % 2, i % 3 % 2, "x" if i % 4 else None, str(i % 3)) for i in range(40)]
+    df = spark.createDataFrame(rows, "label int, prediction int, a string, b string")
+    got = evaluate.crossed_slices(df, ["a", "b"]).collect()
+    assert {r["slice"] for r in got} == {"a", "b", "a x b"} and len(got) == 2 + 3 + 6
+    for r in evaluate.slices(df, "a").collect():
+        same = next(g for g in got if g["slice"] == "a" and g["a"] == r["a"])
+        assert (same["rows"], same["accuracy"], same["accuracy_gap"]) == (
+            r["rows"], r["accuracy"], r["accuracy_gap"])

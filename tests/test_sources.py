@@ -307,3 +307,41 @@ def test_failing_scorers_mark_only_their_rows(spark, tmp_path):
 
     found = scored_in_halves(fails_on, pd.Series(["a"] * 500 + ["x"] + ["a"] * 523), ["toxic"])
     assert pd.isna(found[500, 0]) and pd.isna(found).sum() == 1 and len(calls) < 30
+
+
+def test_positions_follow_pages_items_and_replies(spark):
+    pages, want = [], []
+    for video in ("v", "w", None):
+        at = 0
+        for page in range(7):
+            items = []
+            for item in range((page * 3) % 4):
+                top = f"{video}-{page}-{item}"
+                replies = [comment(f"{top}-{r}", f"reply {r}", "bob", top) for r in range(item)]
+                items.append({"snippet": {"topLevelComment": comment(top, "top", "ann")},
+                              "replies": {"comments": replies}} if replies else
+                             {"snippet": {"topLevelComment": comment(top, "top", "ann")}})
+                for key in (top, *[r["id"] for r in replies]):
+                    want.append((video, at, key))
+                    at += 1
+            pages.append((video, page, json.dumps({"items": items} if items else {})))
+    df = spark.createDataFrame(pages, "video_id string, page_number int, page string").repartition(5)
+    parsed = threads.parse_pages(df, "page", "video_id", "page_number")
+    for block in (1, 2, 1000):
+        got = threads.flatten_pages(parsed, block=block)
+        assert sorted(map(repr, [(r["video_id"], r["position"], r["comment_id"]) for r in got.collect()])) \
+            == sorted(map(repr, want))
+    alone = threads.flatten_pages(parsed, include_replies=False)
+    assert alone.filter("is_reply").count() == 0
+    assert alone.groupBy("video_id", "position").count().filter("count > 1").count() == 0
+
+
+def test_analysed_videos_keep_positions(spark, pages, tmp_path):
+    stamp = F.lit("2024-01-30 10:00:00").cast("timestamp_ntz")
+    owned = pages.withColumns({"user_id": F.lit(5).cast("bigint"),
+                               "page_number": F.monotonically_increasing_id()})
+    where = str(tmp_path / "comments"), str(tmp_path / "analyses")
+    flows.analyse_videos(owned, *where, "run-1", stamp)
+    rows = {r["comment_id"]: r for r in spark.read.parquet(where[0]).collect()}
+    assert {k: r["position"] for k, r in rows.items()} == {"c1": 0, "r1": 1, "r3": 4}
+    assert rows["r1"]["parent_id"] == "c1" and rows["r1"]["is_reply"]
