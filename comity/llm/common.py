@@ -24,6 +24,29 @@ def text_of(docs: DataFrame, column: str = "text") -> Column:
     return F.coalesce(docs[column].cast("string"), F.lit(""))
 
 
+def renamed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with columns named by place, which clash with no name of an operator; and
+    those names. ``original`` turns back."""
+    names = [f"_{i}_" for i in range(len(docs.columns))]
+    return docs.toDF(*names), names
+
+
+def original(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns that ``renamed`` made of ``docs``, under their own names."""
+    return df.select(*[F.col(f"_{i}_").alias(c) for i, c in enumerate(docs.columns)])
+
+
+def at(docs: DataFrame, column: str) -> Column:
+    """A column of ``docs`` as ``renamed`` names it."""
+    return F.col(f"_{docs.columns.index(column)}_")
+
+
+def row_hash(docs: DataFrame, names: list[str]) -> Column:
+    """128 bits of a row, of all its columns that can be hashed."""
+    hashed = [n for n, f in zip(names, docs.schema) if "map<" not in f.dataType.simpleString()]
+    return F.struct(F.xxhash64(*hashed), F.xxhash64(F.lit(1), *hashed))
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, every other character as it is."""
     return F.translate(text, UPPER, UPPER.lower())

@@ -34,6 +34,19 @@ def forest(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
+def with_least(edges: DataFrame) -> DataFrame:
+    """``edges`` with ``m``, the least neighbour ``b`` of each ``a``.
+
+    Neighbours of a node are dealt to as many parts as a shuffle has; the least of each part,
+    then of all parts, goes back to the parts. So the edges of a hub are never in one task.
+    """
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = edges.withColumn("_part", F.pmod(F.xxhash64("b"), F.lit(parts)).cast("int"))
+    some = dealt.groupBy("a", "_part").agg(F.min("b").alias("m"))
+    least = some.groupBy("a").agg(F.min("m").alias("m"))
+    return dealt.join(some.select("a", "_part").join(least, "a"), ["a", "_part"]).drop("_part")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) for all ends of ``edges`` (a, b).
 
@@ -50,12 +63,10 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = tuple(state)
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"))
-        least = least.select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter(F.col("b") > F.col("a")).select(
-            F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = with_least(both).filter(F.col("b") > F.col("a")).select(
+            F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
         smallest = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(smallest, "a")
+        small = with_least(large)
         now = stored(
             small.select(F.col("b").alias("a"), F.col("m").alias("b"))
             .filter(F.col("a") != F.col("b"))

@@ -22,7 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from comity.llm.common import lower_ascii, stored, text_of
+from comity.llm.common import (
+    at, lower_ascii, original, renamed, row_hash, stored, text_of,
+)
 
 SALTS = 16
 
@@ -78,21 +80,24 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, one of each group, with the columns of ``docs``."""
+    """The rows of ``docs`` that stay, one of each group, with the columns of ``docs``.
+
+    Of several rows with the id that stays, the one with the least hash of all its columns.
+    """
     found, shared = resolved(docs)
-    text = lower_ascii(text_of(docs))
     content = [] if shared.isEmpty() else ["_text"]
     keys = ["_digest", *content]
-    names = [f"_{i}" for i in range(len(docs.columns))]
-    held = docs.select(*[docs[c].alias(n) for c, n in zip(docs.columns, names)],
-                       docs["doc_id"].alias("_id"), sha256(text).alias("_digest"),
-                       *[text.alias("_text")] * len(content))
+    plain, names = renamed(docs)
+    text = lower_ascii(F.coalesce(at(docs, "text").cast("string"), F.lit("")))
+    held = plain.select(*names, at(docs, "doc_id").alias("_id"), sha256(text).alias("_digest"),
+                        *[text.alias("_text")] * len(content))
     winners = found if not content else classes(docs)
     winners = winners.select(*keys, F.col("keep_id").alias("_keep"))
     same = [held[k] == winners[k] for k in keys]
     kept = held.join(winners, [*same, held["_id"].eqNullSafe(winners["_keep"])], "left_semi")
-    one = kept.dropDuplicates([*keys, "_id"])
-    return one.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
+    one = kept.groupBy(*keys, "_id").agg(
+        F.min_by(F.struct(*names), row_hash(docs, names)).alias("_row"))
+    return original(one.select("_row.*"), docs)
 
 
 ORACLE_SQL = """

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from comity.llm.common import stored, text_of
+from comity.llm.common import at, original, renamed, row_hash, stored, text_of
 
 BLOCK_WORDS = 64
 SHARDS = 24
@@ -39,7 +39,9 @@ def sizes(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return docs.select(
         "doc_id", "source", *keep,
         F.regexp_count(text_of(docs), F.lit(WORD)).cast("long").alias("size"),
-        F.md5(F.concat_ws("/", F.lit(SEED), F.col("doc_id").cast("string"))).alias("_order"),
+        # The text's digest spreads rows that share an id or have none.
+        F.md5(F.concat_ws("/", F.lit(SEED), F.col("doc_id").cast("string"),
+                          F.md5(text_of(docs)))).alias("_order"),
     )
 
 
@@ -195,24 +197,29 @@ def mix(docs: DataFrame, shards: int = SHARDS, keep: tuple[str, ...] = ()) -> Da
 def mixed(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with their columns.
 
-    A document taken in part counts as taken if that is half of it or more. Rows that repeat
-    id, source and text are copies of one of them.
+    A document taken in part counts as taken if that is half of it or more. Rows are told
+    apart by 128 bits of all their columns; rows that are equal in all of them are one row,
+    taken as often as all of them together.
     """
-    keyed = docs.withColumn("_mix_key", F.md5(F.concat_ws(
-        "/", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")),
-        F.coalesce("source", F.lit("-")), text_of(docs))))
-    copies = mix(keyed, shards, ("_mix_key",)).groupBy("_mix_key").agg(
+    held, names = renamed(docs)
+    keyed = held.withColumn("_mix_key", row_hash(docs, names))
+    given = keyed.select(
+        at(docs, "doc_id").alias("doc_id"), at(docs, "source").alias("source"),
+        at(docs, "text").alias("text"), "_mix_key")
+    copies = mix(given, shards, ("_mix_key",)).groupBy("_mix_key").agg(
         F.sum(F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5))
               .otherwise(0)).cast("int").alias("_mix_copies"))
-    once = keyed.join(copies.filter(F.col("_mix_copies") > 0), "_mix_key").dropDuplicates(
-        ["_mix_key"])
-    return once.withColumn(
-        "_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)
+    # Equal rows fold in their own task; one of them stands for all.
+    once = keyed.dropDuplicates(["_mix_key"]).join(
+        copies.filter(F.col("_mix_copies") > 0), "_mix_key")
+    return original(once.withColumn(
+        "_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))), docs)
 
 
 ORACLE_SQL = f"""
 WITH sized AS (
-    SELECT doc_id, source, md5(concat_ws('/', '{SEED}', doc_id::VARCHAR)) AS o,
+    SELECT doc_id, source,
+        md5(concat_ws('/', '{SEED}', doc_id::VARCHAR, md5(coalesce(text, '')))) AS o,
         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size
     FROM documents),
 by_source AS (

@@ -35,7 +35,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from comity.llm.common import bounded_batches, in_runs, slice_pairs, stored, text_of
+from comity.llm.common import (
+    at, bounded_batches, in_runs, original, renamed, row_hash, slice_pairs, stored, text_of,
+)
 from comity.llm.components import components, forest
 from comity.llm.words import Split, blocks
 
@@ -275,8 +277,13 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # One text for each group: a row is found by its id and its text.
     kept = kept.groupBy("component").agg(
         F.min("doc_id").alias("_kept"), F.min("_key").alias("_text"))
-    known = docs.withColumn("_key", F.md5(text_of(docs)))
-    known = known.join(
-        kept, (F.col("doc_id") == F.col("_kept")) & (F.col("_key") == F.col("_text")), "left_semi")
-    return known.dropDuplicates(["doc_id", "_key"]).drop("_key").unionByName(
-        docs.filter(F.col("doc_id").isNull()))
+    held, names = renamed(docs)
+    known = held.withColumns({
+        "_id": at(docs, "doc_id"),
+        "_key": F.md5(F.coalesce(at(docs, "text").cast("string"), F.lit("")))})
+    found = known.join(
+        kept, (F.col("_id") == F.col("_kept")) & (F.col("_key") == F.col("_text")), "left_semi")
+    # Of rows that agree in both, the one with the least hash of all columns.
+    one = found.groupBy("_id", "_key").agg(
+        F.min_by(F.struct(*names), row_hash(docs, names)).alias("_row")).select("_row.*")
+    return original(one.unionByName(known.filter(F.col("_id").isNull()).select(*names)), docs)

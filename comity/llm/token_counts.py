@@ -10,16 +10,23 @@ the last token of each prefix, and with it the count, follows from shorter prefi
 the one vocabulary entry that ends there and may stand next to the last token before it.
 Each distinct word of the corpus is worked out once (words.map_words).
 
+Words are cut as the tokenizer cuts them: runs of letters, runs of marks, single digits,
+contractions, special strings. Sequences that compose to one character are read again for
+each of their prefixes, which grows with the square of such a sequence's length alone.
+
 Defined results: null and empty texts count 0 tokens and 0 bytes; null or repeated document
 ids stay as they are; white space adds no token; other columns are ignored. Longest texts
-need four bytes a character while their block is worked on.
+need four bytes a character while their block is worked on, and the longest word without
+ASCII white space about 100 bytes a byte.
 """
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +60,9 @@ class PrefixCounter:
             model = json.load(file)["model"]
         self.tokenizer = open_tokenizer(path)
         self.end = model["end_of_word_suffix"]
-        self.vocabulary = set(model["vocab"])
+        # Each token leads to itself: lists of tokens hold no copies.
+        self.vocabulary = {token: token for token in model["vocab"]}
+        self.widest = max(map(len, self.vocabulary), default=1)
         self.ended = {t.removesuffix(self.end): t for t in self.vocabulary
                       if t.endswith(self.end) and t != self.end}
         self.ends = set(self.ended.values())
@@ -62,6 +71,11 @@ class PrefixCounter:
         self.symbols = byte_symbols()
         self.pairs: dict[tuple[str, str], bool] = {}
         self.state = [""], [0], [], ""
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.specials = re.compile("|".join(map(re.escape, added))) if added else None
+        self.normals: dict[str, str] = {}
+        self.kinds: dict[str, str] = {}
+        self.wholes: dict[str, int] = {}
 
     def stands(self, left: str, right: str) -> bool:
         """Whether BPE splits the text of both tokens into just these two; remembered."""
@@ -111,7 +125,7 @@ class PrefixCounter:
                         outer = p
                 if inner >= 0 and (outer >= 0 or not whole):
                     break
-            last.append(word[inner:i])
+            last.append(plain[word[inner:i]])
             count.append(count[inner] + 1)
             if whole:
                 out.append(count[outer] + 1)
@@ -123,6 +137,7 @@ class PrefixCounter:
         lower = text.lower()
         if (
             len(lower) == len(text) and "'" not in text and "<|" not in text
+            and "\u03a3" not in text  # whose lower case depends on its place only in Python
             and (text.isascii() or (all(c.isascii() or c.isalpha() for c in text)
                                     and unicodedata.is_normalized("NFC", text)
                                     and unicodedata.is_normalized("NFC", lower)))
@@ -134,7 +149,7 @@ class PrefixCounter:
                 out += [base + c for c in counts]
                 base, at = out[-1], run.end()
             return out + [base + c for c in self.marks(lower[at:])]
-        return self.encoded(text)
+        return self.general(text)
 
     def marks(self, text: str) -> list[int]:
         """Counts after each character of ASCII digits and punctuation."""
@@ -145,14 +160,189 @@ class PrefixCounter:
             base += counts[-1]
         return out
 
-    def encoded(self, text: str) -> list[int]:
-        """Counts of a word with contractions, special strings or rare characters.
+    def general(self, text: str) -> list[int]:
+        """Counts of a word with special strings or characters of any kind."""
+        out, base, at = [], 0, 0
+        for found in self.specials.finditer(text) if self.specials else ():
+            # Until its last character a special string is text like any other; then the
+            # text before it ends and it is one token.
+            out += [base + c for c in self.ordinary(text[at:found.end() - 1])]
+            base = (out[found.start() - 1] if found.start() > at else base) + 1
+            out.append(base)
+            at = found.end()
+        return out + [base + c for c in self.ordinary(text[at:])]
+
+    def ordinary(self, text: str) -> list[int]:
+        """Counts after each character, which composes with those after it at most until the
+        next that starts a letter anew; such a sequence is read again for each of its prefixes."""
+        out, reader, start = [], Reader(self), 0
+        while start < len(text):
+            end = start + 1
+            while end < len(text) and composes(text[end]):
+                end += 1
+            if end - start > 1:
+                mark = reader.mark()
+                for i in range(start + 1, end):
+                    out.append(reader.feed(self.normal(text[start:i])))
+                    reader.back_to(mark)
+            out.append(reader.feed(self.normal(text[start:end])))
+            start = end
+        return out
+
+    def normal(self, text: str) -> str:
+        """The tokenizer's own normal form; that of single characters is remembered."""
+        if len(text) > 1:
+            return self.tokenizer.normalizer.normalize_str(text)
+        if text not in self.normals:
+            self.normals[text] = self.tokenizer.normalizer.normalize_str(text)
+        return self.normals[text]
+
+    def kind(self, character: str) -> str:
+        """How the tokenizer cuts at a character: runs of letters and of marks stay whole,
+        numbers stand alone, blanks are dropped."""
+        if character not in self.kinds:
+            cut = self.tokenizer.pre_tokenizer.pre_tokenize_str
+            pieces = len(cut(character * 2))
+            if pieces == 1:
+                kind = "letter" if len(cut("a" + character)) == 1 else "mark"
+            else:
+                kind = "number" if pieces else "blank"
+            self.kinds[character] = kind
+        return self.kinds[character]
+
+    def whole(self, piece: str) -> int:
+        """Tokens of a short piece, remembered."""
+        if piece not in self.wholes:
+            run = Run(self)
+            for character in piece:
+                run.extend(character)
+            self.wholes[piece] = run.value
+        return self.wholes[piece]
+
+
+class Run:
+    """One growing piece: for each byte the last token and the count up to it.
+
+    Tokens have ``widest`` bytes at most, so only the end of the text is kept.
+    """
+
+    __slots__ = ("counter", "last", "count", "tail", "value")
+
+    def __init__(self, counter: PrefixCounter):
+        self.counter, self.last, self.count = counter, [""], array("i", [0])
+        self.tail, self.value = "", 0
+
+    def extend(self, character: str) -> None:
+        counter = self.counter
+        plain, ended, pairs, stands = (
+            counter.vocabulary, counter.ended, counter.pairs, counter.stands)
+        last, count = self.last, self.count
+        data = character.encode()
+        for k, byte in enumerate(data):
+            tail = self.tail = (self.tail + counter.symbols[byte])[-counter.widest:]
+            here, whole, size = len(last), k == len(data) - 1, len(tail)
+            inner = outer = 0
+            for width in range(1, size + 1):
+                token, before = tail[size - width:], last[here - width]
+                if not inner and token in plain:
+                    fit = pairs.get((before, token))
+                    if fit or fit is None and stands(before, token):
+                        inner = width
+                        taken = plain[token]
+                if not outer and whole and token in ended:
+                    fit = pairs.get((before, ended[token]))
+                    if fit or fit is None and stands(before, ended[token]):
+                        outer = width
+                if inner and (outer or not whole):
+                    break
+            if whole:
+                self.value = count[here - outer] + 1
+            last.append(taken)
+            count.append(count[here - inner] + 1)
+
+    def mark(self) -> tuple:
+        return len(self.last), self.tail, self.value
+
+    def back_to(self, mark: tuple) -> None:
+        size, self.tail, self.value = mark
+        del self.last[size:], self.count[size:]
+
+
+CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")  # fixed values of the tokenizer
+
+
+class Reader:
+    """Cuts normal text into pieces as it comes, and counts their tokens.
+
+    An apostrophe that stands alone before a letter may begin a contraction, which is a
+    piece of its own; the reader then takes back the apostrophe it has counted.
+    """
 
-        Its prefixes are encoded one by one, for such a word its own length at most.
-        """
-        prefixes = [text[:i + 1] for i in range(len(text))]
-        return [len(e.ids) for e in self.tokenizer.encode_batch_fast(
-            prefixes, add_special_tokens=False)]
+    def __init__(self, counter: PrefixCounter):
+        self.counter = counter
+        self.closed, self.run, self.kind, self.piece = 0, None, "", ""
+        self.quoted = None  # the count before an apostrophe that the piece follows
+
+    def mark(self) -> tuple:
+        held = self.run and self.run.mark()
+        return self.closed, self.run, self.kind, self.piece, self.quoted, held
+
+    def back_to(self, mark: tuple) -> None:
+        self.closed, self.run, self.kind, self.piece, self.quoted, held = mark
+        if self.run:
+            self.run.back_to(held)
+
+    @property
+    def total(self) -> int:
+        return self.closed + (self.run.value if self.run else 0)
+
+    def feed(self, text: str) -> int:
+        for character in text:
+            self._feed(character)
+        return self.total
+
+    def _close(self, total: int) -> None:
+        self.closed, self.run, self.kind, self.piece, self.quoted = total, None, "", "", None
+
+    def _feed(self, character: str) -> None:
+        counter = self.counter
+        kind = counter.kind(character)
+        if kind == "blank":
+            self._close(self.total)
+        elif kind == "number":
+            self._close(self.total + counter.whole(character))
+        elif kind == self.kind:
+            if self.quoted is not None and f"'{self.piece}{character}" in CONTRACTIONS:
+                self._close(self.quoted + counter.whole(f"'{self.piece}{character}"))
+                return
+            self.run.extend(character)
+            # Only the first two characters of a piece matter to its neighbours.
+            self.piece, self.quoted = (self.piece + character)[:2], None
+        else:
+            before = self.closed if kind == "letter" and self.piece == "'" else None
+            if before is not None and f"'{character}" in CONTRACTIONS:
+                self._close(before + counter.whole(f"'{character}"))
+                return
+            self._close(self.total)
+            self.run, self.kind, self.piece, self.quoted = Run(counter), kind, character, before
+            self.run.extend(character)
+
+
+@functools.cache
+def _seconds() -> frozenset[str]:
+    """Characters that compose with one before them."""
+    found = {chr(c) for c in range(0x1161, 0x11C3)}
+    for code in range(0x20000):
+        parts = unicodedata.decomposition(chr(code)).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            found.add(chr(int(parts[1], 16)))
+    return frozenset(found)
+
+
+def composes(character: str) -> bool:
+    """Whether a character may change with those before it when they are composed."""
+    return not character.isascii() and (
+        unicodedata.combining(character) > 0 or character in _seconds())
 
 
 def prefix_block(limit: int, keep: list[str], store: bool):

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from comity.llm.common import bounded_batches, table
+from comity.llm.common import bounded_batches, original, renamed, table
 from comity.llm.words import Split, blocks
 
 POSITIVES = 4_000
@@ -236,7 +236,9 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> dic
     return fit(positives, unlabelled, min(prior, 0.99))
 
 
-def score(docs: DataFrame, model: dict | None, keep: list[str]) -> DataFrame:
+def score(
+    docs: DataFrame, model: dict | None, keep: list[str], text: str = "text"
+) -> DataFrame:
     """The ``keep`` columns with ``score`` and ``predicted``."""
     bounded_batches(docs.sparkSession)
     # One model for all tasks; its size is set by SLOTS.
@@ -245,19 +247,19 @@ def score(docs: DataFrame, model: dict | None, keep: list[str]) -> DataFrame:
                            T.StructField("score", T.DoubleType())])
 
     def scored(batches):
-        for block in blocks(batches):
+        for block in blocks(batches, text):
             model = shared.value
             if model is None:
                 chance = np.zeros(block.num_rows)
             else:
-                slots, counts = features(block.column("text"))
+                slots, counts = features(block.column(text))
                 given = (inputs(model["ratios"][slots], counts) - model["mean"]) / model["scale"]
                 chance = _chance(given @ model["weights"] + model["bias"])
             yield pa.RecordBatch.from_arrays(
                 [*[block.column(k).combine_chunks() for k in keep], pa.array(chance)],
                 schema.names)
 
-    used = docs.select(*dict.fromkeys([*keep, "text"]))
+    used = docs.select(*dict.fromkeys([*keep, text]))
     return used.mapInArrow(scored, schema).withColumn(
         "predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
@@ -271,9 +273,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, prior: float | None = None) ->
 def clean_documents(
     docs: DataFrame, labels: DataFrame, prior: float | None = None
 ) -> DataFrame:
-    """The documents that are not predicted toxic, with all their columns."""
-    scored = score(docs, train(docs, labels, prior), docs.columns)
-    return scored.filter(F.col("predicted") == 0).select(*docs.columns)
+    """The documents that are not predicted toxic, with all their columns, whatever their names."""
+    held, names = renamed(docs)
+    text = names[docs.columns.index("text")]
+    scored = score(held, train(docs, labels, prior), names, text)
+    return original(scored.filter(F.col("predicted") == 0), docs)
 
 
 def labels_of(spark, sf_dir: str) -> DataFrame:

@@ -13,6 +13,9 @@ are sought and tested in three steps.
    dropped.
 3. The cosine of the rest is computed in double precision.
 
+Equal vectors are folded to one class first, with the number of its rows; so thousands of
+copies are one vector, and all pairs below are of classes.
+
 A pair that meets in several tables is handled in the first of them, so links are counted,
 never listed. Runs over RUN vectors are cut into slices, and each pair of slices is a task
 of its own, so no task grows with a run. Only a spanning forest of each task's links leaves
@@ -20,8 +23,10 @@ it, with counts per vector.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components have no
 links and are their own component; vectors of another length link among their like only;
-equal vectors link (cosine 1); a null vec_id is dropped from links of others only by name, so
-ids should be unique, repeated ids count as one vector's links; other columns are ignored.
+equal vectors link (cosine 1). Rows with repeated ids are vectors of their own, and each counts
+in the links of the others. A null vec_id counts as a link and names no component but where
+all of a component's ids are null; ids are of any ordered type. Other columns are ignored.
+Classes are told apart by 128 bits of a hash of their vectors.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,18 +113,19 @@ def celled(batches):
             cells = cells_of(unit, TABLES).astype(np.int32)
             rows = pa.array(rows)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id").take(rows), batch.column("embedding").take(rows),
-                 pa.FixedSizeListArray.from_arrays(pa.array(cells.ravel()), TABLES)
+                [batch.column("cid").take(rows), batch.column("embedding").take(rows),
+                 batch.column("weight").take(rows), pa.FixedSizeListArray.from_arrays(pa.array(cells.ravel()), TABLES)
                  .cast(pa.list_(pa.int32()))],
-                ["vec_id", "embedding", "cells"])
+                ["cid", "embedding", "weight", "cells"])
 
 
 def linked(threshold: float, needed: int):
-    """Links within the slices of runs, or between two slices of a run."""
+    """Links within the slices of runs, or between two slices of a run: for each class
+    the rows of the classes it is linked with, and edges that join all that are linked."""
     reach = math.sqrt(2 - 2 * threshold)
 
     def links(columns: dict, cuts: np.ndarray) -> pa.Table:
-        ids = columns["vec_id"].to_numpy()
+        ids, weights = columns["cid"].to_numpy(), columns["weight"].to_numpy()
         tables, side, left, right = (
             columns[c].to_numpy() for c in ("table", "slice", "left", "right"))
         cells = columns["cells"].flatten().to_numpy().reshape(len(ids), -1)
@@ -159,13 +165,13 @@ def linked(threshold: float, needed: int):
                     found.append((rows[x[close]], rows[y[close]]))
                 if found:
                     x, y = (np.concatenate(f) for f in zip(*found))
-                    np.add.at(counts, x, 1)
-                    np.add.at(counts, y, 1)
+                    np.add.at(counts, x, weights[y])
+                    np.add.at(counts, y, weights[x])
                     edges += forest(x, y)
         some = np.flatnonzero(counts)
         ends = np.array(edges, np.int64).reshape(-1, 2)
         return pa.table({
-            "vec_id": pa.array(np.concatenate([ids[some], ids[ends[:, 0]]]), pa.int64()),
+            "cid": pa.array(np.concatenate([ids[some], ids[ends[:, 0]]]), pa.int64()),
             "n": pa.array(np.concatenate([counts[some], np.zeros(len(ends), np.int64)])),
             "b": pa.array(np.concatenate([ids[some], ids[ends[:, 1]]]), pa.int64(),
                           mask=np.arange(len(some) + len(ends)) < len(some)),
@@ -174,33 +180,65 @@ def linked(threshold: float, needed: int):
     return links
 
 
+def usable(vector: Column) -> Column:
+    """Vectors that have a direction: all components finite, and one that is not zero."""
+    finite = F.forall(vector, lambda c: c.isNotNull() & (F.abs(c) < float("inf")))
+    return F.coalesce(finite & F.exists(vector, lambda c: c != 0), F.lit(False))
+
+
+def vector_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Usable rows as vec_id and hash, and one stored row for each distinct vector.
+
+    A class has a number ``cid``, its ``weight`` in rows, and the least id of them.
+    """
+    good = rows.filter(usable(F.col("embedding")))
+    keys = {"_h1": F.xxhash64("embedding"), "_h2": F.xxhash64(F.lit(SEED), "embedding")}
+    good = good.withColumns(keys)
+    classes = good.groupBy("_h1", "_h2").agg(
+        F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("least"),
+        F.first("embedding").alias("embedding"),
+    ).withColumn("cid", F.monotonically_increasing_id())
+    return good.select("vec_id", "_h1", "_h2"), stored(classes, "vector-classes")
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id and kept of each vector."""
     bounded_batches(vectors.sparkSession)
     rows = vectors.select("vec_id", "embedding")
+    hashed, classes = vector_classes(rows)
     placed = stored(
-        rows.mapInArrow(celled, T.StructType([
-            T.StructField("vec_id", T.LongType()), rows.schema["embedding"],
+        classes.select("cid", "embedding", "weight").mapInArrow(celled, T.StructType([
+            T.StructField("cid", T.LongType()), rows.schema["embedding"],
+            T.StructField("weight", T.LongType()),
             T.StructField("cells", T.ArrayType(T.IntegerType()))])),
         "vectors")
-    entries = placed.select("vec_id", F.posexplode("cells").alias("table", "cell"))
+    entries = placed.select("cid", F.posexplode("cells").alias("table", "cell"))
     runs = entries.groupBy("table", "cell").agg(F.count(F.lit(1)).alias("size")).filter(
         F.col("size") > 1)
-    met = slice_pairs(entries.join(runs, ["table", "cell"]), "vec_id", "size", RUN).drop("size")
+    met = slice_pairs(entries.join(runs, ["table", "cell"]), "cid", "size", RUN).drop("size")
     keys = ["table", "cell", "left", "right"]
     found = stored(
-        in_runs(met.join(placed, "vec_id"), keys, linked(threshold, least_count()),
-                "vec_id long, n long, b long"),
+        in_runs(met.join(placed, "cid"), keys, linked(threshold, least_count()),
+                "cid long, n long, b long"),
         "links")
-    counts = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
+    counts = found.groupBy("cid").agg(F.sum("n").alias("n"))
     groups = components(
-        found.filter(F.col("b").isNotNull()).select(F.col("vec_id").alias("a"), "b"))
-    return (
-        rows.select("vec_id")
-        .join(counts, "vec_id", "left")
-        .join(groups, F.col("vec_id") == F.col("node"), "left")
-        .select(
-            "vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),
-            F.coalesce("component", "vec_id").alias("component_id"),
-            F.coalesce("component", "vec_id").eqNullSafe(F.col("vec_id")).alias("kept"))
+        found.filter(F.col("b").isNotNull()).select(F.col("cid").alias("a"), "b"))
+    named = (
+        classes.select("cid", "weight", "least", "_h1", "_h2")
+        .join(counts, "cid", "left")
+        .join(groups, F.col("cid") == F.col("node"), "left")
+        .withColumn("component", F.coalesce("component", "cid"))
     )
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    resolved = named.join(least, "component").select(
+        "_h1", "_h2", "component_id",
+        (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    # Rows that cannot link have no class and come without a look-up.
+    useless = rows.filter(~usable(F.col("embedding"))).select(
+        "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    linked_rows = hashed.join(resolved, ["_h1", "_h2"]).select(
+        "vec_id", F.col("n_links").cast("long").alias("n_links"),
+        F.coalesce("component_id", "vec_id").alias("component_id"))
+    return linked_rows.unionByName(useless).select(
+        "*", F.col("component_id").eqNullSafe(F.col("vec_id")).alias("kept"))

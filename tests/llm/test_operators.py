@@ -16,6 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from comity.llm.common import stored
 from comity.llm import (
     bpe, components, exact_dedup, licenses, mixing, ngram_join, secret_scan, sharding,
     token_counts, toxicity, vectors,
@@ -119,6 +120,31 @@ def test_prefixes_of_any_word(text):
     assert counter.word(word) == [len(encoded(word[:i + 1])) for i in range(len(word))]
 
 
+PARTS = ["a", "b", "s", "t", "re", "ve", "ll", "r", "l", "m", "d", "'", "''", "!", "?!", "1", "23",
+         "\u00e9", "e\u0301", "\u0301", "\u0327", "\u304b", "\u3099", "\u65e5\u672c", "\u3002",
+         "\u03a3", "\u0391\u03a3", "\u0130", "\u00df", "\u01c6", "\u00a0", "\u3000", "\u2028",
+         "<|endoftext|>", "<|startoftext|>", "<|", "|>", "<|endoftext|", "\u1112", "\u1161",
+         "\u11ab", "\u212b", "\U0001f600", "\u00b2", "\x1c", "\x85", "\ufb01", "\u09c7", "\u09be"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), min_size=1, max_size=14))
+def test_prefixes_of_words_of_odd_parts(parts):
+    word = "".join(parts)
+    word = re.sub(r"[\x09-\x0d\x20]", "", word)
+    counter = token_counts._counter(bpe.tokenizer_file())
+    want = [len(encoded(word[:i + 1])) for i in range(len(word))]
+    assert counter.word(word) == want and counter.general(word) == want
+
+
+@pytest.mark.parametrize("part", ["\u65e5\u672c\u8a9e\u3067\u3059\u3002", "a'b", "<|endoftext|>x", "\u304b\u3099!"])
+def test_long_words_without_blanks(spark, part):
+    text = part * (200_000 // len(part.encode()))
+    got = token_counts.count_documents(
+        spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (got.n_tokens, got.n_bytes) == (len(encoded(text)), len(text.encode()))
+
+
 # Operator 2
 
 
@@ -300,6 +326,27 @@ def test_ngram_join_against_all_pairs(spark, awkward, nothing):
     assert ngram_join.jaccard_join(nothing).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["int", "long", "string"])
+def test_rows_with_one_id_are_vectors_of_their_own(spark, kind):
+    v, w = [1.0, 2.0, 3.0], [1.0, 2.0, 3.05]
+    rows = [(1, v), (1, v), (2, v), (3, w), (4, [-1.0, 2.0, 0.0]), (4, None), (None, v), (5, [0.0])]
+    frame = spark.createDataFrame(rows, "vec_id int, embedding array<double>").withColumns(
+        {"vec_id": F.col("vec_id").cast(kind), "weight": F.lit("x"), "cid": F.lit(None)})
+    got = [(str(r.vec_id), r.n_links, str(r.component_id), r.kept)
+           for r in vectors.near_duplicates(frame).collect()]
+    same(got, [("1", 4, "1", True)] * 2 + [("2", 4, "1", False), ("3", 4, "1", False),
+               ("None", 4, "1", False), ("4", 0, "4", True), ("4", 0, "4", True), ("5", 0, "5", True)])
+
+
+def test_many_equal_vectors_are_one_class(spark):
+    base = spark.range(100_000).select(
+        F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
+    other = spark.createDataFrame([(-5, [2.0, 4.1]), (-7, [-1.0, 0.5])], base.schema)
+    got = vectors.near_duplicates(base.unionByName(other))
+    assert got.groupBy("n_links", "component_id").count().orderBy("component_id").collect() == [
+        (0, -7, 1), (100_000, -5, 100_001)]
+
+
 def test_ngram_join_of_awkward_rows(awkward):
     got = defaultdict(list)
     for r in ngram_join.jaccard_join(awkward).collect():
@@ -518,6 +565,38 @@ def test_one_row_of_each_group_stays(awkward):
 # The pipeline
 
 
+def test_stages_keep_clashing_columns_and_repeated_ids(spark, awkward):
+    """The stages on the awkward table with every name that an operator uses inside."""
+    names = ("score", "predicted", "_key", "_text", "_digest", "_id", "_kept", "size", "taken",
+             "_mix_key", "component", "class_id", "a.b", "target", "keep_id", "held_out")
+    docs = awkward.withColumns({n: F.concat(F.lit(n), F.rand(3).cast("string")) for n in names})
+    docs = docs.unionByName(spark.createDataFrame(
+        [(500, "b/c c d e", "en", "a"), (500, "c c d e", "en", "a/b"), (600, "nul src", "en", None),
+         (600, "nul src", "en", "-"), (700, "Same Text again", "en", "x"),
+         (700, "same text AGAIN", "en", "y")],
+        "doc_id long, text string, lang string, source string"), allowMissingColumns=True)
+    docs = stored(docs, "clash")
+    rows = docs.collect()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SF_DIR)
+        assert got.columns == docs.columns and got.schema.simpleString() == docs.schema.simpleString()
+        found = got.collect()
+        assert found and all(r in rows for r in found), name
+        assert stage(spark, docs.limit(0), SF_DIR).count() == 0
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR)
+    assert last.count() == docs.count()
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), SF_DIR).count() == 0
+    # Rows of one id are neither swapped nor merged by the mix.
+    odd = docs.filter("doc_id in (500, 600)")
+    copies = Counter((r.doc_id, r.source, r.text) for r in mixing.mixed(odd).collect())
+    taken = {(r.doc_id, r.source): round(r.taken / r.size) for r in mixing.mix(odd).collect()}
+    assert {(i, s): n for (i, s, _), n in copies.items()} == {k: n for k, n in taken.items() if n}
+    # The choice among rows of one id does not depend on how they lie.
+    chosen = {tuple(r) for n in (1, 3, 5) for r in exact_dedup.deduplicated(
+        docs.filter("doc_id = 700").repartition(n)).collect()}
+    assert len(chosen) == 1
+
+
 def test_pipeline_stage_by_stage(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     scored = toxicity.toxicity(docs, toxicity.labels_of(spark, SF_DIR))
