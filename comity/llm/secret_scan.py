@@ -3,12 +3,15 @@
 A word between white space gives one candidate for each of these, over every whole text:
 
 - a value assigned to a credential name, of any length and with digits or not: in the word, or
-  in the words after the name; in quotes all to the closing quote (QUOTED words at most),
+  in the words after the name; in quotes all to the closing quote,
 - the password of an address (``scheme://user:password@host``),
 - every run of LEAST characters or more that keys are made of and no such value holds; issued
   keys within a value count for themselves,
 - the word itself, of LEAST characters or more, if it gives nothing else.
 
+A word of over LONG characters, such as a line of minified JSON, is cut before each sign
+that another name follows, and its parts are looked at as words of the same number.
+
 Each has features of
 
 - its length, and shares of digits, upper-case letters and other signs,
@@ -86,7 +89,8 @@ BARE = NAMED + SIGN + "([^\\s\"'<>\\\\=:,;&" + MARK + "][^\\s\"'<>" + MARK + "]*
 CLOSING = r"[.,;:?)\]}>]+$"
 USERINFO = r"://([^\s/?#:@]*):([^\s/?#\"'<>]+)@"
 RUN = r"([A-Za-z0-9+/_-]{12,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?)"
-QUOTED = 16  # words of a value in quotes
+QUOTED = 16  # words that are looked at first for a closing quote
+LONG = 1024  # characters of a word that is looked at in parts
 
 TRUE_RULES = ("issued", "userinfo", "assigned")
 FALSE_RULES = ("address", "number", "word")
@@ -104,6 +108,17 @@ def candidates(docs: DataFrame) -> DataFrame:
     """
     words = docs.select("doc_id", F.split(text_of(docs), r"\s+").alias("_w"),
                         text_of(docs).rlike(NAMED).alias("_named"))
+    # Parts of long words, each with its word's place; null where no word is long.
+    words = words.withColumn("_parts", F.when(
+        F.exists("_w", lambda w: F.length(w) > LONG),
+        F.flatten(F.transform("_w", lambda w, i: F.transform(
+            F.when(F.length(w) > LONG, F.split(w, NEXT_NAME)).otherwise(F.array(w)),
+            lambda p: F.struct(i.alias("no"), p.alias("part")))))))
+    words = words.select(
+        "doc_id", "_named", F.col("_parts.no").alias("_no"),
+        # Blanks at the start of a text make an empty word, which is none.
+        F.when(F.get("_w", F.lit(0)) == "", 1).otherwise(0).alias("_empty"),
+        F.coalesce("_parts.part", "_w").alias("_w"))
 
     def word(at: Column) -> Column:
         return F.coalesce(F.when(at >= 0, F.get("_w", at)), F.lit(""))
@@ -113,13 +128,23 @@ def candidates(docs: DataFrame) -> DataFrame:
         lambda i: (F.length(word(i)) >= LEAST) | word(i).contains("://")
         | (F.col("_named") & F.concat_ws(" ", word(i - 2), word(i - 1), word(i)).rlike(NAMED)))
 
+    quotes = "^[^\"']*[\"']"
+
+    def to_closing(i: Column) -> Column:
+        """The words after a quote that opens at the end of word i, to the closing one."""
+        near = F.regexp_extract(F.array_join(F.slice("_w", i + 2, QUOTED - 1), " "), quotes, 0)
+        opens = F.concat_ws(" ", word(i - 2), word(i - 1), word(i)).rlike(OPEN_QUOTE)
+        far = F.regexp_extract(
+            F.array_join(F.slice("_w", i + 2, F.size("_w")), " "), quotes, 0)
+        return F.when((near != "") | ~opens, near).otherwise(far)
+
     def found(i: Column) -> Column:
         return F.struct(
-            i.cast("long").alias("word_no"), word(i).alias("word"),
+            (F.coalesce(F.get("_no", i), i) - F.col("_empty")).cast("long").alias("word_no"),
+            word(i).alias("word"),
             F.concat_ws(" ", word(i - 2), word(i - 1)).alias("before"),
             word(i + 1).alias("after"),
-            F.when(F.col("_named") & word(i).rlike("[\"']"),
-                   F.array_join(F.slice("_w", i + 2, QUOTED - 1), " ")).alias("_rest"))
+            F.when(F.col("_named") & word(i).rlike("[\"']"), to_closing(i)).alias("_rest"))
 
     rows = words.select("doc_id", F.explode(F.transform(picked, found)).alias("_f"))
     rows = rows.select("doc_id", "_f.*")
@@ -133,7 +158,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("_all", F.concat("_name", "_word"))
     rows = rows.withColumn("_all", F.concat("_all", F.when(
         F.col("_rest").isNotNull() & F.col("_all").rlike(OPEN_QUOTE),
-        F.concat(F.lit(" "), F.regexp_extract("_rest", "^[^\"']*[\"']", 0))).otherwise("")))
+        F.concat(F.lit(" "), F.col("_rest"))).otherwise("")))
     link = F.col("word").contains("://")
 
     def bare(value: Column) -> Column:

@@ -476,6 +476,27 @@ def test_every_value_and_run_is_a_candidate(spark):
         assert len(got[i]) == len(set(got[i])), (text, got[i])
 
 
+def test_values_in_quotes_of_any_length(spark):
+    phrase = " ".join(f"word{i}" for i in range(40))
+    docs = spark.createDataFrame([
+        (1, f'password: "{phrase}" and more'), (2, f'token = "{phrase}'),
+        (3, "  password: hunter2x"), (4, "\npassword: hunter2x x")], "doc_id long, text string")
+    got = {(r.doc_id, r.word_no, r.body) for r in secret_scan.candidates(docs).collect()}
+    assert (1, 1, phrase) in got and not any(i == 1 and b in phrase and b != phrase for i, _, b in got)
+    assert {(i, n) for i, n, b in got if b == "hunter2x"} == {(3, 1), (4, 1)}
+
+
+def test_long_words_are_looked_at_in_parts(spark):
+    pairs = [f'"password":"hunter{i}x"' for i in range(20_000)]
+    line = "{" + ",".join(pairs) + "}"
+    docs = spark.createDataFrame([(1, f"see {line} there"), (2, "b" * 300_000)], "doc_id long, text string")
+    got = secret_scan.candidates(docs).collect()
+    mine = [r for r in got if r.doc_id == 1]
+    assert sorted(r.body for r in mine) == sorted(f"hunter{i}x" for i in range(20_000))
+    assert {r.word_no for r in mine} == {1}
+    assert [(r.word_no, len(r.body)) for r in got if r.doc_id == 2] == [(0, 300_000)]
+
+
 def test_disguised_secrets_are_true_findings(spark):
     docs = [(i, t) for i, (t, _) in enumerate(DISGUISED)]
     # With one kind of labelled findings only, the rules decide.
