@@ -133,12 +133,15 @@ def sample_features(texts: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
         T.StructField("_positive", T.BooleanType()),
         T.StructField("slots", T.ArrayType(T.IntegerType()))]))
     found = made.toArrow()
-    found = found.take(pc.sort_indices(found, [("doc_id", "ascending")]))
+    order = pc.sort_indices(found, [("doc_id", "ascending")])
+    positive = found.column("_positive").take(order)
     groups = []
     for kind in (True, False):
-        lists = found.filter(pc.equal(found.column("_positive"), kind)).column("slots")
-        lists = lists.combine_chunks()
+        lists = found.column("slots").take(order.filter(pc.equal(positive, kind)))
+        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
         groups.append((lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy()))
+    del found, lists
+    pa.default_memory_pool().release_unused()
     return groups
 
 
@@ -152,13 +155,19 @@ def half(texts: Texts, which: int) -> Texts:
     return slots[np.repeat(chosen, counts)], counts[chosen]
 
 
+def slot_counts(slots: np.ndarray) -> np.ndarray:
+    """How often each slot comes, counted in place: the driver holds no wider copy."""
+    counts = np.zeros(SLOTS, np.int32)
+    np.add.at(counts, slots, 1)
+    return counts.astype(np.float32)
+
+
 def associations(positives: Texts, unlabelled: Texts) -> np.ndarray:
     """How much more often each feature is met in positives than in all, as a logarithm.
 
     PSEUDO expected and met cases keep rare features near 0.
     """
-    plus, rest = (np.bincount(t[0], minlength=SLOTS).astype(np.float32)
-                  for t in (positives, unlabelled))
+    plus, rest = (slot_counts(t[0]) for t in (positives, unlabelled))
     share = len(positives[1]) / max(1, len(positives[1]) + len(unlabelled[1]))
     return np.log((plus + PSEUDO) / ((plus + rest) * share + PSEUDO)).astype(np.float32)
 
@@ -173,7 +182,7 @@ def inputs(strength: np.ndarray, counts: np.ndarray) -> np.ndarray:
         out[full, 0] = np.maximum.reduceat(strength, starts)
         for i, level in enumerate(LEVELS):
             out[full, 1 + i] = np.log1p(
-                np.add.reduceat((strength > level).astype(np.float64), starts))
+                np.add.reduceat(strength > level, starts, dtype=np.float64))
         out[full, -2] = np.log1p(np.add.reduceat(np.maximum(strength - LEVELS[0], 0), starts))
     return out
 
