@@ -18,8 +18,11 @@ from comity.operators import (
 from comity.operators.scoring import LexiconScorer, PandasScorer, score_table, token_weights
 from comity.plans import flows, inputs
 from comity.sources import readers, sinks, threads
+from comity.sources.day_counts import DayCounts
 from comity.sources.history_table import HistoryTable
+from comity.sources.search_index import SearchIndex
 from comity.streaming import flows as streams
+from comity.streaming.daily_table import DailyTable
 from comity.workspace import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -943,6 +946,48 @@ def stream_then_erase(spark, sf):
     )
 
 
+def _event_runs(spark, sf) -> list[DataFrame]:
+    """The events' history rows in three runs, with their own sources."""
+    events = inputs.table(spark, sf, "events")
+    return [
+        inputs.history_from_events(events.filter(F.col("event_id") % 3 == i)).withColumn(
+            "translated_text", F.lit(""))
+        for i in range(3)
+    ]
+
+
+@query
+def indexed_search(spark, sf):
+    """Two runs indexed, users erased, a third run not indexed yet; then a search."""
+    path = new_path(spark, "indexed")
+    table = HistoryTable(spark, f"{path}/history")
+    index = SearchIndex(table, f"{path}/index")
+    runs = _event_runs(spark, sf)
+    for i in (0, 1):
+        table.add(runs[i], f"run{i}")
+        index.update()
+    table.erase(inputs.table(spark, sf, "events").filter(F.col("value") > 150), ["user_id"])
+    table.add(runs[2], "run2")
+    return index.search(text="A LONGER tail", prediction="toxic").select(
+        "user_id", "input_text", "prediction", "source", "run_id")
+
+
+@query
+def kept_dashboard(spark, sf):
+    """Counters per day, made, brought up to date after an erasure and a run, and summed."""
+    path = new_path(spark, "kept")
+    table = HistoryTable(spark, f"{path}/history")
+    kept = DayCounts(table, f"{path}/counts")
+    runs = _event_runs(spark, sf)
+    for i in (0, 1):
+        table.add(runs[i], f"run{i}")
+    kept.refresh()
+    table.erase(inputs.table(spark, sf, "events").filter(F.col("value") > 150), ["user_id"])
+    table.add(runs[2], "run2")
+    kept.refresh()
+    return kept.dashboard(inputs.AS_OF)
+
+
 @query
 def upload_then_recent(spark, sf):
     """Two uploads of one user, each sent twice; the newest rows of the history."""
@@ -1004,6 +1049,18 @@ def stream_daily(spark, sf):
     return totals.withColumn("activity_date", _day("activity_date"))
 
 
+@query
+def stream_daily_folded(spark, sf):
+    """The events landed in a dozen files, a file a batch, counted in three slots."""
+    path = new_path(spark, "folded")
+    events = inputs.table(spark, sf, "events")
+    events.repartition(12, "event_id").write.parquet(f"{path}/landed")
+    landed = streams.landed_stream(spark, f"{path}/landed", events.schema, files_per_batch=1)
+    daily = DailyTable(spark, f"{path}/counts", "user_id", slots=3)
+    daily.stream(inputs.history_from_events(landed), f"{path}/checkpoint").awaitTermination()
+    return daily.totals().withColumn("activity_date", _day("activity_date"))
+
+
 @query
 def stream_scores(spark, sf):
     """Landed comments, scored and judged on the way into the history table."""

@@ -923,6 +923,19 @@ O["training_epochs"] = (
     "(SELECT count(*) FROM split WHERE split = 'val') AS val_rows, true AS falling, true AS best "
     "FROM t"
 )
+_ERASED = (
+    "(id % 3 = 2 OR user_id NOT IN (SELECT user_id FROM events WHERE value > 150))"
+)
+O["indexed_search"] = (
+    f"WITH {HISTORY} SELECT user_id, input_text, prediction, source, 'run' || (id % 3) AS run_id "
+    f"FROM history WHERE lower(input_text) LIKE '%a longer tail%' AND {TOXIC} AND {_ERASED}"
+)
+O["kept_dashboard"] = (
+    f"WITH {HISTORY}, s AS (SELECT user_id, {_BASIC}, {_CHANNELS}, "
+    + ", ".join(f"{c} AS {label}_count" for label, c in _LABEL_COUNTS.items())
+    + f" FROM parsed WHERE {_ERASED} GROUP BY user_id) SELECT *, "
+    f"{pct('toxic', 'total', 1)} AS toxicity_rate FROM s"
+)
 O["upload_then_recent"] = (
     f"WITH {USABLE}, {scores('usable')}, {JUDGED}, r AS (SELECT *, row_number() OVER (ORDER BY "
     "doc_id % 2 DESC, doc_id DESC) AS rank FROM judged) SELECT 7::BIGINT AS user_id, "
@@ -949,3 +962,4 @@ O["stream_scores"] = (
     "CASE WHEN len(string_split(text, ' ')) < 4 THEN 'en' ELSE coalesce(lang, 'en') END AS "
     "language, prediction, confidence, toxic_score AS toxic FROM judged"
 )
+O["stream_daily_folded"] = O["stream_daily"]

@@ -98,7 +98,7 @@ def daily_partials(
     they come, and no state is held. A repeated batch replaces its own counts.
     """
     def write(batch: DataFrame, number: int) -> None:
-        counts = batch.groupBy(F.to_date(time_col).alias("activity_date"), *by).agg(*_tally())
+        counts = batch.groupBy(F.to_date(time_col).alias("activity_date"), *by).agg(*tally())
         counts.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return (
@@ -127,7 +127,7 @@ def daily_totals(
     )
 
 
-def _tally() -> list[Column]:
+def tally() -> list[Column]:
     verdict = F.lower("prediction")
     return [
         F.count("*").alias("total"),
@@ -150,7 +150,7 @@ def daily_counts(
     return (
         history.withWatermark(time_col, late)
         .groupBy(F.window(time_col, "1 day"), *by)
-        .agg(*_tally())
+        .agg(*tally())
         .select(
             day.alias("activity_date"), *by,
             "total", "toxic", "non_toxic",

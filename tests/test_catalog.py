@@ -26,7 +26,8 @@ def test_entry(spark):
 #: run by then, so looking at them again would only repeat training and draining.
 WRITTEN_FIRST = (
     "train_classifier", "training_epochs", "stream_history", "stream_daily", "stream_scores",
-    "stream_then_erase", "upload_then_recent",
+    "stream_then_erase", "upload_then_recent", "indexed_search", "kept_dashboard",
+    "stream_daily_folded",
 )
 
 
