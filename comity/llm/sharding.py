@@ -10,8 +10,10 @@ shard's room does.
 Rows between two ring points form an arc. The walk needs the number of rows of each arc
 only: a table of at most shards x VIRTUAL rows, whose size is set by parameters, is
 gathered and walked once round; it names the rank ranges of each arc that each shard
-takes. Ranks within arcs come from counts per (arc, bucket) and row numbers within
-buckets. Buckets are dealt by row, not by key, so a repeated key fills many of them.
+takes. Ranks within arcs follow a hash of id and text, so they do not depend on how the
+table's files are laid out; rows equal in all that is returned are folded to one with a
+count, which stands at as many ranks. An arc is cut into as many buckets, ranges of that hash, as
+its own rows need; a rank is the bucket's first plus the place within the bucket.
 
 Defined results: null texts have size 8 (no bytes and the fixed 8); null ids share one
 point of the ring and overflow from there like others; repeated rows are rows of their
@@ -31,6 +33,7 @@ from comity.llm.common import stored, text_of
 SHARDS = 24
 VIRTUAL = 64
 BUCKET_ROWS = 20_000
+CHUNK = 10_000  # copies of a row that one row stands for until the last shuffle
 MAX_POINTS = 1 << 20
 
 
@@ -39,6 +42,11 @@ def point(*columns: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 2)
 
 
+def order(doc_id: Column, text: Column) -> Column:
+    """A row's place among those of its arc, from 0 below 2^63."""
+    return F.shiftrightunsigned(F.xxhash64(doc_id.cast("string"), text), 1)
+
+
 def ring(spark, shards: int, virtual: int) -> list[tuple[int, int]]:
     """(point, shard) of all virtual nodes, clockwise."""
     if shards * virtual > MAX_POINTS:
@@ -110,18 +118,16 @@ def assign(docs: DataFrame, shards: int = SHARDS, virtual: int = VIRTUAL) -> Dat
         "doc_id",
         (F.octet_length(text).cast("long") + 8).alias("size"),
         F.crc32(text).alias("text_crc32"),
-        F.xxhash64(F.monotonically_increasing_id()).alias("_row"),
+        order(docs["doc_id"], text).alias("_order"),
         arc_of(point(F.col("doc_id").cast("string")), nodes).alias("_arc"),
     )
-    keyed = stored(keyed, "shard-keys")
-    total = keyed.count()
-    buckets = total // BUCKET_ROWS + 1
-    keyed = keyed.withColumn("_bucket", F.pmod("_row", F.lit(buckets)).cast("int"))
-    filled = stored(keyed.groupBy("_arc", "_bucket").agg(F.count(F.lit(1)).alias("_n")),
-                    "shard-counts")
+    # A row that is repeated by a third of the table folds before the shuffle.
+    alike = ["_order", "doc_id", "size", "text_crc32"]
+    folded = stored(keyed.groupBy("_arc", *alike).agg(F.count(F.lit(1)).alias("_n")), "shard-keys")
     found = {r["_arc"]: r["n"]
-             for r in filled.groupBy("_arc").agg(F.sum("_n").alias("n")).collect()}
+             for r in folded.groupBy("_arc").agg(F.sum("_n").alias("n")).collect()}
     counts = [found.get(a, 0) for a in range(len(nodes))]
+    total = sum(counts)
     room = [total // shards + (s < total % shards) for s in range(shards)]
     ranges = walk(counts, [s for _, s in nodes], room)
 
@@ -132,20 +138,38 @@ def assign(docs: DataFrame, shards: int = SHARDS, virtual: int = VIRTUAL) -> Dat
         F.lit(json.dumps([{"a": a, "r": r} for a, r in by_arc.items()])),
         "array<struct<a:int,r:array<struct<b:bigint,e:bigint,s:int,t:bigint>>>>")
     arcs = spark.range(1).select(F.inline(taken).alias("_a", "_ranges"))
+    buckets = F.get(
+        F.from_json(F.lit(json.dumps([n // BUCKET_ROWS + 1 for n in counts])), "array<bigint>"),
+        F.col("_arc"))
+    placed = folded.withColumn(
+        "_bucket", F.shiftright(F.shiftright("_order", 31) * buckets, 32).cast("int"))
+    filled = placed.groupBy("_arc", "_bucket").agg(F.sum("_n").alias("_rows"))
     ahead = Window.partitionBy("_arc").orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, -1)
     bases = filled.select("_arc", "_bucket",
-                          F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_base"))
+                          F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_base"))
     bases = bases.join(F.broadcast(arcs), F.col("_arc") == F.col("_a")).drop("_a")
-    number = F.row_number().over(
-        Window.partitionBy("_arc", "_bucket").orderBy("_row", "doc_id")) - 1
-    ranked = keyed.withColumn("_in", number).join(bases, ["_arc", "_bucket"])
-    rank = F.col("_base") + F.col("_in")
-    hit = F.element_at(
-        F.filter("_ranges", lambda r: (r["b"] <= rank) & (rank < r["e"])), 1)
-    return ranked.withColumn("_hit", hit).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"),
-        F.col("_hit.s").alias("shard"),
-        (F.col("_hit.t") + rank - F.col("_hit.b")).cast("long").alias("slot"),
+    inside = Window.partitionBy("_arc", "_bucket").orderBy(*alike).rowsBetween(
+        Window.unboundedPreceding, -1)
+    ranked = placed.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(
+        bases, ["_arc", "_bucket"])
+    first = F.col("_base") + F.col("_in")
+    last = first + F.col("_n")
+    # The ranks of equal rows may lie in several ranges, and be many.
+    parts = F.transform(
+        F.filter("_ranges", lambda r: (r["b"] < last) & (first < r["e"])),
+        lambda r: F.struct(
+            r["s"].alias("shard"), (r["t"] + F.greatest(first, r["b"]) - r["b"]).alias("slot"),
+            (F.least(last, r["e"]) - F.greatest(first, r["b"])).alias("many")))
+    pieces = ranked.select("doc_id", "size", "text_crc32", F.inline(parts)).select(
+        "*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1, F.lit(CHUNK).cast("long")))
+        .alias("_from"))
+    pieces = pieces.select(
+        "doc_id", "size", "text_crc32", "shard", (F.col("slot") + F.col("_from")).alias("slot"),
+        F.least(F.lit(CHUNK), F.col("many") - F.col("_from")).alias("many"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return pieces.repartition(tasks, "shard", "slot").select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard",
+        F.explode(F.sequence(F.col("slot"), F.col("slot") + F.col("many") - 1)).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
