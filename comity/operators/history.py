@@ -61,6 +61,24 @@ def comments_by_verdict(scored: DataFrame, verdict: str = "Toxic") -> DataFrame:
     return scored.filter(F.col("prediction") == verdict)
 
 
+def verdict_view(
+    scored: DataFrame, verdict: str = "Toxic", videos: DataFrame | None = None
+) -> DataFrame:
+    """The comments of one verdict with the view's heading and their ``total`` per video.
+
+    ``videos`` (video_id, title) adds ``video_title``. Totals fold before they are joined, so
+    no video's comments are gathered; comments without a video are counted together.
+    """
+    rows = comments_by_verdict(scored, verdict)
+    totals = rows.groupBy(F.col("video_id").alias("_video")).agg(F.count("*").alias("total"))
+    if videos is not None:
+        titles = videos.groupBy(F.col("video_id").alias("_titled")).agg(
+            F.min("title").alias("video_title"))
+        totals = totals.join(titles, F.col("_video") == F.col("_titled"), "left").drop("_titled")
+    return rows.join(totals, F.col("video_id").eqNullSafe(F.col("_video"))).drop(
+        "_video").withColumn("heading", F.lit(f"{verdict} Comments"))
+
+
 def verdict_totals(scored: DataFrame, *by: str) -> DataFrame:
     """How many comments each verdict view lists."""
     return scored.groupBy(*by, "prediction").agg(F.count("*").alias("total"))

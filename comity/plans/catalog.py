@@ -62,6 +62,34 @@ def clean_text(spark, sf):
     return docs.select("doc_id", tx.clean_tweet("text").alias("cleaned"))
 
 
+@query
+def strip_retweet_words(spark, sf):
+    docs = inputs.phrased_documents(spark, sf)
+    return docs.select("doc_id", tx.strip_retweet_words("text").alias("cleaned"))
+
+
+@query
+def published_days(spark, sf):
+    """Events per date, the date taken from the front of an ISO time stamp."""
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return inputs.table(spark, sf, "events").groupBy(
+        tx.iso_date_prefix(stamp).alias("day")).agg(F.count("*").alias("total"))
+
+
+@query
+def csv_sheets(spark, sf):
+    """Documents written as UTF-8 and as Latin-1 sheets, and read together."""
+    path = new_path(spark, "sheets")
+    docs = inputs.table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    first = F.concat(F.lit("  Caf\u00e9 "), F.col("text"))
+    sinks.write_csv(docs.filter("doc_id % 2 = 0").withColumn("text", first), f"{path}/utf8")
+    narrow = F.regexp_replace(first, r"[^\x{0}-\x{ff}]", "?")
+    sinks.write_csv(
+        docs.filter("doc_id % 2 = 1").withColumn("text", narrow), f"{path}/latin1", "ISO-8859-1")
+    return readers.read_comments_csv_any_encoding(spark, f"{path}/*", infer=False).select(
+        F.col("doc_id").cast("long"), "text", "lang", "source")
+
+
 @query
 def collapse_ws(spark, sf):
     docs = inputs.documents(spark, sf)
@@ -707,6 +735,18 @@ def non_toxic_comments(spark, sf):
     return rows.select("video_id", "comment_id", "text", "confidence")
 
 
+@query
+def verdict_view(spark, sf):
+    """Toxic comments under a heading, with the title of their video and its total."""
+    videos = inputs.table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("video_id"),
+        F.concat(F.lit("Video "), "source").alias("title"))
+    rows = history.verdict_view(
+        verdicts.settled(inputs.scored_comments(spark, sf), "prediction"), "Toxic", videos)
+    return rows.select(
+        "heading", "video_id", "video_title", "total", "comment_id", "author", "text", "confidence")
+
+
 @query
 def verdict_totals(spark, sf):
     return history.verdict_totals(inputs.scored_comments(spark, sf), "author")

@@ -737,6 +737,12 @@ for _name, _verdict in (("toxic_comments", "Toxic"), ("non_toxic_comments", "Non
         f"WITH {SCORED_COMMENTS} SELECT video_id, comment_id, text, confidence FROM judged "
         f"WHERE prediction = {q(_verdict)}"
     )
+O["verdict_view"] = (
+    f"WITH {SCORED_COMMENTS}, t AS (SELECT *, count(*) OVER (PARTITION BY video_id) AS total FROM "
+    "judged WHERE prediction = 'Toxic') SELECT 'Toxic Comments' AS heading, t.video_id, "
+    "'Video ' || d.source AS video_title, total, comment_id, author, t.text, confidence FROM t "
+    "LEFT JOIN documents d ON d.doc_id::VARCHAR = t.video_id"
+)
 O["verdict_totals"] = (
     f"WITH {SCORED_COMMENTS} SELECT author, prediction, count(*) AS total FROM judged GROUP BY ALL"
 )
@@ -963,3 +969,15 @@ O["stream_scores"] = (
     "language, prediction, confidence, toxic_score AS toxic FROM judged"
 )
 O["stream_daily_folded"] = O["stream_daily"]
+_ALONE = sub(sub("text", rf"({W})([rR][tT])", r"\1zqzq\2"), rf"([rR][tT])({W})", r"\1zqzq\2")
+_CUT = sub(_ALONE, rf"(?i)\brt\b{S}*:?{S}*")
+O["strip_retweet_words"] = (
+    f"WITH {PHRASED} SELECT doc_id, replace({_CUT}, 'zqzq', '') AS cleaned FROM phrased"
+)
+O["published_days"] = (
+    "SELECT strftime(ts::DATE, '%Y-%m-%d') AS day, count(*) AS total FROM events GROUP BY 1"
+)
+O["csv_sheets"] = (
+    "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '  Café ' || text ELSE "
+    r"regexp_replace('  Café ' || text, '[^\x{0}-\x{ff}]', '?', 'g') END AS text, lang, source FROM documents"
+)

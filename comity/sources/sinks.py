@@ -130,10 +130,12 @@ def write_run(rows: DataFrame, path: str, run_id: str) -> None:
     )
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header; quotes are doubled, so multi-line text survives a re-read."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').option(
-        "quoteAll", False
+def write_csv(df: DataFrame, path: str, encoding: str = "utf-8") -> None:
+    """CSV with a header, which reads back as it was: quotes are doubled, line breaks quoted,
+    and blanks around a text kept."""
+    df.write.mode("overwrite").options(
+        header=True, escape='"', quoteAll=False, encoding=encoding,
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     ).csv(path)
 
 

@@ -228,3 +228,14 @@ def test_crossed_slices_are_slices(spark):
         same = next(g for g in got if g["slice"] == "a" and g["a"] == r["a"])
         assert (same["rows"], same["accuracy"], same["accuracy_gap"]) == (
             r["rows"], r["accuracy"], r["accuracy_gap"])
+
+
+def test_a_verdict_view_counts_per_video_and_without_one(spark):
+    scored = spark.createDataFrame(
+        [("v", "a", "Toxic"), ("v", "b", "Toxic"), ("w", "c", "Non-Toxic"), (None, "d", "Toxic")],
+        "video_id string, text string, prediction string")
+    videos = spark.createDataFrame([("v", "V"), ("v", "W"), (None, "N")], "video_id string, title string")
+    got = history.verdict_view(scored, "Toxic", videos).collect()
+    assert sorted((r.text, r.total, r.video_title, r.heading) for r in got) == [
+        ("a", 2, "V", "Toxic Comments"), ("b", 2, "V", "Toxic Comments"), ("d", 1, None, "Toxic Comments")]
+    assert history.verdict_view(scored, "Neither").count() == 0

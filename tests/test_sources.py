@@ -345,3 +345,13 @@ def test_analysed_videos_keep_positions(spark, pages, tmp_path):
     rows = {r["comment_id"]: r for r in spark.read.parquet(where[0]).collect()}
     assert {k: r["position"] for k, r in rows.items()} == {"c1": 0, "r1": 1, "r3": 4}
     assert rows["r1"]["parent_id"] == "c1" and rows["r1"]["is_reply"]
+
+
+def test_a_sheet_reads_back_as_it_was(spark, tmp_path):
+    rows = [(1, "  blanks around\t"), (2, 'quo"ted, with\nbreaks'), (3, "é ü"), (4, "x"), (5, " ")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    for encoding in ("utf-8", "ISO-8859-1"):
+        path = str(tmp_path / encoding)
+        sinks.write_csv(df, path, encoding)
+        got = readers.read_comments_csv_any_encoding(spark, path, infer=False).collect()
+        assert sorted((int(r["id"]), r["text"]) for r in got) == rows
