@@ -19,7 +19,7 @@ from comity.operators.scoring import LexiconScorer, PandasScorer, score_table, t
 from comity.plans import flows, inputs
 from comity.sources import readers, sinks, threads
 from comity.sources.day_counts import DayCounts
-from comity.sources.history_table import HistoryTable
+from comity.sources.history_table import ROW_BITS, HistoryTable
 from comity.sources.search_index import SearchIndex
 from comity.streaming import flows as streams
 from comity.streaming.daily_table import DailyTable
@@ -1012,6 +1012,17 @@ def indexed_search(spark, sf):
         "user_id", "input_text", "prediction", "source", "run_id")
 
 
+@query
+def history_table_page(spark, sf):
+    """A page of the history table that reaches from the third run into the second."""
+    table = HistoryTable(spark, f"{new_path(spark, 'paged')}/history")
+    for i, rows in enumerate(_event_runs(spark, sf)):
+        table.add(rows.withColumns({"_block": F.lit(0), "_row": F.col("id")}),
+                  f"run{i}", position=("_block", "_row"))
+    return table.page(100, before_id=(3 << ROW_BITS) + 50).select(
+        "id", "user_id", "input_text", "prediction", "source", "run_id")
+
+
 @query
 def kept_dashboard(spark, sf):
     """Counters per day, made, brought up to date after an erasure and a run, and summed."""

@@ -936,6 +936,12 @@ O["indexed_search"] = (
     f"WITH {HISTORY} SELECT user_id, input_text, prediction, source, 'run' || (id % 3) AS run_id "
     f"FROM history WHERE lower(input_text) LIKE '%a longer tail%' AND {TOXIC} AND {_ERASED}"
 )
+O["history_table_page"] = (
+    f"WITH {HISTORY}, n AS (SELECT * REPLACE ((id % 3 + 1) * 1099511627776 + id - min(id) OVER "
+    "(PARTITION BY id % 3) + 1 AS id), id % 3 AS run FROM history) SELECT id, user_id, input_text, "
+    "prediction, source, 'run' || run AS run_id FROM n WHERE id < 3 * 1099511627776 + 50 "
+    "ORDER BY id DESC LIMIT 100"
+)
 O["kept_dashboard"] = (
     f"WITH {HISTORY}, s AS (SELECT user_id, {_BASIC}, {_CHANNELS}, "
     + ", ".join(f"{c} AS {label}_count" for label, c in _LABEL_COUNTS.items())

@@ -29,6 +29,8 @@ from comity.sources.readers import HISTORY_SCHEMA
 from comity.workspace import new_path
 
 ROW_BITS = 40
+#: Ids a page looks at first, as a multiple of its size: ids have gaps.
+NEAR = 8
 LOG_SCHEMA = T.StructType([
     T.StructField("kind", T.StringType()),
     T.StructField("run_id", T.StringType()),
@@ -134,6 +136,30 @@ class HistoryTable:
         """All rows that count, with ``run_id`` and ``created_date``."""
         return self._scan(self._files()).select(*ROW_SCHEMA.names)
 
+    def page(self, size: int = 20, before_id: int | None = None) -> DataFrame:
+        """One page, newest first, of rows older than ``before_id``, as ``history.page``.
+
+        Only as many of the newest runs are read as hold a page: within the run of
+        ``before_id`` a range of ids just below it, then one more run, two, four, and so on.
+        Ranges of ids reach the files, whose rows are sorted by id, as minima and maxima.
+        """
+        rows = self.read()
+        numbers = sorted((r["number"] for r in self.runs().select("number").collect()), reverse=True)
+        if before_id is None:
+            before_id = (numbers[0] + 1 if numbers else 0) << ROW_BITS
+        older = [n << ROW_BITS for n in numbers if n << ROW_BITS < before_id]
+        lows = [max(older[0], before_id - NEAR * size)] if older else []
+        runs = 1
+        while runs < 2 * len(older):
+            lows.append(older[min(runs, len(older)) - 1])
+            runs *= 2
+        for low in lows:
+            span = rows.filter((F.col("id") >= low) & (F.col("id") < before_id))
+            # Stops reading when the page is full.
+            if low == lows[-1] or span.select("id").limit(size).count() == size:
+                return span.orderBy(F.desc("id")).limit(size)
+        return rows.limit(0)
+
     def _write(self, rows: DataFrame, segment: str) -> list[str]:
         """Write rows by day, in order of id within each file, and name the files made.
 

@@ -27,7 +27,7 @@ def test_entry(spark):
 WRITTEN_FIRST = (
     "train_classifier", "training_epochs", "stream_history", "stream_daily", "stream_scores",
     "stream_then_erase", "upload_then_recent", "indexed_search", "kept_dashboard",
-    "stream_daily_folded",
+    "stream_daily_folded", "history_table_page",
 )
 
 

@@ -139,3 +139,17 @@ def test_streamed_rows_can_be_erased_and_replayed(spark, table, tmp_path):
     days = reports.daily_activity(left).collect()
     assert sum(r["total"] for r in days) == 8
     assert spark.createDataFrame([], SCHEMA).schema  # the landed schema is the tests' own
+
+
+def test_pages_read_the_newest_runs_only(spark, table):
+    assert table.page().count() == 0 and table.page(5, 100).count() == 0
+    for run in range(5):
+        table.add(rows_of(spark, ROWS[:(3, 1, 0, 2, 6)[run]]), f"r{run}")
+    table.erase(spark.createDataFrame([(3,)], "user_id long"), ["user_id"])
+    ids = sorted((r["id"] for r in table.read().select("id").collect()), reverse=True)
+    for before in (None, ids[0], ids[2], ids[4] + 5, ids[-1], 3 << ROW_BITS, 9 << ROW_BITS):
+        for size in (1, 4, 50):
+            want = [i for i in ids if before is None or i < before][:size]
+            assert [r["id"] for r in table.page(size, before).collect()] == want
+    plan = table.page(2, ids[0])._jdf.queryExecution().executedPlan().toString()
+    assert f"GreaterThanOrEqual(id,{5 << ROW_BITS})" in plan
