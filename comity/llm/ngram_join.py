@@ -5,13 +5,19 @@ text is one shingle). Texts whose sets have Jaccard similarity THRESHOLD or more
 
 1. Each text gets a signature: TREES labels of DEPTH min-hashes. Texts with equal sets are
    one class from here on.
-2. A tree is the sorted trie of its labels. A pair at similarity s shares a prefix of d
-   hashes in some tree with chance 1 - (1 - s^d)^TREES. From the full depth, prefixes are
-   shortened until that reaches RECALL at the threshold (``matched_depth``): a formula of the
-   constants, so all trees are read at one depth, as banded LSH is. Classes with the same
-   prefix are a trie node. In each node the pairs whose whole signatures agree on
-   AGREEMENT or more of their places are joined into a spanning forest, and the forests of
-   all nodes into clusters.
+2. A tree is the sorted trie of its labels; classes with the same prefix are a node of it. The
+   walk starts at whole labels and shortens the prefixes hash by hash. At each depth a class
+   meets those that share its shorter prefix but not its longer one in some tree, and pairs whose
+   whole signatures agree on AGREEMENT or more of their places match. Each pair is looked at
+   once: in the first tree of its longest shared prefix. A class stops where the matches it
+   has found say that RECALL of its links are among them (``settled``): a match at similarity s
+   shares a prefix of d hashes in some tree with chance c = 1 - (1 - s^d)^TREES and stands
+   for 1/c - 1 pairs that are not met yet, and one further link at the threshold is taken to
+   exist. So crowded nodes are left early by classes that have found many, and the others go
+   on, to the depth at which even a single pair at the threshold is found with RECALL
+   (``last_depth``). A pair is met where either of its classes still walks; nodes whose classes
+   all walk no more, or all share the longer prefix, are passed over.
+   Spanning edges of the matches join the classes into clusters.
 3. Within a cluster all pairs of classes are verified on their real shingle sets, taken
    from the texts again: exact similarity, every pair once. Clusters and nodes over a
    bounded size are cut into slices, and every pair of slices is a task of its own.
@@ -47,14 +53,15 @@ TREES = 16
 DEPTH = 8
 RECALL = 0.999
 AGREEMENT = 0.65
+LEVELS = 16  # steps of similarity in which matches are counted
 NODE = 512  # classes of a trie node that one task compares
 SLICE = 128  # classes of a cluster slice
 
 
-def matched_depth(
+def last_depth(
     threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL
 ) -> int:
-    """The longest prefix at which a pair at the threshold is found often enough."""
+    """The longest prefix at which any one pair at the threshold is found often enough."""
     while depth > 1 and 1 - (1 - threshold ** depth) ** trees < recall:
         depth -= 1
     return depth
@@ -127,27 +134,132 @@ def printed(batches):
             ["doc_id", "_key", "digest", "signature"])
 
 
-def node_edges(columns: dict, cuts: np.ndarray) -> pa.Table:
-    """Spanning edges among the classes of trie nodes, or between two slices of a node."""
-    side, left, right = (columns[c].to_numpy() for c in ("slice", "left", "right"))
-    marks = np.frombuffer(columns["signature"].buffers()[2], np.uint16)
-    marks = marks.reshape(-1, TREES * DEPTH)[columns["signature"].offset:][:len(side)]
-    needed = math.ceil(AGREEMENT * TREES * DEPTH)
-    edges = []
-    for lo, hi in zip(cuts, cuts[1:]):
-        a = lo + np.flatnonzero(side[lo:hi] == left[lo])
-        b = lo + np.flatnonzero(side[lo:hi] == right[lo])
-        found = []
-        for i in a:
-            rest = b[b > i] if left[lo] == right[lo] else b
-            near = rest[(marks[rest] == marks[i]).sum(1) >= needed]
-            found.append((np.full(len(near), i), near))
-        if found:
-            edges += forest(*(np.concatenate(f) for f in zip(*found)))
-    ends = np.array(edges, np.int64).reshape(-1, 2)
-    digests = columns["digest"]
-    return pa.table({"a": digests.take(pa.array(ends[:, 0])),
-                     "b": digests.take(pa.array(ends[:, 1]))})
+def matches(depth: int):
+    def found(columns: dict, cuts: np.ndarray) -> pa.Table:
+        """Matches first met at ``depth``, in trie nodes or between two slices of a node.
+
+        Gives the number of each class's matches by level of similarity, and spanning edges.
+        """
+        side, left, right, tree = (columns[c].to_numpy() for c in ("slice", "left", "right", "tree"))
+        walks = columns["walks"].to_numpy(zero_copy_only=False)
+        marks = np.frombuffer(columns["signature"].buffers()[2], np.uint16)
+        marks = marks.reshape(-1, TREES * DEPTH)[columns["signature"].offset:][:len(side)]
+        needed = math.ceil(AGREEMENT * TREES * DEPTH)
+        counts, edges = np.zeros((len(side), LEVELS + 1), np.int64), []
+        for lo, hi in zip(cuts, cuts[1:]):
+            a = lo + np.flatnonzero(side[lo:hi] == left[lo])
+            b = lo + np.flatnonzero(side[lo:hi] == right[lo])
+            # The next hash in this tree; those that share it have met before.
+            after = marks[:, tree[lo] * DEPTH + depth] if depth < DEPTH else None
+            met = []
+            for i in a:
+                rest = b[b > i] if left[lo] == right[lo] else b
+                if not walks[i]:
+                    rest = rest[walks[rest]]
+                if after is not None:
+                    rest = rest[after[rest] != after[i]]
+                if not len(rest):
+                    continue
+                same = marks[rest] == marks[i]
+                agreed = same.sum(1)
+                near = agreed >= needed
+                rest, agreed = rest[near], agreed[near]
+                shared = np.logical_and.accumulate(
+                    same[near].reshape(-1, TREES, DEPTH), axis=2).sum(2)
+                # In the first tree of the longest prefix that the two share.
+                first = (shared.max(1, initial=0) == depth) & (shared.argmax(1) == tree[lo])
+                rest, level = rest[first], agreed[first] * LEVELS // (TREES * DEPTH)
+                counts[i] += np.bincount(level, minlength=LEVELS + 1)
+                counts[rest, level] += 1
+                met.append((np.full(len(rest), i), rest))
+            if met:
+                edges += forest(*(np.concatenate(m) for m in zip(*met)))
+        some, level = np.nonzero(counts)
+        ends = np.array(edges, np.int64).reshape(-1, 2)
+        none = np.zeros(len(ends), np.int64)
+        digests = columns["digest"]
+        return pa.table({
+            "digest": digests.take(pa.array(np.concatenate([some, ends[:, 0]]))),
+            "level": pa.array(np.concatenate([level, none])),
+            "n": pa.array(np.concatenate([counts[some, level], none])),
+            "b": digests.take(pa.array(np.concatenate([some, ends[:, 1]]),
+                                       mask=np.arange(len(some) + len(ends)) < len(some))),
+        })
+
+    return found
+
+
+def settled(met: DataFrame, depth: int, threshold: float, recall: float) -> DataFrame:
+    """The classes whose matches found so far are ``recall`` of those to be expected.
+
+    Matches below the threshold say nothing about links and do not count.
+    """
+    near = met.filter(F.col("level") >= math.floor(threshold * LEVELS))
+    chance = 1 - F.pow(1 - F.pow(F.col("level") / LEVELS, F.lit(depth)), F.lit(TREES))
+    further = (1 - threshold ** depth) ** TREES
+    return near.groupBy("digest").agg(
+        F.sum("n").alias("n"), (F.sum(F.col("n") * (1 / chance - 1)) + further).alias("missed")
+    ).filter(F.col("n") >= recall * (F.col("n") + F.col("missed"))).select("digest")
+
+
+def in_shared(entries: DataFrame, depth: int, *more) -> DataFrame:
+    """``entries`` (digest, tree, label) with the ``prefix`` and ``_size`` of their node.
+
+    Only nodes of several classes; ``more`` are further facts of a node, named aggregates of
+    (part, node). A node's classes are dealt to parts, so a large one is never in one task.
+    """
+    parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = entries.withColumns({
+        "prefix": F.substring("label", 1, 2 * depth),
+        "_part": F.pmod(F.xxhash64("digest"), F.lit(parts)).cast("int")})
+    some = dealt.groupBy("tree", "prefix", "_part").agg(
+        F.count(F.lit(1)).alias("_size"), *[of_part for of_part, _ in more])
+    nodes = some.groupBy("tree", "prefix").agg(
+        F.sum("_size").alias("_size"), *[of_node for _, of_node in more])
+    nodes = nodes.filter(F.col("_size") > 1)
+    known = some.select("tree", "prefix", "_part").join(nodes, ["tree", "prefix"])
+    return dealt.join(known, ["tree", "prefix", "_part"]).drop("_part")
+
+
+def walked(classes: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """digest, level, n (matches of the class at that level) and b (spanning edges, else null).
+
+    ``classes`` has a ``digest`` and its ``signature``.
+    """
+    width, last = 2 * DEPTH, last_depth(threshold, recall=recall)
+    marks = classes.filter(F.col("signature").isNotNull()).select("digest", "signature")
+    labels = marks.select(
+        "digest", F.posexplode(F.transform(
+            F.sequence(F.lit(0), F.lit(TREES - 1)),
+            lambda t: F.substring(F.col("signature"), t * width + 1, F.lit(width)))
+        ).alias("tree", "label"))
+    # Classes that share not even the shortest prefix meet no other.
+    entries = stored(in_shared(labels, last).select("digest", "tree", "label"), "trie")
+    met = None
+    for depth in range(DEPTH, last - 1, -1):
+        if met is None:
+            now = entries.withColumn("walks", F.lit(True))
+        else:
+            done = settled(met, depth + 1, threshold, recall).withColumn("_done", F.lit(True))
+            now = entries.join(done, "digest", "left").withColumn(
+                "walks", F.col("_done").isNull()).drop("_done")
+        after = F.substring("label", 2 * depth + 1, 2)
+        nodes = in_shared(
+            now, depth,
+            (F.max("walks").alias("_walks"), F.max("_walks").alias("_walks")),
+            (F.min(after).alias("_least"), F.min("_least").alias("_least")),
+            (F.max(after).alias("_most"), F.max("_most").alias("_most")))
+        nodes = nodes.filter(F.col("_walks"))
+        if depth < DEPTH:
+            nodes = nodes.filter(F.col("_least") != F.col("_most"))
+        sliced = slice_pairs(
+            nodes.select("digest", "tree", "prefix", "walks", "_size"), "digest", "_size", NODE)
+        found = stored(
+            in_runs(sliced.drop("_size").join(marks, "digest"), ["tree", "prefix", "left", "right"],
+                    matches(depth), "digest binary, level long, n long, b binary"),
+            "matches")
+        met = found if met is None else met.unionByName(found)
+    return met
 
 
 def verified(threshold: float):
@@ -225,20 +337,8 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("least_id"),
             F.min("_key").alias("_key")),
         "classes")
-    depth = matched_depth(threshold)
-    width = 2 * DEPTH
-    entries = classes.filter(F.col("signature").isNotNull()).select(
-        "digest", F.explode(F.transform(
-            F.sequence(F.lit(0), F.lit(TREES - 1)),
-            lambda t: F.struct(t.alias("tree"), F.substring(
-                F.col("signature"), t * width + 1, F.lit(2 * depth)).alias("prefix")),
-        )).alias("_e")).select("digest", "_e.tree", "_e.prefix")
-    nodes = entries.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("_size")).filter(
-        F.col("_size") > 1)
-    marks = classes.select("digest", "signature")
-    in_nodes = slice_pairs(entries.join(nodes, ["tree", "prefix"]), "digest", "_size", NODE)
-    edges = in_runs(in_nodes.drop("_size").join(marks, "digest"),
-                    ["tree", "prefix", "left", "right"], node_edges, "a binary, b binary")
+    edges = walked(classes, threshold).filter(F.col("b").isNotNull()).select(
+        F.col("digest").alias("a"), "b")
     clusters = components(edges)
     members = clusters.join(classes, clusters["node"] == classes["digest"]).select(
         "component", "digest", "_key", "size")

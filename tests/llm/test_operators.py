@@ -326,6 +326,80 @@ def test_ngram_join_against_all_pairs(spark, awkward, nothing):
     assert ngram_join.jaccard_join(nothing).count() == 0
 
 
+def noisy_signatures(rng, shares):
+    """Families of signatures whose members keep a share of their family's hashes."""
+    places = ngram_join.TREES * ngram_join.DEPTH
+    out = []
+    for share, members in shares:
+        base = rng.integers(0, 1 << 16, places)
+        for _ in range(members):
+            kept = rng.random(places) < share
+            out.append(np.where(kept, base, rng.integers(0, 1 << 16, places)).astype(np.uint16))
+    return np.array(out)
+
+
+@pytest.mark.parametrize("node", [7, 512])
+def test_forest_walk_against_all_pairs(spark, monkeypatch, node):
+    """Every matching pair that shares the shortest prefix is met once, at whatever depth."""
+    monkeypatch.setattr(ngram_join, "NODE", node)
+    marks = noisy_signatures(np.random.default_rng(8), [(0.9, 12), (0.95, 20), (0.85, 9)] + [(1, 1)] * 9)
+    frame = spark.createDataFrame(
+        [(bytes([i]), bytearray(m.tobytes())) for i, m in enumerate(marks)] + [(b"none", None)],
+        "digest binary, signature binary")
+    shape = (ngram_join.TREES, ngram_join.DEPTH)
+    want, pairs = Counter(), []
+    for i in range(len(marks)):
+        for j in range(i):
+            agreed = marks[i] == marks[j]
+            longest = np.logical_and.accumulate(agreed.reshape(shape), axis=1).sum(1).max()
+            if agreed.mean() >= ngram_join.AGREEMENT and longest >= ngram_join.last_depth():
+                pairs.append((i, j))
+                for k in (i, j):
+                    want[k, int(agreed.sum()) * ngram_join.LEVELS // agreed.size] += 1
+    # Nothing is settled in families as small as these, so nothing stops early.
+    rows = ngram_join.walked(frame).collect()
+    got = Counter()
+    for r in rows:
+        if r.n:
+            got[r.digest[0], r.level] += r.n
+    assert got == want and len(want) > 20
+    edges = [(r.digest[0], r.b[0]) for r in rows if r.b is not None]
+    assert union(range(len(marks)), edges) == union(range(len(marks)), pairs)
+    assert ngram_join.walked(frame.limit(0)).count() == 0
+
+
+def test_forest_walk_stops_where_enough_is_found(spark):
+    frame = spark.createDataFrame(
+        [(b"a", 12, 2), (b"a", 8, 500), (b"b", 14, 60), (b"c", 12, 400), (b"d", 16, 9_000), (b"d", 12, 1)],
+        "digest binary, level long, n long")
+
+    def done(depth):
+        return {bytes(r.digest).decode() for r in ngram_join.settled(frame, depth, 0.8, 0.999).collect()}
+
+    for depth in range(4, 9):
+        want = set()
+        for name, found in {"a": {12: 2}, "b": {14: 60}, "c": {12: 400}, "d": {16: 9_000, 12: 1}}.items():
+            missed = (1 - 0.8 ** depth) ** 16
+            for level, n in found.items():
+                missed += n * (1 / (1 - (1 - (level / 16) ** depth) ** 16) - 1)
+            if sum(found.values()) >= 0.999 * (sum(found.values()) + missed):
+                want.add(name)
+        assert done(depth) == want
+    assert done(8) == {"d"} and done(4) == {"b", "d"}
+
+
+def test_large_families_leave_the_walk_early(spark):
+    """A family of near copies is met at long prefixes; its links are found all the same."""
+    marks = noisy_signatures(np.random.default_rng(9), [(0.99, 150)])
+    frame = spark.createDataFrame(
+        [(bytes([i]), bytearray(m.tobytes())) for i, m in enumerate(marks)],
+        "digest binary, signature binary")
+    met = ngram_join.walked(frame)
+    assert ngram_join.settled(met, 8, 0.8, 0.999).count() == 150
+    edges = [(r.digest[0], r.b[0]) for r in met.collect() if r.b is not None]
+    assert set(union(range(150), edges).values()) == {0}
+
+
 @pytest.mark.parametrize("kind", ["int", "long", "string"])
 def test_rows_with_one_id_are_vectors_of_their_own(spark, kind):
     v, w = [1.0, 2.0, 3.0], [1.0, 2.0, 3.05]
