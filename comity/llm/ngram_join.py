@@ -6,7 +6,7 @@ text is one shingle). Texts whose sets have Jaccard similarity THRESHOLD or more
 1. Each text gets a signature: TREES labels of DEPTH min-hashes. Texts with equal sets are
    one class from here on.
 2. A tree is the sorted trie of its labels; classes with the same prefix are a node of it. The
-   walk starts at whole labels and shortens the prefixes hash by hash. At each depth a class
+   walk starts at whole labels and shortens the prefixes by STEP hashes. At each depth a class
    meets those that share its shorter prefix but not its longer one in some tree, and pairs whose
    whole signatures agree on AGREEMENT or more of their places match. Each pair is looked at
    once: in the first tree of its longest shared prefix. A class stops where the matches it
@@ -51,6 +51,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 TREES = 16
 DEPTH = 8
+STEP = 2  # hashes by which the walk shortens prefixes
 RECALL = 0.999
 AGREEMENT = 0.65
 LEVELS = 16  # steps of similarity in which matches are counted
@@ -134,10 +135,12 @@ def printed(batches):
             ["doc_id", "_key", "digest", "signature"])
 
 
-def matches(depth: int):
+def matches(depth: int, before: int | None = None):
     def found(columns: dict, cuts: np.ndarray) -> pa.Table:
         """Matches first met at ``depth``, in trie nodes or between two slices of a node.
 
+        Those that share the prefix of the depth ``before`` have met there.
+
         Gives the number of each class's matches by level of similarity, and spanning edges.
         """
         side, left, right, tree = (columns[c].to_numpy() for c in ("slice", "left", "right", "tree"))
@@ -149,15 +152,16 @@ def matches(depth: int):
         for lo, hi in zip(cuts, cuts[1:]):
             a = lo + np.flatnonzero(side[lo:hi] == left[lo])
             b = lo + np.flatnonzero(side[lo:hi] == right[lo])
-            # The next hash in this tree; those that share it have met before.
-            after = marks[:, tree[lo] * DEPTH + depth] if depth < DEPTH else None
+            # The hashes up to the longer prefix in this tree.
+            begin = tree[lo] * DEPTH
+            after = marks[:, begin + depth:begin + before] if before else None
             met = []
             for i in a:
                 rest = b[b > i] if left[lo] == right[lo] else b
                 if not walks[i]:
                     rest = rest[walks[rest]]
                 if after is not None:
-                    rest = rest[after[rest] != after[i]]
+                    rest = rest[(after[rest] != after[i]).any(1)]
                 if not len(rest):
                     continue
                 same = marks[rest] == marks[i]
@@ -167,7 +171,10 @@ def matches(depth: int):
                 shared = np.logical_and.accumulate(
                     same[near].reshape(-1, TREES, DEPTH), axis=2).sum(2)
                 # In the first tree of the longest prefix that the two share.
-                first = (shared.max(1, initial=0) == depth) & (shared.argmax(1) == tree[lo])
+                longest = shared.max(1, initial=0)
+                first = (longest >= depth) & (shared.argmax(1) == tree[lo])
+                if before:
+                    first &= longest < before
                 rest, level = rest[first], agreed[first] * LEVELS // (TREES * DEPTH)
                 counts[i] += np.bincount(level, minlength=LEVELS + 1)
                 counts[rest, level] += 1
@@ -235,30 +242,30 @@ def walked(classes: DataFrame, threshold: float = THRESHOLD, recall: float = REC
         ).alias("tree", "label"))
     # Classes that share not even the shortest prefix meet no other.
     entries = stored(in_shared(labels, last).select("digest", "tree", "label"), "trie")
-    met = None
-    for depth in range(DEPTH, last - 1, -1):
+    met, before = None, None
+    for depth in [*range(DEPTH, last, -STEP), last]:
         if met is None:
             now = entries.withColumn("walks", F.lit(True))
         else:
-            done = settled(met, depth + 1, threshold, recall).withColumn("_done", F.lit(True))
+            done = settled(met, before, threshold, recall).withColumn("_done", F.lit(True))
             now = entries.join(done, "digest", "left").withColumn(
                 "walks", F.col("_done").isNull()).drop("_done")
-        after = F.substring("label", 2 * depth + 1, 2)
+        after = F.substring("label", 2 * depth + 1, 2 * ((before or DEPTH) - depth))
         nodes = in_shared(
             now, depth,
             (F.max("walks").alias("_walks"), F.max("_walks").alias("_walks")),
             (F.min(after).alias("_least"), F.min("_least").alias("_least")),
             (F.max(after).alias("_most"), F.max("_most").alias("_most")))
         nodes = nodes.filter(F.col("_walks"))
-        if depth < DEPTH:
+        if before:
             nodes = nodes.filter(F.col("_least") != F.col("_most"))
         sliced = slice_pairs(
             nodes.select("digest", "tree", "prefix", "walks", "_size"), "digest", "_size", NODE)
         found = stored(
             in_runs(sliced.drop("_size").join(marks, "digest"), ["tree", "prefix", "left", "right"],
-                    matches(depth), "digest binary, level long, n long, b binary"),
+                    matches(depth, before), "digest binary, level long, n long, b binary"),
             "matches")
-        met = found if met is None else met.unionByName(found)
+        met, before = found if met is None else met.unionByName(found), depth
     return met
 
 
