@@ -31,7 +31,7 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Phrases whose every place counts, with their labels.
 PHRASES = {
-    "the mit license": "mit",
+    "under the mit license": "mit",
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
@@ -42,6 +42,7 @@ NOTICES = {
         "permission is hereby granted free of charge to any person obtaining a copy of this "
         "software and associated documentation files the software to deal in the software "
         "without restriction",
+        "the mit license",
         "licensed under the mit license",
         "released under the mit license",
     ),
@@ -121,6 +122,7 @@ def spans(hits: DataFrame) -> DataFrame:
 
     Hits of one diagonal that follow each other are a run; runs on diagonals at most SHIFT
     apart and in template order merge. A run of a base template must hold all its grams.
+    Templates of SHIFT words or fewer do not merge: their own repeats are no further apart.
     """
     key = ["doc_id", "_mark", "template", "label", "base", "length"]
     # Repeated rows vote twice for the same places: count a place once.
@@ -129,8 +131,9 @@ def spans(hits: DataFrame) -> DataFrame:
             F.sort_array(F.collect_set("tpos")).alias("tposes"))
     merged = Window.partitionBy(*key).orderBy("diagonal")
     new = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(merged) > SHIFT, F.lit(True))
+    alone = F.col("base") | (F.col("length") <= SHIFT)
     grouped = diagonals.withColumn(
-        "_chain", F.sum(F.when(F.col("base") | new, 1).otherwise(0)).over(merged))
+        "_chain", F.sum(F.when(alone | new, 1).otherwise(0)).over(merged))
     joined = grouped.groupBy(*key, "_chain").agg(
         F.min(F.col("diagonal") + F.element_at("tposes", 1)).alias("first"),
         F.max(F.col("diagonal") + F.element_at("tposes", -1) + GRAM - 1).alias("last"),

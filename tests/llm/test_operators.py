@@ -490,6 +490,17 @@ def test_license_places(spark, awkward, nothing):
     assert licenses.scan(nothing).count() == 0
 
 
+def test_license_phrases_are_the_contracts(spark):
+    texts = ["Released Under the MIT license.", "the mit license " * 3,
+             "under the mit license, under the mit license", "x apache license version 2", "CC-BY-NC"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: tuple(r[1:7]) for r in licenses.scan(docs).collect()}
+    assert got == {
+        0: (5, 1, 1, 1, "mit", "mit"), 1: (9, 0, None, None, "", "mit"),
+        2: (8, 2, 0, 4, "mit", "mit"), 3: (5, 1, 1, 1, "apache-2", "apache-2"),
+        4: (3, 1, 0, 0, "cc-by-nc", "cc-by-nc")}
+
+
 def test_license_with_a_word_put_in(spark):
     text = ("This work is hereby licensed under the GNU General Public License, version 3",
             "this work is under the gnu tree")
