@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from comity.plans.catalog import QUERIES
 from comity.sources import sinks
 from comity.streaming import flows as streams
 
@@ -75,3 +76,23 @@ def test_daily_partials_show_open_days_and_late_rows(spark, tmp_path):
 
 def test_daily_totals_before_a_first_batch(spark, tmp_path):
     assert streams.daily_totals(spark, str(tmp_path / "none"), "user_id").count() == 0
+
+
+def test_tables_of_one_file_and_of_many_stream_alike(spark, tmp_path):
+    docs = spark.range(40).selectExpr(
+        "id AS doc_id", "concat('you are stupid ', id) AS text", "'en' AS lang",
+        "concat('src', id % 3) AS source", "5L AS n_chars")
+    events = spark.range(40).selectExpr(
+        "id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, id) AS ts",
+        "id % 4 AS user_id", "'view' AS event_type", "double(id) AS value", "'{\"k\":3}' AS props")
+    for name, df in (("documents", docs), ("events", events)):
+        df.repartition(3).write.parquet(f"{tmp_path}/many/{name}.parquet")
+        df.limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
+        (tmp_path / "one").mkdir(exist_ok=True)
+        df.toPandas().to_parquet(f"{tmp_path}/one/{name}.parquet", coerce_timestamps="us")
+    for name, n in (("stream_scores", 40), ("stream_history", 38)):
+        many, one, none = (
+            sorted(map(str, QUERIES[name](spark, f"{tmp_path}/{of}").collect()))
+            for of in ("many", "one", "none"))
+        assert many == one and len(many) == n and none == []
+    assert QUERIES["stream_then_erase"](spark, f"{tmp_path}/many").count() > 0
