@@ -60,6 +60,7 @@ def numbered(rows: DataFrame, block: Sequence[str], row: str, name: str) -> Data
 
     The rows of a block, such as a split of a file, lie in one task and rise by one in
     ``row``. So one row for each block tells where its numbers start, and no row is sorted.
+    These few are broadcast: a shuffle by block would gather all rows of a split in one task.
     """
     earlier = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
     width = F.col("_last") - F.col("_first") + 1
@@ -71,7 +72,7 @@ def numbered(rows: DataFrame, block: Sequence[str], row: str, name: str) -> Data
     same = F.lit(True)
     for i, c in enumerate(block):
         same = same & F.col(c).eqNullSafe(F.col(f"_b{i}"))
-    return rows.join(starts, same).withColumn(
+    return rows.join(F.broadcast(starts), same).withColumn(
         name, F.col("_before") + F.col(row) - F.col("_first") + 1).select(*rows.columns, name)
 
 

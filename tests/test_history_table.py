@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from comity.operators import history, reports
-from comity.sources.history_table import ROW_BITS, HistoryTable
+from comity.sources.history_table import ROW_BITS, HistoryTable, numbered
 from tests.test_streaming import SCHEMA, land, stream
 from comity.sources import sinks
 from comity.streaming import flows as streams
@@ -153,3 +153,18 @@ def test_pages_read_the_newest_runs_only(spark, table):
             assert [r["id"] for r in table.page(size, before).collect()] == want
     plan = table.page(2, ids[0])._jdf.queryExecution().executedPlan().toString()
     assert f"GreaterThanOrEqual(id,{5 << ROW_BITS})" in plan
+
+
+def test_numbering_moves_no_rows_by_block(spark):
+    """A shuffle by block would bring all rows of a split, however large, to one task."""
+    rows = spark.range(0, 1000, 1, 4).select(
+        F.expr("id div 250").alias("block"), F.col("id").alias("row"))
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(threshold, -1)
+    try:
+        out = numbered(rows, ["block"], "row", "n")
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        assert sorted(r.n for r in out.collect()) == list(range(1, 1001))
+    finally:
+        spark.conf.unset(threshold)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
