@@ -34,6 +34,33 @@ def forest(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
+def merge(part: np.ndarray, i: int, rows: np.ndarray) -> None:
+    """Make row ``i`` and ``rows`` one part; ``part`` has a number for each row."""
+    others = part[rows]
+    if (others != part[i]).any():
+        part[np.isin(part, others)] = part[i]
+
+
+def stars(part: np.ndarray, side: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (x[i], y[i]) that join the rows of each part, at most one of them from each row.
+
+    Rows of one side go to the least of them by rank, and that one to that of the first side. So
+    a slice says the same of its rows whichever slice it meets: a family of m rows in k slices
+    has some m + k * k different edges, not m * k.
+    """
+    order = np.lexsort((rank, side, part))
+    parts, sides = part[order], side[order]
+    first = np.ones(len(order), bool)
+    first[1:] = parts[1:] != parts[:-1]
+    head = first.copy()
+    head[1:] |= sides[1:] != sides[:-1]
+    of_side = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
+    of_part = order[np.flatnonzero(first)[np.cumsum(first) - 1]]
+    other = head & ~first
+    return (np.concatenate([order[~head], order[other]]),
+            np.concatenate([of_side[~head], of_part[other]]))
+
+
 def with_least(edges: DataFrame) -> DataFrame:
     """``edges`` with ``m``, the least neighbour ``b`` of each ``a``.
 
@@ -42,9 +69,11 @@ def with_least(edges: DataFrame) -> DataFrame:
     """
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = edges.withColumn("_part", F.pmod(F.xxhash64("b"), F.lit(parts)).cast("int"))
-    some = dealt.groupBy("a", "_part").agg(F.min("b").alias("m"))
-    least = some.groupBy("a").agg(F.min("m").alias("m"))
-    return dealt.join(some.select("a", "_part").join(least, "a"), ["a", "_part"]).drop("_part")
+    some = dealt.groupBy("a", "_part").agg(F.min("b").alias("_own"))
+    least = some.groupBy("a").agg(F.min("_own").alias("m"))
+    # m is the smaller one anyhow; with _own both readings of ``some`` share a shuffle.
+    known = some.join(least, "a").select("a", "_part", F.least("m", "_own").alias("m"))
+    return dealt.join(known, ["a", "_part"]).drop("_part")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -17,13 +17,14 @@ text is one shingle). Texts whose sets have Jaccard similarity THRESHOLD or more
    on, to the depth at which even a single pair at the threshold is found with RECALL
    (``last_depth``). A pair is met where either of its classes still walks; nodes whose classes
    all walk no more, or all share the longer prefix, are passed over.
-   Spanning edges of the matches join the classes into clusters.
+   Edges of the matches join the classes into clusters.
 3. Within a cluster all pairs of classes are verified on their real shingle sets, taken
    from the texts again: exact similarity, every pair once. Clusters and nodes over a
    bounded size are cut into slices, and every pair of slices is a task of its own.
 
-What leaves a task are counts per class and spanning edges, so neither copies nor a large
-family of near copies are written out as pairs.
+What leaves a task are counts per class and one edge of each class at most, so neither copies
+nor a large family of near copies are written out as pairs. The edges of a slice are the same
+whatever slice it meets, so those of a family stay in proportion to its classes.
 
 Defined results: null and empty texts have an empty set, which equals other empty sets and
 links with nothing else; null or repeated ids are rows of their own; a group's class_id is
@@ -44,7 +45,7 @@ from pyspark.sql import functions as F
 from comity.llm.common import (
     at, bounded_batches, in_runs, original, renamed, row_hash, slice_pairs, stored, text_of,
 )
-from comity.llm.components import components, forest
+from comity.llm.components import components, merge, stars
 from comity.llm.words import Split, blocks
 
 SHINGLE = 5
@@ -135,27 +136,35 @@ def printed(batches):
             ["doc_id", "_key", "digest", "signature"])
 
 
+def ranks(digests: pa.Array) -> np.ndarray:
+    """Their places in order, equal ones alike."""
+    return pc.rank(digests, tiebreaker="dense").to_numpy().astype(np.int64)
+
+
 def matches(depth: int, before: int | None = None):
     def found(columns: dict, cuts: np.ndarray) -> pa.Table:
         """Matches first met at ``depth``, in trie nodes or between two slices of a node.
 
         Those that share the prefix of the depth ``before`` have met there.
 
-        Gives the number of each class's matches by level of similarity, and spanning edges.
+        Gives the number of each class's matches by level of similarity, and edges that join them.
         """
         side, left, right, tree = (columns[c].to_numpy() for c in ("slice", "left", "right", "tree"))
         walks = columns["walks"].to_numpy(zero_copy_only=False)
         marks = np.frombuffer(columns["signature"].buffers()[2], np.uint16)
         marks = marks.reshape(-1, TREES * DEPTH)[columns["signature"].offset:][:len(side)]
         needed = math.ceil(AGREEMENT * TREES * DEPTH)
-        counts, edges = np.zeros((len(side), LEVELS + 1), np.int64), []
+        digests = columns["digest"]
+        rank = ranks(digests)
+        counts = np.zeros((len(side), LEVELS + 1), np.int64)
+        to = np.full(len(side), -1)
         for lo, hi in zip(cuts, cuts[1:]):
             a = lo + np.flatnonzero(side[lo:hi] == left[lo])
             b = lo + np.flatnonzero(side[lo:hi] == right[lo])
             # The hashes up to the longer prefix in this tree.
             begin = tree[lo] * DEPTH
             after = marks[:, begin + depth:begin + before] if before else None
-            met = []
+            part = np.arange(hi - lo)
             for i in a:
                 rest = b[b > i] if left[lo] == right[lo] else b
                 if not walks[i]:
@@ -178,19 +187,18 @@ def matches(depth: int, before: int | None = None):
                 rest, level = rest[first], agreed[first] * LEVELS // (TREES * DEPTH)
                 counts[i] += np.bincount(level, minlength=LEVELS + 1)
                 counts[rest, level] += 1
-                met.append((np.full(len(rest), i), rest))
-            if met:
-                edges += forest(*(np.concatenate(m) for m in zip(*met)))
+                merge(part, i - lo, rest - lo)
+            x, y = stars(part, side[lo:hi], rank[lo:hi])
+            to[lo + x] = lo + y
         some, level = np.nonzero(counts)
-        ends = np.array(edges, np.int64).reshape(-1, 2)
-        none = np.zeros(len(ends), np.int64)
-        digests = columns["digest"]
+        # An edge goes with the first count of its row: a row that has one has matches.
+        again = np.zeros(len(some), bool)
+        again[1:] = some[1:] == some[:-1]
         return pa.table({
-            "digest": digests.take(pa.array(np.concatenate([some, ends[:, 0]]))),
-            "level": pa.array(np.concatenate([level, none])),
-            "n": pa.array(np.concatenate([counts[some, level], none])),
-            "b": digests.take(pa.array(np.concatenate([some, ends[:, 1]]),
-                                       mask=np.arange(len(some) + len(ends)) < len(some))),
+            "digest": digests.take(pa.array(some)),
+            "level": pa.array(level),
+            "n": pa.array(counts[some, level]),
+            "b": digests.take(pa.array(to[some], mask=again | (to[some] < 0))),
         })
 
     return found
@@ -229,7 +237,7 @@ def in_shared(entries: DataFrame, depth: int, *more) -> DataFrame:
 
 
 def walked(classes: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """digest, level, n (matches of the class at that level) and b (spanning edges, else null).
+    """digest, level, n (matches of the class at that level) and b (a class of its cluster, or null).
 
     ``classes`` has a ``digest`` and its ``signature``.
     """
@@ -248,8 +256,10 @@ def walked(classes: DataFrame, threshold: float = THRESHOLD, recall: float = REC
             now = entries.withColumn("walks", F.lit(True))
         else:
             done = settled(met, before, threshold, recall).withColumn("_done", F.lit(True))
-            now = entries.join(done, "digest", "left").withColumn(
-                "walks", F.col("_done").isNull()).drop("_done")
+            # Written, as the nodes read it several times.
+            now = stored(
+                entries.join(done, "digest", "left").withColumn(
+                    "walks", F.col("_done").isNull()).drop("_done"), "trie")
         after = F.substring("label", 2 * depth + 1, 2 * ((before or DEPTH) - depth))
         nodes = in_shared(
             now, depth,
@@ -273,11 +283,13 @@ def verified(threshold: float):
     def links(columns: dict, cuts: np.ndarray) -> pa.Table:
         """Exact similarities within cluster slices, or between two slices of a cluster.
 
-        Gives each class the number of rows it is linked to here, and spanning edges.
+        Gives each class the number of rows it is linked to here, and edges that join them.
         """
         side, left, right = (columns[c].to_numpy() for c in ("slice", "left", "right"))
         sizes = columns["size"].to_numpy()
-        counts, edges = np.zeros(len(side), np.int64), []
+        digests = columns["digest"]
+        rank = ranks(digests)
+        counts, to = np.zeros(len(side), np.int64), np.full(len(side), -1)
         for lo, hi in zip(cuts, cuts[1:]):
             if hi - lo < 2:
                 continue
@@ -293,7 +305,7 @@ def verified(threshold: float):
             owner = np.repeat(np.arange(len(b)), lengths[b])[order]
             held = np.bincount(places[member], minlength=places.max(initial=0) + 1)
             first = np.concatenate([[0], np.cumsum(held)])
-            found = []
+            part = np.arange(hi - lo)
             for i in a:
                 mine = places[ends[i]:ends[i + 1]]
                 n = held[mine]
@@ -305,17 +317,14 @@ def verified(threshold: float):
                 rest = lo + b[good]
                 counts[lo + i] += sizes[rest].sum()
                 counts[rest] += sizes[lo + i]
-                found.append((np.full(len(rest), lo + i), rest))
-            if found:
-                edges += forest(*(np.concatenate(f) for f in zip(*found)))
+                merge(part, i, b[good])
+            x, y = stars(part, side[lo:hi], rank[lo:hi])
+            to[lo + x] = lo + y
         some = np.flatnonzero(counts)
-        ends = np.array(edges, np.int64).reshape(-1, 2)
-        digests = columns["digest"]
         return pa.table({
-            "digest": digests.take(pa.array(np.concatenate([some, ends[:, 0]]))),
-            "n": pa.array(np.concatenate([counts[some], np.zeros(len(ends), np.int64)])),
-            "b": digests.take(pa.array(np.concatenate([some, ends[:, 1]]),
-                                       mask=np.arange(len(some) + len(ends)) < len(some))),
+            "digest": digests.take(pa.array(some)),
+            "n": pa.array(counts[some]),
+            "b": digests.take(pa.array(to[some], mask=to[some] < 0)),
         })
 
     return links

@@ -388,6 +388,40 @@ def test_forest_walk_stops_where_enough_is_found(spark):
     assert done(8) == {"d"} and done(4) == {"b", "d"}
 
 
+def test_edges_of_a_family_do_not_grow_with_its_slices(spark, monkeypatch):
+    """Every slice of a family of near copies says the same of its rows, whatever slice it meets."""
+    monkeypatch.setattr(ngram_join, "SLICE", 8)
+    monkeypatch.setattr(ngram_join, "NODE", 8)
+    asked = []
+    monkeypatch.setattr(ngram_join, "components",
+                        lambda edges: asked.append(edges) or components.components(edges))
+    words = [f"w{i}" for i in range(120)]
+    texts = [" ".join(words[:i] + [f"x{i}"] + words[i:]) for i in range(96)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = ngram_join.jaccard_join(docs).collect()
+    assert {(r.class_id, r.n_links) for r in rows} == {(0, 95)}
+    slices = 96 / 8
+    matched, linked = (edges.distinct() for edges in asked)
+    assert linked.count() <= 96 + slices * slices
+    # Nodes of several sizes in 16 trees, so several ways to slice.
+    assert matched.count() <= 8 * (96 + slices * slices)
+
+
+def test_stars_join_what_the_pairs_join():
+    rng = np.random.default_rng(4)
+    for n, pairs in ((1, 0), (12, 5), (40, 30), (40, 400)):
+        x, y = rng.integers(0, n, (2, pairs))
+        part, side, rank = np.arange(n), rng.integers(0, 2, n), rng.permutation(n)
+        for i, j in zip(x, y):
+            components.merge(part, i, np.array([j]))
+        a, b = components.stars(part, side, rank)
+        pairs = list(zip(x.tolist(), y.tolist()))
+        assert union(range(n), zip(a.tolist(), b.tolist())) == union(range(n), pairs)
+        assert len(a) == n - len(set(part.tolist()))
+        for i, j in zip(a, b):
+            assert side[i] > side[j] or rank[i] > rank[j]
+
+
 def test_large_families_leave_the_walk_early(spark):
     """A family of near copies is met at long prefixes; its links are found all the same."""
     marks = noisy_signatures(np.random.default_rng(9), [(0.99, 150)])
